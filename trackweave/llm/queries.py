@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .simhash import op1_simhash_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_decontaminate": op2_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
