@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .language import language_id_pages, op4_language_id
+from .lines import OP8_SQL, op8_line_dedup
 from .pieces import op7_sentencepiece, op9_token_counts
 from .simhash import op1_simhash_dedup
 
@@ -12,9 +13,11 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_language_id": op4_language_id,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
