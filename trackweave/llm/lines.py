@@ -195,13 +195,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH occ AS (SELECT doc_id, p - 1 AS pos, w[p] AS line FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL))),
-some AS (SELECT * FROM occ WHERE trim(line, ' ') <> ''),
-firsts AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS f FROM some GROUP BY line),
+filled AS (SELECT * FROM occ WHERE trim(line, ' ') <> ''),
+firsts AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS f FROM filled GROUP BY line),
 long AS (SELECT * FROM firsts WHERE n >= 20),
 linked AS (SELECT a.line, min(b.f) AS other FROM long a JOIN long b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.line <> b.line AND b.f < a.f
   AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
   WHERE levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
-gone AS (SELECT s.doc_id, s.pos FROM some s JOIN firsts f USING (line) LEFT JOIN linked l USING (line) WHERE l.other IS NOT NULL OR f.f <> (s.doc_id, s.pos)),
+gone AS (SELECT s.doc_id, s.pos FROM filled s JOIN firsts f USING (line) LEFT JOIN linked l USING (line) WHERE l.other IS NOT NULL OR f.f <> (s.doc_id, s.pos)),
 listed AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed_lines FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed_lines, '') AS removed_lines
 FROM documents d LEFT JOIN listed g USING (doc_id) WHERE d.text IS NOT NULL

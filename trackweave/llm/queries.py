@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .language import language_id_pages, op4_language_id
 from .lines import OP8_SQL, op8_line_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op4_language_id": op4_language_id,
+    "op6_ann": op6_ann,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
