@@ -6,6 +6,7 @@ from .ann import op6_ann
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .language import language_id_pages, op4_language_id
 from .lines import OP8_SQL, op8_line_dedup
+from .lm import op10_lm_scores
 from .pieces import op7_sentencepiece, op9_token_counts
 from .simhash import op1_simhash_dedup
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scores": op10_lm_scores,
     "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {
