@@ -8,12 +8,14 @@ from .language import language_id_pages, op4_language_id
 from .lines import OP8_SQL, op8_line_dedup
 from .lm import op10_lm_scores
 from .pieces import op7_sentencepiece, op9_token_counts
+from .pii import op5_pii
 from .simhash import op1_simhash_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op4_language_id": op4_language_id,
+    "op5_pii": op5_pii,
     "op6_ann": op6_ann,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
