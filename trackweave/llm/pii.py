@@ -25,6 +25,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]")
+#: What an added span of a kind may consist of; each form holds a digit or an at sign.
+PLAUSIBLE = {"email": re.compile(r"[^\s@]+@[^\s@]+"), "ip": re.compile(r"[A-Fa-f.:]*[0-9][0-9A-Fa-f.:]*"), "card": re.compile(r"[0-9][0-9 .-]+"), "phone": re.compile(r"[+(]?[0-9][0-9 ().+/-]+")}
 WINDOW, STRIDE = 96, 64
 SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 2_000, 800
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -100,6 +102,13 @@ def window_starts(length: int) -> list[int]:
     return starts + [length - WINDOW]
 
 
+def owned_windows(length: int) -> list[tuple[int, int, int]]:
+    """(start, first, end): a window owns the characters nearer to its middle than to its neighbours' middles."""
+    starts = window_starts(length)
+    cuts = [0, *[(a + WINDOW + b) // 2 for a, b in zip(starts, starts[1:])], length]
+    return list(zip(starts, cuts, cuts[1:]))
+
+
 @dataclass
 class Tagger:
     """Weights of both directions stacked: x (2, classes, 4h), w (2, h, 4h), and out (2h, tags), bias, transitions (tags, tags)."""
@@ -274,31 +283,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
 
 
 def added_spans(texts: list[str | None], base: list[list], tagger: Tagger, batch: int = 512) -> list[list[tuple[str, int, int]]]:
-    """Spans the tagger adds to the base spans of each text: they hold a digit or an at sign, five characters, and touch no base span."""
-    places = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(len(t)) if TRIGGER.search(t, s, s + WINDOW)]
+    """Spans the tagger adds to the base spans of each text: they have five characters, those of their kind, and touch no base span."""
+    places = [(i, *w) for i, t in enumerate(texts) if t for w in owned_windows(len(t)) if TRIGGER.search(t, w[0], w[0] + WINDOW)]
     tags: dict[int, np.ndarray] = {}
     for at in range(0, len(places), batch):
         own = places[at : at + batch]
         x = np.zeros((len(own), WINDOW), np.int64)
-        for row, (i, s) in enumerate(own):
+        for row, (i, s, _, _) in enumerate(own):
             piece = texts[i][s : s + WINDOW]
             x[row, : len(piece)] = classes(piece)
         decoded = tagger.decode(x)
-        for row, (i, s) in enumerate(own):
-            n = len(texts[i])
-            whole = tags.setdefault(i, np.zeros(n, np.int8))
-            # a window owns what is nearer to its middle than to its neighbours' middles
-            starts = window_starts(n) if s + WINDOW >= n else [s, min(s + STRIDE, n - WINDOW)]
-            before = 0 if s == 0 else ((s - STRIDE if s + WINDOW < n or len(starts) < 2 else starts[-2]) + WINDOW + s) // 2
-            upto = n if s + WINDOW >= n else (s + WINDOW + starts[1]) // 2
-            whole[before:upto] = decoded[row, before - s : upto - s]
+        for row, (i, s, lo, hi) in enumerate(own):
+            tags.setdefault(i, np.zeros(len(texts[i]), np.int8))[lo:hi] = decoded[row, lo - s : hi - s]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, whole in tags.items():
         taken = np.zeros(len(whole) + 1, bool)
         for _, a, b in base[i]:
             taken[a:b] = True
         for kind, a, b in spans_of(whole):
-            if b - a >= 5 and not taken[a:b].any() and TRIGGER.search(texts[i], a, b):
+            if b - a >= 5 and not taken[a:b].any() and PLAUSIBLE[kind].fullmatch(texts[i], a, b):
                 out[i].append((kind, a, b))
     return out
 
