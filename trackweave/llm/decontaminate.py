@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,26 @@ def _search(found: DataFrame, items: list[tuple[str, str]], window: int, first:
     return found.mapInArrow(run, RESULT if last else f"{RESULT}, text string")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, items_a_pass: int = ITEMS_A_PASS, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents in which a benchmark window occurs; columns stay, texts are not shuffled."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    passes = -(-bench.count() // items_a_pass) or 1
+    for k in range(passes):
+        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        shared, own = spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in part.toLocalIterator())), []
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            if not own:
+                own.append(search_tables(shared.value, window))
+            return pd.Series([not any(True for s in own[0] for _ in s.find(words)) for words in map(words_of, texts)], dtype=bool)
+
+        docs = docs.where(clean(F.col(f"`{text_col}`").cast("string")))
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(

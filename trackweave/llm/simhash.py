@@ -199,3 +199,115 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col:
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints for a Jaccard threshold: 64-bit words a document, and the share of bits in which documents
+#: of that similarity differ, acos(2 J / (1 + J)) / pi.
+WIDE, TILE = 6, 512
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE) -> np.ndarray:
+    """``words`` 64-bit words: the bits set in over half of the shingles' hashes, each word under another mixing of XXH64."""
+    found = WORD.findall((text or "").translate(ASCII_LOWER))
+    if not found:
+        return np.zeros(words, dtype="<i8")
+    raw = [w.encode("utf-8", "surrogatepass") for w in found]
+    joined = b" ".join(raw)
+    ends = np.cumsum([len(w) + 1 for w in raw]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size = min(shingle, len(raw))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(raw) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+    out = np.zeros(words, dtype="<u8")
+    for k in range(words):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 4096):
+            h = hashes[at : at + 4096] + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out.view("<i8")
+
+
+def wide_plan(reps: DataFrame, words: int, sample: int = 2048) -> list[tuple[int, int, int]]:
+    """[(word, mask, threshold)]: four partitions of correlated bits a word; thresholds sum to 0 over all, at least estimated cost."""
+    some = np.array([r[0] for r in reps.select("fps").orderBy(F.xxhash64("fps"), "fps").limit(sample).collect()], dtype=np.int64).reshape(-1, words)
+    parts, cost = [], []
+    for k in range(words):
+        n, together = bit_statistics(reps.select(F.col("fps")[k].alias("fp")))
+        own = some[:, k].astype(np.uint64)
+        for mask in group_bits(n, together, 4):
+            values = own & np.uint64(mask)
+            seen = np.zeros(3)
+            for v in values:
+                seen += np.bincount(np.minimum(np.bitwise_count(values ^ v), 2), minlength=3)
+            near = (np.cumsum(seen)[:2] - len(values)) / max(1.0, len(values) * (len(values) - 1.0))
+            parts.append((k, mask))
+            cost.append([max(1.0, n), *[1 + len(flips(mask, t)) + n * near[t] for t in (0, 1)]])  # leaving a partition out loses chances
+    return [(k, m, t) for (k, m), t in zip(parts, allocate(cost, 0)[1]) if t >= 0]
+
+
+def _forest(frame, limit: int):
+    """Edges of a spanning forest of the links among the rows of one pair of tiles."""
+    import pandas as pd
+
+    fps, reps = np.stack(frame["fps"].to_numpy()).astype(np.uint64), frame["rep"].to_numpy()
+    left, edges = np.ones(len(reps), dtype=bool), []
+    for start in range(len(reps)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo and left.any():
+            at = todo.pop()
+            near = np.flatnonzero(left & (np.bitwise_count(fps ^ fps[at]).sum(axis=1) <= limit))
+            left[near] = False
+            edges += [(reps[at], reps[x]) for x in near]
+            todo += near.tolist()
+    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) by wide SimHash of ``shingle``-word shingles; component_id is the smallest doc_id reachable.
+
+    Documents that agree in a probed partition (thresholds as :func:`wide_plan` allots them) are candidates; they
+    link if they differ in no more bits than documents of Jaccard ``similarity`` do on average. Every pair within
+    4 * ``words`` - 1 bits is found, and further ones by the chance that a partition agrees: with six words about
+    0.99 of those of similarity 0.9 and 0.8 of those of 0.8. Equal fingerprints are collapsed first. A crowded
+    partition value is compared in tiles of bounded size, each of which gives a spanning forest of its links and
+    not the links. Null and empty texts have fingerprint 0 and link; an empty table gives an empty result.
+    """
+    short_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fps = [wide_fingerprint(t, shingle, words).tolist() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+    limit = int(round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * words))
+    fps = table(columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fps array<long>"), "wide-fps")
+    reps = table(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")), "wide-reps")
+    keys = []
+    for part, (word, mask, t) in enumerate(wide_plan(reps, words)):
+        keys += [(part, word, mask, f, int(f != 0)) for f in flips(mask, t)]
+    made = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("fps")[w].bitwiseXOR(F.lit(signed(f))).bitwiseAND(F.lit(signed(m))).alias("key"), F.lit(k).alias("kind")) for p, w, m, f, k in keys]))
+    rows = reps.select("rep", made.alias("s")).select("rep", "s.*").withColumn("n", F.count("*").over(Window.partitionBy("part", "key"))).where("n > 1")
+    rows = table(rows.join(reps, "rep"), "wide-buckets")
+    distance = sum((F.bit_count(F.col("a.fps")[k].bitwiseXOR(F.col("b.fps")[k])) for k in range(1, words)), F.bit_count(F.col("a.fps")[0].bitwiseXOR(F.col("b.fps")[0])))
+    a, b = rows.where(F.col("n") <= BUCKET).alias("a"), rows.where((F.col("n") <= BUCKET) & (F.col("kind") == 0)).alias("b")
+    found = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & ((F.col("a.kind") == 1) | (F.col("a.rep") < F.col("b.rep"))) & (distance <= limit)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    crowd = rows.where(F.col("n") > BUCKET)
+    crowd = crowd.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("part", "key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "rep", "fps")
+    tiled = crowd.groupBy("part", "key", "x", "y").applyInPandas(lambda frame: _forest(frame.drop_duplicates("rep"), limit), "a long, b long")
+    groups = connected_components(found.union(tiled)).select(F.col("node").alias("rep"), "component")
+    named = reps.join(groups, "rep", "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, "fps").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents whose group has a smaller doc_id; all columns stay."""
+    gone = near_duplicate_groups(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(table(gone, "wide-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
