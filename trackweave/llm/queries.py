@@ -10,10 +10,12 @@ from .lm import op10_lm_scores
 from .pieces import op7_sentencepiece, op9_token_counts
 from .pii import op5_pii
 from .simhash import op1_simhash_dedup
+from .substrings import op3_substring_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
     "op5_pii": op5_pii,
     "op6_ann": op6_ann,
