@@ -41,7 +41,7 @@ def test_banded_distance(spark):
         pairs.append((a, edited(r, a, r.randrange(5)), k))
     df = spark.createDataFrame(pairs, "a string, b string, k int")
     for most in (1, 2, 3):
-        got = df.select("a", "b", L.banded_distance(F.col("a"), F.col("b"), most).alias("d"), L.banded_distance(*L.trimmed(F.col("a"), F.col("b")), most).alias("t")).collect()
+        got = df.select("a", "b", L.banded_distance(F.col("a"), F.col("b"), most).alias("d"), L.near_distance(F.col("a"), F.col("b"), most).alias("t")).collect()
         assert all(x.d == x.t == min(distance(x.a, x.b), most + 1) for x in got)
 
 

@@ -43,9 +43,6 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     full = (1 << width) - 1
     long_, short = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
 
-    def bound(value: Column, use) -> Column:  # names a value, so that it is computed once
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def inverse(x: Column) -> Column:
         return F.lit(full).bitwiseXOR(x)
 
@@ -70,8 +67,8 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
 
                 return bound(d0, rest)
 
-            # the distance along the band's foot can fall by the columns left at most
-            return F.when(state["d"] > 2 * most + (m - i), state).otherwise(bound(match, after))
+            # along the band's foot the distance only grows, and in the last columns, ``most`` of them, it falls by one at most
+            return F.when(state["d"] > 2 * most, state).otherwise(bound(match, after))
 
         start = F.struct(F.lit(full ^ ((1 << (width - most - 1)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("d"))
         found = F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda z: z["d"])
@@ -84,8 +81,13 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     return bound(parts, run)
 
 
-def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
-    """Both strings without the blocks they start and end with in common; the edit distance stays."""
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def trimmed(a: Column, b: Column) -> Column:
+    """struct(a, b): both strings without the blocks they start and end with in common; the edit distance stays."""
     least = F.floor(F.least(F.length(a), F.length(b)) / BLOCK).cast("int")
 
     def leading(same) -> Column:
@@ -94,12 +96,17 @@ def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
 
     head = leading(lambda k: F.substring(a, k * BLOCK + 1, F.lit(BLOCK)) == F.substring(b, k * BLOCK + 1, F.lit(BLOCK)))
     tail = leading(lambda k: F.substring(a, F.length(a) - (k + 1) * BLOCK + 1, F.lit(BLOCK)) == F.substring(b, F.length(b) - (k + 1) * BLOCK + 1, F.lit(BLOCK)))
-    tail = F.least(tail, least - head)
 
-    def cut(s: Column) -> Column:
-        return F.substring(s, head * BLOCK + 1, F.length(s) - (head + tail) * BLOCK)
+    def both(ends: Column) -> Column:
+        before, after = ends["head"], F.least(ends["tail"], least - ends["head"])
+        cut = lambda s: F.substring(s, before * BLOCK + 1, F.length(s) - (before + after) * BLOCK)
+        return F.struct(cut(a).alias("a"), cut(b).alias("b"))
+
+    return bound(F.struct(head.alias("head"), tail.alias("tail")), both)
+
 
-    return cut(a), cut(b)
+def near_distance(a: Column, b: Column, most: int) -> Column:
+    return bound(trimmed(a, b), lambda t: banded_distance(t["a"], t["b"], most))
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,7 +144,7 @@ def line_links(firsts: DataFrame, lines: DataFrame, near_chars: int) -> DataFram
     pairs = _candidates(members).union(_candidates(finer)).distinct()
     a, b = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("fa"), F.col("line").alias("la")), texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("fb"), F.col("line").alias("lb"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(F.abs(F.length("la") - F.length("lb")) <= 1)
-    both = both.where(banded_distance(*trimmed(F.col("la"), F.col("lb")), 1) <= 1)
+    both = both.where(near_distance(F.col("la"), F.col("lb"), 1) <= 1)
     out = both.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("fb").alias("other")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("fa").alias("other")))).alias("x")).select("x.*")
 
     # still crowded: the lines equal but for one short piece; each drops each character in turn, and
