@@ -11,7 +11,8 @@ def ratio(a: Column, b: Column, least: float = 1e-6) -> Column:
 
 
 def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    """Between two bounds; null stays null, which greatest and least alone would skip."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def linear_score(value: Column, low: float, high: float) -> Column:
