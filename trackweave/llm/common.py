@@ -98,3 +98,14 @@ def flips(mask: int, radius: int) -> list[int]:
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
+
+
+def first_in_hash_order(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
+    """The ``n`` rows of least hash of ``keys``, with the hash as column ``turn``; rows of equal keys stand or go together.
+
+    Only hashes are sorted to find the n-th; the rows themselves are then filtered where they lie, so a
+    bounded sample moves no more than itself. May return more than ``n`` rows where keys repeat.
+    """
+    turned = df.withColumn("turn", F.xxhash64(*keys, F.lit(seed)))
+    last = turned.select("turn").orderBy("turn").limit(n).agg(F.max("turn")).first()[0]
+    return turned.where(F.lit(False) if last is None else F.col("turn") <= last)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, read, short_batches
+from .common import columns_of, first_in_hash_order, read, short_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -261,7 +261,8 @@ def labelled_windows(text: str) -> list[tuple[bytes, bytes]]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = SAMPLE_DOCUMENTS, windows: int = SAMPLE_WINDOWS) -> Tagger:
     """Train on at most ``windows`` labelled windows, two thirds of them with spans, from at most ``documents`` documents, all first in hash order."""
     short_batches(docs.sparkSession)
-    rows = columns_of(docs, id_col, text_col).select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(5)).alias("turn")).where(F.col("text").rlike("[0-9@]"))
+    rows = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    drawn = first_in_hash_order(rows, documents, "id", seed=5).select("turn", "text")
 
     def cut(batches):
         for b in batches:
@@ -273,7 +274,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
             cols = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["turn", "k", "x", "y"])
 
-    found = sorted(tuple(r) for r in rows.orderBy("turn", "text").limit(documents).mapInArrow(cut, "turn long, k int, x binary, y binary").collect())
+    found = sorted(tuple(r) for r in drawn.mapInArrow(cut, "turn long, k int, x binary, y binary").collect())
     with_spans, without = [r for r in found if any(r[3])], [r for r in found if not any(r[3])]
     chosen = with_spans[: windows * 2 // 3]
     chosen += without[: windows - len(chosen)]
