@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, short_batches, table
+from .common import first_in_hash_order, read, short_batches, table
 
 SAMPLE_ROWS, BRANCHING, LEAF_ROWS, CALIBRATION_QUERIES = 16_384, 8, 64, 64
 #: Rows of a leaf that one group holds, and queries that it meets; larger leaves are dealt over several.
@@ -202,7 +202,7 @@ def approximate_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, t
     spark = vectors.sparkSession
     short_batches(spark, 2048)
     all_rows = usable(vectors, id_col, vector_col)
-    sample = all_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
+    sample = first_in_hash_order(all_rows, SAMPLE_ROWS, "vec_id").orderBy("turn", "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").toPandas()
     tree = fit_tree(_unit(_matrix(sample["v"]))) if len(sample) else Tree(Node(np.zeros(0), leaf=0), 1)
     shared = spark.sparkContext.broadcast(tree)
 
