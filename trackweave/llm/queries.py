@@ -10,7 +10,7 @@ from .lm import op10_lm_scores
 from .pieces import op7_sentencepiece, op9_token_counts
 from .pii import op5_pii
 from .simhash import op1_simhash_dedup
-from .substrings import op3_substring_dedup
+from .substrings import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
 }
