@@ -272,7 +272,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents WHERE doc_id IS NOT NULL),
-spot AS (SELECT doc_id, p, hash(substr(x, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS p FROM d)),
+piece AS (SELECT doc_id, c, n, substr(x, 2000 * c + 1, 2198) AS y FROM (SELECT doc_id, x, n, unnest(range(0, n // 1000 + 1)) AS c FROM d)),
+spot AS (SELECT doc_id, 1000 * c + i AS p, hash(substr(y, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, c, y, unnest(range(0, least(1000, n - 99 - 1000 * c))) AS i FROM piece)),
 firsts AS (SELECT s, min((doc_id, p)) AS f FROM spot GROUP BY s HAVING count(*) > 1),
 later AS (SELECT doc_id, p FROM spot JOIN firsts USING (s) WHERE f <> (doc_id, p)),
 reached AS (SELECT doc_id, p, max(p + 100) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM later),
