@@ -37,6 +37,28 @@ def test_near_copies_group_and_others_do_not(spark, monkeypatch):
     assert wide_fingerprint("a b c d e f", 5).tolist() != wide_fingerprint("a b c d e g", 5).tolist()
 
 
+def test_every_pair_at_the_threshold_links_and_none_below(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 6)
+    monkeypatch.setattr(simhash, "TILE", 8)
+    texts = []
+    for k in range(60):  # pairs from 0.75 to 0.88 by one edited run
+        base, r = words(k, 200, 5000), random.Random(k)
+        n = r.randrange(9, 25)
+        at = r.randrange(5, 190 - n)
+        texts += [" ".join(base), " ".join(base[:at] + [f"new{k}x{j}" for j in range(n)] + base[at + n :])]
+    base = words(900, 200, 5000)
+    texts += [" ".join(base[j : j + 120]) for j in range(0, 80, 2)]  # a chain: each is near the next ones alone
+    texts += [" ".join(base[:100] + words(k, 9, 5000)) for k in range(901, 921)]
+    comp = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    pairs = [jaccard(texts[i], texts[i + 1]) for i in range(0, 120, 2)]
+    assert sum(0.8 <= p <= 0.85 for p in pairs) > 15 and sum(0.75 <= p < 0.8 for p in pairs) > 5
+    assert {r.doc_id: r.component_id for r in near_duplicate_groups(documents(spark, texts)).collect()} == dict(enumerate(comp))
+
+
 def test_stages_match_brute_force(spark, tmp_path):
     bench = [" ".join(words(500, 20)), "short item"]
     texts = [" ".join(words(k, 60, 3000)) for k in range(30)]

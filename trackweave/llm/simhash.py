@@ -201,25 +201,30 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints for a Jaccard threshold: 64-bit words a document, and the share of bits in which documents
-#: of that similarity differ, acos(2 J / (1 + J)) / pi.
-WIDE, TILE = 6, 512
+#: 64-bit words of a wide fingerprint; rows of a tile of a crowded key; one set in so many is counted to rank shingles, and so many ranks are kept;
+#: bits of the map that lets wanted documents through.
+WIDE, TILE, RANK_SHARE, RANKS, BITS = 6, 512, 16, 100_000, 1 << 24
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE) -> np.ndarray:
-    """``words`` 64-bit words: the bits set in over half of the shingles' hashes, each word under another mixing of XXH64."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle in order of place, as uint64; a text of fewer words is one shingle, one without words has none."""
     found = WORD.findall((text or "").translate(ASCII_LOWER))
     if not found:
-        return np.zeros(words, dtype="<i8")
+        return np.zeros(0, dtype=np.uint64)
     raw = [w.encode("utf-8", "surrogatepass") for w in found]
     joined = b" ".join(raw)
     ends = np.cumsum([len(w) + 1 for w in raw]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(shingle, len(raw))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(raw) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(raw) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE) -> np.ndarray:
+    """``words`` 64-bit words: the bits set in over half of the shingles' hashes, each word under another mixing of XXH64."""
+    hashes = shingle_hashes(text, shingle)
     out = np.zeros(words, dtype="<u8")
-    for k in range(words):
+    for k in range(words if len(hashes) else 0):
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 4096):
             h = hashes[at : at + 4096] + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))
@@ -231,80 +236,125 @@ def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE) -> np.nd
     return out.view("<i8")
 
 
-def wide_plan(reps: DataFrame, words: int, sample: int = 2048) -> list[tuple[int, int, int]]:
-    """[(word, mask, threshold)]: four partitions of correlated bits a word; thresholds sum to 0 over all, at least estimated cost."""
-    some = np.array([r[0] for r in reps.select("fps").orderBy(F.xxhash64("fps"), "fps").limit(sample).collect()], dtype=np.int64).reshape(-1, words)
-    parts, cost = [], []
-    for k in range(words):
-        n, together = bit_statistics(reps.select(F.col("fps")[k].alias("fp")))
-        own = some[:, k].astype(np.uint64)
-        for mask in group_bits(n, together, 4):
-            values = own & np.uint64(mask)
-            seen = np.zeros(3)
-            for v in values:
-                seen += np.bincount(np.minimum(np.bitwise_count(values ^ v), 2), minlength=3)
-            near = (np.cumsum(seen)[:2] - len(values)) / max(1.0, len(values) * (len(values) - 1.0))
-            parts.append((k, mask))
-            cost.append([max(1.0, n), *[1 + len(flips(mask, t)) + n * near[t] for t in (0, 1)]])  # leaving a partition out loses chances
-    return [(k, m, t) for (k, m), t in zip(parts, allocate(cost, 0)[1]) if t >= 0]
-
-
-def _forest(frame, limit: int):
-    """Edges of a spanning forest of the links among the rows of one pair of tiles."""
-    import pandas as pd
-
-    fps, reps = np.stack(frame["fps"].to_numpy()).astype(np.uint64), frame["rep"].to_numpy()
-    left, edges = np.ones(len(reps), dtype=bool), []
-    for start in range(len(reps)):
-        if not left[start]:
-            continue
-        left[start] = False
-        todo = [start]
-        while todo and left.any():
-            at = todo.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(fps ^ fps[at]).sum(axis=1) <= limit))
-            left[near] = False
-            edges += [(reps[at], reps[x]) for x in near]
-            todo += near.tolist()
-    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
-
-
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by wide SimHash of ``shingle``-word shingles; component_id is the smallest doc_id reachable.
-
-    Documents that agree in a probed partition (thresholds as :func:`wide_plan` allots them) are candidates; they
-    link if they differ in no more bits than documents of Jaccard ``similarity`` do on average. Every pair within
-    4 * ``words`` - 1 bits is found, and further ones by the chance that a partition agrees: with six words about
-    0.99 of those of similarity 0.9 and 0.8 of those of 0.8. Equal fingerprints are collapsed first. A crowded
-    partition value is compared in tiles of bounded size, each of which gives a spanning forest of its links and
-    not the links. Null and empty texts have fingerprint 0 and link; an empty table gives an empty result.
+def shingle_sets(docs: DataFrame, shingle: int, keep: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, node, shingles) of docs (doc_id, text): the ascending distinct shingle hashes of each row, and a 64-bit hash that names the set.
+
+    With ``keep``, a bit map, only of rows whose hashed doc_id is in it.
     """
-    short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches):
         for b in batches:
-            fps = [wide_fingerprint(t, shingle, words).tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            if shared.value is not None:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            sets = [np.unique(shingle_hashes(t, shingle).astype("<u8").view("<i8")) for t in b.column(1).to_pylist()]
+            nodes = [signed(xxhash.xxh64_intdigest(x.tobytes(), 42)) for x in sets]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
+            own = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, "<i8"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), own], names=["doc_id", "node", "shingles"])
 
-    limit = int(round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * words))
-    fps = table(columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fps array<long>"), "wide-fps")
-    reps = table(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")), "wide-reps")
-    keys = []
-    for part, (word, mask, t) in enumerate(wide_plan(reps, words)):
-        keys += [(part, word, mask, f, int(f != 0)) for f in flips(mask, t)]
-    made = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("fps")[w].bitwiseXOR(F.lit(signed(f))).bitwiseAND(F.lit(signed(m))).alias("key"), F.lit(k).alias("kind")) for p, w, m, f, k in keys]))
-    rows = reps.select("rep", made.alias("s")).select("rep", "s.*").withColumn("n", F.count("*").over(Window.partitionBy("part", "key"))).where("n > 1")
-    rows = table(rows.join(reps, "rep"), "wide-buckets")
-    distance = sum((F.bit_count(F.col("a.fps")[k].bitwiseXOR(F.col("b.fps")[k])) for k in range(1, words)), F.bit_count(F.col("a.fps")[0].bitwiseXOR(F.col("b.fps")[0])))
-    a, b = rows.where(F.col("n") <= BUCKET).alias("a"), rows.where((F.col("n") <= BUCKET) & (F.col("kind") == 0)).alias("b")
-    found = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & ((F.col("a.kind") == 1) | (F.col("a.rep") < F.col("b.rep"))) & (distance <= limit)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    crowd = rows.where(F.col("n") > BUCKET)
-    crowd = crowd.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("part", "key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "rep", "fps")
-    tiled = crowd.groupBy("part", "key", "x", "y").applyInPandas(lambda frame: _forest(frame.drop_duplicates("rep"), limit), "a long, b long")
-    groups = connected_components(found.union(tiled)).select(F.col("node").alias("rep"), "component")
-    named = reps.join(groups, "rep", "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fps").select("doc_id", "component_id")
+    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(run, "doc_id long, node long, shingles array<long>")
+
+
+def _bit(col: str):
+    return F.pmod(F.xxhash64(col, F.lit(5)), F.lit(BITS))
+
+
+def prefix_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, node, size, keys): the shingles of a set in one order for all sets, as far as any set of Jaccard ``similarity`` must share one.
+
+    Sets that similar share ceil(similarity * size) shingles at least, so one of the first size - ceil(similarity * size) + 1
+    of either. Any order gives all pairs; shingles that recur in a sample of the sets come last here, so the keys are rare ones.
+    """
+    sample = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(RANK_SHARE)) == 0), shingle)
+    common = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(RANKS).collect()
+    common = sorted((r["key"], r["count"]) for r in common)
+    known, times = (np.array([r[k] for r in common], dtype=np.int64) for k in (0, 1))
+
+    def run(batches):
+        for b in batches:
+            heads, sizes = [], []
+            for own in b.column(2):
+                own = own.values.to_numpy()
+                n = len(own)
+                sizes.append(n)
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.lexsort((own, np.where(known[at] == own, times[at], 0)))]
+                heads.append(own[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32))
+            keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.zeros(0, "<i8"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), keys], names=["doc_id", "node", "size", "keys"])
+
+    return shingle_sets(docs, shingle).mapInArrow(run, "doc_id long, node long, size int, keys array<long>")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose sets have Jaccard ``similarity`` or more; a node in many pairs may stand in a only.
+
+    Sets are made again from the texts: of those documents that a bit map of the wanted ones lets through.
+    """
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    wanted = table(wanted.join(firsts.select("node", "doc_id"), "node"), "near-wanted")
+    bits = wanted.select(_bit("doc_id").alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(31)).cast("int"))).alias("word")).collect()
+    keep = np.zeros(BITS >> 5, dtype=np.uint32)
+    for r in bits:
+        keep[r["at"]] = r["word"]
+    sets = shingle_sets(docs, shingle, keep).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    sets = table(sets, "near-sets")
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
+    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(left, ["a", "salt"])
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return table(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b"), "near-links")
+
+
+def _possible(similarity: float):
+    """Whether rows a and b of one key may be similar by their sizes, this being the first key they share."""
+    a, b = (F.col(f"{x}.size") for x in "ab")
+    least, most = F.least(a, b), F.greatest(a, b)
+    left = F.least(a - F.col("a.pos"), b - F.col("b.pos"))
+    return (least >= F.ceil(similarity * most - 1e-9)) & (left >= F.ceil(similarity / (1 + similarity) * (a + b) - 1e-9))
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents whose sets of ``shingle``-word shingles have Jaccard ``similarity`` or more link; component_id is the smallest doc_id reachable.
+
+    Every such pair is found and no other links (but for clashes of 64-bit hashes): candidates share a key of
+    :func:`prefix_keys`, and are verified on the whole sets. Equal sets are collapsed first. The members of a key
+    meet three of them; after that only members that are not in one component yet are paired, in tiles of bounded size.
+    Texts without words link; an empty table gives an empty result; rows that share a doc_id are each returned.
+    """
+    short_batches(docs.sparkSession)
+    docs = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    heads = table(prefix_keys(docs, shingle, similarity), "near-heads")
+    firsts = table(heads.groupBy("node").agg(F.min(F.struct("doc_id", "size", "keys")).alias("f")).select("node", "f.*"), "near-firsts")
+    rows = firsts.select("node", "size", F.posexplode("keys").alias("pos", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    rows = table(rows, "near-keys")
+    row = F.struct("node", "size", "pos")
+    centres = rows.groupBy("key").agg(F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.xxhash64("node")))).alias("centres"))
+    stars = rows.join(centres, "key").select(row.alias("b"), F.explode("centres").alias("a")).where(F.col("a.node") != F.col("b.node")).where(_possible(similarity))
+    stars = table(stars.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "near-stars")
+    found = connected_components(_similar(stars, docs, firsts, shingle, similarity))
+
+    rest = rows.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per_key = Window.partitionBy("key")
+    rest = rest.withColumn("lo", F.min("component").over(per_key)).withColumn("hi", F.max("component").over(per_key)).where("lo != hi")
+    rest = rest.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "node", "size", "pos", "component")
+    rest = table(rest, "near-rest")
+    a, b = rest.alias("a"), rest.alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    pairs = a.join(b, same & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    met = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = table(pairs.distinct().join(met, ["a", "b"], "left_anti"), "near-pairs")
+    if pairs.limit(1).count():
+        more = _similar(pairs, docs, firsts, shingle, similarity)
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    named = table(firsts.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return heads.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
