@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer, decoders, models
 
 from tests.llm.helpers import documents, with_clashes, words
-from trackweave.llm.pieces import MARK, MergeEncoder, ViterbiCounter, Vocabulary, count_tokens, decode_documents, encode_documents, model_bytes
+from trackweave.llm.pieces import M64, MARK, MergeEncoder, ViterbiCounter, Vocabulary, count_tokens, decode_documents, encode_documents, mixed, model_bytes, op7_sentencepiece
 
 TEXTS = [None, "", " ", "  two  spaces \n\nlines\tand tabs ", "Ünïcode 中文 and \U0001f600 ①", f"own {MARK}mark{MARK} \ufdd0 \ufffe", "<s> <0x0A> </s>", "a" * 500, " ".join(words(1, 2000)), "the the the", "the the the"]
 TEXT = st.text(alphabet=st.sampled_from(list("abetho .,\n\t ▁é中①<0x>s\ufdd0")), max_size=60)
@@ -49,6 +49,21 @@ def test_seeds_vary_and_repeat(vocabulary):
     assert one == again != other and len(one) > len(MergeEncoder(vocabulary, 0.0, 1).encode(text))
 
 
+def test_every_occurrence_draws_its_own_dropout(spark, vocabulary, tmp_path):
+    encoder = MergeEncoder(vocabulary, 0.2, 1)
+    text = " ".join(["communication"] * 400)
+    ids = encoder.encode_each(text, "7")
+    assert vocabulary.decode(ids.tolist()) == text and encoder.encode_each(text, "7").tolist() == ids.tolist() != encoder.encode_each(text, "8").tolist()
+    codes = encoder.turns(MARK + "communication", ())[1]
+    words = bytes.join(b"", map(vocabulary.raw.__getitem__, ids))
+    draws = [[encoder.turns(MARK + "communication", (k,))[0] for k in range(len(codes))], {encoder.encode_each("communication", str(k)).tobytes() for k in range(2000)}]
+    clear = sum(all(((key ^ c) * 0xD6E8FEB86659FD93 & M64) >= encoder.below for c in codes) for key in mixed(5, 20_000)) / 20_000
+    assert len(words) == len(text) + 1 and len(draws[1]) > len(set(draws[0])) > 3 and abs(clear - 0.8 ** len(codes)) < 0.01
+    assert all(MergeEncoder(vocabulary, 0.0, 1).encode_each(t, "1").tolist() == MergeEncoder(vocabulary, 0.0, 1).encode(t).tolist() for t in TEXTS)
+    documents(spark, [text, text]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.ids_sha256 for r in op7_sentencepiece(spark, str(tmp_path)).collect()}) == 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
 def test_counts_are_the_unigram_tokenizers(vocabulary, unigram, text):

@@ -70,11 +70,20 @@ class Vocabulary:
         return [self.byte_ids[b] for b in (MARK if char == OWN_MARK else char).encode("utf-8", "surrogatepass")]
 
 
+def mixed(key: int, n: int) -> list[int]:
+    """``n`` 64-bit hashes of (key, 0 .. n - 1), by the splitmix finaliser."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).tolist()
+
+
 class MergeEncoder(dict):
     """Unit -> its piece ids as int32 bytes, by an agenda of candidate merges, best score first, leftmost of equals.
 
     A candidate popped from the agenda is skipped if the keyed hash of (seed, unit, salt, place,
     merged piece) falls under ``dropout``; at 0 this is the model's plain merge segmentation.
+    :meth:`encode_each` keys the hash by the occurrence and not by the unit.
     """
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, salt: str = ""):
@@ -82,6 +91,7 @@ class MergeEncoder(dict):
         self.v, self.seed, self.salt = vocabulary, seed, salt
         self.below = int(dropout * (1 << 64))
         self.rank = {p: (-s, vocabulary.ids[p]) for p, s in vocabulary.score.items()}
+        self.kept: dict[tuple, tuple[bytes, list[int]]] = {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= KEPT_UNITS:
@@ -89,8 +99,9 @@ class MergeEncoder(dict):
         self[unit] = found = np.array(self.merge(unit), dtype="<i4").tobytes()
         return found
 
-    def merge(self, unit: str) -> list[int]:
-        parts, rank, below = list(unit), self.rank.get, self.below
+    def merge(self, unit: str, drops: tuple | None = None, codes: list | None = None) -> list[int]:
+        """Piece ids of a unit. With ``drops`` the candidates of these turns are skipped instead, and ``codes`` takes the code of every turn."""
+        parts, rank, below = list(unit), self.rank.get, self.below if drops is None else 0
         n = len(parts)
         key = xxhash.xxh64_intdigest((self.salt + unit).encode("utf-8", "surrogatepass"), self.seed & M64) if below else 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -107,6 +118,10 @@ class MergeEncoder(dict):
                 continue
             if below and ((key ^ (i * 0x9E3779B97F4A7C15) ^ (number * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & M64) < below:
                 continue
+            if drops is not None:
+                codes.append(i * 0x9E3779B97F4A7C15 ^ number * 0xC2B2AE3D27D4EB4F)
+                if len(codes) - 1 in drops:
+                    continue
             parts[i], parts[j] = piece, None
             k = after[i] = after[j]
             if k < n:
@@ -128,6 +143,33 @@ class MergeEncoder(dict):
                     out.extend(self.v.fallback(p))
         return out
 
+    def turns(self, unit: str, drops: tuple) -> tuple[bytes, list[int]]:
+        """Ids of a unit with the candidates of turns ``drops`` skipped, and the codes of its turns; kept, as few of them recur often."""
+        found = self.kept.get((unit, drops))
+        if found is None:
+            if len(self.kept) >= KEPT_UNITS:
+                self.kept.clear()
+            codes: list[int] = []
+            ids = self.merge(unit, drops, codes)
+            self.kept[unit, drops] = found = np.array(ids, dtype="<i4").tobytes(), codes
+        return found
+
+    def encode_each(self, text: str | None, name: str) -> np.ndarray:
+        """As :meth:`encode`, but every occurrence of a unit draws its own dropout: the hash is keyed by (seed, name, the unit's number in the text)."""
+        below, out = self.below, []
+        units = self.v.units(text or "")
+        own = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), self.seed & M64)
+        for key, unit in zip(mixed(own, len(units)), units):
+            drops, at = (), 0
+            ids, codes = self.turns(unit, drops)
+            while at < len(codes):
+                if ((key ^ codes[at]) * 0xD6E8FEB86659FD93 & M64) < below:
+                    drops += (at,)
+                    ids, codes = self.turns(unit, drops)
+                at += 1
+            out.append(ids)
+        return np.frombuffer(b"".join(out), dtype="<i4")
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.v.units(text or ""))), dtype="<i4")
 
@@ -199,8 +241,8 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 42, per_
     """(doc_id, token_ids, n_tokens, ids_sha256, lossless) of every document row; no shuffle.
 
     ``seed`` gives one segmentation of the corpus; another seed varies it. With ``per_document`` the
-    hash is keyed by doc_id too, so equal words differ between documents, at the cost of the kept
-    units. ids_sha256 is the hex digest of the ids as little-endian int32; lossless says that
+    hash is keyed by doc_id and the unit's number in the text, so every occurrence of a word draws
+    its own dropout; else a word has one segmentation throughout the corpus. ids_sha256 is the hex digest of the ids as little-endian int32; lossless says that
     decoding the ids gives the text back, checked on every row. A null or empty text has no tokens
     and decodes to the empty text.
     """
@@ -214,10 +256,7 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 42, per_
         for b in batches:
             ids, lossless = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if per_document:
-                    encoder.clear()
-                    encoder.salt = f"{key}\0"
-                own = encoder.encode(text)
+                own = encoder.encode_each(text, str(key)) if per_document else encoder.encode(text)
                 ids.append(own)
                 lossless.append(encoder.v.decode(own.tolist()) == (text or ""))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32))
@@ -264,7 +303,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents")).drop("token_ids")
+    return encode_documents(read(spark, sf_dir, "documents"), per_document=True).drop("token_ids")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
