@@ -27,8 +27,10 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Stands for a word mark that the text itself holds: a lone surrogate, which no valid text has, so it falls back to the mark's bytes.
 OWN_MARK = "\ud800"
-#: Units a worker keeps; then it starts afresh.
-KEPT_UNITS = 300_000
+#: Bytes of segmentations a worker keeps, about; then it starts afresh.
+KEPT_BYTES = 120 << 20
+#: Characters of a unit up to which the agenda is a plain list, and outcomes of its skipped turns are kept.
+SHORT = 32
 M64 = (1 << 64) - 1
 
 
@@ -70,112 +72,156 @@ class Vocabulary:
         return [self.byte_ids[b] for b in (MARK if char == OWN_MARK else char).encode("utf-8", "surrogatepass")]
 
 
-def mixed(key: int, n: int) -> list[int]:
+def mixed(key: int, n: int) -> np.ndarray:
     """``n`` 64-bit hashes of (key, 0 .. n - 1), by the splitmix finaliser."""
     x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).tolist()
+    return x ^ (x >> np.uint64(31))
+
+
+#: Odd factors of a place in the unit, of a piece's turn in the order of scores, and of the two with the occurrence's key.
+PLACE, PIECE, DRAW = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+NONE = 1 << 40
 
 
 class MergeEncoder(dict):
-    """Unit -> its piece ids as int32 bytes, by an agenda of candidate merges, best score first, leftmost of equals.
+    """Unit -> number of its plain segmentation: ids in ``plain``, codes of its agenda's turns in ``codes`` from ``first`` on.
 
-    A candidate popped from the agenda is skipped if the keyed hash of (seed, unit, salt, place,
-    merged piece) falls under ``dropout``; at 0 this is the model's plain merge segmentation.
-    :meth:`encode_each` keys the hash by the occurrence and not by the unit.
+    A unit is merged by an agenda of candidates, best score first, leftmost of equals. A candidate whose turn it is
+    is skipped if the hash of (seed, text name, the unit's number in the text, place, merged piece) falls under
+    ``dropout``; so every occurrence of a word draws its own. The draws of a text's plain turns are made at once; only
+    occurrences with a skipped turn are merged again, and what a single skip leads to is kept.
     """
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, salt: str = ""):
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
         super().__init__()
-        self.v, self.seed, self.salt = vocabulary, seed, salt
+        self.v, self.seed = vocabulary, seed
         self.below = int(dropout * (1 << 64))
-        self.rank = {p: (-s, vocabulary.ids[p]) for p, s in vocabulary.score.items()}
-        self.kept: dict[tuple, tuple[bytes, list[int]]] = {}
+        ordered = sorted(vocabulary.score, key=lambda p: (-vocabulary.score[p], vocabulary.ids[p]))
+        self.rank = {p: k for k, p in enumerate(ordered)}
+        self.ends = {p: np.array([i], "<i4").tobytes() for p, i in vocabulary.ids.items()}
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.clear()
+        self.held = 0
+        self.plain: list[bytes] = []
+        self.codes, self.first = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+        self.kept: dict[tuple[str, int], tuple[bytes, list[int]]] = {}
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= KEPT_UNITS:
-            self.clear()
-        self[unit] = found = np.array(self.merge(unit), dtype="<i4").tobytes()
-        return found
+    def __missing__(self, unit: str) -> int:
+        codes: list[int] = []
+        number, ids = len(self.plain), self.merge(unit, codes)
+        self.plain.append(ids)
+        at, to = int(self.first[number]), int(self.first[number]) + len(codes)
+        if to > len(self.codes):
+            self.codes = np.concatenate((self.codes, np.zeros(max(to, len(self.codes)), np.uint64)))
+        if number + 2 > len(self.first):
+            self.first = np.concatenate((self.first, np.zeros(len(self.first), np.int64)))
+        self.codes[at:to] = codes
+        self.first[number + 1] = to
+        self.held += len(unit) + len(ids) + 8 * len(codes) + 200
+        self[unit] = number
+        return number
+
+    def merge(self, unit: str, codes: list[int], skip: int = -1, key: int | None = None) -> bytes:
+        """Piece ids of a unit; ``codes`` takes the code of every turn. The turn ``skip`` is skipped, and with ``key`` those after it are drawn."""
+        if len(unit) > SHORT:
+            return self._merge_long(list(unit), codes, skip, key)
+        parts, rank = list(unit), self.rank.get
+        places, pairs = list(range(len(parts))), [rank(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == NONE:
+                break
+            i = pairs.index(best)
+            code, turn = (places[i] * PLACE ^ best * PIECE) & M64, len(codes)
+            codes.append(code)
+            if turn == skip or key is not None and turn > skip and (key ^ code) * DRAW & M64 < self.below:
+                pairs[i] = NONE
+                continue
+            own = parts[i] = parts[i] + parts.pop(i + 1)
+            del places[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(own + parts[i + 1], NONE)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + own, NONE)
+        return self._ids(parts)
+
+    def _merge_long(self, parts: list, codes: list[int], skip: int, key: int | None) -> bytes:
+        """The same for any length, in a heap."""
+        rank, n = self.rank.get, len(parts)
+        after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def add(i: int, j: int) -> None:
+            r = rank(parts[i] + parts[j])
+            if r is not None:
+                heapq.heappush(agenda, (r, i, parts[i] + parts[j]))
 
-    def merge(self, unit: str, drops: tuple | None = None, codes: list | None = None) -> list[int]:
-        """Piece ids of a unit. With ``drops`` the candidates of these turns are skipped instead, and ``codes`` takes the code of every turn."""
-        parts, rank, below = list(unit), self.rank.get, self.below if drops is None else 0
-        n = len(parts)
-        key = xxhash.xxh64_intdigest((self.salt + unit).encode("utf-8", "surrogatepass"), self.seed & M64) if below else 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
         for i in range(n - 1):
-            r = rank(parts[i] + parts[i + 1])
-            if r:
-                agenda.append((r[0], i, parts[i] + parts[i + 1], r[1]))
-        heapq.heapify(agenda)
+            add(i, i + 1)
         while agenda:
-            _, i, piece, number = heapq.heappop(agenda)
+            r, i, piece = heapq.heappop(agenda)
             j = after[i]
             if parts[i] is None or j >= n or parts[i] + parts[j] != piece:
                 continue
-            if below and ((key ^ (i * 0x9E3779B97F4A7C15) ^ (number * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & M64) < below:
+            code, turn = (i * PLACE ^ r * PIECE) & M64, len(codes)
+            codes.append(code)
+            if turn == skip or key is not None and turn > skip and (key ^ code) * DRAW & M64 < self.below:
                 continue
-            if drops is not None:
-                codes.append(i * 0x9E3779B97F4A7C15 ^ number * 0xC2B2AE3D27D4EB4F)
-                if len(codes) - 1 in drops:
-                    continue
             parts[i], parts[j] = piece, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                r = rank(piece + parts[k])
-                if r:
-                    heapq.heappush(agenda, (r[0], i, piece + parts[k], r[1]))
-            h = before[i]
-            if h >= 0:
-                r = rank(parts[h] + piece)
-                if r:
-                    heapq.heappush(agenda, (r[0], h, parts[h] + piece, r[1]))
-        ids, out = self.v.ids, []
-        for p in parts:
-            if p is not None:
-                if p in ids:
-                    out.append(ids[p])
-                else:
-                    out.extend(self.v.fallback(p))
-        return out
-
-    def turns(self, unit: str, drops: tuple) -> tuple[bytes, list[int]]:
-        """Ids of a unit with the candidates of turns ``drops`` skipped, and the codes of its turns; kept, as few of them recur often."""
-        found = self.kept.get((unit, drops))
-        if found is None:
-            if len(self.kept) >= KEPT_UNITS:
-                self.kept.clear()
+                add(i, k)
+            if before[i] >= 0:
+                add(before[i], i)
+        return self._ids([p for p in parts if p is not None])
+
+    def _ids(self, parts: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.ends.__getitem__, parts))
+        except KeyError:  # a character without a piece of its own falls back to its bytes
+            return b"".join(self.ends.get(p) or np.array(self.v.fallback(p), "<i4").tobytes() for p in parts)
+
+    def _skipped(self, unit: str, key: int, at: int) -> bytes:
+        """Ids of an occurrence whose first skipped turn is ``at``."""
+        found, below = self.kept.get((unit, at)), self.below
+        if found is None and len(unit) <= SHORT:
             codes: list[int] = []
-            ids = self.merge(unit, drops, codes)
-            self.kept[unit, drops] = found = np.array(ids, dtype="<i4").tobytes(), codes
-        return found
-
-    def encode_each(self, text: str | None, name: str) -> np.ndarray:
-        """As :meth:`encode`, but every occurrence of a unit draws its own dropout: the hash is keyed by (seed, name, the unit's number in the text)."""
-        below, out = self.below, []
+            found = self.kept[unit, at] = self.merge(unit, codes, at), codes[at + 1 :]
+            self.held += len(unit) + len(found[0]) + 40 * len(found[1]) + 300
+        if found is None or any((key ^ c) * DRAW & M64 < below for c in found[1]):
+            return self.merge(unit, [], at, key)
+        return found[0]
+
+    def encode(self, text: str | None, name: str = "") -> np.ndarray:
+        """Piece ids of a text; ``name`` keys its draws."""
+        if self.held > KEPT_BYTES:
+            self.fresh()
         units = self.v.units(text or "")
-        own = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), self.seed & M64)
-        for key, unit in zip(mixed(own, len(units)), units):
-            drops, at = (), 0
-            ids, codes = self.turns(unit, drops)
-            while at < len(codes):
-                if ((key ^ codes[at]) * 0xD6E8FEB86659FD93 & M64) < below:
-                    drops += (at,)
-                    ids, codes = self.turns(unit, drops)
-                at += 1
-            out.append(ids)
+        numbers = list(map(self.__getitem__, units))
+        out = list(map(self.plain.__getitem__, numbers))
+        if self.below:
+            keys = mixed(xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), self.seed & M64), len(units))
+            for lo in range(0, len(units), 1 << 16):
+                own = np.array(numbers[lo : lo + (1 << 16)], dtype=np.int64)
+                start = self.first[own]
+                turns = self.first[own + 1] - start
+                ends = np.cumsum(turns)
+                unit = np.repeat(np.arange(len(own)), turns)
+                turn = np.arange(len(unit)) - np.repeat(ends - turns, turns)
+                drawn = (keys[lo + unit] ^ self.codes[start[unit] + turn]) * np.uint64(DRAW)
+                hit = np.flatnonzero(drawn < np.uint64(min(self.below, M64)))
+                which, at = np.unique(unit[hit], return_index=True)
+                for u, t in zip((which + lo).tolist(), turn[hit[at]].tolist()):
+                    out[u] = self._skipped(units[u], int(keys[u]), t)
         return np.frombuffer(b"".join(out), dtype="<i4")
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.v.units(text or ""))), dtype="<i4")
-
 
 class ViterbiCounter(dict):
-    """Unit -> best path score * 2**32 + its piece count, over the pieces as a unigram vocabulary.
+    """Unit -> (best path score, its piece count), over the pieces as a unigram vocabulary.
 
     Aho-Corasick enumerates the pieces that end at each character; the best score wins, and of equal
     scores the longest last piece (the earliest start), as unigram tokenizers do. A character
@@ -185,17 +231,15 @@ class ViterbiCounter(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
-        self.unknown = min(vocabulary.score.values()) - 10
+        self.held, self.unknown = 0, min(vocabulary.score.values()) - 10
         self.find = ahocorasick.Automaton()
         for p, s in vocabulary.score.items():
             self.find.add_word(p, (len(p), s))
         self.find.make_automaton()
 
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= KEPT_UNITS:
-            self.clear()
-        score, pieces = self.best(unit)
-        self[unit] = found = (int(score) << 32) + pieces
+    def __missing__(self, unit: str) -> tuple[float, int]:
+        found = self[unit] = self.best(unit)
+        self.held += len(unit) + 250
         return found
 
     def best(self, unit: str) -> tuple[float, int]:
@@ -219,44 +263,48 @@ class ViterbiCounter(dict):
         if char not in self.v.score and score[end - 1] + self.unknown > score[end]:
             score[end], pieces[end], size[end] = score[end - 1] + self.unknown, pieces[end - 1] + len(self.v.fallback(char)), 1
 
-    def count(self, text: str | None) -> tuple[int, int]:
-        """(pieces, best path score) of a whole text; integer scores add exactly, so units may be summed."""
-        total = sum(map(self.__getitem__, self.v.units(text or "")))
-        return total & 0xFFFFFFFF, total >> 32
+    def count(self, text: str | None) -> tuple[int, float]:
+        """(pieces, best path score) of a whole text; the units' scores are added in text order."""
+        if self.held > KEPT_BYTES:
+            self.clear()
+            self.held = 0
+        score, pieces = 0.0, 0
+        for own, n in map(self.__getitem__, self.v.units(text or "")):
+            score += own
+            pieces += n
+        return pieces, score
 
 
-def _per_worker(build):
-    """A value made once in each Python worker, kept while the function that holds it lives."""
-    own: list = []
+#: What a Python worker has built, by its parameters; kept from task to task.
+_BUILT: dict[tuple, object] = {}
 
-    def get():
-        if not own:
-            own.append(build())
-        return own[0]
 
-    return get
+def _built(*key, build):
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build()
+    return _BUILT[key]
 
 
-def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 42, per_document: bool = False, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 42, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, token_ids, n_tokens, ids_sha256, lossless) of every document row; no shuffle.
 
-    ``seed`` gives one segmentation of the corpus; another seed varies it. With ``per_document`` the
-    hash is keyed by doc_id and the unit's number in the text, so every occurrence of a word draws
-    its own dropout; else a word has one segmentation throughout the corpus. ids_sha256 is the hex digest of the ids as little-endian int32; lossless says that
-    decoding the ids gives the text back, checked on every row. A null or empty text has no tokens
-    and decodes to the empty text.
+    ``seed`` gives one segmentation of the corpus; another seed varies it. The draws are keyed by doc_id and the unit's
+    number in the text, so every occurrence of a word has its own; rows of equal doc_id and text are segmented alike.
+    ids_sha256 is the hex digest of the ids as little-endian int32; lossless says that decoding the ids gives the text
+    back, checked on every row. A null or empty text has no tokens and decodes to the empty text. A very long text is
+    encoded whole, in one row.
     """
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model))
-    build = _per_worker(lambda: MergeEncoder(Vocabulary(shared.value), dropout, seed))
 
     def run(batches):
-        encoder = build()
+        encoder = _built("merge", hashlib.sha256(shared.value).digest(), dropout, seed, build=lambda: MergeEncoder(Vocabulary(shared.value), dropout, seed))
         for b in batches:
             ids, lossless = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = encoder.encode_each(text, str(key)) if per_document else encoder.encode(text)
+                own = encoder.encode(text, str(key))
                 ids.append(own)
                 lossless.append(encoder.v.decode(own.tolist()) == (text or ""))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32))
@@ -270,11 +318,10 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 42, per_
 def decode_documents(encoded: DataFrame, model: str = MODEL, ids_col: str = "token_ids") -> DataFrame:
     """``encoded`` with a column ``text`` decoded from the piece ids; null ids decode to null."""
     shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(model))
-    build = _per_worker(lambda: Vocabulary(shared.value))
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        v = build()
+        v = _built("decode", hashlib.sha256(shared.value).digest(), build=lambda: Vocabulary(shared.value))
         return ids.map(lambda x: None if x is None else v.decode(x.tolist()))
 
     return encoded.withColumn("text", decode(ids_col))
@@ -288,22 +335,21 @@ def count_tokens(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model))
-    build = _per_worker(lambda: ViterbiCounter(Vocabulary(shared.value)))
 
     def run(batches):
-        counter = build()
+        counter = _built("count", hashlib.sha256(shared.value).digest(), build=lambda: ViterbiCounter(Vocabulary(shared.value)))
         for b in batches:
             texts = b.column(1).to_pylist()
             found = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([c for c, _ in found], pa.int64()), pa.array([float(s) for _, s in found], pa.float64())], names=["doc_id", "n_chars", "n_tokens", "path_score"]
+                [b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_chars", "n_tokens", "path_score"]
             )
 
     return columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, path_score double")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents"), per_document=True).drop("token_ids")
+    return encode_documents(read(spark, sf_dir, "documents")).drop("token_ids")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
