@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: Rows an Arrow batch carries to a Python worker; texts can be long, so batches are short.
-BATCH_ROWS = 512
+#: Rows and bytes an Arrow batch carries to a Python worker; texts can be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="trackweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, and with them the Python workers' memory."""
+    """Bound the rows and bytes of an Arrow batch, and with them the Python workers' memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -52,6 +55,14 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it the first name that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
