@@ -8,7 +8,7 @@ from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_lines import brute as repeated_lines
 from trackweave.llm import simhash
 from trackweave.llm.language import identify_documents
-from trackweave.llm.simhash import near_duplicate_groups, wide_fingerprint
+from trackweave.llm.simhash import near_duplicate_groups, shingle_hashes, wide_fingerprint
 
 
 def jaccard(a, b, k=5):
@@ -34,7 +34,7 @@ def test_near_copies_group_and_others_do_not(spark, monkeypatch):
     assert all(got[i] == i for i in range(41, 81)) and got[81] == got[82] == 81 and got[83] == got[84] == 83
     assert len({got[i] for i in range(85, 88)}) == 3 and len(got) == len(texts)
     assert near_duplicate_groups(documents(spark, [])).count() == 0
-    assert wide_fingerprint("a b c d e f", 5).tolist() != wide_fingerprint("a b c d e g", 5).tolist()
+    assert wide_fingerprint(shingle_hashes("a b c d e f", 5)).tolist() != wide_fingerprint(shingle_hashes("a b c d e g", 5)).tolist()
 
 
 def test_every_pair_at_the_threshold_links_and_none_below(spark, monkeypatch):

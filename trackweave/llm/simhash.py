@@ -17,9 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, columns_of, connected_components, flips, read, short_batches, signed, table
+from .common import ASCII_LOWER, columns_of, connected_components, flips, read, short_batches, signed, table, unused
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: A bucket of more members than this is not paired; it is dealt out again by finer keys.
@@ -150,7 +149,8 @@ def _buckets(reps: DataFrame, keys: list[tuple[int, int, int, int]]) -> DataFram
     """A row for each (part, mask, flip, kind) of ``keys``, with the size of its bucket; single members drop."""
     made = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("fp").bitwiseXOR(F.lit(signed(f))).bitwiseAND(F.lit(signed(m))).alias("key"), F.lit(k).alias("kind")) for p, m, f, k in keys]))
     rows = reps.select("fp", "rep", made.alias("s")).select("fp", "rep", "s.*")
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("part", "key"))).where("n > 1")
+    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(table(sizes, "simhash-sizes"), ["part", "key"])
 
 
 def links(reps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -177,8 +177,9 @@ def links(reps: DataFrame, max_bits: int = 2) -> DataFrame:
     out = out.union(_pairs(again.where(F.col("n") <= BUCKET), max_bits))
     crowded = again.where(F.col("n") > BUCKET).select("fp", "rep").distinct()
     near = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(f))) for f in flips(whole, 1)]))
-    stars = crowded.select("rep", near.alias("key")).withColumn("a", F.min("rep").over(Window.partitionBy("key"))).where("a != rep")
-    return out.union(stars.select("a", F.col("rep").alias("b")))
+    rays = crowded.select("rep", near.alias("key"))
+    centres = table(rays.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "simhash-centres")
+    return out.union(rays.join(centres, "key").where("a != rep").select("a", F.col("rep").alias("b")))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +194,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col:
     reps = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     groups = connected_components(links(reps, max_bits)).select(F.col("node").alias("rep"), "component")
     named = reps.join(groups, "rep", "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(table(named, "simhash-groups"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +202,9 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of a wide fingerprint; rows of a tile of a crowded key; one set in so many is counted to rank shingles, and so many ranks are kept;
-#: bits of the map that lets wanted documents through.
-WIDE, TILE, RANK_SHARE, RANKS, BITS = 6, 512, 16, 100_000, 1 << 24
+#: 64-bit words of a wide fingerprint; members of a key up to which they are paired; rows of a tile of a crowded key; one set in so many is counted
+#: to rank shingles, and so many ranks are kept; bits of the map that lets wanted documents through; shingles from which fingerprints are compared first.
+WIDE, TILE, RANK_SHARE, RANKS, BITS, COMPARED = 6, 512, 16, 100_000, 1 << 24, 64
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -220,9 +221,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(raw) - size + 1].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE) -> np.ndarray:
-    """``words`` 64-bit words: the bits set in over half of the shingles' hashes, each word under another mixing of XXH64."""
-    hashes = shingle_hashes(text, shingle)
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """``words`` 64-bit words: the bits set in over half of the hashes, each word under another mixing of them."""
     out = np.zeros(words, dtype="<u8")
     for k in range(words if len(hashes) else 0):
         ones = np.zeros(64, dtype=np.int64)
@@ -236,10 +236,16 @@ def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE) -> np.nd
     return out.view("<i8")
 
 
+def most_bits(similarity: float, words: int = WIDE) -> int:
+    """Differing bits of a wide fingerprint that sets of ``similarity`` or more stay within: six deviations above the mean."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * words * p + 6 * np.sqrt(64 * words * p * (1 - p))))
+
+
 def shingle_sets(docs: DataFrame, shingle: int, keep: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, node, shingles) of docs (doc_id, text): the ascending distinct shingle hashes of each row, and a 64-bit hash that names the set.
+    """(doc_id, node, shingles, wide) of docs (doc_id, text): the ascending distinct shingle hashes of each row, and a 64-bit hash that names the set.
 
-    With ``keep``, a bit map, only of rows whose hashed doc_id is in it.
+    With ``keep``, a bit map, only of rows whose hashed doc_id is in it, and with their wide fingerprints.
     """
     shared = docs.sparkSession.sparkContext.broadcast(keep)
 
@@ -252,9 +258,10 @@ def shingle_sets(docs: DataFrame, shingle: int, keep: np.ndarray | None = None)
             nodes = [signed(xxhash.xxh64_intdigest(x.tobytes(), 42)) for x in sets]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
             own = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, "<i8"), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), own], names=["doc_id", "node", "shingles"])
+            wide = pa.array([wide_fingerprint(x.view("<u8")) if shared.value is not None else None for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), own, wide], names=["doc_id", "node", "shingles", "wide"])
 
-    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(run, "doc_id long, node long, shingles array<long>")
+    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(run, "doc_id long, node long, shingles array<long>, wide array<long>")
 
 
 def _bit(col: str):
@@ -290,24 +297,29 @@ def prefix_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return shingle_sets(docs, shingle).mapInArrow(run, "doc_id long, node long, size int, keys array<long>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes whose sets have Jaccard ``similarity`` or more; a node in many pairs may stand in a only.
 
-    Sets are made again from the texts: of those documents that a bit map of the wanted ones lets through.
+    Sets are made again from the texts: of those documents that a bit map of the wanted ones lets through. Pairs whose SimHash fingerprints are
+    further apart than similar sets ever are go first, so that only sets that are likely similar are sent to each other.
     """
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = table(wanted.join(firsts.select("node", "doc_id"), "node"), "near-wanted")
+    wanted = table(wanted.join(firsts.select("node", "doc_id"), "node"), f"{name}-wanted")
     bits = wanted.select(_bit("doc_id").alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(31)).cast("int"))).alias("word")).collect()
     keep = np.zeros(BITS >> 5, dtype=np.uint32)
     for r in bits:
         keep[r["at"]] = r["word"]
-    sets = shingle_sets(docs, shingle, keep).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
-    sets = table(sets, "near-sets")
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
-    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(left, ["a", "salt"])
+    sets = table(shingle_sets(docs, shingle, keep), f"{name}-sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}"), F.size("shingles").alias(f"n{x}")).dropDuplicates([x])
+    apart = sum((F.bit_count(F.get("wa", F.lit(k)).bitwiseXOR(F.get("wb", F.lit(k)))) for k in range(1, WIDE)), F.bit_count(F.get("wa", F.lit(0)).bitwiseXOR(F.get("wb", F.lit(0)))))
+    close = pairs.join(side("b"), "b").join(side("a"), "a").where((F.least("na", "nb") < COMPARED) | (apart <= most_bits(similarity)))
+    close = table(close.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).alias("salt")), f"{name}-close")
+    own = sets.select("node", "shingles").join(close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "node"), "node", "left_semi").dropDuplicates(["node"])
+    own = table(own, f"{name}-own")
+    left = close.select("a", "salt").distinct().join(own.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = close.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(left, ["a", "salt"])
     shared = F.size(F.array_intersect("sa", "sb"))
-    return table(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b"), "near-links")
+    return table(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b"), f"{name}-links")
 
 
 def _possible(similarity: float):
@@ -321,43 +333,49 @@ def _possible(similarity: float):
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents whose sets of ``shingle``-word shingles have Jaccard ``similarity`` or more link; component_id is the smallest doc_id reachable.
 
-    Every such pair is found and no other links (but for clashes of 64-bit hashes): candidates share a key of
-    :func:`prefix_keys`, and are verified on the whole sets. Equal sets are collapsed first. The members of a key
-    meet three of them; after that only members that are not in one component yet are paired, in tiles of bounded size.
-    Texts without words link; an empty table gives an empty result; rows that share a doc_id are each returned.
+    Every such pair is found and no other links (but for clashes of 64-bit hashes, and one pair in 10**9 at the threshold whose fingerprints are
+    six deviations too far apart): candidates share a key of :func:`prefix_keys`, are compared by SimHash fingerprints, and verified on the
+    whole sets. Equal sets are collapsed first. The members of a key of more than ``BUCKET`` meet three of them; after that only members
+    that are not in one component yet are paired, in tiles of bounded size. Texts without words link; an empty table gives an
+    empty result; rows that share a doc_id are each returned; a very long text is one row of its whole set.
     """
     short_batches(docs.sparkSession)
     docs = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     heads = table(prefix_keys(docs, shingle, similarity), "near-heads")
     firsts = table(heads.groupBy("node").agg(F.min(F.struct("doc_id", "size", "keys")).alias("f")).select("node", "f.*"), "near-firsts")
-    rows = firsts.select("node", "size", F.posexplode("keys").alias("pos", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    rows = table(rows, "near-keys")
+    keyed = firsts.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    rows = table(keyed.join(shared, "key"), "near-keys")
     row = F.struct("node", "size", "pos")
-    centres = rows.groupBy("key").agg(F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.xxhash64("node")))).alias("centres"))
-    stars = rows.join(centres, "key").select(row.alias("b"), F.explode("centres").alias("a")).where(F.col("a.node") != F.col("b.node")).where(_possible(similarity))
-    stars = table(stars.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "near-stars")
-    found = connected_components(_similar(stars, docs, firsts, shingle, similarity))
-
-    rest = rows.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per_key = Window.partitionBy("key")
-    rest = rest.withColumn("lo", F.min("component").over(per_key)).withColumn("hi", F.max("component").over(per_key)).where("lo != hi")
-    rest = rest.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    a, b = rows.where(F.col("n") <= BUCKET).alias("a"), rows.where(F.col("n") <= BUCKET).alias("b")
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    crowd = rows.where(F.col("n") > BUCKET)
+    centres = crowd.groupBy("key").agg(F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.xxhash64("node")))).alias("centres"))
+    stars = crowd.join(table(centres, "near-centres"), "key").select(row.alias("b"), F.explode("centres").alias("a")).where(F.col("a.node") != F.col("b.node")).where(_possible(similarity))
+    first = table(few.union(stars.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct(), "near-first")
+    found = connected_components(_similar(first, docs, firsts, shingle, similarity, "near"))
+
+    rest = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = table(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "near-mixed")
+    rest = rest.join(mixed, "key").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "node", "size", "pos", "component")
     rest = table(rest, "near-rest")
     a, b = rest.alias("a"), rest.alias("b")
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
     pairs = a.join(b, same & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    met = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = table(pairs.distinct().join(met, ["a", "b"], "left_anti"), "near-pairs")
     if pairs.limit(1).count():
-        more = _similar(pairs, docs, firsts, shingle, similarity)
+        more = _similar(pairs, docs, firsts, shingle, similarity, "rest")
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = table(firsts.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return heads.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return heads.select("doc_id", "node").join(table(named.join(least, "component").select("node", "component_id"), "near-groups"), "node").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller doc_id; all columns stay."""
-    gone = near_duplicate_groups(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(table(gone, "wide-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the documents whose group has a smaller doc_id; all columns stay, whatever their names."""
+    gone = near_duplicate_groups(docs, id_col=id_col, **options).where("doc_id != component_id").select(F.struct("doc_id").alias("gone")).distinct()
+    name = unused(docs, "gone")
+    gone = table(gone, "near-gone").withColumnRenamed("gone", name)
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(f"{name}.doc_id"), "left_anti")
