@@ -37,17 +37,39 @@ def test_base_matches_brute_force_and_model_beats_it_held_out(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, total) and abs(r.base_score - base) < 1e-6
     out = [r for r in rows.values() if r.held_out and r.n_tokens > 100]
     assert out and sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)
+    few = {r.doc_id: r for r in lm.score_documents(documents(spark, texts), held(), chunk_bytes=20_000, least_words=40, most_words=40).collect()}
+    assert all(few[i].base_score == rows[i].base_score for i in rows) and sum(few[r.doc_id].score for r in out) > sum(r.base_score for r in out)
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    hashes = np.sort(rng.integers(0, 2**63, 7).astype(np.uint64))
-    ids = rng.integers(0, 8, 500)
-    model = lm.train(hashes, np.full(7, 60), 500, ids, np.array([0, 200]))
-    for a, b in ((0, 0), (8, 8), (3, 7)):
-        logs = model.log_probabilities(np.full(8, a), np.full(8, b), np.arange(8), block=1)
-        assert abs(np.exp(logs).sum() - 1) < 1e-6
-    assert model.class_of(np.array([hashes[2], 5], dtype=np.uint64)).tolist() == [2, 7]
+    counts = rng.integers(0, 90, 23)
+    start = lm.LogBilinear.start(counts)
+    ids = rng.integers(0, 23, 900).astype("<i4")
+    model, seen = lm.learn(start.filled(start.flat()), start, [([400, 500], [False, False], ids.tobytes())], step=100)
+    assert seen == 900 and abs(model.p["q"]).max() > 0
+    for m in (start, model):
+        for a, b in ((0, 0), (23, 23), (3, 7)):
+            logs = m.log_probabilities(np.full(23, a), np.full(23, b), np.arange(23), step=4)
+            assert abs(np.exp(logs).sum() - 1) < 1e-5
+    assert np.allclose(np.exp(start.log_probabilities(np.zeros(23, int), np.zeros(23, int), np.arange(23))), (counts + 1) / (counts.sum() + 23), atol=1e-6)
+
+
+def test_gradient_lowers_the_contrastive_loss():
+    rng = np.random.default_rng(1)
+    ids = np.tile(rng.integers(0, 30, 50), 60)
+    start = lm.LogBilinear.start(np.bincount(ids, minlength=30))
+    model, _ = lm.learn(start.filled(start.flat()), start, [([len(ids)], [False], ids.astype("<i4").tobytes())] * 5, step=256)
+    first, second = lm.contexts(ids, np.array([0]), 30)
+    assert model.log_probabilities(first, second, ids).mean() > start.log_probabilities(first, second, ids).mean() + 1
+
+
+def test_rare_words_share_frequency_classes(spark):
+    totals = spark.createDataFrame([(i, c) for i, c in enumerate([90, 50, 7, 5, 4, 3, 1, 1, 0])], "h long, c long")
+    v = lm.vocabulary(totals, least=2, most=2)
+    assert (v.named, v.size, v.kinds) == (2, 161, 8) and v.counts[:2].tolist() == [90, 50] and v.counts[2:5].tolist() == [2, 3, 16]
+    classes, share = v.classes_of(np.arange(9), np.array([90, 50, 7, 5, 4, 3, 1, 1, 0]))
+    assert classes.tolist() == [0, 1, 4, 4, 4, 3, 2, 2, 2] and abs(sum(10 ** share[[6, 7, 8]]) - 1) < 1e-9 and abs(sum(10 ** share[[2, 3, 4]]) - 1) < 1e-9
 
 
 def test_contexts_stop_at_texts():

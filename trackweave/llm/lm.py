@@ -1,32 +1,36 @@
 """Language-model scoring: exact corpus unigram counts, and a log-bilinear model trained with noise-contrastive estimation.
 
-Documents are dealt into chunks of some megabytes by a hash of their id. Each chunk sends its distinct
-words' counts, as sorted arrays cut by hash range, to the range's task, which adds them up and answers
-each chunk in its own order; so what crosses the network is one number per distinct word and chunk, and
-a word in every document weighs no more than any other.
+Texts are read and cut into words once, in chunks of some megabytes where they lie; what crosses the network is one
+row for each distinct word of a chunk, counted by grouping and joined back. The model learns from every training token:
+each task passes over its own chunks, and the tasks' parameters are averaged between rounds. Its vocabulary grows
+with the root of the corpus; all further words belong to frequency classes, by powers of two of their counts.
+Words are predicted in two steps, block of the vocabulary and word within it, so a token costs about the root of
+the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, columns_of, first_in_hash_order, read, short_batches, table
+from .common import ASCII_LOWER, read, short_batches, table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: The token after each text; no word holds a space.
 END = " "
-CHUNK_BYTES = 8 << 20
-#: Model: output words beside the class of all others, embedding width, context words, and bounds of the training sample.
-WORDS, WIDTH, SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 512, 24, 1500, 400_000
+CHUNK_BYTES = 4 << 20
+#: Words known by name: the root of the number of training tokens, within these bounds; the others share frequency classes.
+LEAST_WORDS, MOST_WORDS, OCTAVES = 512, 1 << 17, 40
+#: Embedding width, noise to data, tokens a step, and rate of the model; chunks that a task learns from; parameters averaged at a time, and parts of one sum.
+WIDTH, NOISE, STEP, RATE, SHARE, BLOCK, FAN = 16, 10, 16_384, 0.1, 16, 1 << 16, 64
 
 
 def tokens(text: str | None) -> list[str]:
@@ -36,106 +40,130 @@ def tokens(text: str | None) -> list[str]:
 
 
 def hash_words(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64).view(np.int64)
 
 
-def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Hash range of each hash; ascending with the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, counts binary, ids binary"
 
 
-def chunked(docs: DataFrame, held_out: F.Column, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    rows = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = max(1, -(-int(total) // chunk_bytes))
-    return rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk")).repartition(parts, "chunk"), parts
+def chunked(docs: DataFrame, held_out: F.Column, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """A row for each chunk of texts: its documents, the hashes and training counts of its distinct words, and the tokens as numbers of these."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
 
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
 
-def count_words(chunks: DataFrame, parts: int, top: int = WORDS) -> tuple[DataFrame, dict, np.ndarray, np.ndarray]:
-    """Training counts of every word: (chunk, part, counts) in each chunk's order of distinct hashes; {N, V}; the ``top`` words' hashes and counts.
+        def made(docs_, held, texts):
+            index: dict[str, int] = {}
+            ids, lengths = [], []
+            for t in texts:
+                own = tokens(t)
+                lengths.append(len(own))
+                ids.append(np.array([index.setdefault(w, len(index)) for w in own], dtype="<i4"))
+            flat = np.concatenate(ids)
+            learnt = flat[np.repeat(~np.array(held), lengths)]
+            counts = np.bincount(learnt, minlength=len(index)).astype("<u4")
+            cols = ([number], [docs_], [held], [lengths], [hash_words(list(index)).tobytes()], [counts.tobytes()], [flat.tobytes()])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
-    A word is known by its 64-bit XXH64.
-    """
+        docs_, held, texts, size = [], [], [], 0
+        for b in batches:
+            for d, t, h in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held"))):
+                docs_.append(d), held.append(h), texts.append(t)
+                size += len(t) + 64
+                if size >= chunk_bytes:
+                    yield made(docs_, held, texts)
+                    docs_, held, texts, size = [], [], [], 0
+                    number += 1
+        if docs_:
+            yield made(docs_, held, texts)
 
-    def send(key, frame: pd.DataFrame) -> pd.DataFrame:
-        seen, other = Counter(), set()
-        for text, held in zip(frame["text"], frame["held_out"]):
-            if held:
-                other.update(tokens(text))
-            else:
-                seen.update(tokens(text))
-        words = list(seen) + [w for w in other if w not in seen]
-        hashes = hash_words(words)
-        counts = np.zeros(len(words), dtype=np.int64)
-        counts[: len(seen)] = list(seen.values())
-        hashes, at = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(at, weights=counts).astype("<u4")
-        cuts = np.searchsorted(_ranges(hashes, parts), np.arange(parts + 1))
-        some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        return pd.DataFrame({"part": some, "chunk": key[0], "hashes": [hashes[cuts[p] : cuts[p + 1]].tobytes() for p in some], "counts": [counts[cuts[p] : cuts[p + 1]].tobytes() for p in some]})
-
-    def add(key, frame: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(h, dtype=np.uint64) for h in frame["hashes"]]
-        own = np.concatenate([np.frombuffer(c, dtype="<u4") for c in frame["counts"]])
-        hashes, at = np.unique(np.concatenate(lists), return_inverse=True)
-        sums = np.bincount(at, weights=own).astype("<i8")
-        ends = np.cumsum([len(x) for x in lists])
-        answers = [sums[at[e - len(x) : e]].tobytes() for e, x in zip(ends, lists)]
-        most = np.lexsort((hashes, -sums))[:top]
-        total = np.array([sums.sum(), (sums > 0).sum()], dtype="<i8").tobytes()
-        return pd.DataFrame({"chunk": [*frame["chunk"], -1], "part": key[0], "counts": [*answers, total], "top": [None] * len(answers) + [hashes[most].tobytes() + sums[most].tobytes()]})
-
-    sent = chunks.groupBy("chunk").applyInPandas(send, "part int, chunk int, hashes binary, counts binary")
-    answered = table(sent.repartition(parts, "part").groupBy("part").applyInPandas(add, "chunk int, part int, counts binary, top binary"), "lm-counts")
-    size, kinds, best_h, best_c = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for r in answered.where("chunk = -1").toLocalIterator():  # a part at a time, the top words so far kept
-        n, v = np.frombuffer(r["counts"], dtype="<i8")
-        size, kinds, half = size + int(n), kinds + int(v), len(r["top"]) // 2
-        best_h = np.concatenate((best_h, np.frombuffer(r["top"][:half], dtype=np.uint64)))
-        best_c = np.concatenate((best_c, np.frombuffer(r["top"][half:], dtype="<i8")))
-        most = np.lexsort((best_h, -best_c))[:top]
-        best_h, best_c = best_h[most], best_c[most]
-    return answered, {"N": size, "V": kinds}, best_h[best_c > 0], best_c[best_c > 0]
+    return table(rows.mapInArrow(run, CHUNK), "lm-chunks")
 
 
-@dataclass
-class LogBilinear:
-    """P(class | two words before) = softmax((r1 C1 + r2 C2) Q' + b); classes are the top words and, last, all others.
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """(chunk, slot, h, n): the distinct words of each chunk with their training counts there."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, words, counts in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "counts"))):
+                h, n = np.frombuffer(words, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64)
+                for at in range(0, len(h), 50_000):
+                    cut = slice(at, at + 50_000)
+                    own = len(h[cut])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own, chunk), pa.int64()), pa.array(np.arange(at, at + own, dtype=np.int32)), pa.array(h[cut]), pa.array(n[cut])], names=["chunk", "slot", "h", "n"])
+
+    return chunks.select("chunk", "words", "counts").mapInArrow(run, "chunk long, slot int, h long, n long")
 
-    A context word may also be the text's beginning, numbered after the classes.
-    """
 
-    hashes: np.ndarray  # sorted, of the top words
+@dataclass
+class Vocabulary:
+    """Classes: the words known by name, most frequent first, then the frequency classes. ``shares``: count + 1 of all words of a frequency class, with one unknown word in the first."""
+
+    hashes: np.ndarray  # ascending
     number: np.ndarray  # class of each
-    r: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
-    q: np.ndarray
-    b: np.ndarray
+    counts: np.ndarray  # training tokens of each class
+    shares: np.ndarray
+    size: int  # training tokens
+    kinds: int
 
     @property
-    def classes(self) -> int:
-        return len(self.b)
-
-    def class_of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.number[at], self.classes - 1)
-
-    def log_probabilities(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Normalised natural log probability of each target class; each distinct context is computed once, in blocks."""
-        code, at = np.unique(first * (self.classes + 1) + second, return_inverse=True)
-        order, out = np.argsort(at, kind="stable"), np.zeros(len(at))
-        ends = np.searchsorted(at[order], np.arange(0, len(code) + block, block))
-        for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
-            own = code[k * block : (k + 1) * block]
-            logits = (self.r[own // (self.classes + 1)] @ self.c1 + self.r[own % (self.classes + 1)] @ self.c2) @ self.q.T + self.b
-            logits -= logits.max(axis=1, keepdims=True)
-            norms = np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
-            rows = order[lo:hi]
-            out[rows] = logits[at[rows] - k * block, target[rows]] - norms[at[rows] - k * block]
-        return out
+    def named(self) -> int:
+        return len(self.hashes)
+
+    def classes_of(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and log10 of its share of the class."""
+        octave = np.log2(np.maximum(counts, 1)).astype(np.int64)
+        classes, share = self.named + octave, np.log10((counts + 1) / np.maximum(self.shares[octave], 1))
+        if self.named:
+            at = np.minimum(np.searchsorted(self.hashes, hashes), self.named - 1)
+            known = self.hashes[at] == hashes
+            classes, share = np.where(known, self.number[at], classes), np.where(known, 0.0, share)
+        return classes, share
+
+
+def vocabulary(totals: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WORDS) -> Vocabulary:
+    """The words and frequency classes of totals (h, c); only words known by name and one row for each class come to the driver."""
+    octave = F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double"))).cast("int")
+    by = totals.where("c > 0").groupBy(octave.alias("octave")).agg(F.count("*").alias("kinds"), F.sum("c").alias("c")).collect()
+    kinds, tokens_ = np.zeros(OCTAVES + 1, np.int64), np.zeros(OCTAVES + 1, np.int64)
+    for r in by:
+        kinds[r["octave"]], tokens_[r["octave"]] = r["kinds"], r["c"]
+    size = int(tokens_.sum())
+    k = min(most, max(least, int(size**0.5)))
+    top = totals.where("c > 0").orderBy(F.desc("c"), "h").limit(k).collect()
+    h, c = np.array([r["h"] for r in top], dtype=np.int64), np.array([r["c"] for r in top], dtype=np.int64)
+    own = np.log2(np.maximum(c, 1)).astype(np.int64)
+    kinds_left = kinds - np.bincount(own, minlength=OCTAVES + 1)
+    left = tokens_ - np.bincount(own, weights=c, minlength=OCTAVES + 1).astype(np.int64)
+    shares = left + kinds_left
+    shares[0] += 1
+    order = np.argsort(h)
+    return Vocabulary(h[order], order, np.concatenate((c, left)), shares, size, int(kinds.sum()))
+
+
+CODED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, known array<long>, base array<double>, within array<double>, classes binary"
+
+
+def coded(chunks: DataFrame, words: DataFrame, totals: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The chunks with each token's class, and each document's known tokens, base score and shares within classes (log10)."""
+    shared = chunks.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        v, r = shared.value, frame.iloc[0]
+        counts = np.zeros(len(r["words"]) // 8, np.int64)
+        counts[answers["slot"].to_numpy()] = answers["c"].to_numpy()
+        ids, lengths = np.frombuffer(r["ids"], "<i4"), np.asarray(r["lengths"])
+        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        classes, share = v.classes_of(np.frombuffer(r["words"], "<i8"), counts)
+        base = np.log10((counts + 1) / (v.size + (v.kinds + 1)))
+        sums = [np.add.reduceat(x[ids], first) for x in ((counts > 0).astype(np.int64), base, share)]
+        return pd.DataFrame({"chunk": [r["chunk"]], "doc_ids": [r["doc_ids"]], "held": [r["held"]], "lengths": [r["lengths"]], "known": [sums[0]], "base": [sums[1]], "within": [sums[2]], "classes": [classes.astype("<i4")[ids].tobytes()]})
+
+    answers = words.join(totals, "h").select("chunk", "slot", "c")
+    return table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, CODED), "lm-coded")
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,113 +175,199 @@ def contexts(ids: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarra
     return first, second
 
 
-def train(hashes: np.ndarray, counts: np.ndarray, total: int, ids: np.ndarray, starts: np.ndarray, width: int = WIDTH, noise: int = 10, passes: int = 4, batch: int = 1024, rate: float = 0.01, seed: int = 42) -> LogBilinear:
-    """Noise-contrastive estimation in numpy with Adam: tell each token from ``noise`` draws of the unigram distribution."""
-    rng = np.random.default_rng(seed)
-    classes = len(hashes) + 1
-    unigram = np.concatenate((counts, [max(1, total - counts.sum())])).astype(np.float64)
-    unigram /= unigram.sum()
-    order = np.argsort(hashes)
-    p = {"r": rng.normal(0, 0.1, (classes + 1, width)), "c1": np.eye(width) * 0.5, "c2": np.eye(width), "q": rng.normal(0, 0.1, (classes, width)), "b": np.log(unigram)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    base, cumulative = np.log(noise * unigram), np.cumsum(unigram)
-    first, second = contexts(ids, starts, classes) if len(ids) else (ids, ids)
-    for k in range(passes):
-        turn = rng.permutation(len(ids))
-        for at in range(0, len(turn), batch):
-            own = turn[at : at + batch]
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random((len(own), noise))), classes - 1)
-            words = np.concatenate((ids[own, None], drawn), axis=1)
-            r1, r2 = p["r"][first[own]], p["r"][second[own]]
-            guess = r1 @ p["c1"] + r2 @ p["c2"]
-            qs = p["q"][words]
-            score = np.einsum("nd,nkd->nk", guess, qs) + p["b"][words] - base[words]
-            err = 1 / (1 + np.exp(-score))
-            err[:, 0] -= 1
-            err = (err / len(own)).astype(np.float32)
-            d_guess = np.einsum("nk,nkd->nd", err, qs)
-            g = {k2: np.zeros_like(v) for k2, v in p.items()}
-            np.add.at(g["q"], words, err[:, :, None] * guess[:, None, :])
-            np.add.at(g["b"], words, err)
-            g["c1"], g["c2"] = r1.T @ d_guess, r2.T @ d_guess
-            np.add.at(g["r"], first[own], d_guess @ p["c1"].T)
-            np.add.at(g["r"], second[own], d_guess @ p["c2"].T)
-            step += 1
-            for name, grad in g.items():
-                m1[name] += 0.1 * (grad - m1[name])
-                m2[name] += 0.001 * (grad * grad - m2[name])
-                p[name] -= rate * (1 - k / passes) * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-8)
-    return LogBilinear(hashes[order], order, p["r"], p["c1"], p["c2"], p["q"], p["b"])
-
-
-def _sample(chunks: DataFrame, hashes: np.ndarray, documents: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class ids and text starts of at most ``documents`` training documents, the first in hash order, and ``most`` tokens."""
-    plain = LogBilinear(np.sort(hashes), np.argsort(hashes), *[np.zeros(0)] * 4, np.zeros(len(hashes) + 1))
-    drawn = first_in_hash_order(chunks.where("not held_out").select("doc_id", "text"), documents, "doc_id", seed=7)
-
-    def number(batches):
-        for b in batches:
-            ids = [plain.class_of(hash_words(tokens(t))).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("turn"), b.column("doc_id"), pa.array(ids, pa.binary())], names=["turn", "doc_id", "ids"])
+@dataclass
+class LogBilinear:
+    """P(class | two classes before) = softmax over blocks of (g U' + bu) times softmax within the block of (g Q' + bq), g = r1 C1 + r2 C2.
+
+    Blocks hold ``width`` classes in order of frequency. A context may also be the text's beginning, numbered after the classes.
+    """
+
+    p: dict[str, np.ndarray]
+    width: int
 
-    found = sorted(drawn.mapInArrow(number, "turn long, doc_id long, ids binary").collect(), key=lambda r: (r["turn"], r["doc_id"]))
-    ids, starts, n = [np.zeros(0, np.int64)], [], 0
-    for r in found:
-        if n >= most:
-            break
-        own = np.frombuffer(r["ids"], dtype="<i4")[: most - n].astype(np.int64)
-        starts.append(n)
-        ids.append(own)
-        n += len(own)
-    return np.concatenate(ids), np.array(starts, dtype=np.int64)
+    @classmethod
+    def start(cls, counts: np.ndarray, dims: int = WIDTH, seed: int = 42) -> LogBilinear:
+        """A model that gives every class its share of the counts (one is added to each)."""
+        rng, n = np.random.default_rng(seed), len(counts)
+        width = max(1, int(np.ceil(np.sqrt(n))))
+        blocks = -(-n // width)
+        own = np.concatenate((counts + 1.0, np.zeros(blocks * width - n))).reshape(blocks, width)
+        with np.errstate(divide="ignore"):
+            bu, bq = np.log(own.sum(axis=1) / own.sum()), np.log(own / own.sum(axis=1, keepdims=True)).ravel()[:n]
+        p = {"r": rng.normal(0, 0.3, (n + 1, dims)), "c1": np.eye(dims) * 0.5, "c2": np.eye(dims), "u": np.zeros((blocks, dims)), "bu": bu, "q": np.zeros((n, dims)), "bq": bq}
+        return cls({k: x.astype(np.float32) for k, x in p.items()}, width)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def filled(self, flat: np.ndarray) -> LogBilinear:
+        ends = np.cumsum([x.size for x in self.p.values()])
+        return LogBilinear({k: flat[e - x.size : e].reshape(x.shape).copy() for (k, x), e in zip(self.p.items(), ends)}, self.width)
+
+    def guess(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self.p["r"][first] @ self.p["c1"] + self.p["r"][second] @ self.p["c2"]
+
+    def log_probabilities(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """Normalised natural log probability of each target class, by matrix products over batches."""
+        p, out = self.p, np.zeros(len(target))
+
+        def pick(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits -= logits.max(axis=1, keepdims=True)
+            own = logits[np.arange(len(at)), at]
+            return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+        for lo in range(0, len(target), step):
+            cut = slice(lo, lo + step)
+            g, block, place = self.guess(first[cut], second[cut]), target[cut] // self.width, target[cut] % self.width
+            logs = pick(g @ p["u"].T + p["bu"], block)
+            for rows in grouped(block):
+                k = slice(block[rows[0]] * self.width, (block[rows[0]] + 1) * self.width)
+                logs[rows] += pick(g[rows] @ p["q"][k].T + p["bq"][k], place[rows])
+            out[cut] = logs
+        return out
+
+
+def grouped(keys: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each key."""
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(keys) else []
+
+
+class Learner:
+    """Noise-contrastive estimation by Adagrad: each step tells a batch's classes from noise of the unigram shares, ``NOISE`` to one, whose expectation is taken whole, first among blocks and then within the block."""
+
+    def __init__(self, model: LogBilinear, start: LogBilinear, rate: float = RATE):
+        self.m, self.rate = model, rate
+        self.sums = {k: np.full_like(x, 1e-6) for k, x in model.p.items()}
+        self.noise = {k: start.p[k] for k in ("bu", "bq")}  # the start's biases are the log shares of the noise
+
+    def move(self, name: str, rows, grad: np.ndarray) -> None:
+        self.sums[name][rows] += grad * grad
+        self.m.p[name][rows] -= self.rate * grad / np.sqrt(self.sums[name][rows])
+
+    def part(self, g: np.ndarray, at: np.ndarray, rows: slice, weights: str, bias: str, n: int) -> np.ndarray:
+        """Move the weights of one choice, and return the gradient of its guesses."""
+        q, share = self.m.p[weights][rows], self.noise[bias][rows]
+        delta = g @ q.T + (self.m.p[bias][rows] - share - np.float32(np.log(NOISE)))
+        err = 1 / (1 + np.exp(-delta))
+        own = err[np.arange(len(at)), at]
+        err *= NOISE * np.exp(share)
+        err[np.arange(len(at)), at] += own - 1
+        err /= np.float32(n)
+        d_g = err @ q
+        self.move(weights, rows, err.T @ g)
+        self.move(bias, rows, err.sum(axis=0))
+        return d_g
+
+    def step(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
+        p, n, width = self.m.p, len(target), self.m.width
+        r1, r2 = p["r"][first], p["r"][second]
+        g = r1 @ p["c1"] + r2 @ p["c2"]
+        block, place = target // width, target % width
+        d_g = self.part(g, block, slice(0, len(p["u"])), "u", "bu", n)
+        for rows in grouped(block):
+            k = int(block[rows[0]])
+            d_g[rows] += self.part(g[rows], place[rows], slice(k * width, min((k + 1) * width, len(p["q"]))), "q", "bq", n)
+        both, d_r = np.concatenate((first, second)), np.concatenate((d_g @ p["c1"].T, d_g @ p["c2"].T))
+        order = np.argsort(both, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(both[order]) > 0)))
+        self.move("c1", slice(None), r1.T @ d_g)
+        self.move("c2", slice(None), r2.T @ d_g)
+        self.move("r", both[order][starts], np.add.reduceat(d_r[order], starts))
+
+
+def learn(model: LogBilinear, start: LogBilinear, chunks, step: int = STEP) -> tuple[LogBilinear, int]:
+    """A pass over (lengths, held, classes) of chunks, held-out texts left out; the model and its number of tokens."""
+    learner, seen, begin = Learner(model, start), 0, len(start.p["q"])
+    for lengths, held, classes in chunks:
+        ids = np.frombuffer(classes, "<i4")[np.repeat(~np.asarray(held, bool), lengths)].astype(np.int64)
+        if not len(ids):
+            continue
+        own = np.asarray(lengths)[~np.asarray(held, bool)]
+        first, second = contexts(ids, np.concatenate(([0], np.cumsum(own)[:-1])), begin)
+        turn = np.random.default_rng(len(ids)).permutation(len(ids))
+        for at in range(0, len(turn), step):
+            rows = turn[at : at + step]
+            learner.step(first[rows], second[rows], ids[rows])
+        seen += len(ids)
+    return learner.m, seen
+
+
+def train(coded_: DataFrame, counts: np.ndarray, chunks: int, share: int = SHARE) -> LogBilinear:
+    """Two rounds of parameter averaging, the first over an eighth of the chunks; each task passes over about ``share`` chunks, in order."""
+    spark, start = coded_.sparkSession, LogBilinear.start(counts)
+    model = start
+    for part in (8, 1):
+        rows = coded_ if part == 1 or chunks < 2 * part else coded_.where(F.pmod(F.xxhash64("chunk"), F.lit(part)) == 0)
+        workers = max(1, -(-chunks // (share * part)))
+        shared = spark.sparkContext.broadcast((model, start))
+
+        def run(batches):
+            now, first = shared.value
+
+            def each():
+                for b in batches:
+                    yield from zip(*(b.column(c).to_pylist() for c in ("lengths", "held", "classes")))
+
+            got, seen = learn(now.filled(now.flat()), first, each())
+            if seen:
+                flat, own = got.flat(), TaskContext.get().partitionId()
+                for k, at in enumerate(range(0, len(flat), BLOCK)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat[at : at + BLOCK].astype("<f8") * seen).tobytes()], pa.binary())], names=["block", "worker", "seen", "sums"])
+
+        schema = "block int, worker int, seen long, sums binary"
+        sums = table(rows.select("chunk", "lengths", "held", "classes").repartition(workers, "chunk").sortWithinPartitions("chunk").mapInArrow(run, schema), "lm-learnt")
+
+        def add(key, frame: pd.DataFrame) -> pd.DataFrame:
+            total = np.sum([np.frombuffer(x, "<f8") for x in frame.sort_values("worker")["sums"]], axis=0)
+            return pd.DataFrame({"block": [key[0]], "worker": [key[1]], "seen": [frame["seen"].sum()], "sums": [total.tobytes()]})
+
+        while True:  # sums of at most FAN parts at a time
+            sums = table(sums.withColumn("worker", F.floor(F.col("worker") / FAN).cast("int")).groupBy("block", "worker").applyInPandas(add, schema), "lm-sums")
+            if workers <= FAN:
+                break
+            workers = -(-workers // FAN)
+        found = sorted((r["block"], np.frombuffer(r["sums"], "<f8") / r["seen"]) for r in sums.collect())
+        if found:
+            model = start.filled(np.concatenate([x for _, x in found]).astype(np.float32))
+    return model
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, documents: int = SAMPLE_DOCUMENTS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
-    Counts come from all rows for which ``held_out`` is false (null counts as false); the model trains on
-    at most ``documents`` of them and ``sample_tokens`` tokens. score: log10 probability of the text; a
-    word outside the top words has its class's probability times its add-one share among such words, so
-    token probabilities sum to one. A null or empty text is the end token alone. Repeated rows are each
-    counted and returned; an empty table gives none; without training tokens all words are unknown.
+    Counts and model come from all rows for which ``held_out`` is false (null counts as false). score: log10 probability of
+    the text; the model names as many words as the root of the training tokens, from ``least_words`` to ``most_words``, and
+    a word of a frequency class has its class's probability times its add-one share of the class, so token probabilities
+    sum to one. A null or empty text is the end token alone. Repeated rows are each counted and returned; an empty table gives
+    none; without training tokens all words are unknown. A very long text is a chunk of its own.
     """
-    short_batches(docs.sparkSession)
-    chunks, parts = chunked(docs, held_out, id_col, text_col, chunk_bytes)
-    answered, total, top, top_counts = count_words(chunks, parts)
-    ids, starts = _sample(chunks, top, documents, sample_tokens)
-    model = train(top, top_counts, total["N"], ids, starts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    size, kinds = total["N"], total["V"]
-    rest = size - int(top_counts.sum()) + (kinds - len(top)) + 1
-
-    def score(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        lbl, index, ids, lengths = shared.value, {}, [], []
-        for text in frame["text"]:
-            own = tokens(text)
-            lengths.append(len(own))
-            ids.extend([index.setdefault(w, len(index)) for w in own])
-        if not lengths:
-            return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
-        ids = np.array(ids, dtype=np.int64)
-        hashes, at = np.unique(hash_words(list(index)), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(c, dtype="<i8") for c in answers.sort_values("part")["counts"]])[at]
-        base = np.log10((counts + 1) / (size + (kinds + 1)))
-        classes = lbl.class_of(hashes)[at]
-        within = np.where(classes == lbl.classes - 1, np.log10((counts + 1) / rest), 0.0)
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        numbers = classes[ids]
-        logs = lbl.log_probabilities(*contexts(numbers, first, lbl.classes), numbers) / np.log(10) + within[ids]
-        return pd.DataFrame({
-            "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": lengths, "n_known": np.add.reduceat((counts > 0)[ids].astype(np.int64), first), "train_tokens": size,
-            "base_score": np.add.reduceat(base[ids], first), "score": np.add.reduceat(logs, first),
-        })
-
-    replies = answered.where("chunk >= 0").select("chunk", "part", "counts").repartition(parts, "chunk")
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(score, SCORES)
+    spark = docs.sparkSession
+    short_batches(spark)
+    chunks = chunked(docs, held_out, id_col, text_col, chunk_bytes)
+    words = chunk_words(chunks)
+    totals = table(words.groupBy("h").agg(F.sum("n").alias("c")), "lm-totals")
+    vocab = vocabulary(totals, least_words, most_words)
+    rows = coded(chunks, words, totals, vocab)
+    model = train(rows, vocab.counts, rows.count())
+    shared = spark.sparkContext.broadcast((model, vocab.size))
+
+    def score(batches):
+        lbl, size = shared.value
+        names = [c.split()[0] for c in SCORES.split(", ")]
+        for b in batches:
+            for docs_, held, lengths, known, base, within, classes in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "known", "base", "within", "classes"))):
+                ids = np.frombuffer(classes, "<i4").astype(np.int64)
+                first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                logs = lbl.log_probabilities(*contexts(ids, first, len(lbl.p["q"])), ids) / np.log(10)
+                scores = np.add.reduceat(logs, first) + np.array(within)
+                cols = (docs_, held, lengths, known, [size] * len(docs_), base, scores)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+
+    return rows.drop("chunk").mapInArrow(score, SCORES)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
