@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample; every row is filed under its leaf. A query walks the tree
 best bin first through a priority queue and visits leaves in that order; the number of leaves is
-widened until a calibration against brute force over all rows reaches the wanted recall.
+widened until the true neighbours of calibration queries, found by brute force over all rows, lie in the
+leaves visited as often as the wanted recall asks. Queries go to the leaves; rows stay where they are filed.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql.window import Window
 
 from .common import first_in_hash_order, read, short_batches, table
 
-SAMPLE_ROWS, BRANCHING, LEAF_ROWS, CALIBRATION_QUERIES = 16_384, 8, 64, 64
-#: Rows of a leaf that one group holds, and queries that it meets; larger leaves are dealt over several.
-GROUP_ROWS, GROUP_QUERIES = 4_096, 4_096
+SAMPLE_ROWS, BRANCHING, LEAF_ROWS, CALIBRATION_QUERIES = 16_384, 16, 32, 256
+#: Rows of a leaf that a group holds in memory, and queries that stream past them; larger leaves and more queries are dealt over several groups.
+GROUP_ROWS, GROUP_QUERIES = 4_096, 65_536
 
 
 @dataclass
@@ -48,10 +49,10 @@ class Tree:
                 todo += [(c, rows[near == k]) for k, c in enumerate(node.children)]
         return out
 
-    def walk(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves, best bin first."""
-        queue, found, turn = [(0.0, 0, self.root)], [], 1
-        while queue and len(found) < leaves:
+    def walk(self, q: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves, best bin first, and further ones until they hold ``least`` rows by ``sizes``."""
+        queue, found, turn, held = [(0.0, 0, self.root)], [], 1, 0
+        while queue and (len(found) < leaves or held < least):
             _, _, node = heapq.heappop(queue)
             while node.leaf < 0:
                 scores = [float(c.centre @ q) for c in node.children]
@@ -62,6 +63,7 @@ class Tree:
                         turn += 1
                 node = node.children[best]
             found.append(node.leaf)
+            held += sizes.get(node.leaf, 0) if sizes else 0
         return found
 
 
@@ -100,11 +102,14 @@ def fit_tree(x: np.ndarray, branching: int = BRANCHING, leaf_rows: int = LEAF_RO
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): rows that take part; null, empty and zero vectors and those with a null or non-finite component do not."""
+    """(vec_id, v): rows that take part; null, empty and zero vectors, those with a null or non-finite component, and those of
+    another length than the most common one (of equals the smaller) do not."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return rows.where(F.size("v") == (common["d"] if common else 0))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -115,25 +120,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> pd.DataFrame:
     """The k rows of largest cosine for each query, in double precision over the original vectors, a query's own id left out.
 
-    The sums run along one row at a time, so equal vectors have equal scores wherever they stand.
+    Matrix products name the rows that could be among them; those rows' sums run along one row at a time, so equal
+    vectors have equal scores wherever they stand.
     """
     norms, out = np.sqrt((rows * rows).sum(axis=1)), []
     order = np.argsort(ids, kind="stable")
     rows, ids, norms = rows[order], ids[order], norms[order]
-    for q, own in zip(queries, query_ids):
-        scores = (rows * q).sum(axis=1) / (norms * np.sqrt((q * q).sum()))
-        scores[ids == own] = -np.inf
-        if len(scores) > 4 * k:  # all that reach the k-th best, so that ties stay whole until ids decide
-            some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-        else:
-            some = np.arange(len(scores))
-        best = some[np.argsort(-scores[some], kind="stable")[:k]]
-        best = best[scores[best] > -np.inf]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": scores[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": ids[:0], "vec_id": ids[:0], "score": norms[:0]})
+    scaled = rows / norms[:, None]
+    for at in range(0, len(queries), block):
+        some = queries[at : at + block]
+        lengths = np.sqrt((some * some).sum(axis=1))
+        about = (some / lengths[:, None]) @ scaled.T
+        about[ids[None, :] == query_ids[at : at + block, None]] = -np.inf
+        least = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(some), -2.0)
+        for q, own, length, row, low in zip(some, query_ids[at : at + block], lengths, about, least):
+            near = np.flatnonzero((row >= low - 1e-9) & (row > -np.inf))
+            scores = (rows[near] * q).sum(axis=1) / (norms[near] * length)
+            best = np.argsort(-scores, kind="stable")[:k]
+            out.append((np.full(len(best), own), ids[near[best]], scores[best]))
+    cols = [np.concatenate(c) for c in zip(*out)] if out else [ids[:0], ids[:0], norms[:0]]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -158,46 +167,73 @@ def brute_force(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
 
 
 def search(indexed: DataFrame, queries: DataFrame, tree: Tree, leaves: int, sizes: dict[int, int], k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) from the ``leaves`` leaves each query visits.
+    """(query_id, rank, vec_id, score) from the ``leaves`` leaves each query visits, and further ones until they hold k rows beside its own.
 
-    Leaves meet queries in groups of (leaf, part of its rows, part of its queries), both of bounded size.
+    A group is (leaf, part of its rows, turn of its queries): its rows, of bounded number, are held while its queries stream past.
+    Rows are repeated only for turns, of which a leaf has one for every ``GROUP_QUERIES`` queries.
     """
     spark = indexed.sparkSession
-    shared = spark.sparkContext.broadcast((tree, {leaf: -(-n // GROUP_ROWS) for leaf, n in sizes.items()}))
+    shared = spark.sparkContext.broadcast((tree, sizes))
 
     def visit(batches):
-        tree_, parts = shared.value
+        tree_, sizes_ = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            out = []
-            for own, v, unit in zip(b["vec_id"], b["v"], _unit(_matrix(b["v"]))):
-                out += [(leaf, part, own, v) for leaf in tree_.walk(unit, leaves) for part in range(parts.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["leaf", "part", "vec_id", "v"])
+            if len(b):
+                walks = [tree_.walk(unit, leaves, sizes_, k + 1) for unit in _unit(_matrix(b["v"]))]
+                yield pd.DataFrame({"leaf": np.concatenate(walks), "at": np.repeat(np.arange(len(b)), [len(w) for w in walks])}).assign(vec_id=lambda d: b["vec_id"].to_numpy()[d["at"]], v=lambda d: b["v"].to_numpy()[d["at"]]).drop(columns="at")
+
+    visits = table(queries.select("vec_id", "v").mapInPandas(visit, "leaf int, vec_id long, v array<double>"), "ann-visits")
+    asked = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}
+    dealt = {leaf: (max(1, -(-n // GROUP_ROWS)), max(1, -(-asked.get(leaf, 0) // GROUP_QUERIES))) for leaf, n in sizes.items()}
+    plan = spark.createDataFrame([(leaf, *d) for leaf, d in dealt.items()], "leaf int, parts int, turns int")
 
-    visits = queries.select("vec_id", "v").mapInPandas(visit, "leaf int, part int, vec_id long, v array<double>")
-    per_leaf = max(1, -(-queries.count() // GROUP_QUERIES))
-    visits = visits.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(per_leaf)).cast("int"))
-    counts = F.create_map(*[F.lit(x) for leaf, n in sizes.items() for x in (leaf, -(-n // GROUP_ROWS))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    rows = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(counts, F.col("leaf"))).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(per_leaf - 1))))
+    def each(own: str, other: str, number: str):  # a row of its own part (turn) in every turn (part) of the leaf
+        return [F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(number), F.explode(F.sequence(F.lit(0), F.col(other) - 1))]
 
-    def meet(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return nearest(_matrix(q["v"]), q["vec_id"].to_numpy(), _matrix(r["v"]), r["vec_id"].to_numpy(), k)
+    part, turns = each("parts", "turns", "part")
+    rows = indexed.join(F.broadcast(plan), "leaf").select("leaf", part, turns.alias("turn"), F.lit(0).alias("kind"), "vec_id", "v")
+    turn, parts = each("turns", "parts", "turn")
+    calls = visits.join(F.broadcast(plan), "leaf").select("leaf", parts.alias("part"), turn, F.lit(1).alias("kind"), "vec_id", "v")
 
-    found = visits.groupBy("leaf", "part", "turn").cogroup(rows.groupBy("leaf", "part", "turn")).applyInPandas(meet, FOUND)
-    return _best(found, k)
+    def meet(batches):
+        group, held, ids, vectors = None, [], None, None
+        for b in batches:
+            for key, own in b.groupby(["leaf", "part", "turn"], sort=False):
+                if key != group:
+                    group, held, vectors = key, [], None
+                held.append(own[own["kind"] == 0])
+                calling = own[own["kind"] == 1]
+                if not len(calling):
+                    continue
+                if vectors is None:
+                    all_rows = pd.concat(held)
+                    ids, vectors = all_rows["vec_id"].to_numpy(), _matrix(all_rows["v"])
+                if len(ids):
+                    yield nearest(_matrix(calling["v"]), calling["vec_id"].to_numpy(), vectors, ids, k)
+
+    together = rows.unionByName(calls).repartition("leaf", "part", "turn").sortWithinPartitions("leaf", "part", "turn", "kind", "vec_id")
+    return _best(together.mapInPandas(meet, FOUND), k)
+
+
+def calibrate(tree: Tree, sizes: dict[int, int], asked: pd.DataFrame, true: list[tuple[int, int, int]], target: float) -> tuple[int, float]:
+    """Leaves to visit so that ``target`` of the true neighbours (query, rank, leaf) are met, and the share that is."""
+    if not len(asked):
+        return min(4, tree.leaves), 1.0
+    order = {}
+    for own, unit in zip(asked["vec_id"], _unit(_matrix(asked["v"]))):
+        order[own] = {leaf: n for n, leaf in enumerate(tree.walk(unit, tree.leaves))}
+    places = np.sort([order[q][leaf] for q, _, leaf in true]) if true else np.zeros(1, int)
+    leaves = tree.leaves if target > 1 else int(places[min(len(places), max(1, int(np.ceil(target * len(places))))) - 1]) + 1
+    return leaves, float((places < leaves).mean())
 
 
 def approximate_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, target_recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
     """(query_id, rank, vec_id, score) and what calibration found: {leaves, visited, recall}.
 
-    The tree is fitted on ``SAMPLE_ROWS`` rows in hash order and indexes every row. ``CALIBRATION_QUERIES``
-    queries in hash order are answered by brute force over all rows; the leaves visited double until the
-    tree finds ``target_recall`` of their neighbours, or all leaves are visited, which is exact. Queries and
-    candidates are the rows :func:`usable` keeps; equal scores go to the smaller id; an empty table gives
-    an empty result. Vectors of other lengths than the most common one of the sample are an error.
+    The tree is fitted on ``SAMPLE_ROWS`` rows in hash order and indexes every row. ``CALIBRATION_QUERIES`` queries in
+    hash order are answered by brute force over all rows; as many leaves are visited as hold ``target_recall`` of their
+    neighbours. All leaves are exact. Queries and candidates are the rows :func:`usable` keeps, rows of one id each on its own;
+    equal scores go to the smaller id; an empty table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
     short_batches(spark, 2048)
@@ -214,28 +250,16 @@ def approximate_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, t
     indexed = table(all_rows.mapInPandas(file, "vec_id long, v array<double>, leaf int"), "ann-index")
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     queries = indexed.where(is_query)
-    some = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION_QUERIES).toPandas()
-    leaves, recall = min(4, tree.leaves), 1.0
-    if len(some):
-        true = {(r["query_id"], r["rank"]): r["score"] for r in brute_force(indexed.select("vec_id", "v"), some, k).collect()}
-        asked = queries.where(F.col("vec_id").isin([int(x) for x in some["vec_id"]]))
-        while True:
-            got = {(r["query_id"], r["rank"]): r["score"] for r in search(indexed, asked, tree, leaves, sizes, k).collect()}
-            recall = _recall(true, got)
-            if recall >= target_recall or leaves >= tree.leaves:
-                break
-            leaves = min(2 * leaves, tree.leaves)
+    some = first_in_hash_order(queries.select("vec_id", "v"), CALIBRATION_QUERIES, "vec_id", seed=1).orderBy("turn", "vec_id").limit(CALIBRATION_QUERIES).select("vec_id", "v").toPandas()
+    true = []
+    if len(some) and tree.leaves > 1:
+        near = brute_force(indexed.select("vec_id", "v"), some, k).select("query_id", "rank", "vec_id")
+        true = [tuple(r) for r in near.join(indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "rank", "leaf").collect()]
+    leaves, recall = calibrate(tree, sizes, some, true, target_recall)
     return search(indexed, queries, tree, leaves, sizes, k), {"leaves": tree.leaves, "visited": leaves, "recall": recall}
 
 
-def _recall(true: dict, got: dict) -> float:
-    """Share of true neighbours found; a row as near as the last true one counts, so ties do not."""
-    by: dict[int, list[float]] = {}
-    for (q, _), s in true.items():
-        by.setdefault(q, []).append(s)
-    hits = sum(min(len(ss), sum(s >= min(ss) for (g, _), s in got.items() if g == q)) for q, ss in by.items())
-    return hits / max(1, len(true))
-
-
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return approximate_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)[0]
+    """The neighbours, the recall that calibration measured, and the share of the tree's leaves that a query visits."""
+    found, said = approximate_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumns({"recall": F.lit(said["recall"]), "visited": F.lit(said["visited"] / said["leaves"])})
