@@ -53,7 +53,7 @@ def test_seeds_vary_and_repeat(vocabulary):
 
 def slow_units(vocabulary, text, name, dropout, seed):
     """The segmentation by its definition: at each turn the best live pair of neighbours is skipped or merged."""
-    units = vocabulary.units(text)
+    units = list(vocabulary.units(text))
     order = {p: k for k, p in enumerate(sorted(vocabulary.score, key=vocabulary.score.get, reverse=True))}
     keys = mixed(xxhash.xxh64_intdigest(name.encode(), seed), len(units)).tolist()
     out = []
@@ -86,8 +86,7 @@ def test_every_occurrence_draws_its_own_dropout(spark, vocabulary, tmp_path):
     text = " ".join(["communication"] * 400)
     assert encoder.encode(text, "7").tolist() == encoder.encode(text, "7").tolist() != encoder.encode(text, "8").tolist()
     assert len({encoder.encode("communication", str(k)).tobytes() for k in range(2000)}) > 10
-    codes: list = []
-    encoder.merge(MARK + "communication", codes)
+    codes = encoder.merge_all([MARK + "communication"]).codes.tolist()
     clear = sum(all((key ^ c) * DRAW % 2**64 >= encoder.below for c in codes) for key in mixed(5, 20_000).tolist()) / 20_000
     assert abs(clear - 0.8 ** len(codes)) < 0.01
     documents(spark, [text, text]).write.parquet(f"{tmp_path}/documents.parquet")
@@ -98,6 +97,8 @@ def test_little_memory_changes_nothing(vocabulary, monkeypatch):
     text = " ".join(words(5, 500))
     want = MergeEncoder(vocabulary, 0.3, 1).encode(text, "1").tolist(), ViterbiCounter(vocabulary).count(text)
     monkeypatch.setattr(pieces, "KEPT_BYTES", 0)
+    monkeypatch.setattr(pieces, "UNITS", 37)
+    monkeypatch.setattr(pieces, "ROWS", 5)
     encoder, counter = MergeEncoder(vocabulary, 0.3, 1), ViterbiCounter(vocabulary)
     assert all((encoder.encode(text, "1").tolist(), counter.count(text)) == want for _ in range(3))
 
