@@ -46,7 +46,7 @@ def test_probabilities_sum_to_one():
     counts = rng.integers(0, 90, 23)
     start = lm.LogBilinear.start(counts)
     ids = rng.integers(0, 23, 900).astype("<i4")
-    model, seen = lm.learn(start.filled(start.flat()), start, [([400, 500], [False, False], ids.tobytes())], step=100)
+    model, seen = lm.learn(start.filled(start.flat()), start, [([400, 500], [False, False], lm.packed(ids))], step=100)
     assert seen == 900 and abs(model.p["q"]).max() > 0
     for m in (start, model):
         for a, b in ((0, 0), (23, 23), (3, 7)):
@@ -59,7 +59,7 @@ def test_gradient_lowers_the_contrastive_loss():
     rng = np.random.default_rng(1)
     ids = np.tile(rng.integers(0, 30, 50), 60)
     start = lm.LogBilinear.start(np.bincount(ids, minlength=30))
-    model, _ = lm.learn(start.filled(start.flat()), start, [([len(ids)], [False], ids.astype("<i4").tobytes())] * 5, step=256)
+    model, _ = lm.learn(start.filled(start.flat()), start, [([len(ids)], [False], lm.packed(ids))] * 5, step=256)
     first, second = lm.contexts(ids, np.array([0]), 30)
     assert model.log_probabilities(first, second, ids).mean() > start.log_probabilities(first, second, ids).mean() + 1
 

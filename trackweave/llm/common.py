@@ -67,6 +67,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lower-cases A-Z in UTF-8 bytes, where no other character holds those bytes.
+BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def byte_words(text: str | None) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8, A-Z in lower case: bytes split at exactly these six."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(BYTES_LOWER).split()
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as the contracts say; other letters stay."""
     return F.translate(col, UPPER, LOWER)

@@ -10,37 +10,54 @@ the vocabulary.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, read, short_batches, table
+from .common import byte_words, read, short_batches, table
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
 #: The token after each text; no word holds a space.
-END = " "
-CHUNK_BYTES = 4 << 20
-#: Words known by name: the root of the number of training tokens, within these bounds; the others share frequency classes.
+END = b" "
+CHUNK_BYTES, WARM = 4 << 20, 16
+#: Words known by name: half the root of the number of training tokens, within these bounds; the others share frequency classes.
 LEAST_WORDS, MOST_WORDS, OCTAVES = 512, 1 << 17, 40
 #: Embedding width, noise to data, tokens a step, and rate of the model; chunks that a task learns from; parameters averaged at a time, and parts of one sum.
-WIDTH, NOISE, STEP, RATE, SHARE, BLOCK, FAN = 16, 10, 16_384, 0.1, 16, 1 << 16, 64
+WIDTH, NOISE, STEP, RATE, SHARE, BLOCK, FAN = 16, 10, 32_768, 0.1, 16, 1 << 16, 64
 
 
-def tokens(text: str | None) -> list[str]:
-    out = WORD.findall((text or "").translate(ASCII_LOWER))
+class Numbers(dict):
+    """Word -> its number, in order of first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def tokens(text: str | None) -> list[bytes]:
+    out = byte_words(text)
     out.append(END)
     return out
 
 
-def hash_words(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64).view(np.int64)
+def hash_words(words) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64).view(np.int64)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Small whole numbers as compressed int32."""
+    return zstandard.compress(numbers.astype("<i4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), "<i4")
 
 
 CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, counts binary, ids binary"
@@ -55,16 +72,16 @@ def chunked(docs: DataFrame, held_out: F.Column, id_col: str, text_col: str, chu
         number = TaskContext.get().partitionId() << 32
 
         def made(docs_, held, texts):
-            index: dict[str, int] = {}
+            index = Numbers()
             ids, lengths = [], []
             for t in texts:
                 own = tokens(t)
                 lengths.append(len(own))
-                ids.append(np.array([index.setdefault(w, len(index)) for w in own], dtype="<i4"))
+                ids.append(np.fromiter(map(index.__getitem__, own), dtype="<i4", count=len(own)))
             flat = np.concatenate(ids)
             learnt = flat[np.repeat(~np.array(held), lengths)]
             counts = np.bincount(learnt, minlength=len(index)).astype("<u4")
-            cols = ([number], [docs_], [held], [lengths], [hash_words(list(index)).tobytes()], [counts.tobytes()], [flat.tobytes()])
+            cols = ([number], [docs_], [held], [lengths], [hash_words(index).tobytes()], [counts.tobytes()], [packed(flat)])
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
@@ -124,6 +141,16 @@ class Vocabulary:
         return classes, share
 
 
+def counted(words: DataFrame) -> DataFrame:
+    """(chunk, slot, c, h): the words of each chunk with their counts in all chunks; h stands in one row of each word alone.
+
+    A word has at most a row a chunk, so no word has more than a small share of the rows.
+    """
+    word = Window.partitionBy("h")
+    rows = words.select("chunk", "slot", F.sum("n").over(word).alias("c"), F.when(F.row_number().over(word.orderBy("chunk", "slot")) == 1, F.col("h")).alias("h"))
+    return table(rows, "lm-counted")
+
+
 def vocabulary(totals: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WORDS) -> Vocabulary:
     """The words and frequency classes of totals (h, c); only words known by name and one row for each class come to the driver."""
     octave = F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double"))).cast("int")
@@ -132,7 +159,7 @@ def vocabulary(totals: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WOR
     for r in by:
         kinds[r["octave"]], tokens_[r["octave"]] = r["kinds"], r["c"]
     size = int(tokens_.sum())
-    k = min(most, max(least, int(size**0.5)))
+    k = min(most, max(least, int(size**0.5 / 2)))
     top = totals.where("c > 0").orderBy(F.desc("c"), "h").limit(k).collect()
     h, c = np.array([r["h"] for r in top], dtype=np.int64), np.array([r["c"] for r in top], dtype=np.int64)
     own = np.log2(np.maximum(c, 1)).astype(np.int64)
@@ -147,7 +174,7 @@ def vocabulary(totals: DataFrame, least: int = LEAST_WORDS, most: int = MOST_WOR
 CODED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, known array<long>, base array<double>, within array<double>, classes binary"
 
 
-def coded(chunks: DataFrame, words: DataFrame, totals: DataFrame, vocab: Vocabulary) -> DataFrame:
+def coded(chunks: DataFrame, answers: DataFrame, vocab: Vocabulary) -> DataFrame:
     """The chunks with each token's class, and each document's known tokens, base score and shares within classes (log10)."""
     shared = chunks.sparkSession.sparkContext.broadcast(vocab)
 
@@ -155,15 +182,14 @@ def coded(chunks: DataFrame, words: DataFrame, totals: DataFrame, vocab: Vocabul
         v, r = shared.value, frame.iloc[0]
         counts = np.zeros(len(r["words"]) // 8, np.int64)
         counts[answers["slot"].to_numpy()] = answers["c"].to_numpy()
-        ids, lengths = np.frombuffer(r["ids"], "<i4"), np.asarray(r["lengths"])
+        ids, lengths = unpacked(r["ids"]), np.asarray(r["lengths"])
         first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         classes, share = v.classes_of(np.frombuffer(r["words"], "<i8"), counts)
         base = np.log10((counts + 1) / (v.size + (v.kinds + 1)))
         sums = [np.add.reduceat(x[ids], first) for x in ((counts > 0).astype(np.int64), base, share)]
-        return pd.DataFrame({"chunk": [r["chunk"]], "doc_ids": [r["doc_ids"]], "held": [r["held"]], "lengths": [r["lengths"]], "known": [sums[0]], "base": [sums[1]], "within": [sums[2]], "classes": [classes.astype("<i4")[ids].tobytes()]})
+        return pd.DataFrame({"chunk": [r["chunk"]], "doc_ids": [r["doc_ids"]], "held": [r["held"]], "lengths": [r["lengths"]], "known": [sums[0]], "base": [sums[1]], "within": [sums[2]], "classes": [packed(classes[ids])]})
 
-    answers = words.join(totals, "h").select("chunk", "slot", "c")
-    return table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, CODED), "lm-coded")
+    return table(chunks.drop("counts").groupBy("chunk").cogroup(answers.select("chunk", "slot", "c").groupBy("chunk")).applyInPandas(run, CODED), "lm-coded")
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +274,11 @@ class Learner:
     def part(self, g: np.ndarray, at: np.ndarray, rows: slice, weights: str, bias: str, n: int) -> np.ndarray:
         """Move the weights of one choice, and return the gradient of its guesses."""
         q, share = self.m.p[weights][rows], self.noise[bias][rows]
-        delta = g @ q.T + (self.m.p[bias][rows] - share - np.float32(np.log(NOISE)))
-        err = 1 / (1 + np.exp(-delta))
+        err = g @ -q.T
+        err -= self.m.p[bias][rows] - share - np.float32(np.log(NOISE))
+        np.exp(err, out=err)
+        err += 1
+        np.reciprocal(err, out=err)
         own = err[np.arange(len(at)), at]
         err *= NOISE * np.exp(share)
         err[np.arange(len(at)), at] += own - 1
@@ -280,7 +309,7 @@ def learn(model: LogBilinear, start: LogBilinear, chunks, step: int = STEP) -> t
     """A pass over (lengths, held, classes) of chunks, held-out texts left out; the model and its number of tokens."""
     learner, seen, begin = Learner(model, start), 0, len(start.p["q"])
     for lengths, held, classes in chunks:
-        ids = np.frombuffer(classes, "<i4")[np.repeat(~np.asarray(held, bool), lengths)].astype(np.int64)
+        ids = unpacked(classes)[np.repeat(~np.asarray(held, bool), lengths)].astype(np.int64)
         if not len(ids):
             continue
         own = np.asarray(lengths)[~np.asarray(held, bool)]
@@ -294,10 +323,10 @@ def learn(model: LogBilinear, start: LogBilinear, chunks, step: int = STEP) -> t
 
 
 def train(coded_: DataFrame, counts: np.ndarray, chunks: int, share: int = SHARE) -> LogBilinear:
-    """Two rounds of parameter averaging, the first over an eighth of the chunks; each task passes over about ``share`` chunks, in order."""
+    """Two rounds of parameter averaging, the first over one in ``WARM`` of the chunks; each task passes over about ``share`` chunks, as they lie."""
     spark, start = coded_.sparkSession, LogBilinear.start(counts)
     model = start
-    for part in (8, 1):
+    for part in (WARM, 1):
         rows = coded_ if part == 1 or chunks < 2 * part else coded_.where(F.pmod(F.xxhash64("chunk"), F.lit(part)) == 0)
         workers = max(1, -(-chunks // (share * part)))
         shared = spark.sparkContext.broadcast((model, start))
@@ -316,7 +345,7 @@ def train(coded_: DataFrame, counts: np.ndarray, chunks: int, share: int = SHARE
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat[at : at + BLOCK].astype("<f8") * seen).tobytes()], pa.binary())], names=["block", "worker", "seen", "sums"])
 
         schema = "block int, worker int, seen long, sums binary"
-        sums = table(rows.select("chunk", "lengths", "held", "classes").repartition(workers, "chunk").sortWithinPartitions("chunk").mapInArrow(run, schema), "lm-learnt")
+        sums = table(rows.select("lengths", "held", "classes").coalesce(workers).mapInArrow(run, schema), "lm-learnt")
 
         def add(key, frame: pd.DataFrame) -> pd.DataFrame:
             total = np.sum([np.frombuffer(x, "<f8") for x in frame.sort_values("worker")["sums"]], axis=0)
@@ -340,7 +369,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
     Counts and model come from all rows for which ``held_out`` is false (null counts as false). score: log10 probability of
-    the text; the model names as many words as the root of the training tokens, from ``least_words`` to ``most_words``, and
+    the text; the model names half as many words as the root of the training tokens, from ``least_words`` to ``most_words``, and
     a word of a frequency class has its class's probability times its add-one share of the class, so token probabilities
     sum to one. A null or empty text is the end token alone. Repeated rows are each counted and returned; an empty table gives
     none; without training tokens all words are unknown. A very long text is a chunk of its own.
@@ -348,10 +377,9 @@ def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     spark = docs.sparkSession
     short_batches(spark)
     chunks = chunked(docs, held_out, id_col, text_col, chunk_bytes)
-    words = chunk_words(chunks)
-    totals = table(words.groupBy("h").agg(F.sum("n").alias("c")), "lm-totals")
-    vocab = vocabulary(totals, least_words, most_words)
-    rows = coded(chunks, words, totals, vocab)
+    answers = counted(chunk_words(chunks))
+    vocab = vocabulary(answers.where("h is not null"), least_words, most_words)
+    rows = coded(chunks, answers, vocab)
     model = train(rows, vocab.counts, rows.count())
     shared = spark.sparkContext.broadcast((model, vocab.size))
 
@@ -360,7 +388,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
         names = [c.split()[0] for c in SCORES.split(", ")]
         for b in batches:
             for docs_, held, lengths, known, base, within, classes in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "held", "lengths", "known", "base", "within", "classes"))):
-                ids = np.frombuffer(classes, "<i4").astype(np.int64)
+                ids = unpacked(classes).astype(np.int64)
                 first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 logs = lbl.log_probabilities(*contexts(ids, first, len(lbl.p["q"])), ids) / np.log(10)
                 scores = np.add.reduceat(logs, first) + np.array(within)

@@ -10,7 +10,6 @@ the threshold's ball, and verified on all 64 bits.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, columns_of, connected_components, flips, read, short_batches, signed, table, unused
+from .common import byte_words, columns_of, connected_components, flips, read, short_batches, signed, table, unused
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
 #: A bucket of more members than this is not paired; it is dealt out again by finer keys.
 BUCKET = 24
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64 (seed 42)."""
-    words = WORD.findall((text or "").translate(ASCII_LOWER))
-    if not words:
+    raw = byte_words(text)
+    if not raw:
         return 0
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
     joined = b" ".join(raw)
     if len(raw) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -209,10 +206,9 @@ WIDE, TILE, RANK_SHARE, RANKS, BITS, COMPARED = 6, 512, 16, 100_000, 1 << 24, 64
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle in order of place, as uint64; a text of fewer words is one shingle, one without words has none."""
-    found = WORD.findall((text or "").translate(ASCII_LOWER))
-    if not found:
+    raw = byte_words(text)
+    if not raw:
         return np.zeros(0, dtype=np.uint64)
-    raw = [w.encode("utf-8", "surrogatepass") for w in found]
     joined = b" ".join(raw)
     ends = np.cumsum([len(w) + 1 for w in raw]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
