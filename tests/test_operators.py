@@ -141,7 +141,15 @@ def test_components_against_numpy(spark):
     rebuilt = (x - x.mean(axis=0)) @ vt[:2].T @ vt[:2]
     got = [r.residual for r in ml.residuals(scored, loadings, 2).orderBy("frame").collect()]
     assert np.allclose(got, ((x - x.mean(axis=0) - rebuilt) ** 2).mean(axis=1))
-    assert all(-1 <= r.silhouette <= 1 for r in ml.silhouette(scored, "label", "frame", 2).collect())
+    p = np.array([r.scores[:2] for r in scored.orderBy("frame").collect()])
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    for r in ml.silhouette(scored, "label", "frame", 2).collect():
+        own = np.arange(120) % 2 == "ab".index(r.label)
+        near, far = d[own][:, own].sum(axis=1) / (own.sum() - 1), d[own][:, ~own].mean(axis=1)
+        assert math.isclose(r.silhouette, ((far - near) / np.maximum(near, far)).mean(), rel_tol=1e-9)
+    full, _, load = ml.components(df, 3)
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
+    assert np.allclose([r.z for r in full.orderBy("frame").collect()], z, atol=1e-6) and np.allclose([r.scores for r in full.orderBy("frame").collect()], z @ load, atol=1e-6)
 
 
 def test_rasters():
@@ -157,12 +165,33 @@ def test_rasters():
     assert x <= 6 and y <= 5 and x + w >= 10 and y + h >= 8 and raster.motion_region(moving[:1]) is None
 
 
-def test_linking_and_walking():
+def test_linking_and_walking(spark):
     rows = [(0, 0, 0), (0, 100, 0), (1, 5, 0), (1, 6, 0), (5, 101, 0), (20, 5, 0)]
     assert list(tracking.link(rows, 30.0)) == [1, 2, 1, 1, 2, 3]
     assert list(tracking.link(rows, 30.0, exclusive=True)) == [1, 2, 1, 3, 2, 4]
-    frames = {0: [(0.0, 0.0, 10.0, 1.0)], 1: [(120.0, 0.0, 10.0, 9.0), (130.0, 70.0, 10.0, 1.0)], 2: [(240.0, 5.0, 12.0, 1.0)], 4: [(480.0, 0.0, 10.0, 1.0)]}
-    assert sorted(tracking.walk(frames, 1, frames[1][0], 4)) == [0, 1, 2]
+    df = spark.createDataFrame([(c, f, i, float(x), float(y)) for c in (1, 2) for i, (f, x, y) in enumerate(rows)], "case_id long, frame long, ord long, cx double, cy double")
+    assert sorted((r.case_id, r.ord, r.track) for r in tracking.link_tracks(df, 30.0).collect()) == [(c, i, t) for c in (1, 2) for i, t in enumerate([1, 2, 1, 1, 2, 3])]
+    bars = [(0, 0.0, 0.0, 10.0, 1.0), (1, 120.0, 0.0, 10.0, 9.0), (1, 130.0, 70.0, 10.0, 1.0), (2, 240.0, 5.0, 12.0, 1.0), (2, 245.0, 5.0, 12.0, 1.0), (4, 480.0, 0.0, 10.0, 1.0)]
+    df = spark.createDataFrame([(c, *b) for c in (1, 2) for b in bars], "case_id long, frame long, x double, y double, w double, score double")
+    assert sorted((r.case_id, r.frame, r.x) for r in tracking.neighbour_walk(df).collect()) == [(c, f, x) for c in (1, 2) for f, x in ((0, 0.0), (1, 120.0), (2, 240.0))]
+
+
+def test_folds_take_their_rows_batch_by_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame([(c, f, float(f % 5)) for c in range(4) for f in range(c * 7)], "case_id long, frame long, v double")
+        got = {}
+        for r in series.smoothed(df, "v", 0.5).orderBy("case_id", "frame").collect():
+            got.setdefault(r.case_id, []).append(r.ema)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c in range(1, 4):
+        now = None
+        for f in range(c * 7):
+            now = round(f % 5 if now is None else now * 0.5 + f % 5 * 0.5)
+            want.setdefault(c, []).append(now)
+    assert got == want
 
 
 def test_follower_in_batch_and_stream(spark, tmp_path):

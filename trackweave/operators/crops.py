@@ -83,10 +83,14 @@ def sweep(crops: DataFrame) -> DataFrame:
     tagged = rows.withColumn("chosen", F.array_compact(chosen))
     used = tagged.select(F.explode("chosen").alias("strategy"), "case_id", "frame", "v")
     template = mean_crop(used, "strategy", "case_id")
-    base = used.join(template, ["strategy", "case_id"]).withColumn("error", F.round(V.mean_squared_difference(F.col("v"), F.col("template")), 12))
-    base = base.groupBy("strategy", "case_id").agg(F.count("*").alias("n"), F.avg("error").alias("mean"), F.stddev_pop("error").alias("std"), F.sort_array(F.collect_list("error")).alias("errors")).where("n >= 5")
-    targets = rows.where("class_label = 'object'").select("case_id", "frame", "v").join(template, "case_id").join(base, ["strategy", "case_id"]).withColumn("error", F.round(V.mean_squared_difference(F.col("v"), F.col("template")), 12))
-    out = targets.select("strategy", "case_id", "frame", "error", "n", "std", ((F.col("error") - F.col("mean")) / (F.col("std") + 1e-12)).alias("zscore"), (100.0 * V.share(F.col("errors"), lambda e: e < F.col("error"))).alias("percentile"))
+    error = F.round(V.mean_squared_difference(F.col("v"), F.col("template")), 12).alias("error")
+    base = used.join(template, ["strategy", "case_id"]).select("strategy", "case_id", "frame", error, F.lit(1).alias("is_base"))
+    targets = rows.where("class_label = 'object'").select("case_id", "frame", "v").join(template, "case_id").select("strategy", "case_id", "frame", error, F.lit(0).alias("is_base"))
+    stats = base.groupBy("strategy", "case_id").agg(F.count("*").alias("n"), F.avg("error").alias("mean"), F.stddev_pop("error").alias("std")).where("n >= 5")
+    group = Window.partitionBy("strategy", "case_id")
+    below = F.sum("is_base").over(group.orderBy("error").rangeBetween(Window.unboundedPreceding, 0)) - F.sum("is_base").over(Window.partitionBy("strategy", "case_id", "error"))
+    placed = base.unionByName(targets).withColumn("below", below).where("is_base = 0").join(stats, ["strategy", "case_id"])
+    out = placed.select("strategy", "case_id", "frame", "error", "n", "std", ((F.col("error") - F.col("mean")) / (F.col("std") + 1e-12)).alias("zscore"), (100.0 * F.col("below") / F.col("n")).alias("percentile"))
     return out.withColumn("class", N.zscore_class(F.col("zscore"), F.col("std"), F.col("n"), F.col("percentile"), F.col("strategy")))
 
 

@@ -33,7 +33,9 @@ def hinted(hints: DataFrame, rows: DataFrame, reach: int = 12) -> DataFrame:
     (ax, ay), (bx, by) = G.centre(a), G.centre(b)
     gap = F.abs(F.col("frame") - F.col("hint_frame"))
     score = F.greatest(G.iou(a, b), F.lit(0.65) / (1 + F.hypot(ax - bx, ay - by) / 80)) - gap * 0.01
-    both = rows.join(hints, (rows.case_id == hints.case_id) & (gap <= reach)).drop(rows.case_id).withColumn("score", score).where("score > 0")
+    width = max(1, reach)
+    asked = hints.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("hint_frame") / width) + d for d in (-1, 0, 1)])))
+    both = rows.withColumn("bucket", F.floor(F.col("frame") / width)).join(asked, ["case_id", "bucket"]).where(gap <= reach).withColumn("score", score).where("score > 0")
     return both.groupBy("case_id", "hint_frame").agg(F.max_by(F.struct("frame", "score"), F.struct("score", -gap, -F.col("frame"))).alias("b")).select("case_id", "hint_frame", "b.frame", "b.score")
 
 

@@ -93,7 +93,11 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.join(ends, "case_id").groupBy("case_id", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def counts_with_zeros(df: DataFrame, by: str, values: list[str]) -> DataFrame:
-    """Row counts of every value of a closed list, missing ones as 0."""
+def counts_with_zeros(df: DataFrame, by: str, values: list[str], *groups: str) -> DataFrame:
+    """Row counts of every value of a closed list, missing ones as 0; with ``groups`` for each of their values."""
+    counted = df.groupBy(*groups, by).agg(F.count("*").alias("n"))
+    if groups:
+        wanted = counted.select(*groups).distinct().withColumn(by, F.explode(F.array(*[F.lit(v) for v in values])))
+        return wanted.join(counted, [*groups, by], "left").select(*groups, by, F.coalesce("n", F.lit(0)).alias("n"))
     names = df.sparkSession.createDataFrame([(v,) for v in values], f"{by} string")
-    return F.broadcast(names).join(df.groupBy(by).agg(F.count("*").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+    return F.broadcast(names).join(counted, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))

@@ -16,7 +16,7 @@ SILHOUETTE_ROWS = 160
 
 
 def components(crops: DataFrame, k: int, scale: bool = True) -> tuple[DataFrame, list[float], np.ndarray]:
-    """Crops with ``scores`` (array), the explained shares, and the loadings; centred, and scaled unless told not to.
+    """Crops with ``scores`` (array), the explained shares, and the loadings; centred, and scaled by the population deviation unless told not to.
 
     Constant pixels stay zero. The sign of a component is fixed by its largest loading being positive.
     """
@@ -26,8 +26,10 @@ def components(crops: DataFrame, k: int, scale: bool = True) -> tuple[DataFrame,
     model = PCA(k=k, inputCol="_z", outputCol="_s").fit(rows)
     loadings = model.pc.toArray()
     sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    signs = F.array(*[F.lit(float(s)) for s in sign])
-    scored = model.transform(rows).withColumn("scores", F.zip_with(vector_to_array("_s"), signs, lambda a, b: a * b)).withColumn("z", vector_to_array("_z"))
+    n = rows.count() if scale else 0
+    wider = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # the scaler's deviation is the sample's
+    signs = F.array(*[F.lit(float(s) * wider) for s in sign])
+    scored = model.transform(rows).withColumn("scores", F.zip_with(vector_to_array("_s"), signs, lambda a, b: a * b)).withColumn("z", F.transform(vector_to_array("_z"), lambda x: x * wider))
     return scored.drop("_x", "_z", "_s"), [float(x) for x in model.explainedVariance], loadings * sign
 
 
@@ -43,9 +45,9 @@ def residuals(scored: DataFrame, loadings: np.ndarray, k: int) -> DataFrame:
     return scored.withColumn("residual", F.aggregate(F.zip_with("z", rebuilt, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("z"))
 
 
-def silhouette(scored: DataFrame, label: str, key: str, dims: int = 5) -> DataFrame:
-    """(label, silhouette, n): mean silhouette of a bounded sample of each class, Euclidean over the first components."""
-    sample = drawn(scored.select(key, label, F.slice("scores", 1, dims).alias("s")), SILHOUETTE_ROWS, 42, key, label)
+def silhouette(scored: DataFrame, label: str, key: str, dims: int = 5, rows: int = SILHOUETTE_ROWS) -> DataFrame:
+    """(label, silhouette, n): mean silhouette of at most ``rows`` rows of each class, in hash order, Euclidean over the first components."""
+    sample = drawn(scored.select(key, label, F.slice("scores", 1, dims).alias("s")), rows, 42, key, label)
     local = sample.toPandas()
     points, names = (np.stack(local["s"].to_numpy()) if len(local) else np.zeros((0, dims))), local[label].to_numpy()
     shared = scored.sparkSession.sparkContext.broadcast((points, names))

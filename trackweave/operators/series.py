@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackweave.operators.tracking import fold_sorted
+
 def by_frame() -> Window:
     return Window.partitionBy("case_id").orderBy("frame")
 
@@ -61,28 +66,34 @@ def carried(column: str) -> Column:
 
 def smoothed(df: DataFrame, value: str, alpha: float) -> DataFrame:
     """(case_id, frame, ema): exponential mean rounded half-even at each step, a fold over the case's rows in frame order."""
-    rows = df.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("frame", F.col(value).cast("double").alias("v")))).alias("s"))
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["frame"].alias("frame"), F.when(F.size(acc) == 0, F.bround(r["v"])).otherwise(F.bround(F.element_at(acc, -1)["ema"] * (1 - alpha) + r["v"] * alpha)).alias("ema"))))
-    folded = F.aggregate("s", F.array().cast("array<struct<frame:bigint,ema:double>>"), step)
-    return rows.select("case_id", F.explode(folded).alias("e")).select("case_id", "e.frame", "e.ema")
+
+    def fold(own):
+        now = None
+        for case, frame, v in own:
+            now = float(round(v if now is None else now * (1 - alpha) + v * alpha))
+            yield case, frame, now
+
+    return fold_sorted(df.select("case_id", "frame", F.col(value).cast("double").alias("v")), ["case_id"], ["frame"], "case_id long, frame long, ema double", fold)
 
 
 def temporal_spectrum(df: DataFrame, value: str, fps: float = 1.0) -> DataFrame:
-    """(case_id, n, peak_frequency, peak_strength, entropy) of the mean-removed, Hann-weighted series, by a relational transform.
+    """(case_id, n, peak_frequency, peak_strength, entropy) of the mean-removed, Hann-weighted series, by a fast Fourier transform.
 
     Bins 0 to n/2 of each case; bin 0 counts as zero; entropy is over log2 of the number of bins. Under four rows all are 0.
+    A case's values, 8 bytes a row, are held while it is transformed.
     """
-    per_case = Window.partitionBy("case_id")
-    rows = df.select("case_id", (F.row_number().over(by_frame()) - 1).alias("i"), F.count("*").over(per_case).alias("n"), (F.col(value) - F.avg(value).over(per_case)).alias("x"))
-    two_pi = F.lit(2.0) * F.pi()
-    weighted = rows.where("n >= 4").withColumn("x", F.col("x") * (0.5 - 0.5 * F.cos(two_pi * F.col("i") / (F.col("n") - 1))))
-    bins = weighted.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / 2).cast("long"))))
-    angle = two_pi * F.col("k") * F.col("i") / F.col("n")
-    power = bins.groupBy("case_id", "n", "k").agg((F.pow(F.sum(F.col("x") * F.cos(angle)), 2) + F.pow(F.sum(F.col("x") * F.sin(angle)), 2)).alias("p"))
-    power = power.withColumn("share", F.col("p") / (F.sum("p").over(Window.partitionBy("case_id")) + 1e-9))
-    found = power.groupBy("case_id", "n").agg(
-        F.max_by("k", F.struct("p", -F.col("k"))).alias("peak"), F.max("share").alias("peak_strength"), (-F.sum(F.when(F.col("share") > 0, F.col("share") * F.log2("share")).otherwise(0.0))).alias("bits"),
-    )
-    found = found.select("case_id", "n", (F.col("peak") * fps / F.col("n")).alias("peak_frequency"), "peak_strength", (F.col("bits") / F.greatest(F.lit(1.0), F.log2(F.floor(F.col("n") / 2) + 1))).alias("entropy"))
-    short = rows.where("n < 4").select("case_id", "n", F.lit(0.0).alias("peak_frequency"), F.lit(0.0).alias("peak_strength"), F.lit(0.0).alias("entropy")).distinct()
-    return found.union(short)
+
+    def fold(own):
+        first = next(own)
+        x = np.fromiter((r[2] for r in itertools.chain([first], own)), dtype=np.float64)
+        n = len(x)
+        if n < 4:
+            yield first[0], n, 0.0, 0.0, 0.0
+            return
+        p = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(n))) ** 2
+        p[0] = 0
+        share = p / (p.sum() + 1e-9)
+        peak, some = int(np.round(p, 9).argmax()), share[share > 0]
+        yield first[0], n, peak * fps / n, float(share.max()), float(-(some * np.log2(some)).sum() / max(1.0, np.log2(len(p))))
+
+    return fold_sorted(df.select("case_id", "frame", F.col(value).cast("double").alias("v")), ["case_id"], ["frame"], "case_id long, n long, peak_frequency double, peak_strength double, entropy double", fold)

@@ -42,7 +42,7 @@ SELECT frame, n, returned, CASE WHEN NOT returned THEN x END AS x, CASE WHEN NOT
 
 
 def q04_bbox_iou_overlap(spark, sf):
-    rows = X.boxes(spark, sf).select((F.col("frame") % 97).alias("frame"), F.concat_ws("-", "frame", "n", "x", "y", "w").alias("id"), F.greatest(F.lit(0), F.col("x")).alias("x"), F.greatest(F.lit(0), F.col("y")).alias("y"), "w", "h")
+    rows = X.boxes(spark, sf).select("frame", F.concat_ws("-", "frame", "n", "x", "y", "w").alias("id"), F.greatest(F.lit(0), F.col("x")).alias("x"), F.greatest(F.lit(0), F.col("y")).alias("y"), "w", "h")
     rows = rows.groupBy("frame", "id").agg(*[F.min(c).alias(c) for c in XYWH])
     pairs = joins.overlapping(rows, rows, "frame").where("a_id < b_id")
     a, b = (tuple(F.col(p + c) for c in XYWH) for p in ("a_", "b_"))
@@ -51,7 +51,7 @@ def q04_bbox_iou_overlap(spark, sf):
 
 
 Q04 = q(BOX, """
-, b AS (SELECT frame % 97 AS frame, concat_ws('-', frame, n, x, y, w) AS id, min(greatest(0, x)) AS x, min(greatest(0, y)) AS y, min(w) AS w, min(h) AS h FROM box GROUP BY 1, 2),
+, b AS (SELECT frame, concat_ws('-', frame, n, x, y, w) AS id, min(greatest(0, x)) AS x, min(greatest(0, y)) AS y, min(w) AS w, min(h) AS h FROM box GROUP BY 1, 2),
 p AS (SELECT a.frame, CAST(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS DOUBLE) AS i, a.w * a.h AS aa, b.w * b.h AS ba FROM b a JOIN b ON a.frame = b.frame AND a.id < b.id)
 SELECT frame, count(*) AS pairs, round(avg(i / (aa + ba - i)), 6) AS mean_iou, round(max(i / (aa + ba - i)), 6) AS max_iou, count(*) FILTER (i / greatest(1, least(aa, ba)) > 0.02) AS overlapping FROM p WHERE i > 0 GROUP BY frame""")
 
@@ -97,9 +97,9 @@ def q18_control_metrics(spark, sf):
     flat = picks.select("frame", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("ord")) for k in KINDS])).alias("p")).select("frame", "p.kind", "p.ord").where("ord is not null")
     rows = flat.join(X.candidates(spark, sf).select("frame", "ord", "luminance", "texture"), ["frame", "ord"])
     by = rows.groupBy("kind").agg(F.count("*").alias("n"), F.avg("luminance").alias("luminance"), F.avg("texture").alias("texture"))
-    frames = picks.count()
     base = by.agg(F.avg(F.when(F.col("kind").isin("near_background", "far_background"), F.col("luminance"))).alias("b"))
-    return by.crossJoin(F.broadcast(base)).select("kind", "n", F.round(F.col("n") / frames, 6).alias("clean_ratio"), F.round("luminance", 6).alias("luminance"), F.round("texture", 6).alias("texture"), F.round(N.similarity(F.col("luminance"), F.col("b")), 6).alias("similarity"))
+    frames = picks.agg(F.count("*").alias("frames"))
+    return by.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(frames)).select("kind", "n", F.round(F.col("n") / F.col("frames"), 6).alias("clean_ratio"), F.round("luminance", 6).alias("luminance"), F.round("texture", 6).alias("texture"), F.round(N.similarity(F.col("luminance"), F.col("b")), 6).alias("similarity"))
 
 
 Q18 = q(PICKED, """
@@ -193,38 +193,43 @@ Q43 = q(STATUS, "SELECT case_id, tracking, motion, thermal_ir, srv, controls, au
 
 
 def q44_control_comparison(spark, sf):
-    rows = X.modules(spark, sf)
-    cases = rows.where("case_id % 10 = 1").select("case_id", F.col("motion").alias("residual_mean"), F.col("pca").alias("corr_mean")).withColumn("is_control", F.lit(False))
-    controls = rows.where("case_id % 10 = 2").select("case_id", F.col("motion").alias("residual_mean"), F.col("max_z").alias("zscore_mean")).withColumn("is_control", F.lit(True))
+    """Cases of the building segment are the controls of all others."""
+    segment = X.read(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_mktsegment") == "BUILDING").alias("is_control"))
+    rows = X.modules(spark, sf).join(segment, "case_id")
+    cases = rows.where("not is_control").select("case_id", F.col("motion").alias("residual_mean"), F.col("pca").alias("corr_mean"), "is_control")
+    controls = rows.where("is_control").select("case_id", F.col("motion").alias("residual_mean"), F.col("max_z").alias("zscore_mean"), "is_control")
     both = cases.unionByName(controls, allowMissingColumns=True)
     return both.groupBy("is_control").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("residual_mean", "corr_mean", "zscore_mean")])
 
 
-Q44 = q(MODULE, "SELECT case_id % 10 = 2 AS is_control, count(*) AS n, round(avg(motion), 6) AS residual_mean, round(avg(CASE WHEN case_id % 10 = 1 THEN pca END), 6) AS corr_mean, round(avg(CASE WHEN case_id % 10 = 2 THEN max_z END), 6) AS zscore_mean FROM module WHERE case_id % 10 IN (1, 2) GROUP BY 1")
+Q44 = q(MODULE, """SELECT c_mktsegment = 'BUILDING' AS is_control, count(*) AS n, round(avg(motion), 6) AS residual_mean, round(avg(CASE WHEN c_mktsegment <> 'BUILDING' THEN pca END), 6) AS corr_mean, round(avg(CASE WHEN c_mktsegment = 'BUILDING' THEN max_z END), 6) AS zscore_mean
+FROM module JOIN customer ON c_custkey = case_id GROUP BY 1""")
 
 
 def q45_status_upsert(spark, sf):
+    """Cases not yet open are in the old list, those not finished in the new one; every case is in one at least."""
     rows = prioritised(spark, sf)
-    old = rows.where("case_id % 3 != 0").select("case_id", "priority", F.col("hint").alias("note"))
-    new = rows.where("case_id % 2 = 0").select("case_id", F.lit("reviewed").alias("priority"), F.when(F.col("case_id") % 4 == 0, F.lit("again")).alias("note"))
+    old = rows.where("quality != 'O'").select("case_id", "priority", F.col("hint").alias("note"))
+    new = rows.where("quality != 'F'").select("case_id", F.lit("reviewed").alias("priority"), F.when(F.col("motion") > 15, F.lit("again")).alias("note"))
     merged = joins.upsert(old, new, "case_id", ["priority", "note"])
     replaced = joins.replace_by_key(old, new, "case_id").groupBy("case_id").agg(F.count("*").alias("rows_after"))
     return merged.join(replaced, "case_id")
 
 
 Q45 = q(PRIORITISED, """
-, old AS (SELECT case_id, priority, hint AS note FROM prioritised WHERE case_id % 3 <> 0), new AS (SELECT case_id, 'reviewed' AS priority, CASE WHEN case_id % 4 = 0 THEN 'again' END AS note FROM prioritised WHERE case_id % 2 = 0)
+, old AS (SELECT case_id, priority, hint AS note FROM prioritised WHERE quality <> 'O'), new AS (SELECT case_id, 'reviewed' AS priority, CASE WHEN motion > 15 THEN 'again' END AS note FROM prioritised WHERE quality <> 'F')
 SELECT coalesce(n.case_id, o.case_id) AS case_id, coalesce(n.priority, o.priority) AS priority, coalesce(n.note, o.note) AS note, CAST(1 AS BIGINT) AS rows_after FROM old o FULL JOIN new n ON n.case_id = o.case_id""")
 
 
 def q60_case_lookup_priority(spark, sf):
+    """Finished cases are configured, open ones have a manifest, those between have both."""
     rows = X.cases(spark, sf)
-    config = rows.where("case_id % 3 = 0").select("case_id", F.lit("config").alias("origin"), "quality")
-    manifests = rows.where("case_id % 2 = 0").select("case_id", F.lit("manifest").alias("origin"), F.lower("quality").alias("quality"))
+    config = rows.where("quality != 'O'").select("case_id", F.lit("config").alias("origin"), "quality")
+    manifests = rows.where("quality != 'F'").select("case_id", F.lit("manifest").alias("origin"), F.lower("quality").alias("quality"))
     return joins.first_of([config, manifests], "case_id", ["origin", "quality"])
 
 
-Q60 = q(CASE, "SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'config' ELSE 'manifest' END AS origin, CASE WHEN case_id % 3 = 0 THEN quality ELSE lower(quality) END AS quality, CASE WHEN case_id % 3 = 0 THEN 0 ELSE 1 END AS source_rank FROM cases WHERE case_id % 3 = 0 OR case_id % 2 = 0")
+Q60 = q(CASE, "SELECT case_id, CASE WHEN quality <> 'O' THEN 'config' ELSE 'manifest' END AS origin, CASE WHEN quality <> 'O' THEN quality ELSE lower(quality) END AS quality, CASE WHEN quality <> 'O' THEN 0 ELSE 1 END AS source_rank FROM cases")
 
 
 def q62_clip_variants(spark, sf):

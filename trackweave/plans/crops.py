@@ -17,13 +17,13 @@ def rounded(*names, places=6):
 
 
 def q19_missing_classes(spark, sf):
-    found = metrics.counts_with_zeros(X.patches(spark, sf).where("case_id = 1"), "class_label", [*X.CLASSES, "reflection"])
-    return found.select("class_label", "n", (F.col("n") == 0).alias("missing"))
+    found = metrics.counts_with_zeros(X.patches(spark, sf), "class_label", [*X.CLASSES, "reflection"], "case_id")
+    return found.select("case_id", "class_label", "n", (F.col("n") == 0).alias("missing"))
 
 
 Q19 = q(PATCH, """
 , names AS (SELECT unnest(['object', 'near_background', 'far_background', 'compression_noise', 'random_background', 'hud_artifact', 'dark_region', 'bright_region', 'reflection']) AS class_label)
-SELECT class_label, count(frame) AS n, count(frame) = 0 AS missing FROM names LEFT JOIN (SELECT * FROM patch WHERE case_id = 1) USING (class_label) GROUP BY class_label""")
+SELECT case_id, class_label, count(frame) AS n, count(frame) = 0 AS missing FROM (SELECT * FROM (SELECT DISTINCT case_id FROM patch), names) LEFT JOIN patch USING (case_id, class_label) GROUP BY case_id, class_label""")
 
 
 def q20_projections(spark, sf):
