@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 from .common import first_in_hash_order, read, short_batches, table
 
 SAMPLE_ROWS, BRANCHING, LEAF_ROWS, CALIBRATION_QUERIES = 16_384, 16, 32, 256
-#: Rows of a leaf that a group holds in memory, and queries that stream past them; larger leaves and more queries are dealt over several groups.
-GROUP_ROWS, GROUP_QUERIES = 4_096, 65_536
+#: Rows of a bin of neighbouring leaves that a group holds in memory, queries that stream past them, and queries walked at a time; a larger
+#: leaf and more queries are dealt over several groups.
+GROUP_ROWS, GROUP_QUERIES, WALKED = 4_096, 65_536, 64
 
 
 @dataclass
@@ -120,8 +121,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> pd.DataFrame:
-    """The k rows of largest cosine for each query, in double precision over the original vectors, a query's own id left out.
+def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, leaves: np.ndarray | None = None, visited=None, block: int = 256) -> pd.DataFrame:
+    """The k rows of largest cosine for each query, in double precision over the original vectors, a query's own id left out;
+    with the rows' ``leaves``, of those in the leaves that the query has ``visited``.
 
     Matrix products name the rows that could be among them; those rows' sums run along one row at a time, so equal
     vectors have equal scores wherever they stand.
@@ -129,12 +131,16 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     norms, out = np.sqrt((rows * rows).sum(axis=1)), []
     order = np.argsort(ids, kind="stable")
     rows, ids, norms = rows[order], ids[order], norms[order]
+    kinds, leaf = np.unique(leaves[order], return_inverse=True) if leaves is not None else (None, None)
     scaled = rows / norms[:, None]
     for at in range(0, len(queries), block):
         some = queries[at : at + block]
         lengths = np.sqrt((some * some).sum(axis=1))
         about = (some / lengths[:, None]) @ scaled.T
         about[ids[None, :] == query_ids[at : at + block, None]] = -np.inf
+        if kinds is not None:
+            open_ = np.stack([np.isin(kinds, v) for v in visited[at : at + block]])
+            about[~open_[:, leaf]] = -np.inf
         least = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(some), -2.0)
         for q, own, length, row, low in zip(some, query_ids[at : at + block], lengths, about, least):
             near = np.flatnonzero((row >= low - 1e-9) & (row > -np.inf))
@@ -166,52 +172,76 @@ def brute_force(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     return _best(rows.mapInPandas(run, FOUND), k)
 
 
+def bins_of(sizes: dict[int, int]) -> dict[int, int]:
+    """Leaf -> bin: leaves in tree order, as many to a bin as hold ``GROUP_ROWS`` rows together, one at least."""
+    out, held, number = {}, 0, 0
+    for leaf in sorted(sizes):
+        if held and held + sizes[leaf] > GROUP_ROWS:
+            held, number = 0, number + 1
+        out[leaf] = number
+        held += sizes[leaf]
+    return out
+
+
 def search(indexed: DataFrame, queries: DataFrame, tree: Tree, leaves: int, sizes: dict[int, int], k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) from the ``leaves`` leaves each query visits, and further ones until they hold k rows beside its own.
 
-    A group is (leaf, part of its rows, turn of its queries): its rows, of bounded number, are held while its queries stream past.
-    Rows are repeated only for turns, of which a leaf has one for every ``GROUP_QUERIES`` queries.
+    A query goes once to each bin of leaves that it visits. A group is (bin, part of its rows, turn of its queries): its rows, of
+    bounded number, are held while its queries stream past. Rows are repeated only for turns, of which a bin has one for
+    every ``GROUP_QUERIES`` queries.
     """
-    spark = indexed.sparkSession
-    shared = spark.sparkContext.broadcast((tree, sizes))
+    spark, bins = indexed.sparkSession, bins_of(sizes)
+    shared = spark.sparkContext.broadcast((tree, sizes, bins))
 
     def visit(batches):
-        tree_, sizes_ = shared.value
+        tree_, sizes_, bins_ = shared.value
         for b in batches:
-            if len(b):
-                walks = [tree_.walk(unit, leaves, sizes_, k + 1) for unit in _unit(_matrix(b["v"]))]
-                yield pd.DataFrame({"leaf": np.concatenate(walks), "at": np.repeat(np.arange(len(b)), [len(w) for w in walks])}).assign(vec_id=lambda d: b["vec_id"].to_numpy()[d["at"]], v=lambda d: b["v"].to_numpy()[d["at"]]).drop(columns="at")
-
-    visits = table(queries.select("vec_id", "v").mapInPandas(visit, "leaf int, vec_id long, v array<double>"), "ann-visits")
-    asked = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}
-    dealt = {leaf: (max(1, -(-n // GROUP_ROWS)), max(1, -(-asked.get(leaf, 0) // GROUP_QUERIES))) for leaf, n in sizes.items()}
-    plan = spark.createDataFrame([(leaf, *d) for leaf, d in dealt.items()], "leaf int, parts int, turns int")
-
-    def each(own: str, other: str, number: str):  # a row of its own part (turn) in every turn (part) of the leaf
+            for at in range(0, len(b), WALKED):
+                out = []
+                own = b.iloc[at : at + WALKED]
+                for q, v, unit in zip(own["vec_id"], own["v"], _unit(_matrix(own["v"]))):
+                    found: dict[int, list[int]] = {}
+                    for leaf in tree_.walk(unit, leaves, sizes_, k + 1):
+                        if leaf in bins_:
+                            found.setdefault(bins_[leaf], []).append(leaf)
+                    out += [(n, q, v, x) for n, x in found.items()]
+                yield pd.DataFrame(out, columns=["bin", "vec_id", "v", "visited"])
+
+    visits = table(queries.select("vec_id", "v").mapInPandas(visit, "bin int, vec_id long, v array<double>, visited array<int>"), "ann-visits")
+    asked = {r["bin"]: r["count"] for r in visits.groupBy("bin").count().collect()}
+    held: dict[int, int] = {}
+    for leaf, n in bins.items():
+        held[n] = held.get(n, 0) + sizes[leaf]
+    dealt = {n: (max(1, -(-rows // GROUP_ROWS)), max(1, -(-asked.get(n, 0) // GROUP_QUERIES))) for n, rows in held.items()}
+    plan = spark.createDataFrame([(leaf, n, *dealt[n]) for leaf, n in bins.items()], "leaf int, bin int, parts int, turns int")
+    by_bin = plan.select("bin", "parts", "turns").distinct()
+
+    def each(own: str, other: str, number: str):  # a row of its own part (turn) in every turn (part) of the bin
         return [F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(number), F.explode(F.sequence(F.lit(0), F.col(other) - 1))]
 
     part, turns = each("parts", "turns", "part")
-    rows = indexed.join(F.broadcast(plan), "leaf").select("leaf", part, turns.alias("turn"), F.lit(0).alias("kind"), "vec_id", "v")
+    none = F.array().cast("array<int>").alias("visited")
+    rows = indexed.join(F.broadcast(plan), "leaf").select("bin", part, turns.alias("turn"), F.lit(0).alias("kind"), "vec_id", "v", "leaf", none)
     turn, parts = each("turns", "parts", "turn")
-    calls = visits.join(F.broadcast(plan), "leaf").select("leaf", parts.alias("part"), turn, F.lit(1).alias("kind"), "vec_id", "v")
+    calls = visits.join(F.broadcast(by_bin), "bin").select("bin", parts.alias("part"), turn, F.lit(1).alias("kind"), "vec_id", "v", F.lit(-1).alias("leaf"), "visited")
 
     def meet(batches):
-        group, held, ids, vectors = None, [], None, None
+        group, held_rows, ids, vectors, own_leaves = None, [], None, None, None
         for b in batches:
-            for key, own in b.groupby(["leaf", "part", "turn"], sort=False):
+            for key, own in b.groupby(["bin", "part", "turn"], sort=False):
                 if key != group:
-                    group, held, vectors = key, [], None
-                held.append(own[own["kind"] == 0])
+                    group, held_rows, vectors = key, [], None
+                held_rows.append(own[own["kind"] == 0])
                 calling = own[own["kind"] == 1]
                 if not len(calling):
                     continue
                 if vectors is None:
-                    all_rows = pd.concat(held)
-                    ids, vectors = all_rows["vec_id"].to_numpy(), _matrix(all_rows["v"])
+                    all_rows = pd.concat(held_rows)
+                    ids, vectors, own_leaves = all_rows["vec_id"].to_numpy(), _matrix(all_rows["v"]), all_rows["leaf"].to_numpy()
                 if len(ids):
-                    yield nearest(_matrix(calling["v"]), calling["vec_id"].to_numpy(), vectors, ids, k)
+                    yield nearest(_matrix(calling["v"]), calling["vec_id"].to_numpy(), vectors, ids, k, own_leaves, calling["visited"].tolist())
 
-    together = rows.unionByName(calls).repartition("leaf", "part", "turn").sortWithinPartitions("leaf", "part", "turn", "kind", "vec_id")
+    together = rows.unionByName(calls).repartition("bin", "part", "turn").sortWithinPartitions("bin", "part", "turn", "kind", "vec_id")
     return _best(together.mapInPandas(meet, FOUND), k)
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import columns_of, read, table, unused
 
 EDITS, NEAR_CHARS = 2, 20
-#: Members of a key up to which they are paired.
-CROWD = 128
+#: Members of a key up to which they are paired; characters that are counted to compare two lines before their distance.
+CROWD, COUNTED = 512, "etaonirshdlu"
 #: Pieces of a line in a crowded segment: so many at least, and none longer than PIECE characters.
 FINER, PIECE = 16, 32
 BLOCK = 16
@@ -206,7 +206,7 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _met(rows: DataFrame, name: str) -> DataFrame:
     """Key rows whose key another row has too, one of them of kind 0, with the key's row count ``n``; a frequent key is counted before rows are shuffled."""
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("kind").alias("least")).where("n > 1 and least = 0").select("key", "n")
-    return table(rows.join(table(keys, f"{name}-keys"), "key"), name)
+    return table(rows.join(table(keys, f"{name}-keys").hint("merge"), "key"), name)
 
 
 def _candidates(members: DataFrame) -> DataFrame:
@@ -226,19 +226,26 @@ def line_links(firsts: DataFrame, lines: DataFrame, near_chars: int, edits: int)
     near = firsts.where(F.col("n") >= near_chars)
     rows = near.select(F.col("h1").alias("id"), F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])).alias("s")).select("id", "s.key", "s.kind")
     members = _met(rows, "line-segments")
-    wanted = table(near.join(members.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select("h1", "h2", "first.doc_id", "first.pos"), "line-wanted")
+    wanted = table(near.join(members.select(F.col("id").alias("h1")), "h1", "left_semi").select("h1", "h2", "first.doc_id", "first.pos"), "line-wanted").hint("merge")
     places = [F.col(f"l.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("h1", "h2", "doc_id", "pos")]
-    texts = lines.alias("l").join(wanted.alias("w"), places[0] & places[1] & places[2] & places[3], "left_semi").dropDuplicates(["h1", "h2"])
-    texts = table(texts.select("h1", "h2", F.struct("doc_id", "pos").alias("first"), "line"), "line-texts")
-
-    hot = texts.join(members.where(F.col("n") > CROWD).select(F.col("id").alias("h1")).distinct(), "h1", "left_semi")
+    texts = lines.alias("l").join(wanted.alias("w"), places[0] & places[1] & places[2] & places[3], "left_semi")
+    counts = F.array(*[F.length("line") - F.length(F.replace("line", F.lit(c))) for c in COUNTED])
+    texts = table(texts.select("h1", "h2", F.struct("doc_id", "pos").alias("first"), "line", counts.alias("counts")), "line-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:  # an edit changes two counts by one at most
+        side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"l{x}"), F.col("counts").alias(f"c{x}"))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((F.abs(F.length("la") - F.length("lb")) <= edits) & (F.col("la") != F.col("lb")))
+        apart = sum((F.abs(F.get("ca", F.lit(i)) - F.get("cb", F.lit(i))) for i in range(1, len(COUNTED))), F.abs(F.get("ca", F.lit(0)) - F.get("cb", F.lit(0))))
+        both = both.where(apart <= 2 * edits).where(near_distance(F.col("la"), F.col("lb"), edits) <= edits)
+        return both.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2"), F.col("fb").alias("other")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"), F.col("fa").alias("other")))).alias("x")).select("x.*")
+
+    crowd = members.where(F.col("n") > CROWD)
+    if not crowd.limit(1).count():
+        return verified(_candidates(members))
+    hot = texts.join(crowd.select(F.col("id").alias("h1")), "h1", "left_semi")
     finer = hot.select(F.col("h1").alias("id"), "h2", "first", F.explode(piece_keys(F.col("line"), F.length("line"), edits)).alias("s")).select("id", "h2", "first", "s.*")
     finer = _met(finer, "line-finer")
-    pairs = _candidates(members).union(_candidates(finer)).distinct()
-    side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"l{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.length("la") - F.length("lb")) <= edits) & (F.col("la") != F.col("lb")))
-    both = both.where(near_distance(F.col("la"), F.col("lb"), edits) <= edits)
-    out = both.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2"), F.col("fb").alias("other")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"), F.col("fa").alias("other")))).alias("x")).select("x.*")
+    out = verified(_candidates(members).union(_candidates(finer)))
 
     # still crowded: lines that meet under a worn key are near without being paired; each needs only the first place of the others
     left = finer.where(F.col("n") > CROWD).select(F.col("id").alias("h1"), "h2", "first", F.explode(worn_keys(F.col("key"), F.col("open"), edits)).alias("w"))
