@@ -10,16 +10,69 @@ from pyspark.sql.window import Window
 SCAN_RULES = [
     ("CRITICAL", "windows_user_path", r"(?i)C:\\Users\\"),
     ("CRITICAL", "workspace_absolute_path", r"(?i)C:\\Workspaces"),
-    ("CRITICAL", "env_file_reference", r"(?i)(^|[\\/])\.env($|[ '])"),
+    ("CRITICAL", "env_file_reference", r"(?i)(^|[\\/])\.env($|[\s`'\"])"),
+    ("CRITICAL", "openai_api_key", r"(?i)OPENAI_API_KEY"),
+    ("CRITICAL", "anthropic_api_key", r"(?i)ANTHROPIC_API_KEY"),
     ("CRITICAL", "google_api_key", r"(?i)GOOGLE_API_KEY"),
     ("HIGH", "secret_word", r"(?i)\bSECRET\b"),
     ("HIGH", "token_word", r"(?i)\bTOKEN\b"),
-    ("CRITICAL", "absolute_video_path", r"(?i)[A-Z]:\\[^:]+?\.(mp4|mov|avi|mkv|webm|m4v)"),
+    ("CRITICAL", "absolute_video_path", r"(?i)[A-Z]:\\[^:\n]+?\.(mp4|mov|avi|mkv|webm|m4v)"),
     ("CRITICAL", "private_content_pack_reference", r"(?i)content_pack"),
     ("CRITICAL", "private_publisher_pack_reference", r"(?i)publisher_pack"),
+    ("HIGH", "tiktok_reference", r"(?i)TikTok"),
+    ("HIGH", "youtube_tags_reference", r"(?i)YouTube tags"),
+]
+#: Rules of our own beside them: what the driver's documents hold.
+DOCUMENT_RULES = [
     ("CRITICAL", "email_address", r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[A-Za-z]+"),
     ("HIGH", "license_word", r"(?i)\blicense\b"),
 ]
+#: The scan of a packed release.
+PACKAGE_RULES = [
+    ("CRITICAL", "windows_user_path", r"(?i)C:\\Users\\"),
+    ("CRITICAL", "workspace_absolute_path", r"(?i)C:\\Workspaces"),
+    ("CRITICAL", "env_file_reference", r"(?i)(^|[\\/])\.env($|[\s`'\"])"),
+    ("CRITICAL", "openai_api_key", r"(?i)OPENAI_API_KEY"),
+    ("CRITICAL", "anthropic_api_key", r"(?i)ANTHROPIC_API_KEY"),
+    ("CRITICAL", "google_api_key", r"(?i)GOOGLE_API_KEY"),
+    ("CRITICAL", "private_data_dir", r"(?i)data[\\/](cases|outputs|reports|content_packs|publisher_packs)"),
+    ("CRITICAL", "private_content_pack", r"(?i)content pack|content_pack"),
+    ("CRITICAL", "private_publisher_pack", r"(?i)publisher pack|publisher_pack"),
+    ("CRITICAL", "original_video", r"(?i)\.(mp4|mov|avi|mkv|webm|m4v)\b"),
+]
+#: What a public text must not hold.
+PLACEHOLDERS = [
+    r"(?i)\[EDIT",
+    r"(?i)\[EDITAR",
+    r"(?i)<SOURCE",
+    r"(?i)C:\\Users\\",
+    r"(?i)\\runtime\\",
+    r"(?i)C:\\Workspaces",
+    r"(?i)resolution:\s*`\{\}`",
+    r"(?i)filename:\s*`unknown`",
+    r"(?i)duration:\s*`not available",
+    r"(?i)FPS:\s*`not available",
+    r"(?i)source path",
+]
+
+
+def placeholders(text: Column, patterns: list[str] = PLACEHOLDERS) -> Column:
+    """Numbers of the patterns that a text breaks, from 0; empty for a text that may be shown."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(patterns)]))
+
+
+def case_label(case: Column, file: Column) -> Column:
+    """The release number of a case or file name, as DOD_n, else the case."""
+    found = F.regexp_extract(F.concat_ws(" ", case, file), r"(?:DOD|dod)[_\- ]?([0-9]+)", 1)
+    return F.when(found != "", F.concat(F.lit("DOD_"), found)).otherwise(case)
+
+
+#: Local stamps of records and of batch names.
+STAMPS = {"record": "yyyy-MM-dd'T'HH:mm:ss", "batch": "yyyyMMdd_HHmmss"}
+
+
+def stamp(ts: Column, kind: str) -> Column:
+    return F.date_format(ts, STAMPS[kind])
 
 
 def slug(name: Column, default: str = "case", longest: int | None = None) -> Column:
@@ -37,7 +90,7 @@ def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.withColumn("slug", slug(F.col(name))).withColumn("at", at).withColumn("unique_id", F.when(F.col("at") == 1, F.col("slug")).otherwise(F.concat("slug", F.format_string("_%02d", "at")))).drop("at")
 
 
-def scan(lines: DataFrame, rules=SCAN_RULES, allowed: Column | None = None) -> DataFrame:
+def scan(lines: DataFrame, rules=(*SCAN_RULES, *DOCUMENT_RULES), allowed: Column | None = None) -> DataFrame:
     """(…, severity, rule) for every rule a line breaks: one pass, the rule table folded into the expression."""
     hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(s).alias("severity"), F.lit(n).alias("rule"))) for s, n, p in rules]))
     rows = lines if allowed is None else lines.where(~allowed)

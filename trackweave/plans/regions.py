@@ -1,0 +1,212 @@
+"""Queries over control boxes, regions, patch choices, readiness and public texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trackweave.functions import text as T
+from trackweave.operators import controls, regions
+from trackweave.plans import cases
+from trackweave.plans.sql import BOX, LINE, TRACK, q
+from trackweave.sources import fixtures as X
+
+
+def q82_control_grid(spark, sf):
+    grid = controls.control_grid(*cases.box(), X.WIDTH, X.HEIGHT)
+    rows = X.boxes(spark, sf).select("frame", "n", grid.alias("g"))
+    total = lambda c: F.aggregate("g", F.lit(0).cast("long"), lambda s, b: s + b[c])
+    return rows.select("frame", "n", F.size("g").alias("boxes"), total("x").alias("sum_x"), total("y").alias("sum_y"), F.get("g", F.lit(0))["x"].alias("first_x"), F.element_at("g", -1)["y"].alias("last_y"))
+
+
+_NEAR = ", ".join(f"(x + {dx} * hw, y + {dy} * hh)" for dx, dy in controls.STEPS)
+_FAR = ", ".join(f"(r * {i} // 2, d * {j} // 2)" for i, j in controls.ANCHORS)
+GRID = BOX + f""",
+half AS (SELECT *, greatest(1, w // 2) AS hw, greatest(1, h // 2) AS hh, greatest(0, 640 - w) AS r, greatest(0, 360 - h) AS d FROM box),
+raw_ AS (SELECT frame, n, x, y, w, h, returned, r, d, unnest([{_NEAR}, {_FAR}]) AS p, unnest(range(39)) AS k FROM half),
+inside AS (SELECT frame, n, x, y, w, h, returned, k, greatest(0, least(r, p[1])) AS cx, greatest(0, least(d, p[2])) AS cy FROM raw_),
+grid AS (SELECT frame, n, x, y, w, h, returned, cx, cy, min(k) AS k FROM inside GROUP BY ALL)"""
+Q82 = q(GRID, """
+SELECT frame, n, CAST(count(*) AS INTEGER) AS boxes, CAST(sum(cx) AS BIGINT) AS sum_x, CAST(sum(cy) AS BIGINT) AS sum_y, CAST(arg_min(cx, k) AS INTEGER) AS first_x, CAST(arg_max(cy, k) AS INTEGER) AS last_y
+FROM grid GROUP BY frame, n, x, y, w, h, returned""")
+
+
+def _frames(spark, sf):
+    """One row a frame of the picked controls; the frame's customer is its case."""
+    rows = X.candidates(spark, sf).select("frame", "ord", "luminance", "texture", "artifact_ratio")
+    picks = cases.picked(spark, sf)
+    flat = picks.select("frame", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("ord")) for k in controls.KINDS])).alias("p")).select("frame", "p.kind", "p.ord").where("ord is not null")
+    found = flat.join(rows, ["frame", "ord"])
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    by = found.groupBy("frame").agg(
+        *[of(k, "luminance").alias(a) for k, a in (("near_background", "near_luminance"), ("far_background", "far_luminance"), ("hud_artifact", "hud_luminance"), ("compression_noise", "compression_luminance"))],
+        of("near_background", "texture").alias("background_hf"), F.map_from_arrays(F.collect_list("kind"), F.transform(F.collect_list("kind"), lambda k: F.lit(True))).alias("made"),
+        F.sum("artifact_ratio").alias("artifact_sum"), F.count("*").alias("artifact_n"), F.count_if((F.col("kind") != "hud_artifact") & (F.col("artifact_ratio") > 0.005)).alias("leaks"),
+    )
+    whole = rows.groupBy("frame").agg(F.max("luminance").alias("object_luminance"), F.max("texture").alias("object_hf"), F.count("*").alias("n"))
+    has = lambda k: F.coalesce(F.element_at("made", k), F.lit(False))
+    joined = picks.select("frame", F.coalesce("n_valid", F.lit(0)).alias("accepted")).join(whole, "frame").join(by, "frame", "left")
+    case = X.read(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), F.col("o_custkey").alias("case_id"))
+    missing = sum((F.when(has(k), 0).otherwise(1) for k in controls.KINDS[1:]), F.when(has(controls.KINDS[0]), 0).otherwise(1))
+    return joined.join(case, "frame").withColumns({
+        "rejected": F.col("n") - F.col("accepted"), "fallbacks": missing, "clean_near": has("near_background"), "clean_far": has("far_background"), "clean_compression": has("compression_noise"),
+        "object_flow": F.lit(None).cast("double"), "background_flow": F.lit(None).cast("double"),
+    })
+
+
+def q83_controls_summary(spark, sf):
+    found = controls.controls_summary(_frames(spark, sf))
+    passed = controls.controls_gate(found.select("case_id"), found, 0.2).withColumn("passes", F.lit(True))
+    shown = [F.round(c, 6).alias(c) for c in ("object_luminance", "background_luminance", "background_similarity", "hud_similarity", "compression_similarity", "fallback_rate", "leakage_rate", "artifact_rate", "delta_hf", "validity")]
+    return found.join(passed, "case_id", "left").select("case_id", "valid_frames", "accepted", "rejected", *shown, F.array_join("missing", ",").alias("missing"), F.coalesce("passes", F.lit(False)).alias("passes"))
+
+
+_SIM = "greatest(0.0, 1 - abs({a} - {b}) / greatest(1.0, abs({a}), abs({b})))"
+Q83 = q(cases.PICKED, """
+, flat AS (""" + " UNION ALL ".join(f"SELECT frame, '{k}' AS kind, {k} AS ord FROM picked WHERE {k} IS NOT NULL" for k in controls.KINDS) + """),
+by_ AS (SELECT frame, max(luminance) FILTER (kind = 'near_background') AS near_l, max(luminance) FILTER (kind = 'far_background') AS far_l, max(luminance) FILTER (kind = 'hud_artifact') AS hud_l, max(luminance) FILTER (kind = 'compression_noise') AS comp_l,
+  max(texture) FILTER (kind = 'near_background') AS bg_hf, list(kind) AS made, sum(artifact_ratio) AS a_sum, count(*) AS a_n, count(*) FILTER (kind <> 'hud_artifact' AND artifact_ratio > 0.005) AS leaks FROM flat JOIN candidate USING (frame, ord) GROUP BY frame),
+whole AS (SELECT frame, max(luminance) AS object_l, max(texture) AS object_hf, count(*) AS n FROM candidate GROUP BY frame),
+f AS (SELECT o_custkey AS case_id, coalesce(n_valid, 0) AS accepted, n - coalesce(n_valid, 0) AS rejected, object_l, object_hf, near_l, far_l, hud_l, comp_l, bg_hf, coalesce(made, []) AS made, a_sum, a_n, coalesce(leaks, 0) AS leaks
+  FROM picked JOIN whole USING (frame) LEFT JOIN by_ USING (frame) JOIN orders ON o_orderkey = frame),
+g AS (SELECT case_id, count(*) AS valid_frames, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(rejected) AS BIGINT) AS rejected, avg(object_l) AS object_l, coalesce(avg(near_l), 0) AS near_l, coalesce(avg(far_l), 0) AS far_l, coalesce(avg(hud_l), 0) AS hud_l, coalesce(avg(comp_l), 0) AS comp_l, avg(object_hf) AS object_hf, coalesce(avg(bg_hf), 0) AS bg_hf,
+  avg(CAST(list_contains(made, 'near_background') AS INTEGER)) AS c_near, avg(CAST(list_contains(made, 'far_background') AS INTEGER)) AS c_far, avg(CAST(list_contains(made, 'compression_noise') AS INTEGER)) AS c_comp, sum(leaks) AS leaks, sum(6 - len(made)) AS fallbacks, coalesce(sum(a_sum) / sum(a_n), 1.0) AS artifact_rate,
+  list_filter([""" + ", ".join(f"CASE WHEN count(*) FILTER (list_contains(made, '{k}')) = 0 THEN '{k}' END" for k in controls.KINDS) + """], lambda x: x IS NOT NULL) AS missing FROM f GROUP BY case_id),
+h AS (SELECT *, CASE WHEN near_l <> 0 OR far_l <> 0 THEN (near_l + far_l) / 2 ELSE 0.0 END AS bg_l, fallbacks / (valid_frames * 6.0) AS fallback_rate, leaks / (valid_frames * 5.0) AS leakage_rate FROM g),
+s AS (SELECT *, """ + _SIM.format(a="object_l", b="bg_l") + """ AS background_similarity, CASE WHEN hud_l <> 0 THEN """ + _SIM.format(a="object_l", b="hud_l") + """ ELSE 0.0 END AS hud_similarity, CASE WHEN comp_l <> 0 THEN (""" + _SIM.format(a="object_l", b="comp_l") + " + " + _SIM.format(a="object_hf", b="bg_hf") + """) / 2 ELSE 0.0 END AS compression_similarity,
+  greatest(0.0, least(0.98, (1 - len(missing) / 6.0) * greatest(0.0, 1 - artifact_rate * 2.5 - leakage_rate * 2 - fallback_rate) * ((c_near + c_far + c_comp) / 3))) AS validity FROM h)
+SELECT case_id, valid_frames, accepted, rejected, round(object_l, 6) AS object_luminance, round(bg_l, 6) AS background_luminance, round(background_similarity, 6) AS background_similarity, round(hud_similarity, 6) AS hud_similarity, round(compression_similarity, 6) AS compression_similarity, round(fallback_rate, 6) AS fallback_rate, round(leakage_rate, 6) AS leakage_rate,
+  round(artifact_rate, 6) AS artifact_rate, round(object_hf - bg_hf, 6) AS delta_hf, round(validity, 6) AS validity, array_to_string(missing, ',') AS missing, validity >= 0.2 AS passes FROM s""")
+
+
+def q84_roi_candidates(spark, sf):
+    """Every box is a case of its own, named by its frame and number."""
+    own = X.boxes(spark, sf).select(F.concat_ws("-", "frame", "n", "x", "y", "w", "returned").alias("case_id"), *[F.when(~F.col("returned"), F.col(c)).alias(c) for c in "xywh"], (F.col("x") / 2 + 160).alias("bx"), (F.col("y") / 2 + 90).alias("by")).distinct()
+    return regions.candidates(own, X.WIDTH, X.HEIGHT)
+
+
+def _clip(x, y, w, h):
+    return f"greatest(0, least(639, CAST(round_even({x}, 0) AS INTEGER))) AS x, greatest(0, least(359, CAST(round_even({y}, 0) AS INTEGER))) AS y, CAST(round_even({w}, 0) AS INTEGER) AS w, CAST(round_even({h}, 0) AS INTEGER) AS h"
+
+
+_MANUAL = " UNION ALL ".join(f"SELECT case_id, {i + 1} AS k, 'manual_center_{s}' AS name, {_clip(f'321.6 - {s} / 2.0', f'183.7 - {s} / 2.0', s, s)} FROM one" for i, s in enumerate(regions.SIDES))
+Q84 = q(BOX, f"""
+, one AS (SELECT concat_ws('-', frame, n, x, y, w, returned) AS case_id, x, y, w, h, returned FROM box GROUP BY ALL),
+every AS (SELECT case_id, 0 AS k, 'pipeline_auto_current' AS name, {_clip('x * 1.0', 'y * 1.0', 'w * 1.0', 'h * 1.0')} FROM one WHERE NOT returned UNION ALL {_MANUAL} UNION ALL SELECT case_id, 4, 'central_brightness_peak', {_clip('x / 2 + 160 - 48', 'y / 2 + 90 - 48', 96, 96)} FROM one),
+cut AS (SELECT case_id, k, name, x, y, greatest(4, least(w, 640 - x)) AS w, greatest(4, least(h, 360 - y)) AS h FROM every)
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY k) - 1 AS INTEGER) AS ord, name, x, y, w, h FROM cut""")
+
+
+def q85_source_rules(spark, sf):
+    """How documents, taken as source texts, would be resolved: infrared or not, and the default region of their size."""
+    n = F.col("n_chars")
+    whole = regions.whole_entity(n % 640 + 64, n % 360 + 36)
+    rows = X.read(spark, sf, "documents").select("doc_id", regions.infrared_mode(F.col("text"), n / F.lit(100.0)).alias("ir_mode"), regions.roi_mode(F.col("lang"), n, n).alias("roi_mode"), *[c.alias(f"entity_{k}") for c, k in zip(whole, "xywh")])
+    return rows.withColumns({"at": regions.frame_at(F.col("doc_id") - 5, F.lit(100)), "confident": regions.core_confident(F.col("entity_w"))})
+
+
+Q85 = """SELECT doc_id, CASE WHEN coalesce(lower(text) LIKE '%flir%' OR lower(text) LIKE '%thermal%' OR lower(text) LIKE '%infrared%', false) OR n_chars / 100.0 < 4 THEN 'true_ir_unknown_calibration' ELSE 'pseudo_intensity_only' END AS ir_mode,
+  CASE WHEN lang = 'manual' AND n_chars > 0 THEN 'configured' WHEN lang IN ('auto', 'auto-brightness') OR coalesce(n_chars, 0) = 0 THEN 'auto_brightness' ELSE 'configured' END AS roi_mode,
+  CAST(floor(round((n_chars % 640 + 64) * 0.15, 9)) AS INTEGER) AS entity_x, CAST(floor(round((n_chars % 360 + 36) * 0.06, 9)) AS INTEGER) AS entity_y, CAST(floor(round((n_chars % 640 + 64) * 0.70, 9)) AS INTEGER) AS entity_w, CAST(floor(round((n_chars % 360 + 36) * 0.88, 9)) AS INTEGER) AS entity_h,
+  greatest(0, least(99, doc_id - 5)) AS at, CAST(floor(round((n_chars % 640 + 64) * 0.70, 9)) AS INTEGER) > 12 AS confident FROM documents"""
+
+
+def q86_patch_choices(spark, sf):
+    """Patches of 16 pixels under the eight background choices and beside a whole structure's core."""
+    rows = X.read(spark, sf, "lineitem").select((F.col("l_partkey") % 700).cast("int").alias("x0"), (F.col("l_suppkey") * 7 % 400).cast("int").alias("y0"), F.col("l_discount").alias("mean"), (F.col("l_tax") * 12).alias("high"), (F.col("l_returnflag") == "R").alias("quiet"))
+    x, y = regions.patch_corner(F.col("x0"), F.col("y0"), 16, X.WIDTH, X.HEIGHT)
+    rows = rows.withColumns({"x": x, "y": y})
+    roi = tuple(F.lit(v) for v in (200, 100, 120, 90))
+    tests = regions.patch_grid_choices(F.col("x"), F.col("y"), 16, X.WIDTH, X.HEIGHT, roi, F.col("mean"), F.col("high"), F.col("quiet"))
+    tests["beside_core"] = regions.beside_core(F.col("x"), F.col("y"), 16, X.WIDTH, X.HEIGHT, F.col("high"))
+    chosen = rows.select("x", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))).alias("strategy"))
+    return chosen.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"))
+
+
+_OUT = "NOT (x < 320 AND x + 16 > 200 AND y < 190 AND y + 16 > 100)"
+_TESTS = {
+    "dark_strict": "mean < 0.055 AND high < 0.20", "corners": "(x < 115.2 OR x > 508.8) AND (y < 64.8 OR y > 279.2)", "outside_roi": _OUT, "outside_central_zone": "NOT (x < 448.0 AND x + 16 > 192.0 AND y < 252.0 AND y + 16 > 108.0)", "low_activity_frames": f"{_OUT} AND quiet",
+    "all_frames_excluding_roi": _OUT, "exclude_saturated": f"{_OUT} AND high < 0.92", "brightness_threshold_loose": f"{_OUT} AND mean < 0.25", "beside_core": "NOT (x < 460 AND x + 16 > 179 AND y < 280 AND y + 16 > 79) AND high < 0.94",
+}
+Q86 = "WITH p AS (SELECT greatest(0, least(624, l_partkey % 700)) AS x, greatest(0, least(344, l_suppkey * 7 % 400)) AS y, l_discount AS mean, l_tax * 12 AS high, l_returnflag = 'R' AS quiet FROM lineitem)\n" + " UNION ALL ".join(f"SELECT '{k}' AS strategy, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x FROM p WHERE {t} HAVING count(*) > 0" for k, t in _TESTS.items())
+
+
+def q87_review_frames(spark, sf):
+    return regions.review_frames(X.tracks(spark, sf).select("case_id", "frame", F.col("cx").alias("diff")), "diff")
+
+
+Q87 = q(TRACK, """
+, n AS (SELECT case_id, frame, cx, row_number() OVER (PARTITION BY case_id ORDER BY frame) - 1 AS spot, count(*) OVER (PARTITION BY case_id) AS n FROM track),
+g AS (SELECT case_id, min(frame) AS a, min(frame) FILTER (spot = n // 2) AS b, max(frame) AS c, arg_min(frame, (-cx, frame)) AS d FROM n GROUP BY case_id),
+u AS (SELECT DISTINCT case_id, frame FROM (SELECT case_id, unnest([a, b, c, d]) AS frame FROM g))
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY frame) - 1 AS INTEGER) AS ord, frame FROM u""")
+OUTPUTS = [o for _, needed in regions.READY for o in needed]
+MODULES = ["overview", "roi", "motion", "spectral", "thermal", "srv", "controls", "pca", "autoencoder", "reports", "publicSummary", "gallery"]
+
+
+def q88_case_readiness(spark, sf):
+    """Every order is an output of its customer's case; the track is there with a first order, and validated where one is finished."""
+    names = F.array(*[F.lit(o) for o in OUTPUTS])
+    orders = X.read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set(F.get(names, F.pmod("o_orderkey", F.lit(len(OUTPUTS))).cast("int"))).alias("got"), F.max(F.col("o_orderstatus") == "F").alias("finished"), F.max("o_orderpriority").alias("last"))
+    rows = X.read(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    outputs = F.when(F.col("got").isNotNull(), F.array_union("got", F.array(F.lit("track"), F.lit("track_based_metrics"), F.lit("dynamic_rois_json")))).otherwise(F.array().cast("array<string>"))
+    gates = regions.readiness(outputs, F.when(F.col("last") < "5", "tracking_failed"), F.col("finished"), F.col("c_mktsegment"), "BUILDING")
+    rows = rows.select("c_custkey", *[g.alias(n) for n, g in gates.items()])
+    held = {n: F.col(n) for n in gates}
+    return rows.select(
+        F.col("c_custkey").alias("case_id"), regions.review_status(held).alias("review"), F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in gates]))), ",").alias("open_gates"),
+        F.array_join(F.array_compact(F.array(*[F.when(~regions.module_lock(F.lit(m), held)["locked"], F.concat(F.lit(m + ":"), regions.module_lock(F.lit(m), held)["status"])) for m in MODULES])), ",").alias("unlocked"),
+    )
+
+
+def _unlocked(m):
+    gate = {"roi": "track_based_analysis_ready"}.get(m, f"{m}_analysis_ready")
+    if m in ("overview", "video"):
+        return f"'{m}:ready'"
+    done = f"CASE WHEN {gate} THEN '{m}:available' ELSE '{m}:validated' END"
+    if m == "roi":
+        return f"CASE WHEN tracking_validated THEN {done} END"
+    if m == "reports":
+        done = "'reports:available'"
+    elif m == "publicSummary":
+        done = "'publicSummary:' || CASE WHEN reddit_template_ready THEN 'available' WHEN unified_report_ready THEN 'validated' ELSE 'pending' END"
+    elif m == "gallery":
+        done = "'gallery:placeholder'"
+    return f"CASE WHEN tracking_validated AND track_based_analysis_ready THEN {done} END"
+
+
+_GATES = [n for n, _ in regions.READY] + ["tracking_validated", "clean_controls_v02_ready"]
+Q88 = (
+    f"WITH o AS (SELECT o_custkey, list(DISTINCT ({OUTPUTS!r})[CAST(o_orderkey % {len(OUTPUTS)} AS INTEGER) + 1]) AS got, max(o_orderstatus = 'F') AS finished, max(o_orderpriority) AS last FROM orders GROUP BY 1),\n"
+    "r AS (SELECT c_custkey, c_mktsegment, finished, last, CASE WHEN got IS NULL THEN [] ELSE list_concat(got, ['track', 'track_based_metrics', 'dynamic_rois_json']) END AS got FROM customer LEFT JOIN o ON c_custkey = o_custkey),\n"
+    "a AS (SELECT *, " + ", ".join(f"list_has_all(got, {needed!r}) AS {n}" for n, needed in regions.READY) + " FROM r),\n"
+    "g AS (SELECT *, coalesce(finished, false) AND NOT coalesce(last < '5', false) AS tracking_validated, controls_analysis_ready AND c_mktsegment = 'BUILDING' AS clean_controls_v02_ready FROM a)\n"
+    "SELECT c_custkey AS case_id, CASE WHEN tracking_validated THEN 'tracking_human_validated' WHEN tracking_generated THEN 'tracking_unvalidated' ELSE 'tracking_required' END AS review,\n"
+    "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _GATES) + "], lambda x: x IS NOT NULL)), ',') AS open_gates, array_to_string(list_filter([" + ", ".join(map(_unlocked, MODULES)) + "], lambda x: x IS NOT NULL), ',') AS unlocked FROM g"
+)
+
+
+def q89_release_scan(spark, sf):
+    """Lines of a packed release, and of texts to be shown, that break a rule."""
+    lines = X.lines(spark, sf)
+    packed = T.scan(lines, rules=T.PACKAGE_RULES).select("doc_id", "line_no", "rule")
+    shown = lines.select("doc_id", "line_no", F.explode(T.placeholders(F.col("line"))).alias("i")).select("doc_id", "line_no", F.concat(F.lit("placeholder_"), F.col("i").cast("string")).alias("rule"))
+    return packed.unionByName(shown)
+
+
+_ALL = [(n, p) for _, n, p in T.PACKAGE_RULES] + [(f"placeholder_{i}", p) for i, p in enumerate(T.PLACEHOLDERS)]
+Q89 = q(LINE, "SELECT doc_id, line_no, rule FROM lines, (VALUES " + ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in _ALL) + ") AS rules(rule, pattern) WHERE regexp_matches(line, pattern)")
+
+
+def q90_labels_and_stamps(spark, sf):
+    o = X.read(spark, sf, "orders")
+    name = F.concat_ws("_", F.when(F.col("o_orderstatus") == "F", "DOD").when(F.col("o_orderstatus") == "O", "clip dod"), F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", T.case_label(F.col("o_orderkey").cast("string"), name).alias("label"), T.stamp(F.col("o_orderdate"), "record").alias("written"), T.stamp(F.col("o_orderdate"), "batch").alias("batch"))
+
+
+Q90 = "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'DOD_' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS label, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS written, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS batch FROM orders"
+
+QUERIES = {
+    "q82_control_grid": q82_control_grid, "q83_controls_summary": q83_controls_summary, "q84_roi_candidates": q84_roi_candidates, "q85_source_rules": q85_source_rules, "q86_patch_choices": q86_patch_choices,
+    "q87_review_frames": q87_review_frames, "q88_case_readiness": q88_case_readiness, "q89_release_scan": q89_release_scan, "q90_labels_and_stamps": q90_labels_and_stamps,
+}
+ORACLE_SQL = {k: globals()["Q" + k[1:3]] for k in QUERIES}

@@ -20,7 +20,7 @@ def _sql_pattern(p):
     return p.replace("'", "''")
 
 
-Q37 = q(LINE, "SELECT doc_id, line_no, severity, rule, substr(trim(line, ' '), 1, 180) AS preview FROM lines, (VALUES " + ", ".join(f"('{s}', '{n}', '{_sql_pattern(p)}')" for s, n, p in T.SCAN_RULES) + ") AS rules(severity, rule, pattern) WHERE regexp_matches(line, pattern)")
+Q37 = q(LINE, "SELECT doc_id, line_no, severity, rule, substr(trim(line, ' '), 1, 180) AS preview FROM lines, (VALUES " + ", ".join(f"('{s}', '{n}', '{_sql_pattern(p)}')" for s, n, p in [*T.SCAN_RULES, *T.DOCUMENT_RULES]) + ") AS rules(severity, rule, pattern) WHERE regexp_matches(line, pattern)")
 
 
 def _paths(spark, sf):
