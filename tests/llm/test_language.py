@@ -3,7 +3,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import documents, with_clashes
+from tests.llm.helpers import documents, with_clashes, words
+from trackweave.llm import language as L
 from trackweave.llm.language import declared_of, fit, host_of, identify, identify_documents, page_text, suffix_of, trigram_buckets
 
 STEMS = {"aa": ["bana", "nabu", "tari"], "bb": ["schrk", "pfutz", "gron"], "cc": ["ellou", "aiseau", "que"]}
@@ -58,3 +59,46 @@ def test_empty_table_and_no_labels(spark):
     assert identify_documents(docs.where("false")).count() == 0
     assert {r.lang for r in identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).select("language.lang").collect()} == {"und"}
     assert np.isfinite(fit(docs).table).all()
+
+
+def test_posterior_matches_brute_force(spark):
+    """Every document's fused posterior, from the model's likelihoods and priors counted in Python."""
+    langs = ["de", "en"]
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(L.BUCKETS), 2)).astype("<f4")
+    model = L.Model(langs, logs)
+    rows = [(i, " ".join(words(i, 3 + i % 5, 60)), f"h{i % 3}.{'ab'[i % 2]}" if i % 7 else None, ["de", "en", "xx", None][i % 4]) for i in range(40)] + [(40, None, "h1.a", "de"), (41, "", "h9.a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, said string").withColumn("evidence", F.lit("x"))
+    got = {r.doc_id: r.language for r in L.identify(docs, model, F.col("text"), F.col("host"), L.suffix_of(F.col("host")), F.col("said")).collect()}
+
+    def soft(x):
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    own = {i: model.log_likelihoods([t])[0] for i, t, _, _ in rows}
+    place = lambda h: ((h or "").rpartition(".")[2] if "." in (h or "") else "", h or "")
+    by_host, by_suffix, whole = {}, {}, np.zeros(2)
+    for i, _, h, _ in rows:
+        if own[i][0] > 0:
+            p = np.round(soft(own[i][1:]) * L.UNIT) / L.UNIT
+            by_host[place(h)] = by_host.get(place(h), 0) + p
+            by_suffix[place(h)[0]] = by_suffix.get(place(h)[0], 0) + p
+            whole = whole + p
+    base = (whole + 1) / (whole.sum() + 2)
+    mix = lambda c, below: (c + 20 * below) / (c.sum() + 20)
+    for i, _, h, said in rows:
+        if own[i][0] == 0:
+            assert got[i].rejected and got[i].lang == "und"
+            continue
+        prior = mix(by_host[place(h)], mix(by_suffix[place(h)[0]], base))
+        evidence = np.array([0.0, 0.0]) if said not in langs else np.array([np.log(0.9 if x == said else 0.1) for x in langs])
+        want = soft(own[i][1:] + evidence + np.log(prior))
+        assert got[i].lang == langs[int(want.argmax())] and abs(got[i].posterior - want.max()) < 1e-9
+
+
+def test_text_of_no_known_language_is_rejected(spark):
+    known = [" ".join(words(k, 60, 300)) for k in range(30)]
+    strange = ["".join(chr(0x4E00 + (i * j * 37) % 5000) for i in range(200)) for j in (1, 2, 3)]
+    rows = [(i, t, "en") for i, t in enumerate(known)] + [(100 + i, t, None) for i, t in enumerate(strange)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "language": F.lit("x")})
+    left = L.recognised(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(30)) and left.first().language == "x"

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns_of, read, short_batches, table
+from .common import columns_of, read, short_batches, table, unused
 
 BUCKETS = 1 << 16
 #: Neighbouring trigrams overlap, so each counts a third; beyond this many effective ones a text says no more.
 OVERLAP, MOST_GRAMS = 1 / 3, 300.0
+#: Share of a language's probability that all buckets have alike, seen or not; trigrams from which a text is held against chance.
+ALIKE, JUDGED = 0.05, 24
 #: A soft count is summed as an integer of this unit, so sums do not depend on their order.
 UNIT = 1_000_000
 
@@ -66,24 +68,28 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_a_language: int = 400, max_languages: int = 64) -> Model:
-    """Fit on at most ``rows_a_language`` labelled rows a language, the first in hash order; rows without label or text do not count.
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_a_language: int = 400) -> Model:
+    """Fit on at most ``rows_a_language`` labelled rows of every language, the first in hash order; rows without label or text do not count.
 
+    A bucket without a trigram of a language has the same probability in all of them, however large their samples.
     With no labelled row at all the model knows one language, 'und'.
     """
     rows = columns_of(labelled, id_col, text_col, label_col).toDF("id", "text", "label").where("label is not null and length(text) > 2")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
+    counts = rows.groupBy("label").count().collect()
     if not counts:
         return Model(["und"], np.full((1, BUCKETS), -np.log(BUCKETS), dtype=np.float32))
-    share = reduce(lambda c, r: c.when(F.col("label") == r["label"], F.lit(min(1.0, 3.0 * rows_a_language / r["count"]))), counts, F.when(F.lit(False), F.lit(0.0)))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 3.0 * rows_a_language / r["count"]))]), F.col("label"))
     drawn = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)) < share)
     drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("at") <= rows_a_language)
 
     def count(key, frame: pd.DataFrame) -> pd.DataFrame:
-        seen = np.bincount(trigram_buckets(frame["text"].tolist())[0], minlength=BUCKETS).astype(np.float64) + 0.1
-        return pd.DataFrame({"label": [key[0]], "logs": [np.log(seen / seen.sum()).astype("<f4").tobytes()]})
+        seen = np.bincount(trigram_buckets(frame["text"].tolist())[0], minlength=BUCKETS).astype(np.float64)
+        share = (1 - ALIKE) * seen / max(1.0, seen.sum()) + ALIKE / BUCKETS
+        return pd.DataFrame({"label": [key[0]], "logs": [np.log(share).astype("<f4").tobytes()]})
 
     found = sorted((r["label"], r["logs"]) for r in drawn.groupBy("label").applyInPandas(count, "label string, logs binary").collect())
+    if not found:
+        return Model(["und"], np.full((1, BUCKETS), -np.log(BUCKETS), dtype=np.float32))
     return Model([k for k, _ in found], np.stack([np.frombuffer(v, dtype="<f4") for _, v in found]))
 
 
@@ -93,10 +99,11 @@ def _softmax(logs: F.Column) -> F.Column:
     return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda s, y: s + y))
 
 
-def identify(docs: DataFrame, model: Model, text: F.Column, host: F.Column, suffix: F.Column | None = None, declared: F.Column | None = None, reliability: float = 0.9, smoothing: float = 20.0, least_posterior: float = 0.5) -> DataFrame:
-    """``docs`` with a struct ``language``: (lang, posterior, text_lang, n_grams, rejected).
+def identify(docs: DataFrame, model: Model, text: F.Column, host: F.Column, suffix: F.Column | None = None, declared: F.Column | None = None, reliability: float = 0.9, smoothing: float = 20.0, least_posterior: float = 0.5, into: str = "language") -> DataFrame:
+    """``docs`` with a struct ``into``: (lang, posterior, text_lang, n_grams, rejected).
 
-    Rejected: no trigram to judge (null or empty text), or no language reaches ``least_posterior``.
+    Rejected: no trigram to judge (null or empty text), no language that reaches ``least_posterior``, or a text of ``JUDGED`` trigrams or more
+    that chance (all buckets alike) explains better than any language: it is of none that the model knows.
     A null host or suffix is its own group; a declared language that the model does not know, or none,
     is no evidence; of equal posteriors the first language in alphabetical order wins. All rows and
     columns are kept. Texts are read twice and not shuffled; only the counts per host are, and they
@@ -106,15 +113,17 @@ def identify(docs: DataFrame, model: Model, text: F.Column, host: F.Column, suff
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     langs, n = model.langs, len(model.langs)
+    kept = [c for c in docs.columns if c != into]
+    ev, post, by = (unused(docs, c) for c in ("evidence", "posterior_of", "prior_of"))
 
     @F.pandas_udf("array<double>")
     def scores(texts: pd.Series) -> pd.Series:
         return pd.Series(list(shared.value.log_likelihoods(texts.tolist())))
 
-    named = docs.select("*", F.struct(scores(text.cast("string")).alias("scores"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce((suffix if suffix is not None else F.lit("")).cast("string"), F.lit("")).alias("suffix"), (F.lower(declared.cast("string")) if declared is not None else F.lit(None).cast("string")).alias("declared")).alias("_ev"))
-    own = F.slice("_ev.scores", 2, n)
+    named = docs.select("*", F.struct(scores(text.cast("string")).alias("scores"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce((suffix if suffix is not None else F.lit("")).cast("string"), F.lit("")).alias("suffix"), (F.lower(declared.cast("string")) if declared is not None else F.lit(None).cast("string")).alias("declared")).alias(ev))
+    own = F.slice(f"{ev}.scores", 2, n)
     soft = _softmax(own)
-    counted = named.where("_ev.scores[0] > 0").select(F.col("_ev.host").alias("host"), F.col("_ev.suffix").alias("suffix"), soft.alias("p"))
+    counted = named.where(F.col(f"{ev}.scores")[0] > 0).select(F.col(f"{ev}.host").alias("host"), F.col(f"{ev}.suffix").alias("suffix"), soft.alias("p"))
     sums = [F.sum(F.round(F.get("p", k) * UNIT).cast("long")).alias(f"c{k}") for k in range(n)]
     by_host = table(counted.groupBy("suffix", "host").agg(*sums), "language-hosts")
     cols = [f"c{k}" for k in range(n)]
@@ -126,20 +135,22 @@ def identify(docs: DataFrame, model: Model, text: F.Column, host: F.Column, suff
         return [(F.col(c) / float(UNIT) + smoothing * b) / (size + smoothing) for c, b in zip(counts, below)]
 
     by_suffix = by_host.groupBy("suffix").agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(cols)]).select("suffix", F.array(*smoothed([f"s{k}" for k in range(n)], [F.lit(x) for x in whole])).alias("below"))
-    priors = by_host.join(by_suffix, "suffix").select(F.col("suffix").alias("_suffix"), F.col("host").alias("_host"), F.array(*smoothed(cols, [F.get("below", k) for k in range(n)])).alias("_prior"))
-    priors = table(priors, "language-priors")
+    priors = by_host.join(by_suffix, "suffix").select(F.struct("suffix", "host", F.array(*smoothed(cols, [F.get("below", k) for k in range(n)])).alias("p")).alias("prior"))
+    priors = table(priors, "language-priors").withColumnRenamed("prior", by)
     off = float(np.log((1 - reliability) / max(1, n - 1))) if n > 1 else 0.0
-    say = F.array(*[F.when(F.col("_ev.declared").isin(langs), F.when(F.col("_ev.declared") == x, float(np.log(reliability))).otherwise(off)).otherwise(0.0) for x in langs])
-    prior = F.coalesce("_prior", F.array(*[F.lit(x) for x in whole]))
+    say = F.array(*[F.when(F.col(f"{ev}.declared").isin(langs), F.when(F.col(f"{ev}.declared") == x, float(np.log(reliability))).otherwise(off)).otherwise(0.0) for x in langs])
+    prior = F.coalesce(f"{by}.p", F.array(*[F.lit(x) for x in whole]))
     fused = F.zip_with(F.zip_with(own, say, lambda a, b: a + b), prior, lambda a, b: a + F.ln(b))
-    joined = named.join(priors, (F.col("_ev.host") == F.col("_host")) & (F.col("_ev.suffix") == F.col("_suffix")), "left").withColumn("_post", _softmax(fused))
+    joined = named.join(priors, (F.col(f"{ev}.host") == F.col(f"{by}.host")) & (F.col(f"{ev}.suffix") == F.col(f"{by}.suffix")), "left").withColumn(post, _softmax(fused))
     pick = lambda p: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(p, F.array_max(p)).cast("int"))
-    some = F.col("_ev.scores")[0] > 0
+    grams = F.col(f"{ev}.scores")[0]
+    some, chance = grams > 0, -F.least(grams * OVERLAP, F.lit(MOST_GRAMS)) * float(np.log(BUCKETS))
+    unlike = (grams >= JUDGED) & (F.array_max(own) < chance) & F.lit(model.langs != ["und"])
     language = F.struct(
-        F.when(some, pick(F.col("_post"))).otherwise("und").alias("lang"), F.when(some, F.array_max("_post")).otherwise(0.0).alias("posterior"), F.when(some, pick(own)).otherwise("und").alias("text_lang"),
-        F.col("_ev.scores")[0].cast("long").alias("n_grams"), (~some | (F.array_max("_post") < least_posterior)).alias("rejected"),
+        F.when(some, pick(F.col(post))).otherwise("und").alias("lang"), F.when(some, F.array_max(post)).otherwise(0.0).alias("posterior"), F.when(some, pick(own)).otherwise("und").alias("text_lang"),
+        grams.cast("long").alias("n_grams"), (~some | (F.array_max(post) < least_posterior) | unlike).alias("rejected"),
     )
-    return joined.withColumn("language", language).drop("_ev", "_host", "_suffix", "_prior", "_post")
+    return joined.select(*[F.col(f"`{c}`") for c in kept], language.alias(into))
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -164,6 +175,12 @@ def identify_documents(docs: DataFrame, **options) -> DataFrame:
     return identify(docs, fit(docs), F.col("text"), F.col("source"), suffix_of(F.col("source")), declared_of(F.col("text")), **options)
 
 
+def recognised(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that :func:`identify_documents` rejects; all columns stay, whatever their names."""
+    name = unused(docs, "language")
+    return identify_documents(docs, into=name).where(~F.col(f"{name}.rejected")).drop(name)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read(spark, sf_dir, "documents")).select("doc_id", F.col("language.lang").alias("lang_pred"), F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.n_grams", "language.rejected")
 
