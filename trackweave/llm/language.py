@@ -22,8 +22,9 @@ from .common import columns_of, read, short_batches, table, unused
 BUCKETS = 1 << 16
 #: Neighbouring trigrams overlap, so each counts a third; beyond this many effective ones a text says no more.
 OVERLAP, MOST_GRAMS = 1 / 3, 300.0
-#: Share of a language's probability that all buckets have alike, seen or not; trigrams from which a text is held against chance.
-ALIKE, JUDGED = 0.05, 24
+#: Share of a language's probability that all buckets have alike, seen or not; trigrams from which a text is held against chance, and by how much
+#: a trigram chance must be the better explanation (a text of unseen trigrams alone is 3 behind), so that numbers and keys in a text do not reject it.
+ALIKE, JUDGED, MARGIN = 0.05, 24, 1.0
 #: A soft count is summed as an integer of this unit, so sums do not depend on their order.
 UNIT = 1_000_000
 
@@ -103,7 +104,7 @@ def identify(docs: DataFrame, model: Model, text: F.Column, host: F.Column, suff
     """``docs`` with a struct ``into``: (lang, posterior, text_lang, n_grams, rejected).
 
     Rejected: no trigram to judge (null or empty text), no language that reaches ``least_posterior``, or a text of ``JUDGED`` trigrams or more
-    that chance (all buckets alike) explains better than any language: it is of none that the model knows.
+    that chance (all buckets alike) explains better than any language by ``MARGIN`` a trigram: it is of none that the model knows.
     A null host or suffix is its own group; a declared language that the model does not know, or none,
     is no evidence; of equal posteriors the first language in alphabetical order wins. All rows and
     columns are kept. Texts are read twice and not shuffled; only the counts per host are, and they
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, model: Model, text: F.Column, host: F.Column, suff
     joined = named.join(priors, (F.col(f"{ev}.host") == F.col(f"{by}.host")) & (F.col(f"{ev}.suffix") == F.col(f"{by}.suffix")), "left").withColumn(post, _softmax(fused))
     pick = lambda p: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(p, F.array_max(p)).cast("int"))
     grams = F.col(f"{ev}.scores")[0]
-    some, chance = grams > 0, -F.least(grams * OVERLAP, F.lit(MOST_GRAMS)) * float(np.log(BUCKETS))
+    some, chance = grams > 0, -F.least(grams * OVERLAP, F.lit(MOST_GRAMS)) * float(np.log(BUCKETS) + MARGIN)
     unlike = (grams >= JUDGED) & (F.array_max(own) < chance) & F.lit(model.langs != ["und"])
     language = F.struct(
         F.when(some, pick(F.col(post))).otherwise("und").alias("lang"), F.when(some, F.array_max(post)).otherwise(0.0).alias("posterior"), F.when(some, pick(own)).otherwise("und").alias("text_lang"),
