@@ -11,6 +11,7 @@ from trackweave.functions import geometry as G
 from trackweave.functions import numbers as N
 from trackweave.functions import text as T
 from trackweave.functions import vectors as V
+from trackweave.operators import controls, regions
 from trackweave.operators import joins, metrics, ml, raster, rules, sampling, series, tracking
 from trackweave.sources import readers, sinks
 from trackweave.streaming import tracker as streams
@@ -242,3 +243,49 @@ def test_sources_and_sinks(spark, tmp_path):
     assert math.isclose(sinks.with_defaults(df, {"v": 9.0, "w": 1}).agg(F.sum("v")).first()[0], 10.5)
     assert [(r.tile_row, r.tile_column) for r in sinks.tile_layout(df, "frame", 1).orderBy("frame").collect()] == [(0, 0), (1, 0)]
     assert readers.text_lines(spark, f"{tmp_path}/r.csv").count() == 5
+
+
+def test_control_grid_and_record(spark):
+    got = [tuple(b) for b in value(spark, controls.control_grid(F.lit(10), F.lit(20), F.lit(8), F.lit(6), 40, 30))]
+    raw = [(10 + dx * 4, 20 + dy * 3) for dy in (-2, -1, 0, 1, 2) for dx in (-3, -2, -1, 1, 2, 3)]
+    raw += [(0, 0), (32, 0), (0, 24), (32, 24), (16, 0), (16, 24), (0, 12), (32, 12), (16, 12)]
+    assert got == list(dict.fromkeys((max(0, min(32, x)), max(0, min(24, y))) for x, y in raw))
+    schema = "case_id long, object_luminance double, near_luminance double, far_luminance double, hud_luminance double, compression_luminance double, object_hf double, background_hf double, object_flow double, background_flow double, clean_near boolean, clean_far boolean, clean_compression boolean, made map<string,boolean>, fallbacks int, leaks int, artifact_sum double, artifact_n int, accepted int, rejected int"
+    every = dict.fromkeys(controls.KINDS, True)
+    rows = [(1, 100.0, 80.0, 60.0, 50.0, 90.0, 0.4, 0.2, 1.0, 0.5, True, True, True, every, 0, 0, 0.06, 6, 9, 1), (1, 120.0, 90.0, None, None, None, 0.6, 0.4, 2.0, float("nan"), True, False, False, {"near_background": True}, 2, 1, 0.0, 4, 5, 5), (2, 10.0, None, None, None, None, None, None, None, None, False, False, False, {}, 6, 0, None, 0, 0, 3)]
+    found = {r.case_id: r for r in controls.controls_summary(spark.createDataFrame(rows, schema)).collect()}
+    a, b = found[1], found[2]
+    assert (a.object_luminance, a.near_luminance, a.far_luminance, a.background_luminance, a.delta_luminance) == (110.0, 85.0, 60.0, 72.5, 37.5)
+    assert math.isclose(a.background_similarity, 1 - 37.5 / 110) and math.isclose(a.compression_similarity, (1 - 20 / 110 + 1 - 0.2) / 2) and math.isclose(a.delta_flow, 1.0)
+    clean = 1 - 0.006 * 2.5 - 1 / 10 * 2 - 2 / 12
+    assert math.isclose(a.validity, clean * (1 + 0.5 + 0.5) / 3) and a.missing == [] and (a.accepted, a.rejected) == (14, 6)
+    assert b.artifact_rate == 1.0 and b.validity == 0.0 and b.missing == list(controls.KINDS)
+    assert {r.case_id for r in controls.controls_gate(spark.range(3).withColumnRenamed("id", "case_id"), spark.createDataFrame([(0, controls.VERSION, 0.45), (1, controls.VERSION, 0.44), (2, "older", 0.9)], "case_id long, controls_version string, validity double")).collect()} == {0}
+
+
+def test_regions_and_readiness(spark):
+    box = lambda b: tuple(value(spark, F.struct(*b)))
+    assert box(regions.centred(F.lit(321.6), F.lit(183.7), F.lit(64), F.lit(64), 640, 360)) == (290, 152, 64, 64) and box(regions.clipped(tuple(F.lit(v) for v in (-5.0, 358.5, 700.0, 9.0)), 640, 360)) == (0, 358, 640, 4)
+    assert box(regions.whole_entity(F.lit(640), F.lit(360))) == (96, 21, 448, 316) and [value(spark, regions.frame_at(F.lit(i), F.lit(5))) for i in (-2, 3, 9)] == [0, 3, 4]
+    modes = [value(spark, regions.roi_mode(F.lit(m).cast("string"), F.lit(w), F.lit(9))) for m, w in (("manual", 3), ("manual", 0), ("auto", 3), ("other", 3), (None, 3))]
+    assert modes == ["configured", "auto_brightness", "auto_brightness", "configured", "configured"]
+    assert [value(spark, regions.infrared_mode(F.lit(t), F.lit(d))) for t, d in (("a FLIR clip", 9.0), ("clip", 9.0), ("clip", 3.9))] == ["true_ir_unknown_calibration", "pseudo_intensity_only", "true_ir_unknown_calibration"]
+    assert [value(spark, regions.core_confident(F.lit(n))) for n in (12, 13)] == [False, True]
+    tests = regions.patch_grid_choices(F.lit(0), F.lit(0), 16, 640, 360, tuple(F.lit(v) for v in (10, 10, 20, 20)), F.lit(0.05), F.lit(0.95), F.lit(True))
+    assert [k for k, t in tests.items() if value(spark, t)] == ["corners", "outside_central_zone"] and not value(spark, regions.beside_core(F.lit(320), F.lit(180), 16, 640, 360, F.lit(0.1)))
+    rows = spark.createDataFrame([(1, f, v) for f, v in ((3, 0.0), (5, 1.0), (9, 7.0), (11, 2.0), (20, 1.0))] + [(2, 4, 1.0)], "case_id long, frame long, d double")
+    assert sorted((r.case_id, r.ord, r.frame) for r in regions.review_frames(rows, "d").collect()) == [(1, 0, 3), (1, 1, 9), (1, 2, 20), (2, 0, 4)]
+    outputs = F.array(*[F.lit(o) for o in ("track", "track_based_metrics", "dynamic_rois_json", "motion_metrics", "motion_timeseries", "controls_metrics", "controls_timeseries")])
+    gates = regions.readiness(outputs, F.lit("tracking_good"), F.lit(True), F.lit("older"), controls.VERSION)
+    assert len(gates) == 15 and {k for k, g in gates.items() if value(spark, g)} == {"tracking_generated", "tracking_validated", "track_based_analysis_ready", "motion_analysis_ready", "controls_analysis_ready"}
+    assert value(spark, regions.review_status(gates)) == "tracking_human_validated" and [tuple(value(spark, regions.module_lock(F.lit(m), gates))) for m in ("video", "motion", "pca", "publicSummary", "x")] == [("ready", False), ("available", False), ("validated", False), ("pending", False), ("placeholder", False)]
+    shares = spark.createDataFrame([(1, k, k / 10) for k in range(1, 9)], "case_id long, component int, cumulative double")
+    errors, sweep = spark.createDataFrame([(1, 2.0), (1, 4.0)], "case_id long, z double"), spark.createDataFrame([(1, 9.0, "unstable"), (1, 3.0, "public_safe")], "case_id long, zscore double, class string")
+    assert tuple(regions.known_metrics(shares, errors, sweep).first()) == (1, 0.5, 0.8, 3.0, 4.0, 9.0, 1)
+    assert value(spark, T.placeholders(F.lit("filename: `unknown` and [edit me]"))) == [0, 7] and value(spark, T.case_label(F.lit("c1"), F.lit("clip dod-42.mp4"))) == "DOD_42" and value(spark, T.case_label(F.lit("c1"), F.lit("x"))) == "c1"
+
+
+def test_json_documents(spark, tmp_path):
+    sinks.write_documents(spark.createDataFrame([(1, "é", None), (2, "b", 3.5)], "case_id long, name string, score double"), f"{tmp_path}/docs")
+    back = sorted((r.case_id, json.loads(r.value)) for r in spark.read.text(f"{tmp_path}/docs").collect())
+    assert back == [(1, {"name": "é", "score": None}), (2, {"name": "b", "score": 3.5})]

@@ -11,12 +11,28 @@ MOTION_COLUMNS = ["frame", "timestamp", "centroid_x", "centroid_y", "bbox_x", "b
 ROI_COLUMNS = ["frame", "status", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "expanded_x", "expanded_y", "expanded_w", "expanded_h", "centroid_x", "centroid_y", "area", "confidence"]
 
 
+def motion_table(df: DataFrame) -> DataFrame:
+    """The motion series under its file's columns; those a frame has not are blank."""
+    names = {"cx": "centroid_x", "cy": "centroid_y", "x": "bbox_x", "y": "bbox_y", "w": "bbox_w", "h": "bbox_h", "velocity": "velocity_px_per_frame", "acceleration": "acceleration_px_per_frame2", "status": "track_status"}
+    rows = df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+    if {"bbox_w", "bbox_h"} <= set(rows.columns):
+        rows = rows.withColumn("bbox_area", F.col("bbox_w") * F.col("bbox_h"))
+    return rows.select("case_id", *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in MOTION_COLUMNS])
+
+
 def write_table(df: DataFrame, path: str, columns: list[str], by: str = "case_id") -> None:
     """CSV files of fixed columns, a folder for each case; missing columns and nulls are blank."""
     shown = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
     df.select(by, *shown).write.mode("overwrite").partitionBy(by).option("header", True).option("nullValue", "").csv(path)
 
 
+def write_documents(df: DataFrame, path: str, by: str = "case_id") -> None:
+    """A JSON document for each row, nulls written out, in a folder for each case."""
+    rest = [c for c in df.columns if c != by]
+    doc = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    df.select(by, doc.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+
+
 def flat_boxes(df: DataFrame, *boxes: str) -> DataFrame:
     """Struct boxes as columns name_x .. name_h."""
     for b in boxes:
