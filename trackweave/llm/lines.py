@@ -9,13 +9,15 @@ pieces' remains after t characters are taken out or masked, so no group is paire
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns_of, read, table, unused
 
 EDITS, NEAR_CHARS = 2, 20
-#: Members of a key up to which they are paired; characters that are counted to compare two lines before their distance.
+#: Members of a key up to which they are compared; characters that are counted to tell two lines apart before their distance.
 CROWD, COUNTED = 512, "etaonirshdlu"
 #: Pieces of a line in a crowded segment: so many at least, and none longer than PIECE characters.
 FINER, PIECE = 16, 32
@@ -209,10 +211,23 @@ def _met(rows: DataFrame, name: str) -> DataFrame:
     return table(rows.join(table(keys, f"{name}-keys").hint("merge"), "key"), name)
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    few = members.where(F.col("n") <= CROWD).select("key", "kind", "id")
+def letters_of(line: Column) -> Column:
+    """How often a line has each of the ``COUNTED`` characters, modulo 32, in five bits each."""
+    parts = [F.shiftleft(F.pmod(F.length(line) - F.length(F.replace(line, F.lit(c))), F.lit(32)).cast("long"), 5 * i) for i, c in enumerate(COUNTED)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """Sum of the counts' differences, never more than the true one; an edit changes two counts by one at most."""
+    gaps = [(F.shiftright(a, 5 * i) - F.shiftright(b, 5 * i)).bitwiseAND(F.lit(31)) for i in range(len(COUNTED))]
+    return reduce(lambda x, y: x + y, [F.least(g, 32 - g) for g in gaps])
+
+
+def _candidates(members: DataFrame, edits: int) -> DataFrame:
+    few = members.where(F.col("n") <= CROWD).select("key", "kind", "id", "letters")
     a, b = few.alias("a"), few.where("kind = 0").alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.kind") == 1) | (F.col("a.id") < F.col("b.id"))))
+    both = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.kind") == 1) | (F.col("a.id") < F.col("b.id")))
+    pairs = a.join(b, both & (letters_apart(F.col("a.letters"), F.col("b.letters")) <= 2 * edits))
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
@@ -224,28 +239,26 @@ def line_links(firsts: DataFrame, lines: DataFrame, near_chars: int, edits: int)
     """
     kinds = [0 if d == s == 0 else 1 for _, d, s in placements(edits)]
     near = firsts.where(F.col("n") >= near_chars)
-    rows = near.select(F.col("h1").alias("id"), F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])).alias("s")).select("id", "s.key", "s.kind")
+    rows = near.select(F.col("h1").alias("id"), "letters", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])).alias("s")).select("id", "letters", "s.key", "s.kind")
     members = _met(rows, "line-segments")
     wanted = table(near.join(members.select(F.col("id").alias("h1")), "h1", "left_semi").select("h1", "h2", "first.doc_id", "first.pos"), "line-wanted").hint("merge")
     places = [F.col(f"l.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("h1", "h2", "doc_id", "pos")]
     texts = lines.alias("l").join(wanted.alias("w"), places[0] & places[1] & places[2] & places[3], "left_semi")
-    counts = F.array(*[F.length("line") - F.length(F.replace("line", F.lit(c))) for c in COUNTED])
-    texts = table(texts.select("h1", "h2", F.struct("doc_id", "pos").alias("first"), "line", counts.alias("counts")), "line-texts")
+    texts = table(texts.select("h1", "h2", F.struct("doc_id", "pos").alias("first"), "line"), "line-texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:  # an edit changes two counts by one at most
-        side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"l{x}"), F.col("counts").alias(f"c{x}"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"l{x}"))
         both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((F.abs(F.length("la") - F.length("lb")) <= edits) & (F.col("la") != F.col("lb")))
-        apart = sum((F.abs(F.get("ca", F.lit(i)) - F.get("cb", F.lit(i))) for i in range(1, len(COUNTED))), F.abs(F.get("ca", F.lit(0)) - F.get("cb", F.lit(0))))
-        both = both.where(apart <= 2 * edits).where(near_distance(F.col("la"), F.col("lb"), edits) <= edits)
+        both = both.where(near_distance(F.col("la"), F.col("lb"), edits) <= edits)
         return both.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2"), F.col("fb").alias("other")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"), F.col("fa").alias("other")))).alias("x")).select("x.*")
 
     crowd = members.where(F.col("n") > CROWD)
     if not crowd.limit(1).count():
-        return verified(_candidates(members))
+        return verified(_candidates(members, edits))
     hot = texts.join(crowd.select(F.col("id").alias("h1")), "h1", "left_semi")
-    finer = hot.select(F.col("h1").alias("id"), "h2", "first", F.explode(piece_keys(F.col("line"), F.length("line"), edits)).alias("s")).select("id", "h2", "first", "s.*")
+    finer = hot.select(F.col("h1").alias("id"), "h2", "first", letters_of(F.col("line")).alias("letters"), F.explode(piece_keys(F.col("line"), F.length("line"), edits)).alias("s")).select("id", "h2", "first", "letters", "s.*")
     finer = _met(finer, "line-finer")
-    out = verified(_candidates(members).union(_candidates(finer)))
+    out = verified(_candidates(members, edits).union(_candidates(finer, edits)))
 
     # still crowded: lines that meet under a worn key are near without being paired; each needs only the first place of the others
     left = finer.where(F.col("n") > CROWD).select(F.col("id").alias("h1"), "h2", "first", F.explode(worn_keys(F.col("key"), F.col("open"), edits)).alias("w"))
@@ -263,8 +276,8 @@ def line_verdicts(docs: DataFrame, near_chars: int = NEAR_CHARS, edits: int = ED
     some = lines.where(F.trim("line") != "")
     n = F.length("line")
     keys = [F.when(n >= near_chars, k).alias(f"k{i}") for i, k in enumerate(segment_keys(F.col("line"), n, edits))]
-    rows = some.select("h1", "h2", F.struct("doc_id", "pos").alias("at"), n.alias("n"), *keys)
-    firsts = rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    rows = some.select("h1", "h2", F.struct("doc_id", "pos").alias("at"), n.alias("n"), F.when(n >= near_chars, letters_of(F.col("line"))).alias("letters"), *keys)
+    firsts = rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), F.max("letters").alias("letters"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     firsts = table(firsts, "line-firsts")
     links = line_links(firsts, some.where(n >= near_chars), near_chars, edits).groupBy("h1", "h2").agg(F.min("other").alias("other"))
     near = F.coalesce(F.col("other") < F.col("first"), F.lit(False))
