@@ -56,7 +56,7 @@ def _frames(spark, sf):
 def q83_controls_summary(spark, sf):
     found = controls.controls_summary(_frames(spark, sf))
     passed = controls.controls_gate(found.select("case_id"), found, 0.2).withColumn("passes", F.lit(True))
-    shown = [F.round(c, 6).alias(c) for c in ("object_luminance", "background_luminance", "background_similarity", "hud_similarity", "compression_similarity", "fallback_rate", "leakage_rate", "artifact_rate", "delta_hf", "validity")]
+    shown = [F.round(c, 6).alias(c) for c in ("object_luminance", "background_luminance", "background_similarity", "hud_similarity", "compression_similarity", "fallback_rate", "leakage_rate", "validity")] + [F.round(c, 10).alias(c) for c in ("artifact_rate", "delta_hf")]
     return found.join(passed, "case_id", "left").select("case_id", "valid_frames", "accepted", "rejected", *shown, F.array_join("missing", ",").alias("missing"), F.coalesce("passes", F.lit(False)).alias("passes"))
 
 
@@ -75,7 +75,7 @@ h AS (SELECT *, CASE WHEN near_l <> 0 OR far_l <> 0 THEN (near_l + far_l) / 2 EL
 s AS (SELECT *, """ + _SIM.format(a="object_l", b="bg_l") + """ AS background_similarity, CASE WHEN hud_l <> 0 THEN """ + _SIM.format(a="object_l", b="hud_l") + """ ELSE 0.0 END AS hud_similarity, CASE WHEN comp_l <> 0 THEN (""" + _SIM.format(a="object_l", b="comp_l") + " + " + _SIM.format(a="object_hf", b="bg_hf") + """) / 2 ELSE 0.0 END AS compression_similarity,
   greatest(0.0, least(0.98, (1 - len(missing) / 6.0) * greatest(0.0, 1 - artifact_rate * 2.5 - leakage_rate * 2 - fallback_rate) * ((c_near + c_far + c_comp) / 3))) AS validity FROM h)
 SELECT case_id, valid_frames, accepted, rejected, round(object_l, 6) AS object_luminance, round(bg_l, 6) AS background_luminance, round(background_similarity, 6) AS background_similarity, round(hud_similarity, 6) AS hud_similarity, round(compression_similarity, 6) AS compression_similarity, round(fallback_rate, 6) AS fallback_rate, round(leakage_rate, 6) AS leakage_rate,
-  round(artifact_rate, 6) AS artifact_rate, round(object_hf - bg_hf, 6) AS delta_hf, round(validity, 6) AS validity, array_to_string(missing, ',') AS missing, validity >= 0.2 AS passes FROM s""")
+  round(artifact_rate, 10) AS artifact_rate, round(object_hf - bg_hf, 10) AS delta_hf, round(validity, 6) AS validity, array_to_string(missing, ',') AS missing, validity >= 0.2 AS passes FROM s""")
 
 
 def q84_roi_candidates(spark, sf):
