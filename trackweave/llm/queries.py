@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_cross_tokenizer
 from .ann import op6_ann
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .language import language_id_pages, op4_language_id
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scores": op10_lm_scores,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
     "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {
