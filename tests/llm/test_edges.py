@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, with_clashes, words
-from trackweave.llm import decontaminate, language, lines, lm, pii, pieces, queries, simhash, substrings
+from trackweave.llm import alignment, decontaminate, language, lines, lm, minhash, phrases, pieces, pii, queries, simhash, substrings
 
 
 @pytest.fixture(scope="module")
@@ -24,9 +24,11 @@ def test_every_row_comes_back(spark, docs):
     assert pii.find_personal_data(docs, pii.fit(docs)).count() == 9
     assert lm.score_documents(docs, held).count() == 9
     assert substrings.remove_repeats(docs).count() == 7
+    assert phrases.collocations(docs).where("phrase = 'long long'").count() == 1
+    assert minhash.minhash_groups(docs).count() == 9 and alignment.link_statistics(docs).count() == 9
     assert lines.dedup_lines(docs).count() == 9 and lines.dedup_lines(docs).columns == docs.columns
 
 
 def test_registered_queries_have_the_contract_columns():
-    assert [k for k in queries.QUERIES if k.startswith("op")] == [f"op{n}_{x}" for n, x in zip((1, 2, 3, 4, 5, 6, 7, 8, 9, 10), ("simhash_dedup", "decontaminate", "substring_dedup", "language_id", "pii", "ann", "sentencepiece", "line_dedup", "token_counts", "lm_scores"))]
+    assert [k for k in queries.QUERIES if k.startswith("op")] == [f"op{n}_{x}" for n, x in zip(range(1, 14), ("simhash_dedup", "decontaminate", "substring_dedup", "language_id", "pii", "ann", "sentencepiece", "line_dedup", "token_counts", "lm_scores", "phrase_collocations", "minhash_dedup", "cross_tokenizer"))]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

@@ -79,4 +79,4 @@ def test_empty_table_and_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     want = con.execute(phrases.OP11_SQL).fetchall()
     got = [tuple(r[c] for c in COLUMNS) for r in phrases.op11_phrase_collocations(spark, sf).collect()]
-    assert sorted(got) == sorted(want) and len(got) > 50
+    assert sorted(got) == sorted(want) and len(got) >= 50

@@ -8,6 +8,7 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .language import language_id_pages, op4_language_id
 from .lines import OP8_SQL, op8_line_dedup
 from .lm import op10_lm_scores
+from .minhash import OP12_SQL, op12_minhash_dedup
 from .phrases import OP11_SQL, op11_phrase_collocations
 from .pieces import op7_sentencepiece, op9_token_counts
 from .pii import op5_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_lm_scores": op10_lm_scores,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_cross_tokenizer": op13_cross_tokenizer,
     "language_id_pages": language_id_pages,
 }
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_phrase_collocations": OP11_SQL,
+    "op12_minhash_dedup": OP12_SQL,
 }
