@@ -76,11 +76,12 @@ def touches_edge(box: Box, width: float, height: float, share: float) -> Column:
     return (x <= width * share) | (y <= height * share) | (x + w >= width * (1 - share)) | (y + h >= height * (1 - share))
 
 
-def edge_artifact(box: Box, width: int, height: int) -> Column:
+def edge_artifact(box: Box, width: int | Column, height: int | Column) -> Column:
     """A candidate too small, too large, too wide, or tiny and at the edge."""
     _, _, w, h = box
-    share = (w * h) / float(width * height)
-    small = w * h < max(12.0, width * height * 0.000015)
+    whole = (F.lit(width) * F.lit(height)).cast("double")
+    share = (w * h) / whole
+    small = w * h < F.greatest(F.lit(12.0), whole * 0.000015)
     wide = (w > width * 0.65) | (h > height * 0.65)
     near = (box[0] <= width * 0.025) | (box[1] <= height * 0.025) | (box[0] + w >= width - width * 0.025) | (box[1] + h >= height - height * 0.025)
     return small | (share > 0.18) | wide | (near & (share < 0.0003))

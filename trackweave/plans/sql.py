@@ -25,6 +25,15 @@ MODULE = """
 own AS (SELECT o_custkey, count(*) AS n, sum(o_orderkey % 101) AS s, max(o_orderkey % 97) AS m FROM orders GROUP BY o_custkey),
 module AS (SELECT c_custkey AS case_id, n, (s % 11) / 10.0 AS motion, (s % 7) / 6.0 AS stability, (m % 13) / 12.0 AS spectral, (s % 17) / 16.0 / 5 AS thermal, (m % 19) / 18.0 AS controls, (s % 23) / 22.0 AS pca, (m % 29) / 28.0 AS anomaly, CAST(m % 6 AS DOUBLE) AS max_z FROM customer LEFT JOIN own ON c_custkey = o_custkey)"""
 
+FRAME = """
+vecs AS (SELECT vec_id // 25 AS frame, CAST(vec_id % 25 AS INTEGER) AS block, [CAST(floor(CAST(x AS DOUBLE) * 10000 + 0.5) AS BIGINT) FOR x IN embedding] AS v FROM embeddings),
+based AS (SELECT *, floor(list_sum(v[1:21]) * 4000 / 210000.0) AS bb, floor(list_sum(v[22:42]) * 4000 / 210000.0) AS bg, floor(list_sum(v[43:63]) * 4000 / 210000.0) AS br FROM vecs),
+tex AS (SELECT frame, block, bb, bg, br, unnest(range(0, 64)) AS p, unnest(v) AS t FROM based),
+painted AS (SELECT frame, (block // 5) * 8 + p // 8 AS y, (block % 5) * 8 + p % 8 AS x, greatest(0, least(255, 128 + bb + floor(t * 150 / 10000.0))) AS b, greatest(0, least(255, 128 + bg + floor(t * 150 / 10000.0))) AS g, greatest(0, least(255, 128 + br + floor(t * 150 / 10000.0))) AS r FROM tex),
+places AS (SELECT frame, k // 40 AS y, k % 40 AS x FROM (SELECT DISTINCT frame FROM vecs), (SELECT unnest(range(0, 1600)) AS k)),
+px AS (SELECT frame % 3 AS case_id, frame, y, x, CAST(coalesce(b, 0) AS INTEGER) AS b, CAST(coalesce(g, 0) AS INTEGER) AS g, CAST(coalesce(r, 0) AS INTEGER) AS r FROM places LEFT JOIN painted USING (frame, y, x)),
+gray AS (SELECT *, (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384 AS v FROM px)"""
+
 
 def q(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}{body}" if body.lstrip().startswith(",") else f"WITH {ctes.strip()}\n{body}"

@@ -76,3 +76,32 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", "n", share("s", 11).alias("motion"), share("s", 7).alias("stability"), share("m", 13).alias("spectral"), (share("s", 17) / 5).alias("thermal"),
         share("m", 19).alias("controls"), share("s", 23).alias("pca"), share("m", 29).alias("anomaly"), (F.col("m") % 6).cast("double").alias("max_z"),
     )
+
+
+#: Blocks of a frame along each axis, and pixels of a block along each axis.
+BLOCKS, BLOCK = 5, 8
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, frame, height, width, blue, green, red): colour frames put together from embeddings, 25 blocks of 8 x 8 pixels each.
+
+    A block's three base colours are the means of three parts of its vector, its 64 texture values the components; whole numbers throughout.
+    """
+    side, n = BLOCKS * BLOCK, BLOCKS * BLOCKS
+    whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10000 + 0.5))
+    v = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / n).alias("frame"), (F.col("vec_id") % n).cast("int").alias("block"), whole.alias("v"))
+    base = [F.floor(F.aggregate(F.slice("v", 21 * k + 1, 21), F.lit(0).cast("long"), lambda a, x: a + x) * 4000 / F.lit(210000.0)) for k in range(3)]
+    plane = lambda b: F.transform("v", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), 128 + b + F.floor(x * 150 / F.lit(10000.0)))).cast("int"))
+    tiles = v.select("frame", "block", *[plane(b).alias(name) for b, name in zip(base, ("blue", "green", "red"))])
+    held = tiles.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("blue", "green", "red")))).alias("m"))
+    at = F.sequence(F.lit(0), F.lit(side * side - 1))
+
+    def laid(name):
+        def pixel(i):
+            y, x = F.floor(i / side).cast("int"), i % side
+            block, inside = F.floor(y / BLOCK).cast("int") * BLOCKS + F.floor(x / BLOCK).cast("int"), (y % BLOCK) * BLOCK + x % BLOCK
+            return F.coalesce(F.get(F.element_at("m", block)[name], inside), F.lit(0))
+
+        return F.transform(at, pixel).alias(name)
+
+    return held.select((F.col("frame") % 3).alias("case_id"), "frame", F.lit(side).alias("height"), F.lit(side).alias("width"), laid("blue"), laid("green"), laid("red"))

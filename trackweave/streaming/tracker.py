@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackweave.operators.frames import CORE, core_step
 from trackweave.operators.tracking import FOLLOWED, Follower
 
 STATE = "x double, y double, vx double, vy double, area double, seen long, streak long"
@@ -37,3 +38,21 @@ def progress(lines: DataFrame, column: str = "value") -> DataFrame:
     get = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
     stage = get("stage", "string")
     return lines.select(F.when(stage.isNotNull(), "progress").otherwise("log").alias("kind"), stage.alias("stage"), get("frame", "int").alias("frame"), get("total", "int").alias("total"), get("percent", "double").alias("percent"), F.when(stage.isNull(), F.col(column)).otherwise(get("message", "string")).alias("message"))
+
+
+def core_stream(candidates: DataFrame) -> DataFrame:
+    """The batch operator ``core_track`` over a stream of its candidates: each case's last core, an array, is the state that goes on."""
+
+    def advance(key, batches, state: GroupState):
+        core = list(state.get[0]) if state.exists else None
+        out = []
+        for r in pd.concat(list(batches)).sort_values("frame", kind="stable").itertuples(index=False):
+            core, found = core_step(core, r.height, r.width, list(r.cores))
+            out.append((r.case_id, r.frame, *found, r.masked))
+        if core is not None:
+            state.update((core,))
+        rows = pd.DataFrame(out, columns=[c.split()[0] for c in CORE.split(", ")])
+        yield rows.astype(dict.fromkeys("xywh", "Int64"))
+
+    rows = candidates.select("case_id", "frame", "height", "width", "cores", "masked")
+    return rows.groupBy("case_id").applyInPandasWithState(advance, CORE, "core array<double>", "append", GroupStateTimeout.NoTimeout)
