@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from trackweave.operators import controls
 from trackweave.operators import frames as V
 from trackweave.operators import pixels as P
 from trackweave.operators import tiles as T
@@ -320,3 +321,51 @@ def test_candidate_boxes_equal_whole_frames(spark):
     got = T.candidate_boxes(gray_table(spark, stack), 32).collect()
     assert sorted((r.frame, r.source, r.x, r.y, r.w, r.h, r.pixels, round(r.contrast, 6), round(r.brightness, 6), round(r.dark_score, 6)) for r in got) == plain_candidates(stack)
     assert {r.source for r in got} == {"motion", "dark_elongated"} and all(r["rank"] >= 1 for r in got)
+
+
+def test_controls_from_pixels_to_the_gate(spark):
+    """One frame of 120 x 160 with a black block and texture, each step of the chain by hand."""
+    r = np.random.default_rng(14)
+    g = r.integers(80, 130, (1, 120, 160))
+    g[0, 40:80, 100:140] = 3
+    g[0, 52:58, 72:80] = 230
+    ox, oy, w, h = 70, 50, 12, 10
+    frame = table(spark, [(g, g.copy(), g.copy())]).selectExpr("*", f"{ox} AS x", f"{oy} AS y", f"{w} AS w", f"{h} AS h")
+    rows = {(c.x, c.y): c for c in controls.control_candidates(frame).collect()}
+    raw = [(ox + dx * 6, oy + dy * 5) for dy in (-2, -1, 0, 1, 2) for dx in (-3, -2, -1, 1, 2, 3)] + [(x, y) for x in (0, 74, 148) for y in (0, 55, 110)]
+    assert set(rows) == set(raw)
+    mask = P.artifact_parts(g, g, g)["mask"][0]
+    valid = []
+    for (x, y), c in rows.items():
+        crop, reasons = g[0, y : y + h, x : x + w], []
+        overlap = max(0, min(x, ox) + w - max(x, ox)) * max(0, min(y, oy) + h - max(y, oy)) / (w * h)
+        edge = min(1.0, max(0.0, min(x, y, 160 - x - w, 120 - y - h) / (min(w, h) * 0.5)))
+        shares = mask[y : y + h, x : x + w].mean(), (crop < 12).mean()
+        reasons += ["overlaps_object"] * (overlap > 0.02) + ["artifact_mask_ratio_high"] * int(shares[0] > 0.005) + ["black_block_ratio_high"] * int(shares[1] > 0.001) + ["too_close_to_edge"] * (edge < 0.12)
+        assert np.allclose((c.overlap, c.artifact_ratio, c.black, c.cyan, c.edge_score, c.texture, c.luminance), (overlap, *shares, 0, edge, crop.std(), crop.mean())) and list(c.reasons) == reasons
+        assert math.isclose(c.edges, plain_canny(crop, 50, 140).mean()) and math.isclose(c.object_luminance, g[0, oy : oy + h, ox : ox + w].mean())
+        valid += [c] * (not reasons)
+    picked = controls.control_frames(controls.control_candidates(frame)).first()
+    far = max(valid, key=lambda c: math.hypot(c.x - ox, c.y - oy))
+    near = min(valid, key=lambda c: (abs(math.hypot(c.x - ox, c.y - oy) - 14.4), c.ord))
+    flat = min(valid, key=lambda c: c.texture + c.edges * 100)
+    assert (picked.near_background.ord, picked.far_background.ord, picked.compression_noise.ord) == (near.ord, far.ord, flat.ord)
+    assert picked.random_background.ord in {c.ord for c in valid} and picked.hud_artifact.ord in {c.ord for c in rows.values() if c.artifact_ratio > 0.005} and (picked.accepted, picked.rejected) == (len(valid), len(rows) - len(valid))
+    assert math.isclose(picked.background_hf, (near.hf + far.hf + flat.hf) / 3) and picked.leaks == 0 and not picked.made["dark_region"] and picked.fallbacks == 1
+    record = controls.controls_summary(controls.control_frames(controls.control_candidates(frame)))
+    found = record.first()
+    assert math.isclose(found.validity, (6 / 7) * (1 - found.artifact_rate * 2.5 - 1 / 7)) and found.missing == ["dark_region"]
+    assert controls.controls_gate(frame.select("case_id"), record).count() == 1
+
+
+def test_controls_leak_and_missing(spark):
+    row = "struct<luminance: double, hf: double, artifact_ratio: double>"
+    kinds = list(controls.KINDS)
+    one = lambda a: (50.0, 0.5, a)
+    rows = [(1, 0, 10, 4, 60.0, 0.4, one(0.1), one(0.0), one(0.9), None, None, None, one(0.2)), (1, 1, 10, None, 60.0, 0.4, *[None] * 7)]
+    df = spark.createDataFrame(rows, "case_id long, frame long, n long, n_valid long, object_luminance double, object_hf double, " + ", ".join(f"{k} {row}" for k in kinds))
+    found = {r.frame: r for r in controls.record_inputs(df, {k: df[k] for k in kinds}).collect()}
+    assert math.isclose(found[0].artifact_mean, 0.1) and found[0].leaks == 2 and found[0].fallbacks == 3 and found[0].background_hf == 0.5
+    assert found[1].artifact_mean is None and found[1].fallbacks == 7 and (found[1].accepted, found[1].rejected) == (0, 10)
+    record = controls.controls_summary(controls.record_inputs(df, {k: df[k] for k in kinds})).first()
+    assert math.isclose(record.artifact_rate, (0.1 + 1.0) / 2) and math.isclose(record.leakage_rate, 2 / 12) and math.isclose(record.fallback_rate, 10 / 14)

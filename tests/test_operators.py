@@ -250,14 +250,14 @@ def test_control_grid_and_record(spark):
     raw = [(10 + dx * 4, 20 + dy * 3) for dy in (-2, -1, 0, 1, 2) for dx in (-3, -2, -1, 1, 2, 3)]
     raw += [(0, 0), (32, 0), (0, 24), (32, 24), (16, 0), (16, 24), (0, 12), (32, 12), (16, 12)]
     assert got == list(dict.fromkeys((max(0, min(32, x)), max(0, min(24, y))) for x, y in raw))
-    schema = "case_id long, object_luminance double, near_luminance double, far_luminance double, hud_luminance double, compression_luminance double, object_hf double, background_hf double, object_flow double, background_flow double, clean_near boolean, clean_far boolean, clean_compression boolean, made map<string,boolean>, fallbacks int, leaks int, artifact_sum double, artifact_n int, accepted int, rejected int"
+    schema = "case_id long, object_luminance double, near_luminance double, far_luminance double, hud_luminance double, compression_luminance double, object_hf double, background_hf double, object_flow double, background_flow double, clean_near boolean, clean_far boolean, clean_compression boolean, made map<string,boolean>, fallbacks int, leaks int, artifact_mean double, accepted int, rejected int"
     every = dict.fromkeys(controls.KINDS, True)
-    rows = [(1, 100.0, 80.0, 60.0, 50.0, 90.0, 0.4, 0.2, 1.0, 0.5, True, True, True, every, 0, 0, 0.06, 6, 9, 1), (1, 120.0, 90.0, None, None, None, 0.6, 0.4, 2.0, float("nan"), True, False, False, {"near_background": True}, 2, 1, 0.0, 4, 5, 5), (2, 10.0, None, None, None, None, None, None, None, None, False, False, False, {}, 6, 0, None, 0, 0, 3)]
+    rows = [(1, 100.0, 80.0, 60.0, 50.0, 90.0, 0.4, 0.2, 1.0, 0.5, True, True, True, every, 0, 0, 0.01, 9, 1), (1, 120.0, 90.0, None, None, None, 0.6, 0.4, 2.0, float("nan"), True, False, False, {"near_background": True}, 2, 1, 0.002, 5, 5), (2, 10.0, None, None, None, None, None, None, None, None, False, False, False, {}, 7, 0, None, 0, 3)]
     found = {r.case_id: r for r in controls.controls_summary(spark.createDataFrame(rows, schema)).collect()}
     a, b = found[1], found[2]
     assert (a.object_luminance, a.near_luminance, a.far_luminance, a.background_luminance, a.delta_luminance) == (110.0, 85.0, 60.0, 72.5, 37.5)
     assert math.isclose(a.background_similarity, 1 - 37.5 / 110) and math.isclose(a.compression_similarity, (1 - 20 / 110 + 1 - 0.2) / 2) and math.isclose(a.delta_flow, 1.0)
-    clean = 1 - 0.006 * 2.5 - 1 / 10 * 2 - 2 / 12
+    clean = 1 - 0.006 * 2.5 - 1 / 12 * 2 - 2 / 14
     assert math.isclose(a.validity, clean * (1 + 0.5 + 0.5) / 3) and a.missing == [] and (a.accepted, a.rejected) == (14, 6)
     assert b.artifact_rate == 1.0 and b.validity == 0.0 and b.missing == list(controls.KINDS)
     assert {r.case_id for r in controls.controls_gate(spark.range(3).withColumnRenamed("id", "case_id"), spark.createDataFrame([(0, controls.VERSION, 0.45), (1, controls.VERSION, 0.44), (2, "older", 0.9)], "case_id long, controls_version string, validity double")).collect()} == {0}

@@ -87,15 +87,17 @@ def line_score(w: Column, h: Column, edges: Column) -> Column:
     return F.greatest(thin, F.when((edges > 0.18) & ((aspect > 3) | (aspect < 0.33)), F.least(F.lit(1.0), edges * 3)).otherwise(0.0))
 
 
-def pick_controls(valid: DataFrame, invalid: DataFrame, near: float) -> DataFrame:
-    """Per frame the candidate of each control type, as ``ord``: nearest to a distance, farthest, darkest, brightest, flattest, worst overlay.
+def pick_controls(valid: DataFrame, invalid: DataFrame, near: float | Column, by: list[str] | None = None) -> DataFrame:
+    """Per frame the candidate of each control type, as ``ord``: nearest to a distance, farthest, darkest, brightest, flattest, drawn, worst overlay.
 
-    Columns: frame, ord, distance, luminance, texture, artifact_ratio; ties go to the least ``ord``.
+    Columns: frame (or ``by``), ord, distance, luminance, texture, edges, artifact_ratio, black, cyan, draw (a seeded order); ties go to the least ``ord``.
     """
     low = lambda c, test=None: F.min_by("ord", F.struct(c, F.col("ord"))) if test is None else F.min_by(F.when(test, F.col("ord")), F.when(test, F.struct(c, F.col("ord"))))
-    g = valid.groupBy("frame").agg(
+    by = by or ["frame"]
+    g = valid.groupBy(*by).agg(
         F.count("*").alias("n_valid"), low(F.abs(F.col("distance") - near)).alias("near_background"), low(-F.col("distance")).alias("far_background"), low(F.col("luminance"), F.col("luminance") < 95).alias("dark_region"),
-        low(-F.col("luminance"), F.col("luminance") > 90).alias("bright_region"), low(F.col("texture"), F.col("texture").between(4, 38)).alias("compression_noise"),
+        low(-F.col("luminance"), F.col("luminance") > 90).alias("bright_region"), low(F.col("texture") + F.col("edges") * 100, F.col("texture").between(4, 38)).alias("compression_noise"), low(F.col("draw")).alias("random_background"),
     )
-    h = invalid.groupBy("frame").agg(low(-F.col("artifact_ratio"), F.col("artifact_ratio") > 0.005).alias("hud_artifact"))
-    return g.join(h, "frame", "full_outer")
+    overlay = (F.col("artifact_ratio") > 0.005) | (F.col("black") > 0.001) | (F.col("cyan") > 0)
+    h = invalid.groupBy(*by).agg(low(-(F.col("artifact_ratio") + F.col("black") + F.col("cyan") * 50), overlay).alias("hud_artifact"))
+    return g.join(h, by, "full_outer")

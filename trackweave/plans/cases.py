@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from trackweave.functions import geometry as G
 from trackweave.functions import numbers as N
-from trackweave.operators import joins, metrics, rules, sampling
+from trackweave.operators import controls, joins, metrics, rules, sampling
+from trackweave.operators.sampling import hash_order
 from trackweave.plans.sql import BOX, CANDIDATE, CASE, MODULE, q
 from trackweave.sources import fixtures as X
 
@@ -60,7 +61,8 @@ def judged(spark, sf):
     zero = F.lit(0.0)
     reasons = rules.candidate_reasons(F.col("overlap"), F.col("artifact_ratio"), F.when(F.col("luminance") < 12, 1.0).otherwise(0.0), zero, F.col("edge_score"))
     distance = F.abs(F.col("texture") - 20) * 10
-    return X.candidates(spark, sf).withColumn("reasons", reasons).withColumn("distance", distance)
+    black, draw = F.when(F.col("luminance") < 12, 1.0).otherwise(0.0), hash_order(42, "frame", "ord.l_linenumber", "ord.l_partkey", "ord.l_suppkey")
+    return X.candidates(spark, sf).withColumns({"reasons": reasons, "distance": distance, "black": black, "cyan": zero, "edges": zero, "draw": draw})
 
 
 def q16_control_quality(spark, sf):
@@ -71,7 +73,7 @@ def q16_control_quality(spark, sf):
 JUDGED = CANDIDATE + """,
 judged AS (SELECT *, abs(texture - 20) * 10 AS distance, concat_ws(';', CASE WHEN overlap > 0.02 THEN 'overlaps_object' END, CASE WHEN artifact_ratio > 0.005 THEN 'artifact_mask_ratio_high' END, CASE WHEN luminance < 12 THEN 'black_block_ratio_high' END, CASE WHEN edge_score < 0.12 THEN 'too_close_to_edge' END) AS rejection_reason FROM candidate)"""
 Q16 = q(JUDGED, "SELECT rejection_reason, count(*) AS n, round(avg(texture), 4) AS mean_texture, round(max(overlap), 4) AS max_overlap, rejection_reason = '' AS valid_for_background FROM judged GROUP BY rejection_reason")
-KINDS = ["near_background", "far_background", "dark_region", "bright_region", "compression_noise", "hud_artifact"]
+KINDS = list(controls.KINDS)
 
 
 def picked(spark, sf):
@@ -86,8 +88,8 @@ def q17_control_pick(spark, sf):
 
 PICKED = JUDGED + """,
 good AS (SELECT frame, count(*) AS n_valid, arg_min(ord, (abs(distance - 50.0), ord)) AS near_background, arg_min(ord, (-distance, ord)) AS far_background, arg_min(ord, (luminance, ord)) FILTER (luminance < 95) AS dark_region, arg_min(ord, (-luminance, ord)) FILTER (luminance > 90) AS bright_region,
-  arg_min(ord, (texture, ord)) FILTER (texture BETWEEN 4 AND 38) AS compression_noise FROM judged WHERE rejection_reason = '' GROUP BY frame),
-bad AS (SELECT frame, arg_min(ord, (-artifact_ratio, ord)) FILTER (artifact_ratio > 0.005) AS hud_artifact FROM judged WHERE rejection_reason <> '' GROUP BY frame),
+  arg_min(ord, (texture, ord)) FILTER (texture BETWEEN 4 AND 38) AS compression_noise, arg_min(ord, (sha256(concat_ws('|', '42', frame, ord[1], ord[2], ord[3])), ord)) AS random_background FROM judged WHERE rejection_reason = '' GROUP BY frame),
+bad AS (SELECT frame, arg_min(ord, (-(artifact_ratio + CASE WHEN luminance < 12 THEN 1.0 ELSE 0.0 END), ord)) FILTER (artifact_ratio > 0.005 OR luminance < 12) AS hud_artifact FROM judged WHERE rejection_reason <> '' GROUP BY frame),
 picked AS (SELECT * FROM good FULL JOIN bad USING (frame))"""
 Q17 = q(PICKED, "SELECT frame, coalesce(n_valid, 0) AS n_valid, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN concat_ws('|', {c}[1], {c}[2], {c}[3]) END AS {c}" for c in KINDS) + " FROM picked")
 
