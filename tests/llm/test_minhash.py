@@ -89,8 +89,8 @@ def test_keys_guarantee_the_distance():
 
 def test_signature_distance_in_sql(spark):
     r = np.random.default_rng(2)
-    a = r.integers(0, 256, (50, 128), dtype=np.uint8)
-    b = np.where(r.random((50, 128)) < 0.3, r.integers(0, 256, (50, 128)), a).astype(np.uint8)
+    a = r.integers(0, 256, (50, 96), dtype=np.uint8)
+    b = np.where(r.random((50, 96)) < 0.3, r.integers(0, 256, (50, 96)), a).astype(np.uint8)
     df = spark.createDataFrame([(x.view("<i8").tolist(), y.view("<i8").tolist(), int((x != y).sum())) for x, y in zip(a, b)], "a array<long>, b array<long>, d int")
     assert df.where(minhash.differing("a", "b") != df["d"]).count() == 0
 

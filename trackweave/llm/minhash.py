@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .common import columns_of, connected_components, read, short_batches, signed, table
 from .simhash import BITS, shingle_hashes
 
-COMPONENTS, WORDS = 128, 16
+COMPONENTS, WORDS = 96, 12
 #: Members of a key up to which they are paired whole; rows of a tile of a larger one; parts that a set in many pairs is sent to.
 BUCKET, TILE, SALTS = 64, 512, 16
+#: One set of a crowd in so many is counted to rank its shingles, and so many ranks are kept: they bear on speed alone.
+RANK_SHARE, RANKS = 16, 100_000
 _RANDOM = np.random.default_rng(12)
 ODD = _RANDOM.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
@@ -30,7 +32,7 @@ LOWEST = 0x0101010101010101
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """128 bytes: of each of 128 orders of the shingle hashes, 8 bits of the least."""
+    """A byte for each order of the shingle hashes: 8 bits of the least."""
     least = np.full(COMPONENTS, np.uint64(2**64 - 1))
     for at in range(0, len(hashes), 512):  # bounds the memory of a very long text
         np.minimum(least, (hashes[at : at + 512, None] * ODD + ADD).min(axis=0), out=least)
@@ -157,17 +159,58 @@ def _near(pairs: DataFrame, firsts: DataFrame, percent: int, limit: int) -> Data
     return both.where(differing("sa", "sb") <= limit).select("a", "b")
 
 
-def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) over distinct sets: links (a, b) of similar sets that connect all that are similar, and (node, component) of linked sets.
+def crowded_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, percent: int, limit: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (node, component) in different components whose sizes and signatures allow the similarity.
 
-    Keys of up to ``BUCKET`` members give all their pairs. The members of a larger one first meet two of them, one that shares most keys with
-    others (the text that near copies were made of) and one by hash; members not yet in the component of the first then meet all
-    members in tiles of bounded size. So no pair is left out, and a group of near copies costs its members, not their pairs.
+    A similar pair shares one of the first shingles of either in any order common to all sets: all but ceil(percent of the size), and one. In
+    an order by how often a sample holds them, what makes a text unlike its fellows comes first, so a member of a crowd meets few others. Keys
+    within one component go; of the others, members outside the commonest component meet all in tiles of bounded size.
+    """
+    wanted = table(firsts.select("node", "doc_id").join(members.select("node"), "node", "left_semi"), "minhash-crowd-wanted")
+    sets = table(shingle_sets(docs, wanted, shingle), "minhash-crowd-sets")
+    sample = sets.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(RANK_SHARE)) == 0)
+    common = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(RANKS).collect()
+    ranks = docs.sparkSession.sparkContext.broadcast(tuple(np.array(v, np.int64) for v in (zip(*sorted((r["key"], r["count"]) for r in common)) if common else ([], []))))
+
+    def first(batches):
+        known, times = ranks.value
+        for b in batches:
+            nodes, keys = [], []
+            for node, own in zip(b.column(0).to_pylist(), b.column(1)):
+                own = own.values.to_numpy()
+                n = len(own)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.lexsort((own, np.where(known[at] == own, times[at], 0)))]
+                keys.append(own[: n + (-percent * n) // 100 + 1])
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (nodes, keys)], names=["node", "key"])
+
+    keyed_ = sets.select("node", "shingles").mapInArrow(first, "node long, key long").join(members, "node")
+    mixed = keyed_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    rows = table(keyed_.join(mixed, "key"), "minhash-crowd-keys")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    rows = rows.join(sizes.select("key", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("xs"), F.ceil(F.col("all") / TILE).cast("int").alias("ys")), "key")
+    rows = rows.join(firsts.select("node", "n", "sig"), "node").withColumn("out", F.col("component") != F.col("main"))
+    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    row = F.struct("node", "component", "out", "n", "sig")
+    left = rows.where("out").select("key", tile("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), row.alias("a"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), tile("ys").alias("y"), row.alias("b"))
+    met = (F.col("a.component") != F.col("b.component")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node"))) & size_fits(F.col("a.n"), F.col("b.n"), percent)
+    return left.join(right, ["key", "x", "y"]).where(met & (differing("a.sig", "b.sig") <= limit)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of those distinct sets that are linked to others: links of similar sets that connect all that are similar.
+
+    Keys of up to ``BUCKET`` members give all their pairs. The members of a larger one first meet one of them: the one that shares most keys with
+    others, as the text does that near copies were made of; each does so in its largest key and in one by hash. Keys whose members are then
+    not all in one component go on to :func:`crowded_pairs`. So no pair is left out, and a group of near copies costs its members, not their pairs.
     """
     limit = most_different(percent)
     rows = keyed(firsts.where((100 - percent) * F.col("n") >= percent), limit)  # smaller sets are similar to none but themselves
-    counts = table(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("m > 1"), "minhash-keys")
-    shared, more = docs.sparkSession.sparkContext.broadcast(bit_map(counts.where("m > 2"), "key")), counts.where("m > 2").select("key", "m")
+    counts = table(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-keys")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts, "key"))
 
     def passed(batches):
         for b in batches:
@@ -175,36 +218,32 @@ def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int
             yield b.select([0, 1]).filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
 
     through = rows.select("key", "node", F.pmod(F.xxhash64("key"), F.lit(BITS)).alias("bit")).mapInArrow(passed, "key long, node long")
-    many = table(through.join(more, "key"), "minhash-rows")
+    many = table(through.join(counts, "key"), "minhash-rows")
     a, b = many.where(F.col("m") <= BUCKET).alias("a"), many.where(F.col("m") <= BUCKET).alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     crowd = many.where(F.col("m") > BUCKET)
-    degree = crowd.groupBy("node").agg(F.sum("m").alias("degree"))
-    crowd = table(crowd.join(degree, "node"), "minhash-crowd")
-    centres = crowd.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("most"), F.min_by("node", F.xxhash64("node")).alias("any"))
+    own = crowd.groupBy("node").agg(F.sum("m").alias("degree"), F.max(F.struct("m", "key"))["key"].alias("one"), F.max_by("key", F.struct(F.xxhash64("key"), "key")).alias("other"))
+    own = table(own, "minhash-crowd")
+    centres = crowd.select("key", "node").join(own.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("a"))
     centres = table(centres, "minhash-centres")
-    stars = crowd.join(centres.select("key", F.explode(F.array("most", "any")).alias("a")), "key").where("a != node").select("a", F.col("node").alias("b"))
-    first = counts.where("m = 2").select("a", "b").union(few).union(stars).distinct()
+    stars = own.select("node", F.explode(F.array_distinct(F.array("one", "other"))).alias("key")).join(centres, "key").where("a != node").select("a", F.col("node").alias("b"))
+    first = few.union(stars).distinct()
     links = confirmed(_near(first, firsts, percent, limit), docs, firsts, shingle, percent, "first")
     groups = connected_components(links)
 
-    named = crowd.select("key", "node", "m").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = centres.select("key", F.col("most").alias("node")).join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("main"))
-    named = table(named.join(main, "key").withColumn("out", F.col("component") != F.col("main")), "minhash-named")
-    outside = named.where("out").groupBy("key").agg(F.count("*").alias("outside"))
-    rest = named.join(outside, "key").withColumn("xs", F.ceil(F.col("outside") / TILE).cast("int")).withColumn("ys", F.ceil(F.col("m") / TILE).cast("int"))
-    rest = rest.join(firsts.select("node", "n", "sig"), "node")
-    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    row = F.struct("node", "component", "out", "n", "sig")
-    left = rest.where("out").select("key", tile("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), row.alias("a"))
-    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), tile("ys").alias("y"), row.alias("b"))
-    met = (F.col("a.component") != F.col("b.component")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node"))) & size_fits(F.col("a.n"), F.col("b.n"), percent)
-    pairs = left.join(right, ["key", "x", "y"]).where(met & (differing("a.sig", "b.sig") <= limit)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    pairs = table(pairs.join(first.select(F.col("b").alias("a"), F.col("a").alias("b")).union(first.select("a", "b")), ["a", "b"], "left_anti"), "minhash-left")
-    if pairs.limit(1).count():
-        links = links.union(confirmed(pairs, docs, firsts, shingle, percent, "left"))
-        groups = connected_components(links)
-    return links, groups
+    named = crowd.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = table(named, "minhash-named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    members = table(named.join(mixed, "key").select("node", "component").distinct(), "minhash-members")
+    pairs = table(crowded_pairs(members, docs, firsts, shingle, percent, limit), "minhash-left")
+    if not pairs.limit(1).count():
+        return groups
+    more = confirmed(pairs, docs, firsts, shingle, percent, "left")
+    of = lambda x: members.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    joined = connected_components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = table(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "minhash-joined")
+    every = groups.union(joined.select("component", "component")).distinct()  # a set that was alone is its own component
+    return every.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
 def minhash_groups(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +259,7 @@ def minhash_groups(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col:
     docs = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = table(signatures(docs, shingle), "minhash-signatures")
     firsts = table(found.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n", "sig")).alias("f")).select("node", "f.doc_id", "f.n", "f.sig"), "minhash-firsts")
-    _, groups = minhash_links(docs, firsts, shingle, percent)
+    groups = minhash_links(docs, firsts, shingle, percent)
     named = table(firsts.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-components")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = table(named.join(least, "component").select("node", "component_id"), "minhash-groups")
