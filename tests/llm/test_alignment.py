@@ -73,6 +73,10 @@ def test_chunks_and_wide_groups_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK", 40)
     monkeypatch.setattr(alignment, "LINKS", 7)
     monkeypatch.setattr(alignment, "WIDE", 1)
+    monkeypatch.setattr(alignment, "FEW", 3)
+    monkeypatch.setattr(alignment, "KNOWN", 5)
+    monkeypatch.setattr(alignment, "SHORT", 6)
+    monkeypatch.setattr(alignment, "BATCH", 3)
     assert rows_of(alignment.link_statistics(documents(spark, TEXTS).repartition(2))) == list(enumerate(plain_statistics(TEXTS)))
 
 

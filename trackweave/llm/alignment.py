@@ -9,10 +9,12 @@ counted over the corpus by id pair.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,14 @@ from .pieces import MODEL, Vocabulary, spread
 
 BYTE_BPE = os.environ.get("TRACKWEAVE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
 SPAN = re.compile(rb"[^\x03]*\x03")
-#: Distinct pairs of documents that one chunk holds, about; links that are spelled out at a time; tokens of a group from which it is counted by distinct ids.
-CHUNK, LINKS, WIDE = 1 << 20, 1 << 20, 64
+#: Characters that may count as white space for a tokenizer: a space after one of them is no place to cut.
+WHITE = "\\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+UNIT = re.compile(f" [^ ]*(?:(?<=[{WHITE}]) [^ ]*)*")
+#: Units a task keeps, characters of the longest of these, and units that are encoded at a time.
+KNOWN, SHORT, BATCH = 300_000, 48, 4096
+#: Distinct pairs of documents that one chunk holds, about; links of a unit that are kept one by one, links of a longer one that are spelled
+#: out at a time; tokens of a group from which it is counted by distinct ids.
+CHUNK, FEW, LINKS, WIDE = 1 << 20, 1024, 1 << 20, 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -38,22 +46,47 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class Table:
-    """The bytes of every id of a tokenizer, one after another, and the ids in decimal with the two characters that may follow them."""
+class Names:
+    """The ids of a tokenizer in decimal, each with a comma after it, then each with ``end``: as bytes one after another."""
 
-    def __init__(self, raw: list[bytes], end: str):
-        self.sizes = np.array([len(x) for x in raw], np.int64)
-        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(raw), np.uint8)
-        names = [f"{i}{x}" for x in ("," + end) for i in range(len(raw))]
-        self.name_sizes = np.array([len(x) for x in names], np.int64)
-        self.name_starts, self.names = np.cumsum(self.name_sizes) - self.name_sizes, np.frombuffer("".join(names).encode(), np.uint8)
+    def __init__(self, n: int, end: str):
+        names = [f"{i}{x}" for x in ("," + end) for i in range(n)]
+        self.n, self.sizes = n, np.array([len(x) for x in names], np.int64)
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer("".join(names).encode(), np.uint8)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return self.bytes[spread(self.starts[ids], self.sizes[ids])].tobytes()
+
+class Encoded(NamedTuple):
+    """Tokens and groups of several texts, flat: ids of A and of B, how many of each make a group; and of each text its tokens, groups, and whether it has any."""
+
+    a: np.ndarray
+    b: np.ndarray
+    in_a: np.ndarray
+    in_b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    valid: np.ndarray
+    ends: np.ndarray
+
+
+class Unit(NamedTuple):
+    """Tokens, groups and links of a unit, its groups as text, its linked id pairs, and how often each stands there if not once a link."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    digits: bytes
+    pairs: bytes
+    times: bytes
 
 
 class Aligner:
-    """Encodes a text with both tokenizers and groups their tokens."""
+    """Encodes texts with both tokenizers and groups their tokens.
+
+    A text is cut before each space that follows a character that is no white space: no token of either kind crosses such a place, and
+    what stands after it has no bearing on the tokens before. So a unit, most often a word, is encoded once and kept.
+    """
 
     def __init__(self, byte_bpe: str, pieces: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -63,43 +96,103 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         alphabet, vocab = byte_alphabet(), json.loads(byte_bpe)["model"]["vocab"]
-        raw = [b""] * (max(vocab.values()) + 1)
+        self.a_raw = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            raw[i] = bytes(alphabet[c] for c in token)
-        self.a_table, self.b_table = Table(raw, "|"), Table(Vocabulary(pieces).raw, ";")
-        self.names = np.concatenate((self.a_table.names, self.b_table.names))
-
-    def groups(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(A's ids, B's ids, tokens of A in each group, tokens of B in each group); None where the text has no tokens."""
-        if not text:
-            return None
-        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
-        b = np.array(self.b.encode(text), np.int64)
-        raw = b" " + text.encode("utf-8", "surrogatepass")
-        if self.a_table.joined(a) != raw or self.b_table.joined(b) != raw:
-            return None
-        labels = np.zeros(len(raw), np.uint8)
-        labels[np.cumsum(self.a_table.sizes[a]) - 1] = 1
-        labels[np.cumsum(self.b_table.sizes[b]) - 1] += 2
+            self.a_raw[i] = bytes(alphabet[c] for c in token)
+        self.b_raw = Vocabulary(pieces).raw
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in raw], np.int64) for raw in (self.a_raw, self.b_raw))
+        self.a_names, self.b_names = Names(len(self.a_raw), "|"), Names(len(self.b_raw), ";")
+        self.names = np.concatenate((self.a_names.bytes, self.b_names.bytes))
+        self.before = len(self.b.encode("x"))
+        self.known: dict[str, Unit | None] = {}
+
+    def encode(self, texts: list[str]) -> Encoded:
+        """Of texts that begin with a space. One that either tokenizer does not give back byte for byte is not valid and has no tokens."""
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [x[self.before :] for x in self.b.encode(["x" + t for t in texts], num_threads=1)]  # the tokenizer's own space goes before the x
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        valid, chain = [True] * len(texts), itertools.chain.from_iterable
+        if not b"".join(map(self.a_raw.__getitem__, chain(a))) == b"".join(raw) == b"".join(map(self.b_raw.__getitem__, chain(b))):
+            valid = [b"".join([self.a_raw[i] for i in x]) == r == b"".join([self.b_raw[i] for i in y]) for x, y, r in zip(a, b, raw)]
+            a, b, raw = [[x if ok else type(x)() for x, ok in zip(side, valid)] for side in (a, b, raw)]
+        n_a, n_b, n_raw = (np.array([len(x) for x in side], np.int64) for side in (a, b, raw))
+        a, b = (np.fromiter(chain(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        labels = np.zeros(n_raw.sum(), np.uint8)
+        labels[np.cumsum(self.a_sizes[a]) - 1] = 1
+        labels[np.cumsum(self.b_sizes[b]) - 1] += 2
         sizes = np.fromiter(map(len, SPAN.findall(labels.tobytes())), np.int64)
-        starts = np.cumsum(sizes) - sizes
-        return a, b, np.add.reduceat(labels & 1, starts, dtype=np.int64), np.add.reduceat(labels >> 1, starts, dtype=np.int64)
-
-    def digest(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``: ids in decimal, taken from the tables of names."""
-        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        last_a[np.cumsum(in_a) - 1], last_b[np.cumsum(in_b) - 1] = True, True
-        at_a = np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a)  # places among all tokens, a group's A before its B
-        at_b = np.arange(len(b)) + np.repeat(np.cumsum(in_a), in_b)
-        row_a, row_b = a + last_a * len(self.a_table.sizes), b + last_b * len(self.b_table.sizes)
-        starts, sizes = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.int64)
-        starts[at_a], sizes[at_a] = self.a_table.name_starts[row_a], self.a_table.name_sizes[row_a]
-        starts[at_b], sizes[at_b] = self.b_table.name_starts[row_b] + len(self.a_table.names), self.b_table.name_sizes[row_b]
-        seen = hashlib.sha256()
-        for at in range(0, len(starts), LINKS):
-            part = self.names[spread(starts[at : at + LINKS], sizes[at : at + LINKS])].tobytes()
-            seen.update(part if at + LINKS < len(starts) else part[:-1])
-        return seen.hexdigest()
+        ends = np.cumsum(sizes)
+        in_a, in_b = (np.add.reduceat(x, ends - sizes, dtype=np.int64) if len(ends) else sizes for x in (labels & 1, labels >> 1))
+        n_groups = np.diff(np.searchsorted(ends, np.cumsum(n_raw), "right"), prepend=0)
+        return Encoded(a, b, in_a, in_b, n_a, n_b, n_groups, np.array(valid, bool), ends - np.repeat(np.cumsum(n_raw) - n_raw, n_groups))
+
+    def digits(self, e: Encoded) -> tuple[bytes, np.ndarray]:
+        """``a1,a2|b1;a3|b2,b3;`` of all texts, taken from the tables of names, and where each text's ends."""
+        last_a, last_b = np.zeros(len(e.a), np.int64), np.zeros(len(e.b), np.int64)
+        last_a[np.cumsum(e.in_a) - 1], last_b[np.cumsum(e.in_b) - 1] = self.a_names.n, self.b_names.n
+        at_a = np.arange(len(e.a)) + np.repeat(np.cumsum(e.in_b) - e.in_b, e.in_a)  # places among all tokens, a group's A before its B
+        at_b = np.arange(len(e.b)) + np.repeat(np.cumsum(e.in_a), e.in_b)
+        starts, sizes = np.empty(len(e.a) + len(e.b), np.int64), np.empty(len(e.a) + len(e.b), np.int64)
+        starts[at_a], sizes[at_a] = self.a_names.starts[e.a + last_a], self.a_names.sizes[e.a + last_a]
+        starts[at_b], sizes[at_b] = self.b_names.starts[e.b + last_b] + len(self.a_names.bytes), self.b_names.sizes[e.b + last_b]
+        out = b"".join([self.names[spread(starts[k : k + LINKS], sizes[k : k + LINKS])].tobytes() for k in range(0, len(starts), LINKS)])
+        return out, np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(e.n_a + e.n_b)]
+
+    def units(self, units: list[str]) -> list[Unit | None]:
+        found: list[Unit | None] = []
+        for at in range(0, len(units), BATCH):
+            e = self.encode(units[at : at + BATCH])
+            digits, to = self.digits(e)
+            groups, a_to, b_to = np.cumsum(e.n_groups), np.cumsum(e.n_a), np.cumsum(e.n_b)
+            links = np.concatenate(([0], np.cumsum(e.in_a * e.in_b)))[groups]
+            n_links = np.diff(links, prepend=0)
+            few = n_links <= FEW
+            kept = np.repeat(few, e.n_groups)
+            first_b, group = np.cumsum(e.in_b) - e.in_b, np.repeat(np.arange(len(e.in_a)), e.in_a)
+            token = np.flatnonzero(kept[group])  # tokens of A in units of few links, each with all of B in its group
+            partners = e.in_b[group[token]]
+            pairs = (np.repeat(e.a[token] << 32, partners) | e.b[spread(first_b[group[token]], partners)]).tobytes()
+            pairs_to = 8 * np.cumsum(np.where(few, n_links, 0))
+            lo = [0] * 5
+            for k, hi in enumerate(zip(to.tolist(), pairs_to.tolist(), groups.tolist(), a_to.tolist(), b_to.tolist())):
+                if not e.valid[k]:
+                    found.append(None)
+                    continue
+                own, times = pairs[lo[1] : hi[1]], b""
+                if not few[k]:
+                    keys, n = linked(e.a[lo[3] : hi[3]], e.b[lo[4] : hi[4]], e.in_a[lo[2] : hi[2]], e.in_b[lo[2] : hi[2]])
+                    own, times = keys.tobytes(), n.tobytes()
+                found.append(Unit(hi[3] - lo[3], hi[4] - lo[4], hi[2] - lo[2], int(n_links[k]), digits[lo[0] : hi[0]], own, times))
+                lo = hi
+        return found
+
+    def texts(self, texts: list[str | None]) -> list[list[Unit] | None]:
+        """The units of each text; None where a text has no tokens."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        cut = [UNIT.findall(" " + t) if t else [] for t in texts]
+        new = list({u for units in cut for u in units if u not in self.known})
+        self.known.update(zip(new, self.units(new)))
+        out = []
+        for units in cut:
+            own = list(map(self.known.__getitem__, units))
+            out.append(None if not own or None in own else own)
+        for u in new:
+            if len(u) > SHORT:
+                del self.known[u]
+        return out
+
+
+def pairs_of(units: list[Unit]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct id pairs, ascending; links of each) of a text."""
+    keys, times = np.unique(np.frombuffer(b"".join([u.pairs for u in units if not u.times]), np.int64), return_counts=True)
+    counted = [u for u in units if u.times]
+    if not counted:
+        return keys, times
+    keys, at = np.unique(np.concatenate((keys, np.frombuffer(b"".join([u.pairs for u in counted]), np.int64))), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, np.concatenate((times, np.frombuffer(b"".join([u.times for u in counted]), np.int64))))
+    return keys, total
 
 
 def linked(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +245,19 @@ def align_documents(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = MOD
     the bytes each group ends. A text that is null, empty, or that either tokenizer does not give back byte for byte has empty
     lists; repeated rows are each returned; further columns are ignored; a very long text is one row.
     """
-    shared, own = _shared(docs.sparkSession, byte_bpe, pieces), []
-    empty = np.zeros(0, np.int64)
+    shared = _shared(docs.sparkSession, byte_bpe, pieces)
 
     def run(batches):
         aligner = Aligner(*shared.value)
         for b in batches:
-            found = [aligner.groups(t) or (empty,) * 4 for t in b.column(1).to_pylist()]
-            ends = [np.cumsum(aligner.a_table.sizes[a])[np.cumsum(in_a) - 1] if len(a) else empty for a, _, in_a, _ in found]
-            columns = [*zip(*found), ends] if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *[_lists(list(c), pa.int32()) for c in columns]], names=["doc_id", "a_ids", "b_ids", "in_a", "in_b", "ends"])
+            own = [k for k, t in enumerate(b.column(1).to_pylist()) if t]
+            e = aligner.encode([" " + t for t in b.column(1).take(pa.array(own, pa.int64())).to_pylist()])
+            columns = []
+            for values, n in ((e.a, e.n_a), (e.b, e.n_b), (e.in_a, e.n_groups), (e.in_b, e.n_groups), (e.ends, e.n_groups)):
+                sizes = np.zeros(len(b), np.int64)
+                sizes[own] = n
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int32(), safe=False)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "a_ids", "b_ids", "in_a", "in_b", "ends"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, in_a array<int>, in_b array<int>, ends array<int>")
 
@@ -203,14 +299,13 @@ def coded_links(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = MODEL,
         aligner = Aligner(*shared.value)
         chunk, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = aligner.groups(text)
-                if found is None:
+            for doc_id, units in zip(b.column(0).to_pylist(), aligner.texts(b.column(1).to_pylist())):
+                if units is None:
                     rows.append((doc_id, 0, 0, 0, 0, "", none, none))
                     continue
-                a, bb, in_a, in_b = found
-                keys, times = linked(*found)
-                rows.append((doc_id, len(a), len(bb), len(in_a), int((in_a * in_b).sum()), aligner.digest(*found), keys, times))
+                keys, times = pairs_of(units)
+                digest = hashlib.sha256(b"".join([u.digits for u in units])[:-1]).hexdigest()
+                rows.append((doc_id, *[sum([u[k] for u in units]) for k in range(4)], digest, keys, times))
                 size += len(keys)
                 if size >= CHUNK:
                     yield from chunk_rows(chunk, rows)
