@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from trackweave.plans import cases, crops, images, learned, regions, texts, tracks
+from trackweave.plans import cases, crops, images, learned, records, regions, texts, tracks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = {k: (v, p.ORACLE_SQL.get(k)) for p in (tracks, crops, cases, texts, learned, regions, images) for k, v in p.QUERIES.items()}
+PLANS = {k: (v, p.ORACLE_SQL.get(k)) for p in (tracks, crops, cases, texts, learned, regions, images, records) for k, v in p.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")

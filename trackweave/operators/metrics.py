@@ -101,3 +101,29 @@ def counts_with_zeros(df: DataFrame, by: str, values: list[str], *groups: str) -
         return wanted.join(counted, [*groups, by], "left").select(*groups, by, F.coalesce("n", F.lit(0)).alias("n"))
     names = df.sparkSession.createDataFrame([(v,) for v in values], f"{by} string")
     return F.broadcast(names).join(counted, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Of a sequence track: least rows, and the shares of continuity and of rows in its confidence. Fixed values.
+SEQUENCE_ROWS, SEQUENCE_SHARES, SEQUENCE_FULL = 3, (0.35, 0.35, 0.20, 0.95), 12
+
+
+def sequence_tracks(rows: DataFrame, pause: int = 8, fps: float = 30.0, total: int | None = None) -> DataFrame:
+    """A row for each run of a case's rows whose frames are ``pause`` apart at most; a table or a stream, by session windows over the frames.
+
+    Takes case_id, frame_time (the frame as a timestamp of as many seconds), frame, velocity (null for the first of a run), dark_delta, aspect,
+    brightness. Runs of fewer than ``SEQUENCE_ROWS`` rows are none.
+    """
+    session = F.session_window("frame_time", f"{pause * 1000 + 500} milliseconds")
+    g = rows.groupBy("case_id", session.alias("run")).agg(
+        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n"), F.avg("velocity").alias("velocity"),
+        *[F.avg(c).alias(c) for c in ("dark_delta", "aspect", "brightness")],
+    ).where(F.col("n") >= SEQUENCE_ROWS)
+    span = F.col("end_frame") - F.col("start_frame") + 1
+    continuity = F.col("n") / F.greatest(F.lit(1), span)
+    base, of_continuity, of_rows, most = SEQUENCE_SHARES
+    confidence = F.least(F.lit(most), base + of_continuity * continuity + of_rows * F.least(F.lit(1.0), F.col("n") / SEQUENCE_FULL))
+    persistence = F.col("n") / F.greatest(F.lit(1), F.lit(total)) if total else F.lit(None).cast("double")
+    return g.select(
+        "case_id", "start_frame", "end_frame", span.alias("duration_frames"), (span / fps).alias("duration_seconds"), F.col("n").alias("detected_frames"), continuity.alias("continuity"), persistence.alias("persistence"),
+        F.coalesce("velocity", F.lit(0.0)).alias("motion"), F.col("dark_delta").alias("contrast"), F.col("aspect").alias("mean_aspect"), F.col("brightness").alias("mean_brightness"), confidence.alias("confidence"),
+    )

@@ -69,9 +69,9 @@ def silhouette(scored: DataFrame, label: str, key: str, dims: int = 5, rows: int
 
 
 def dense_autoencoder(crops: DataFrame, hidden: int = 32, code: int = 8, passes: int = 15, rows: int = 512, parts: int = 16, seed: int = 42) -> DataFrame:
-    """(case_id, frame, error): a dense autoencoder for each case, fitted with Adam on at most ``rows`` of its background crops, in hash order.
+    """(case_id, frame, error, code): a dense autoencoder for each case, fitted with Adam on at most ``rows`` of its background crops, in hash order.
 
-    A case's crops are scored in ``parts`` groups, each joined by its model; without background crops the error is null.
+    A case's crops are scored in ``parts`` groups, each joined by its model; without background crops error and code are null.
     """
     background = F.col("class_label").isNotNull() & (F.col("class_label") != "object")
     fitted = drawn(crops.where(background), rows, seed, "frame", "case_id")
@@ -104,17 +104,60 @@ def dense_autoencoder(crops: DataFrame, hidden: int = 32, code: int = 8, passes:
     models = fitted.groupBy("case_id").applyInPandas(fit, "case_id long, weights array<array<double>>")
 
     def score(key, own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = np.full(len(own), np.nan)
+        out, codes = np.full(len(own), np.nan), [None] * len(own)
         if len(own) and len(model):
             x = a = np.stack(own["v"].to_numpy())
             w = [np.array(p) for p in model["weights"].iloc[0]]
             for i in range(4):
                 a = a @ w[i].reshape(a.shape[1], -1) + w[4 + i]
                 a = np.maximum(a, 0) if i < 3 else a
+                codes = list(a) if i == 1 else codes
             out = ((a - x) ** 2).mean(axis=1)
-        return pd.DataFrame({"case_id": own["case_id"], "frame": own["frame"], "error": out})
+        return pd.DataFrame({"case_id": own["case_id"], "frame": own["frame"], "error": out, "code": pd.Series(codes, index=own.index, dtype=object)})
 
     part = F.pmod(F.xxhash64("frame"), F.lit(parts)).cast("int")
     dealt = crops.select("case_id", "frame", "v", part.alias("part")).groupBy("case_id", "part")
     spread = models.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("case_id", "part")
-    return dealt.cogroup(spread).applyInPandas(score, "case_id long, frame long, error double")
+    return dealt.cogroup(spread).applyInPandas(score, "case_id long, frame long, error double, code array<double>")
+
+
+def grouped_components(rows: DataFrame, by: str, v: str, k: int = 2, least: int = 8) -> DataFrame:
+    """``rows`` with ``scores`` (array of ``k``): the principal components of each group's vectors, centred, all groups in one pass.
+
+    Each Arrow batch adds up count, sum and products of the groups it holds; those small sums are added pixel by pixel over batches, and a group's matrix,
+    of the vectors' size, is taken apart in one row. Scores are null for groups of fewer than ``least`` vectors or of vectors shorter than ``k``, and for
+    null vectors. A component's sign makes its largest loading positive.
+    """
+    kind = dict(rows.dtypes)[by]
+
+    def add_up(batches):
+        for b in batches:
+            out = []
+            for key, own in b.dropna(subset=["v"]).groupby("by", sort=False):
+                x = np.stack(own["v"].to_numpy()).astype(np.float64)
+                x1 = np.hstack([np.ones((len(x), 1)), x])
+                out.append((key, (x1.T @ x1).ravel()))
+            yield pd.DataFrame(out, columns=["by", "sums"])
+
+    sums = rows.select(F.col(by).alias("by"), F.col(v).cast("array<double>").alias("v")).mapInPandas(add_up, f"by {kind}, sums array<double>")
+    added = sums.select("by", F.posexplode("sums").alias("at", "x")).groupBy("by", "at").agg(F.sum("x").alias("x"))
+    matrices = added.groupBy("by").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("sums"))
+
+    def take_apart(batches):
+        for b in batches:
+            out = []
+            for key, flat in zip(b["by"], b["sums"]):
+                m = np.asarray(flat).reshape(int(np.sqrt(len(flat))), -1)
+                n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+                if n < least or len(mean) < k:
+                    continue
+                values, vectors = np.linalg.eigh(m[1:, 1:] / n - np.outer(mean, mean))
+                loadings = vectors[:, ::-1][:, :k]
+                loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
+                out.append((key, mean, [list(c) for c in loadings.T]))
+            yield pd.DataFrame(out, columns=["by", "mean", "loadings"])
+
+    models = matrices.mapInPandas(take_apart, f"by {kind}, mean array<double>, loadings array<array<double>>").withColumnRenamed("by", by)
+    centred = F.zip_with(F.col(v).cast("array<double>"), "mean", lambda a, m: a - m)
+    score = F.transform("loadings", lambda c: F.aggregate(F.zip_with(centred, c, lambda a, w: a * w), F.lit(0.0), lambda s, x: s + x))
+    return rows.join(models, by, "left").withColumn("scores", F.when(F.col(v).isNotNull(), score)).drop("mean", "loadings")

@@ -187,16 +187,25 @@ Q88 = (
 )
 
 
+#: Texts that break a rule each, one of which is added to the first line of every document, and one that breaks none.
+PLANTED = [
+    "kept under C:\\Users\\someone\\clip", "kept under C:\\Workspaces\\lab", "settings in /srv/.env", "OPENAI_API_KEY=none", "ANTHROPIC_API_KEY=none", "GOOGLE_API_KEY=none", "data/cases/a7", "a content pack", "a publisher_pack",
+    "take_3.mp4", "[EDIT this]", "[EDITAR esto]", "<SOURCE of it>", "\\runtime\\tmp", "resolution: `{}`", "filename: `unknown`", "duration: `not available`", "FPS: `not available`", "the source path", "a plain remark",
+]
+
+
 def q89_release_scan(spark, sf):
     """Lines of a packed release, and of texts to be shown, that break a rule."""
-    lines = X.lines(spark, sf)
+    planted = F.element_at(F.array(*[F.lit(t) for t in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    lines = X.lines(spark, sf).withColumn("line", F.when(F.col("line_no") == 1, F.concat_ws(" ", "line", planted)).otherwise(F.col("line")))
     packed = T.scan(lines, rules=T.PACKAGE_RULES).select("doc_id", "line_no", "rule")
     shown = lines.select("doc_id", "line_no", F.explode(T.placeholders(F.col("line"))).alias("i")).select("doc_id", "line_no", F.concat(F.lit("placeholder_"), F.col("i").cast("string")).alias("rule"))
     return packed.unionByName(shown)
 
 
 _ALL = [(n, p) for _, n, p in T.PACKAGE_RULES] + [(f"placeholder_{i}", p) for i, p in enumerate(T.PLACEHOLDERS)]
-Q89 = q(LINE, "SELECT doc_id, line_no, rule FROM lines, (VALUES " + ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in _ALL) + ") AS rules(rule, pattern) WHERE regexp_matches(line, pattern)")
+_PLANTED = "[" + ", ".join(f"'{t}'" for t in PLANTED) + "]"
+Q89 = q(LINE, f", told AS (SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN line || ' ' || ({_PLANTED})[doc_id % {len(PLANTED)} + 1] ELSE line END AS line FROM lines) SELECT doc_id, line_no, rule FROM told, (VALUES " + ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in _ALL) + ") AS rules(rule, pattern) WHERE regexp_matches(line, pattern)")
 
 
 def q90_labels_and_stamps(spark, sf):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trackweave.functions.geometry import normalized
 
@@ -64,9 +69,33 @@ def tolerant_documents(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files, numbered from 1 within each file."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("p", "line")).select("path", (F.col("p") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of text files, numbered from 1 within each file, whatever their size: a file may be read in many splits.
+
+    A task counts the lines of each split as it reads them in order; the splits' counts, a row each, are summed up before each other split of
+    the file, and those sums are added. Lines end as Spark's text reader ends them.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = None, 0
+        for b in batches:
+            names, starts, no = b.column(0), b.column(1).to_numpy(), np.empty(len(b), np.int64)
+            codes = names.dictionary_encode().indices.to_numpy()
+            edges = np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(b)]):
+                if hi == lo:
+                    continue
+                own = (names[lo].as_py(), int(starts[lo]))
+                seen = seen if own == split else 0
+                no[lo:hi] = np.arange(seen + 1, seen + 1 + hi - lo)
+                split, seen = own, seen + hi - lo
+            yield pa.RecordBatch.from_arrays([names, b.column(1), pa.array(no), b.column(2)], names=["path", "at", "no", "value"])
+
+    numbered = raw.mapInArrow(number, "path string, at long, no long, value string")
+    counts = raw.groupBy("path", "at").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("path", "at", before.alias("before"))
+    return numbered.join(starts, ["path", "at"]).select("path", (F.col("before") + F.col("no")).alias("line_no"), F.col("value").alias("line"))
 
 
 def stream_facts(probe: Column) -> Column:
