@@ -127,4 +127,4 @@ def frame_number(name: Column) -> Column:
 
 def first_document(text: Column) -> Column:
     """The last line that is a JSON object, as a variant; null without one."""
-    return F.try_parse_json(F.element_at(F.filter(F.split(text, "\n"), lambda x: x.startswith("{")), -1))
+    return F.try_parse_json(F.try_element_at(F.filter(F.split(text, "\n"), lambda x: x.startswith("{")), F.lit(-1)))

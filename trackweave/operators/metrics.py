@@ -127,3 +127,19 @@ def sequence_tracks(rows: DataFrame, pause: int = 8, fps: float = 30.0, total: i
         "case_id", "start_frame", "end_frame", span.alias("duration_frames"), (span / fps).alias("duration_seconds"), F.col("n").alias("detected_frames"), continuity.alias("continuity"), persistence.alias("persistence"),
         F.coalesce("velocity", F.lit(0.0)).alias("motion"), F.col("dark_delta").alias("contrast"), F.col("aspect").alias("mean_aspect"), F.col("brightness").alias("mean_brightness"), confidence.alias("confidence"),
     )
+
+
+def comparison_summary(components: DataFrame, shares: DataFrame, errors: DataFrame, luminance: DataFrame) -> DataFrame:
+    """A row for each case of any of four tables, for comparisons between cases; what a case has not is null.
+
+    ``components`` (residual, correlation), ``shares`` (cumulative share of each component: how many it takes to 90 %), ``errors`` (zscore, percentile), ``luminance`` (std).
+    """
+    mean = lambda df, **names: df.groupBy("case_id").agg(*[F.avg(c).alias(n) for n, c in names.items()])
+    parts = [
+        mean(components, residual_mean="residual", correlation_mean="correlation"), shares.groupBy("case_id").agg((F.count_if(F.col("cumulative") < 0.9) + 1).alias("components_for_90")),
+        mean(errors, zscore_mean="zscore", percentile_mean="percentile"), mean(luminance, luminance_std_mean="std"),
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.join(part, "case_id", "full_outer")
+    return found

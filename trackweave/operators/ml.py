@@ -161,3 +161,29 @@ def grouped_components(rows: DataFrame, by: str, v: str, k: int = 2, least: int
     centred = F.zip_with(F.col(v).cast("array<double>"), "mean", lambda a, m: a - m)
     score = F.transform("loadings", lambda c: F.aggregate(F.zip_with(centred, c, lambda a, w: a * w), F.lit(0.0), lambda s, x: s + x))
     return rows.join(models, by, "left").withColumn("scores", F.when(F.col(v).isNotNull(), score)).drop("mean", "loadings")
+
+
+def class_separation(scored: DataFrame, quality: DataFrame, background: tuple[str, ...] = ("near_background", "far_background", "random_background")) -> DataFrame:
+    """The record of a case's component analysis, from (case_id, class_label, scores) and (case_id, validity, silhouette).
+
+    Centres of the object, the background, compression and overlay classes on the first two scores; distances from the object's (0 without one of
+    both), their mean over the deviation of all these scores as separation, the nearest as similarity, and the score that may be shown.
+    """
+    classes = {"object": ("object",), "background": background, "compression": ("compression_noise",), "hud": ("hud_artifact",)}
+    pc = [F.get("scores", F.lit(k)) for k in (0, 1)]
+    at = lambda kinds, k: F.avg(F.when(F.col("class_label").isin(*kinds), pc[k]))
+    flat = lambda f: (F.sum(f(pc[0])) + F.sum(f(pc[1]))) / (2 * F.count("*"))
+    g = scored.groupBy("case_id").agg(
+        F.count_if(F.col("class_label") == "object").alias("object_samples"), F.count_if(F.col("class_label") != "object").alias("control_samples"),
+        *[at(kinds, k).alias(f"{name}_pc{k + 1}") for name, kinds in classes.items() for k in (0, 1)], flat(lambda c: c).alias("mean"), flat(lambda c: c * c).alias("squares"),
+    )
+    away = {n: F.coalesce(F.hypot(F.col("object_pc1") - F.col(f"{n}_pc1"), F.col("object_pc2") - F.col(f"{n}_pc2")), F.lit(0.0)) for n in ("background", "compression", "hud")}
+    g = g.withColumns({f"{n}_distance": d for n, d in away.items()}).withColumn("scale", F.sqrt(F.greatest(F.col("squares") - F.col("mean") * F.col("mean"), F.lit(0.0))) + 1e-9)
+    some = F.filter(F.array(*[F.col(f"{n}_distance") for n in away]), lambda d: d > 0)
+    average = F.aggregate(some, F.lit(0.0), lambda s, d: s + d) / F.nullif(F.size(some), F.lit(0))
+    shown = F.coalesce("validity", F.lit(0.0)) * (0.5 + F.least(F.lit(0.5), F.greatest(F.lit(0.0), F.coalesce("silhouette", F.lit(0.0)) + 0.15)))
+    return g.join(quality.select("case_id", "validity", "silhouette"), "case_id", "left").select(
+        "case_id", "object_samples", "control_samples", *[F.coalesce(f"{n}_pc{k}", F.lit(0.0)).alias(f"{n}_pc{k}") for n in ("object", "background") for k in (1, 2)], *[f"{n}_distance" for n in away],
+        F.coalesce(average / F.col("scale"), F.lit(0.0)).alias("separation"), F.coalesce(1 / (1 + F.array_min(some) / F.col("scale")), F.lit(0.0)).alias("nearest_similarity"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), shown)).alias("public_safe"),
+    )

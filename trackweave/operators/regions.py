@@ -71,7 +71,7 @@ def core_confident(active: Column) -> Column:
     return active > 12
 
 
-def patch_grid_choices(x: Column, y: Column, size: int, width: int, height: int, roi: Box, mean: Column, high: Column, quiet: Column) -> dict[str, Column]:
+def patch_grid_choices(x: Column, y: Column, size: int | Column, width: int | Column, height: int | Column, roi: Box, mean: Column, high: Column, quiet: Column) -> dict[str, Column]:
     """The eight background choices of a patch at (x, y), by its place, the region, its brightness (0 to 1) and its frame's activity."""
     corner = ((x < width * 0.18) | (x > width * 0.82 - size)) & ((y < height * 0.18) | (y > height * 0.82 - size))
     central = (x < width * 0.70) & (x + size > width * 0.30) & (y < height * 0.70) & (y + size > height * 0.30)
@@ -82,6 +82,12 @@ def patch_grid_choices(x: Column, y: Column, size: int, width: int, height: int,
     }
 
 
+def off_centre(x: Column, y: Column, size: int, width: int | Column, height: int | Column) -> Column:
+    """Whether a patch lies off the middle of its frame (35 to 65 % both ways)."""
+    lo, hi = (lambda n: F.floor(F.lit(n) * 0.35)), (lambda n: F.floor(F.lit(n) * 0.65))
+    return ~((x < hi(width)) & (x + size > lo(width)) & (y < hi(height)) & (y + size > lo(height)))
+
+
 def beside_core(x: Column, y: Column, size: int, width: int, height: int, high: Column) -> Column:
     """Whether a patch is background of a whole structure: off its core (28 to 72 % by 22 to 78 %) and not saturated."""
     x0, x1, y0, y1 = int(width * 0.28), int(width * 0.72), int(height * 0.22), int(height * 0.78)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackweave.functions.geometry import normalized
+from trackweave.functions.numbers import fourcc
 
 #: Extensions of media files; the import list has no m4v.
 MEDIA = ("mp4", "mov", "mkv", "avi", "webm", "m4v")
@@ -103,3 +104,29 @@ def stream_facts(probe: Column) -> Column:
     streams = F.from_json(F.get_json_object(probe, "$.streams"), "array<struct<codec_type:string,codec_name:string>>")
     video = F.filter(streams, lambda s: s["codec_type"] == "video")
     return F.struct(F.get(video, F.lit(0))["codec_name"].alias("codec"), F.coalesce(F.exists(streams, lambda s: s["codec_type"] == "audio"), F.lit(False)).alias("audio"), F.get_json_object(probe, "$.format.bit_rate").alias("bit_rate"))
+
+
+def frame_facts(probed: DataFrame) -> DataFrame:
+    """Adds codec (four letters), fps, and duration (frames over fps) to (path, fps, frames, width, height, code); without a rate there is no duration."""
+    rate = F.when(F.col("fps") > 0, F.col("fps"))
+    return probed.withColumns({"codec": fourcc(F.col("code")), "fps": F.coalesce(rate, F.lit(0.0)), "duration": F.col("frames") / rate})
+
+
+def case_configs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(case_id, …) of the JSON configurations below a folder, one a file; one that does not name its case is named by its file."""
+    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    return read.withColumn("case_id", F.coalesce("case_id", stem))
+
+
+def artefacts(spark: SparkSession, folder: str) -> DataFrame:
+    """(case_id, kind, path, size_bytes): files below folder/<case>/…, kind the folder below the case's or '' for files of its own; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = F.lit(folder.rstrip("/").rsplit("/", 1)[-1])
+    parts = F.split(F.element_at(F.split("path", F.concat(F.lit("/"), F.regexp_replace(root, r"([^A-Za-z0-9_])", r"\\$1"), F.lit("/"))), -1), "/")
+    return listed.select(F.element_at(parts, 1).alias("case_id"), F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise("").alias("kind"), "path", F.col("length").alias("size_bytes")).where(F.size(parts) > 1)
+
+
+def case_ids(artefacts: DataFrame) -> DataFrame:
+    """The cases there are, in order."""
+    return artefacts.select("case_id").distinct().orderBy("case_id")

@@ -10,6 +10,37 @@ from pyspark.sql.window import Window
 MOTION_COLUMNS = ["frame", "timestamp", "centroid_x", "centroid_y", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "bbox_area", "velocity_px_per_frame", "acceleration_px_per_frame2", "frame_diff_mean", "optical_flow_mean", "optical_flow_max", "track_status"]
 ROI_COLUMNS = ["frame", "status", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "expanded_x", "expanded_y", "expanded_w", "expanded_h", "centroid_x", "centroid_y", "area", "confidence"]
 
+CENTROID_COLUMNS = ["frame", "centroid_x", "centroid_y", "status", "confidence"]
+REJECTION_COLUMNS = ["frame", "candidate_x", "candidate_y", "candidate_w", "candidate_h", "overlap_with_object_bbox", "artifact_mask_ratio", "black_block_ratio", "cyan_hud_ratio", "edge_distance_score", "texture_score", "luminance_mean", "luminance_std", "valid_for_background", "rejection_reason"]
+VARIANCE_COLUMNS = ["component", "explained_variance_ratio", "cumulative_variance_ratio"]
+
+
+def centroid_table(track: DataFrame) -> DataFrame:
+    """The centroids of a track under their file's columns."""
+    return track.select("case_id", "frame", F.col("cx").alias("centroid_x"), F.col("cy").alias("centroid_y"), "status", "confidence")
+
+
+def rejection_table(candidates: DataFrame) -> DataFrame:
+    """Measured control candidates (operators.controls) under their file's columns, reasons joined by semicolons."""
+    names = {"overlap": "overlap_with_object_bbox", "artifact_ratio": "artifact_mask_ratio", "black": "black_block_ratio", "cyan": "cyan_hud_ratio", "edge_score": "edge_distance_score", "texture": "texture_score", "luminance": "luminance_mean"}
+    own = {f"candidate_{c}": F.col(c) for c in "xywh"} | {to: F.col(c) for c, to in names.items()} | {"luminance_std": F.col("texture"), "valid_for_background": F.size("reasons") == 0, "rejection_reason": F.array_join("reasons", ";")}
+    return candidates.select("case_id", "frame", *[c.alias(n) for n, c in own.items()])
+
+
+def score_table(scored: DataFrame, keep: list[str], dims: int = 2) -> DataFrame:
+    """Rows with their first scores as columns pc1, pc2 ..., blank where there are fewer."""
+    return scored.select(*keep, *[F.get("scores", F.lit(k)).alias(f"pc{k + 1}") for k in range(dims)])
+
+
+def variance_table(shares: DataFrame) -> DataFrame:
+    return shares.select(*[c for c in shares.columns if c == "case_id"], "component", F.col("ratio").alias("explained_variance_ratio"), F.col("cumulative").alias("cumulative_variance_ratio"))
+
+
+def backfilled(existing: DataFrame, cases: DataFrame, defaults: dict, key: str = "case_id") -> DataFrame:
+    """The records of all ``cases``: those there are, with defaults where they have nulls or lack a column, and new ones of defaults alone."""
+    rows = cases.select(key).distinct().join(existing, key, "full_outer")
+    return with_defaults(rows, defaults)
+
 
 def motion_table(df: DataFrame) -> DataFrame:
     """The motion series under its file's columns; those a frame has not are blank."""
