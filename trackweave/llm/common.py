@@ -6,6 +6,7 @@ import itertools
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +130,15 @@ def first_in_hash_order(df: DataFrame, n: int, *keys: str, seed: int = 0) -> Dat
     turned = df.withColumn("turn", F.xxhash64(*keys, F.lit(seed)))
     last = turned.select("turn").orderBy("turn").limit(n).agg(F.max("turn")).first()[0]
     return turned.where(F.lit(False) if last is None else F.col("turn") <= last)
+
+
+def bit_map(bits: DataFrame, size: int) -> np.ndarray:
+    """A map of ``size`` bits with those of column ``bit`` set, as 32-bit words: of fixed size whatever the number of rows, put together by aggregation."""
+    words = bits.groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(31)).cast("int"))).alias("word")).toArrow()
+    found = np.zeros(size >> 5, dtype=np.uint32)
+    found[words.column("at").to_numpy()] = words.column("word").to_numpy().astype(np.uint32)
+    return found
+
+
+def bits_set(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (words[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool)

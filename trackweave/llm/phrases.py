@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTES_LOWER, columns_of, forget, read, short_batches, stored, table
+from .common import BYTES_LOWER, bit_map, bits_set, columns_of, forget, read, short_batches, stored, table
 
 #: Lower-cases A-Z and makes a line feed of every character that ends a piece.
 MAP = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else c for b, c in enumerate(BYTES_LOWER))
 TOKEN = re.compile(rb"[^ \t\n]+|\n")
-#: Words of a chunk, about.
-CHUNK = 1 << 20
+#: Words of a chunk, about; bits of the map that lets those entries of a chunk's list through that may be frequent.
+CHUNK, BITS = 1 << 20, 1 << 25
 NO_LANG = "und"
 SCORE_UNIT = 2_000_000
 
@@ -111,6 +111,47 @@ def _entries(coded: DataFrame, *columns: str) -> DataFrame:
     return coded.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip(*columns)).alias("slot", "e")).select("of", "slot", *[F.col(f"e.{c}").alias(c) for c in columns])
 
 
+def named_words(coded: DataFrame, level: DataFrame) -> DataFrame:
+    """(of, slot, id): the entries of each chunk's words that have an id. What a bit map of these rules out is not shuffled."""
+    bit = F.pmod(F.xxhash64("langs", "words"), F.lit(BITS)).alias("bit")
+    names = level.select("id", F.col("lang").alias("langs"), F.col("words")[0].alias("words"))
+    shared = coded.sparkSession.sparkContext.broadcast(bit_map(names.select(bit), BITS))
+
+    def passed(batches):
+        for b in batches:
+            yield b.select([0, 1, 2, 3]).filter(pa.array(bits_set(shared.value, b.column(4).to_numpy())))
+
+    entries = _entries(coded, "langs", "words").select("of", "slot", "langs", "words", bit).mapInArrow(passed, "of long, slot int, langs string, words string")
+    return entries.join(names, ["langs", "words"]).select("of", "slot", "id")
+
+
+def _pair_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(BITS)).astype(np.int64)
+
+
+def named_pairs(coded: DataFrame, named: DataFrame) -> DataFrame:
+    """(of, slot, id): the entries of each chunk's pairs that have an id. What a bit map of these rules out is not shuffled."""
+
+    def bits(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_bits(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["bit"])
+
+    shared = coded.sparkSession.sparkContext.broadcast(bit_map(named.select("left_id", "right_id").mapInArrow(bits, "bit long"), BITS))
+
+    def passed(batches):
+        for b in batches:
+            for chunk, lefts, rights in zip(b.column(0), b.column(1), b.column(2)):
+                left, right = lefts.values.to_numpy(), rights.values.to_numpy()
+                slot = np.flatnonzero(bits_set(shared.value, _pair_bits(left, right)))
+                columns = [np.full(len(slot), chunk.as_py()), slot.astype(np.int32), left[slot], right[slot]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["of", "slot", "left_id", "right_id"])
+
+    entries = coded.select("chunk", "lefts", "rights").mapInArrow(passed, "of long, slot int, left_id long, right_id long")
+    return entries.join(named.select("id", "left_id", "right_id"), ["left_id", "right_id"]).select("of", "slot", "id")
+
+
 def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """Words a language, and a table a level of the phrases of 1 to ``most_words`` words with ``least`` occurrences.
 
@@ -126,9 +167,10 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
     none = F.lit(None).cast("long")
     level = table(counted.select(F.monotonically_increasing_id().alias("id"), none.alias("left_id"), none.alias("right_id"), F.col("langs").alias("lang"), F.array("words").alias("words"), "a", one.alias("begins"), one.alias("ends")), "phrases-1")
     levels = [level]
-    back = _entries(coded, "langs", "words").join(level.select("id", F.col("lang").alias("langs"), F.col("words")[0].alias("words")), ["langs", "words"])
+    back = named_words(coded, level)
     for k in range(2, most_words + 1):
-        pairs, above = stored(pair_chunks(coded, back.select("of", "slot", "id")), f"phrases-pairs-{k}")
+        pairs = pair_chunks(coded, back)
+        pairs, above = stored(pairs if k < most_words else pairs.drop("seq"), f"phrases-pairs-{k}")
         forget(spark, path)
         coded, path = pairs, above
         counted = _entries(coded, "lefts", "rights", "counts").groupBy("lefts", "rights").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
@@ -139,7 +181,8 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
         full = full.select("id", "left_id", "right_id", "lang", F.concat("first", F.array("last")).alias("words"), "a", F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"))
         level = table(full, f"phrases-{k}")
         levels.append(level)
-        back = _entries(coded, "lefts", "rights").join(named.select("id", F.col("left_id").alias("lefts"), F.col("right_id").alias("rights")), ["lefts", "rights"])
+        if k < most_words:
+            back = named_pairs(coded, named)
     forget(spark, path)
     return totals, levels
 
