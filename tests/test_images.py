@@ -260,6 +260,19 @@ def gray_table(spark, stack, case=0):
     return spark.createDataFrame([(case, k, *x.shape, x.ravel().tolist()) for k, x in enumerate(stack)], GRAY)
 
 
+def test_bright_regions(spark):
+    one = spots(3, 60, 80, [(20, 30), (50, 70), (None, None)], size=6)
+    one[0][2] = one[1][2] = one[2][2] = 7
+    got = {r.frame: (r.mode, r.x, r.y, r.w, r.h) for r in V.bright_regions(table(spark, [one])).collect()}
+    mode, x, y, w, h = got[0]
+    assert mode == "auto-brightness" and x <= 24 and x + w >= 42 and y <= 14 and y + h >= 32 and w < 40
+    assert got[2][1] + got[2][3] == 80 and got[2][2] + got[2][4] == 60  # cut to the frame
+    assert got[4] == ("auto-brightness", 0, 0, 80, 60)  # all of an even frame is its brightest
+    spread = np.zeros((1, 40, 60), int)
+    spread[:, :, 30:] = 255
+    assert V.bright_regions(table(spark, [(spread, spread.copy(), spread.copy())])).first()[2:] == ("auto-brightness-fallback", 25, 15, 10, 10)
+
+
 def test_tiles_see_their_neighbours(spark):
     stack = np.random.default_rng(11).integers(0, 256, (2, 21, 27))
     tiles = T.tiled(gray_table(spark, stack), 8)

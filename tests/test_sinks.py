@@ -117,3 +117,16 @@ def test_comparison_summary(spark):
     d = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = {r.case_id: r for r in metrics.comparison_summary(d([(1, 1.0, 0.5), (1, 3.0, None)], "case_id long, residual double, correlation double"), d([(1, 0.5), (1, 0.89), (1, 0.9), (2, 0.95)], "case_id long, cumulative double"), d([(3, 2.0, 99.0)], "case_id long, zscore double, percentile double"), d([(1, 7.0)], "case_id long, std double")).collect()}
     assert (got[1].residual_mean, got[1].correlation_mean, got[1].components_for_90, got[1].zscore_mean, got[1].luminance_std_mean) == (2.0, 0.5, 3, None, 7.0) and got[2].components_for_90 == 1 and got[3].percentile_mean == 99.0
+
+
+def test_case_joins(spark):
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    parts = {n: d([(k, f"{n}{k}") for k in own], "case_id long, v string") for n, own in {"track": [1], "motion": [1, 2], "pca": []}.items()}
+    got = {r.case_id: r for r in joins.assembled(d([(1,), (2,), (3,)], "case_id long"), parts).collect()}
+    assert (got[1].present, got[2].present, got[3].present) == (["track", "motion"], ["motion"], []) and got[1].track.v == "track1" and got[3].motion is None
+    errors = d([(1, 5, "object"), (1, 6, "object"), (1, None, "object"), (1, 5, "hud_artifact")], "case_id long, frame long, class_label string")
+    rois = d([(1, 5, 1, 2, 3, 4, "lost"), (1, None, 9, 9, 9, 9, "x")], "case_id long, frame long, x int, y int, w int, h int, status string")
+    got = sorted(((r.class_label, r.frame or 0, r.bbox_x, r.track_status) for r in joins.with_regions(errors, rois).collect()))
+    assert got == [("hud_artifact", 5, 1, ""), ("object", 0, None, "TRACKING_ACTIVE"), ("object", 5, 1, "lost"), ("object", 6, None, "TRACKING_ACTIVE")]
+    both = joins.with_manifest(d([(1, "t"), (2, "t")], "case_id long, hint string"), d([(2, "m", "u"), (3, "m", "u")], "case_id long, hint string, url string")).collect()
+    assert [tuple(r) for r in both] == [(2, "t", "u")]

@@ -238,3 +238,29 @@ def motion_regions(frames: DataFrame, height: int, width: int) -> DataFrame:
 
 
 REGION = "case_id long, status string, confidence string, x long, y long, w long, h long, area_share double, threshold double, motion_mean double, motion_max double"
+
+
+#: Of the brightest region: percentile, deviations above the mean, share of the box and least pixels it is padded by. Fixed values.
+BRIGHT_PERCENTILE, BRIGHT_DEVIATIONS, BRIGHT_PAD, BRIGHT_LEAST = 99.5, 2.5, 0.75, 8
+
+
+def bright_regions(frames: DataFrame) -> DataFrame:
+    """(case_id, frame, mode, x, y, w, h): the box of the component of most pixels among the brightest of each smoothed gray frame, padded and cut to the frame.
+
+    A frame without any takes a quarter of its shorter side in the middle, mode ``auto-brightness-fallback``.
+    """
+
+    def kernel(b, g, r):
+        luma = P.half_up(P.blurred(P.gray(b, g, r), 5))
+        n, h, w = luma.shape
+        limit = np.maximum(np.percentile(luma, BRIGHT_PERCENTILE, axis=(1, 2)), luma.mean(axis=(1, 2)) + BRIGHT_DEVIATIONS * luma.std(axis=(1, 2)))
+        t, side = P.component_table(P.labels(luma >= limit[:, None, None] - 1e-6)), min(w, h) // 4  # whole numbers against interpolated ones
+        found = [("auto-brightness-fallback", (w - side) // 2, (h - side) // 2, side, side)] * n
+        for k in np.lexsort((-t["label"], t["area"])):  # the largest of a frame comes last, of equals the first
+            x, y, own_w, own_h = (int(t[c][k]) for c in "xywh")
+            pad = max(BRIGHT_LEAST, int(max(own_w, own_h) * BRIGHT_PAD))
+            x0, y0 = max(0, x - pad), max(0, y - pad)
+            found[t["raster"][k]] = ("auto-brightness", x0, y0, min(w, x + own_w + pad) - x0, min(h, y + own_h + pad) - y0)
+        return dict(zip(("mode", "x", "y", "w", "h"), map(np.array, zip(*found))))
+
+    return with_kernel(frames, "mode string, x int, y int, w int, h int", kernel)

@@ -87,3 +87,34 @@ def gate(df: DataFrame, validations: DataFrame, *flags: str) -> DataFrame:
 
 def least_by(value: Column, *tie: Column) -> Column:
     return F.struct(value, *tie)
+
+
+#: Documents of a case's record, in order. Fixed values.
+CASE_DOCUMENTS = ("case_status", "batch_source", "track", "tracking_quality", "validation", "motion", "spectral", "thermal", "srv", "srv_core", "controls", "pca", "autoencoder")
+
+
+def assembled(cases: DataFrame, documents: dict[str, DataFrame], key: str = "case_id") -> DataFrame:
+    """``cases`` with a struct column for each of ``documents`` (key, …), null where a case has none, and ``present``, the names of those it has.
+
+    Every document table has one row a case at most. All are joined on the same key, so rows are dealt by it once; small ones Spark sends along by its own check of their size.
+    """
+    for name, part in documents.items():
+        rest = [c for c in part.columns if c != key]
+        cases = cases.join(part.select(key, F.struct(*rest).alias(name)), key, "left")
+    return cases.withColumn("present", F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in documents])))
+
+
+def with_regions(errors: DataFrame, rois: DataFrame) -> DataFrame:
+    """Errors (case_id, frame, class_label, …) with their frame's box, blank without one, and the track's status for objects alone.
+
+    A null frame has no box. An object without one counts as tracked.
+    """
+    boxes = rois.select("case_id", "frame", *[F.col(c).alias(f"bbox_{c}") for c in "xywh"], F.col("status").alias("roi_status"))
+    joined = errors.join(boxes, ["case_id", "frame"], "left")
+    status = F.when(F.col("class_label") == "object", F.coalesce("roi_status", F.lit("TRACKING_ACTIVE"))).otherwise("")
+    return joined.withColumn("track_status", status).drop("roi_status")
+
+
+def with_manifest(triage: DataFrame, manifest: DataFrame, key: str = "case_id") -> DataFrame:
+    """Triage rows of cases that the manifest names, with its columns; those that both have come from the triage."""
+    return triage.join(manifest.drop(*[c for c in manifest.columns if c in triage.columns and c != key]), key)

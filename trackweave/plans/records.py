@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackweave.functions import text as T
-from trackweave.operators import documents, metrics, ml, regions, series, sweeps
+from trackweave.operators import documents, joins, metrics, ml, regions, series, sweeps
 from trackweave.operators import frames as V
 from trackweave.plans import texts
-from trackweave.plans.sql import FRAME, PATCH, SERIES, q
+from trackweave.plans.sql import FRAME, PATCH, SERIES, TRACK, q
 from trackweave.sources import fixtures as X
 
 TOTAL, PAUSE = 10080, 400
@@ -161,8 +161,72 @@ cell AS (SELECT case_id, frame, px, py, max(v) / 255 AS high FROM gray JOIN spot
 SELECT case_id, frame, count(*) AS n, count(*) FILTER (NOT (px < 26 AND px + 8 > 14 AND py < 26 AND py + 8 > 14)) AS off_centre, count(*) FILTER (NOT (px < 28 AND px + 8 > 11 AND py < 31 AND py + 8 > 8) AND high < 0.94) AS beside_core FROM cell GROUP BY case_id, frame""")
 
 
-_ALL = (q100_sequence_tracks, q101_nested_sanitise, q102_latent_components, q103_patch_sweep, q104_sweep_heads, q105_class_separation, q106_comparison_summary, q107_patch_places)
+def q108_case_documents(spark, sf):
+    """Customers as cases, with thirteen documents each of which most of them lack."""
+    o = X.read(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("k"))
+    parts = {n: o.where(F.col("k") % 13 == i).groupBy("case_id").agg(F.count("*").alias("n"), F.max("k").alias("last")) for i, n in enumerate(joins.CASE_DOCUMENTS)}
+    found = joins.assembled(X.read(spark, sf, "customer").select(F.col("c_custkey").alias("case_id")), parts)
+    total = sum((F.coalesce(F.col(f"{n}.last") * (i + 1), F.lit(0)) for i, n in enumerate(parts)), F.lit(0))
+    return found.select("case_id", F.array_join("present", ",").alias("present"), F.size("present").alias("n"), total.alias("checked"))
+
+
+_PARTS = ", ".join(f"CASE WHEN count(*) FILTER (o_orderkey % 13 = {i}) > 0 THEN '{n}' END" for i, n in enumerate(joins.CASE_DOCUMENTS))
+_SUM = " + ".join(f"coalesce(max(o_orderkey) FILTER (o_orderkey % 13 = {i}) * {i + 1}, 0)" for i in range(13))
+Q108 = f"""
+WITH g AS (SELECT o_custkey, list_filter([{_PARTS}], lambda x: x IS NOT NULL) AS names, {_SUM} AS checked FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS case_id, coalesce(array_to_string(names, ','), '') AS present, CAST(coalesce(len(names), 0) AS INTEGER) AS n, coalesce(checked, 0) AS checked FROM customer LEFT JOIN g ON c_custkey = o_custkey"""
+
+
+def q109_error_regions(spark, sf):
+    """Crop errors with the box of their frame, where a track has one; a fifth of the crops name no frame."""
+    crops = X.patches(spark, sf)
+    errors = crops.select("case_id", F.when(F.col("frame") % 5 != 0, F.col("frame")).alias("frame"), F.coalesce("class_label", F.lit("none")).alias("class_label"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / 64, 6).alias("error"))
+    rois = X.tracks(spark, sf).where("case_id < 4").select("case_id", "frame", *"xywh", "status")
+    return joins.with_regions(errors, rois)
+
+
+Q109 = q(TRACK, PATCH.replace("\npatch", ", patch", 1) + """,
+err AS (SELECT case_id, CASE WHEN frame % 5 <> 0 THEN frame END AS frame, coalesce(class_label, 'none') AS class_label, round(list_sum([x * x FOR x IN v]) / 64, 6) AS error FROM patch)
+SELECT e.case_id, e.frame, class_label, error, t.x AS bbox_x, t.y AS bbox_y, t.w AS bbox_w, t.h AS bbox_h, CASE WHEN class_label = 'object' THEN coalesce(status, 'TRACKING_ACTIVE') ELSE '' END AS track_status FROM err e LEFT JOIN track t ON t.case_id = e.case_id AND t.frame = e.frame AND t.case_id < 4""")
+
+
+def q110_triage_manifest(spark, sf):
+    """Cases of a triage, orders, that the manifest names: those of customers with a positive balance."""
+    o, c = X.read(spark, sf, "orders"), X.read(spark, sf, "customer")
+    triage = o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count("*").alias("score"), F.max("o_orderpriority").alias("hint"))
+    manifest = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("hint"))
+    return joins.with_manifest(triage, manifest)
+
+
+Q110 = "SELECT o_custkey AS case_id, count(*) AS score, max(o_orderpriority) AS hint, any_value(c_mktsegment) AS segment FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY o_custkey"
+
+
+def q111_bright_regions(spark, sf):
+    """Frames with their bright end drawn out, so that some of them have a region that stands out."""
+    frames = X.frames(spark, sf).withColumns({c: F.transform(c, lambda p: F.floor(p.cast("double") * p * p * p / F.lit(16581375.0)).cast("int")) for c in V.PLANES})
+    return V.bright_regions(frames)
+
+
+Q111 = q(FRAME, """
+, drawn AS (SELECT case_id, frame, y, x, floor((floor(CAST(b AS DOUBLE) * b * b * b / 16581375.0) * 1868 + floor(CAST(g AS DOUBLE) * g * g * g / 16581375.0) * 9617 + floor(CAST(r AS DOUBLE) * r * r * r / 16581375.0) * 4899 + 8192) / 16384) AS v FROM px),
+k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS o, unnest([1, 4, 6, 4, 1]) AS w),
+down AS (SELECT case_id, frame, t.y, a.x, sum(a.v * w) AS v FROM (SELECT unnest(range(0, 40)) AS y) t, k, drawn a WHERE a.y = CASE WHEN t.y + o < 0 THEN -(t.y + o) WHEN t.y + o > 39 THEN 78 - (t.y + o) ELSE t.y + o END GROUP BY ALL),
+soft AS (SELECT case_id, frame, a.y, t.x, floor(sum(a.v * w) / 256 + 0.5 + 1e-9) AS v FROM (SELECT unnest(range(0, 40)) AS x) t, k, down a WHERE a.x = CASE WHEN t.x + o < 0 THEN -(t.x + o) WHEN t.x + o > 39 THEN 78 - (t.x + o) ELSE t.x + o END GROUP BY ALL),
+lim AS (SELECT frame, greatest(quantile_cont(v, 0.995), avg(v) + 2.5 * stddev_pop(v)) AS t FROM soft GROUP BY frame),
+bright AS (SELECT g.frame, y, x, y * 40 + x AS place FROM soft g JOIN lim USING (frame) WHERE v >= t - 1e-6),
+reach AS (SELECT frame, y, x, place, place AS root FROM bright UNION SELECT b.frame, b.y, b.x, b.place, r.root FROM reach r JOIN bright b ON b.frame = r.frame AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1 AND r.root < b.place),
+part AS (SELECT frame, y, x, min(root) AS root FROM reach GROUP BY ALL), boxes AS (SELECT frame, root, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM part GROUP BY frame, root),
+best AS (SELECT *, greatest(8, CAST(floor(greatest(w, h) * 0.75) AS INTEGER)) AS pad FROM boxes QUALIFY row_number() OVER (PARTITION BY frame ORDER BY area DESC, root) = 1),
+every AS (SELECT DISTINCT case_id, frame FROM gray)
+SELECT case_id, frame, CASE WHEN pad IS NULL THEN 'auto-brightness-fallback' ELSE 'auto-brightness' END AS mode, CAST(CASE WHEN pad IS NULL THEN 15 ELSE greatest(0, x - pad) END AS INTEGER) AS x, CAST(CASE WHEN pad IS NULL THEN 15 ELSE greatest(0, y - pad) END AS INTEGER) AS y,
+  CAST(CASE WHEN pad IS NULL THEN 10 ELSE least(40, x + w + pad) - greatest(0, x - pad) END AS INTEGER) AS w, CAST(CASE WHEN pad IS NULL THEN 10 ELSE least(40, y + h + pad) - greatest(0, y - pad) END AS INTEGER) AS h FROM every LEFT JOIN best USING (frame)""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+_ALL = (
+    q100_sequence_tracks, q101_nested_sanitise, q102_latent_components, q103_patch_sweep, q104_sweep_heads, q105_class_separation, q106_comparison_summary, q107_patch_places, q108_case_documents, q109_error_regions, q110_triage_manifest, q111_bright_regions,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
-    "q100_sequence_tracks": Q100, "q101_nested_sanitise": Q101, "q103_patch_sweep": Q103, "q104_sweep_heads": Q104, "q105_class_separation": Q105, "q106_comparison_summary": Q106, "q107_patch_places": Q107,
+    "q100_sequence_tracks": Q100, "q101_nested_sanitise": Q101, "q103_patch_sweep": Q103, "q104_sweep_heads": Q104, "q105_class_separation": Q105, "q106_comparison_summary": Q106, "q107_patch_places": Q107, "q108_case_documents": Q108,
+    "q109_error_regions": Q109, "q110_triage_manifest": Q110, "q111_bright_regions": Q111,
 }
