@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, connected_components, read, short_batches, signed, table
+from .common import bit_map, bits_set, columns_of, connected_components, read, short_batches, signed, table
 from .simhash import BITS, shingle_hashes
 
 COMPONENTS, WORDS = 96, 12
 #: Members of a key up to which they are paired whole; rows of a tile of a larger one; parts that a set in many pairs is sent to.
-BUCKET, TILE, SALTS = 64, 512, 16
+BUCKET, TILE, SALTS = 16, 512, 16
 #: One set of a crowd in so many is counted to rank its shingles, and so many ranks are kept: they bear on speed alone.
 RANK_SHARE, RANKS = 16, 100_000
 _RANDOM = np.random.default_rng(12)
@@ -112,31 +112,24 @@ def size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def bit_map(values: DataFrame, column: str) -> np.ndarray:
-    """A map of ``BITS`` bits of the hashed values, whatever their number; put together by aggregation, 2 MB on the driver."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
-    parts = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(31)).cast("int"))).alias("word"))
-    found = np.zeros(BITS >> 5, dtype=np.uint32)
-    for r in parts.collect():
-        found[r["at"]] = r["word"]
-    return found
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITS)).alias("bit")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of the sets named in ``wanted`` (node, doc_id), made again from those texts that a bit map of the doc_ids lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(_bit("doc_id")), BITS))
 
     def run(batches):
         for b in batches:
-            at = b.column(0).to_numpy()
-            b = b.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            b = b.filter(pa.array(bits_set(shared.value, b.column(0).to_numpy())))
             sets = [np.unique(shingle_hashes(t, shingle)).astype("<u8") for t in b.column(1).to_pylist()]
             nodes = [signed(xxhash.xxh64_intdigest(x.tobytes(), 42)) for x in sets]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view("<i8") if sets else np.zeros(0, "<i8")))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], names=["node", "shingles"])
 
-    made = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("bit"), "text").mapInArrow(run, "node long, shingles array<long>")
+    made = docs.where("doc_id is not null").select(_bit("doc_id"), "text").mapInArrow(run, "node long, shingles array<long>")
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -163,8 +156,9 @@ def crowded_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingl
     """Pairs (a, b) of ``members`` (node, component) in different components whose sizes and signatures allow the similarity.
 
     A similar pair shares one of the first shingles of either in any order common to all sets: all but ceil(percent of the size), and one. In
-    an order by how often a sample holds them, what makes a text unlike its fellows comes first, so a member of a crowd meets few others. Keys
-    within one component go; of the others, members outside the commonest component meet all in tiles of bounded size.
+    an order by how often a sample holds them, what makes a text unlike its fellows comes first, so a member of a crowd meets few others; and of a key far
+    down in a set too little is left to be similar, unless they share an earlier one. Keys within one component go; of the others, members
+    outside the commonest component meet all in tiles of bounded size.
     """
     wanted = table(firsts.select("node", "doc_id").join(members.select("node"), "node", "left_semi"), "minhash-crowd-wanted")
     sets = table(shingle_sets(docs, wanted, shingle), "minhash-crowd-sets")
@@ -175,7 +169,7 @@ def crowded_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingl
     def first(batches):
         known, times = ranks.value
         for b in batches:
-            nodes, keys = [], []
+            nodes, keys, places = [], [], []
             for node, own in zip(b.column(0).to_pylist(), b.column(1)):
                 own = own.values.to_numpy()
                 n = len(own)
@@ -184,20 +178,22 @@ def crowded_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingl
                     own = own[np.lexsort((own, np.where(known[at] == own, times[at], 0)))]
                 keys.append(own[: n + (-percent * n) // 100 + 1])
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (nodes, keys)], names=["node", "key"])
+                places.append(np.arange(len(keys[-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (nodes, keys, places)], names=["node", "key", "place"])
 
-    keyed_ = sets.select("node", "shingles").mapInArrow(first, "node long, key long").join(members, "node")
+    keyed_ = sets.select("node", "shingles").mapInArrow(first, "node long, key long, place long").join(members, "node")
     mixed = keyed_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     rows = table(keyed_.join(mixed, "key"), "minhash-crowd-keys")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
     rows = rows.join(sizes.select("key", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("xs"), F.ceil(F.col("all") / TILE).cast("int").alias("ys")), "key")
     rows = rows.join(firsts.select("node", "n", "sig"), "node").withColumn("out", F.col("component") != F.col("main"))
     tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    row = F.struct("node", "component", "out", "n", "sig")
+    row = F.struct("node", "component", "out", "n", (F.col("n") - F.col("place")).alias("left"), "sig")
     left = rows.where("out").select("key", tile("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), row.alias("a"))
     right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), tile("ys").alias("y"), row.alias("b"))
     met = (F.col("a.component") != F.col("b.component")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node"))) & size_fits(F.col("a.n"), F.col("b.n"), percent)
-    return left.join(right, ["key", "x", "y"]).where(met & (differing("a.sig", "b.sig") <= limit)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    enough = (100 + percent) * F.least(F.col("a.left"), F.col("b.left")) >= percent * (F.col("a.n") + F.col("b.n"))  # from the first key that they share on
+    return left.join(right, ["key", "x", "y"]).where(met & enough & (differing("a.sig", "b.sig") <= limit)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -210,14 +206,13 @@ def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int
     limit = most_different(percent)
     rows = keyed(firsts.where((100 - percent) * F.col("n") >= percent), limit)  # smaller sets are similar to none but themselves
     counts = table(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-keys")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts, "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts.select(_bit("key")), BITS))
 
     def passed(batches):
         for b in batches:
-            at = b.column(2).to_numpy()
-            yield b.select([0, 1]).filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            yield b.select([0, 1]).filter(pa.array(bits_set(shared.value, b.column(2).to_numpy())))
 
-    through = rows.select("key", "node", F.pmod(F.xxhash64("key"), F.lit(BITS)).alias("bit")).mapInArrow(passed, "key long, node long")
+    through = rows.select("key", "node", _bit("key")).mapInArrow(passed, "key long, node long")
     many = table(through.join(counts, "key"), "minhash-rows")
     a, b = many.where(F.col("m") <= BUCKET).alias("a"), many.where(F.col("m") <= BUCKET).alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
