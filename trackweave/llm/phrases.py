@@ -1,8 +1,10 @@
 """Phrase collocations by hierarchical pair naming.
 
-Words of enough occurrences get ids; a phrase of k words is a pair of adjacent phrases of k - 1 words, and gets an id of its
-own if it is frequent. Ids are given once for the whole corpus and joined back to the places where the pair stands, so the next
-level pairs ids again. A phrase's row keeps the ids of its two parts, and with them the counts of all its beginnings and endings.
+Words of enough occurrences get ids, which are joined back to the places where they stand; a phrase of k words is a pair of adjacent
+phrases of k - 1 words, and gets an id of its own if it is frequent, so the next level pairs ids again. A pair's id is a 64-bit function of its parts'
+ids: whoever knows the parts knows the name, so naming the places of pairs needs no join, only a bit map of the pairs that are frequent
+(what it lets through beside these is counted and dropped a level later). A phrase's row keeps the ids of its two parts; joined by them,
+it has the counts of all its beginnings and endings.
 
 Word sequences stay together in chunks, runs of documents that one task met. A chunk lists its distinct pairs once, with their
 counts, so what is counted over the corpus and named in return is a pair once a chunk, not an occurrence.
@@ -80,30 +82,67 @@ def _word_chunk(chunk: int, held: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "seq", "langs", "words", "counts"])
 
 
-def pair_chunks(coded: DataFrame, names: DataFrame) -> DataFrame:
-    """(chunk, seq, lefts, rights, counts) one level up: each place holds the pair of its own name and its right neighbour's, or -1.
+PAIRED = "chunk long, seq array<int>, lefts array<long>, rights array<long>, counts array<int>"
 
-    ``names`` (of, slot, id) has the corpus-wide ids of those entries of a chunk's list that are frequent. A group is one chunk.
-    """
 
-    def pair_up(rows: pa.Table, found: pa.Table) -> pa.Table:
+def pair_up(chunk: pa.Scalar, seq: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A chunk one level up: each place holds the pair of its own name and its right neighbour's, or -1. ``ids`` names the entries of the chunk's list, -1 none."""
+    n = len(ids)
+    known = np.append(ids, -1)[seq] >= 0
+    at = np.flatnonzero(known[:-1] & known[1:])
+    pairs, own, counts = np.unique(seq[at].astype(np.int64) * n + seq[at + 1], return_inverse=True, return_counts=True)
+    turn = np.argsort(-counts, kind="stable")
+    slot = np.empty(len(turn), np.int32)
+    slot[turn] = np.arange(len(turn), dtype=np.int32)
+    up = np.full(len(seq), -1, np.int32)
+    up[at] = slot[own]
+    lefts, rights = ids[pairs[turn] // max(n, 1)], ids[pairs[turn] % max(n, 1)]
+    lists = [_ints(up), _ints(lefts, pa.int64()), _ints(rights, pa.int64()), _ints(counts[turn])]
+    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), *lists], names=["chunk", "seq", "lefts", "rights", "counts"])
+
+
+def word_pairs(coded: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs of each chunk's words; ``names`` (of, slot, id) has the ids of those that are frequent. A group is one chunk."""
+
+    def up(rows: pa.Table, found: pa.Table) -> pa.Table:
         seq = rows.column("seq").combine_chunks().values.to_numpy()
-        n = int(seq.max(initial=-1)) + 1
-        ids = np.full(n + 1, -1, np.int64)  # the last is what -1 takes
+        ids = np.full(int(seq.max(initial=-1)) + 1, -1, np.int64)
         ids[found.column("slot").to_numpy()] = found.column("id").to_numpy()
-        known = ids[seq] >= 0
-        at = np.flatnonzero(known[:-1] & known[1:])
-        pairs, own, counts = np.unique(seq[at].astype(np.int64) * (n + 1) + seq[at + 1], return_inverse=True, return_counts=True)
-        turn = np.argsort(-counts, kind="stable")
-        slot = np.empty(len(turn), np.int32)
-        slot[turn] = np.arange(len(turn), dtype=np.int32)
-        up = np.full(len(seq), -1, np.int32)
-        up[at] = slot[own]
-        lefts, rights = ids[pairs[turn] // (n + 1)], ids[pairs[turn] % (n + 1)]
-        return pa.table([rows.column("chunk"), _ints(up), _ints(lefts, pa.int64()), _ints(rights, pa.int64()), _ints(counts[turn])], names=["chunk", "seq", "lefts", "rights", "counts"])
+        return pa.Table.from_batches([pair_up(rows.column("chunk")[0], seq, ids)])
+
+    return coded.select("chunk", "seq").groupBy("chunk").cogroup(names.groupBy("of")).applyInArrow(up, PAIRED)
+
+
+def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The id of a pair of ids: 63 bits, so never -1."""
+    x = (left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29)) ^ right.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def phrase_pairs(coded: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs of each chunk's phrases of a level, from those that the bit map of ``named`` lets through; where the chunk lies, no shuffle."""
+    shared = coded.sparkSession.sparkContext.broadcast(bit_map(named.select((F.col("id") % BITS).alias("bit")), BITS))
+
+    def up(batches):
+        for b in batches:
+            for chunk, seq, lefts, rights in zip(*b.columns):
+                ids = pair_ids(lefts.values.to_numpy(), rights.values.to_numpy())
+                yield pair_up(chunk, seq.values.to_numpy(), np.where(bits_set(shared.value, ids % BITS), ids, -1))
+
+    return coded.select("chunk", "seq", "lefts", "rights").mapInArrow(up, PAIRED)
+
+
+def with_ids(counted: DataFrame) -> DataFrame:
+    """(id, left_id, right_id, a) of counted pairs (lefts, rights, a)."""
 
-    own = coded.select("chunk", "seq")
-    return own.groupBy("chunk").cogroup(names.groupBy("of")).applyInArrow(pair_up, "chunk long, seq array<int>, lefts array<long>, rights array<long>, counts array<int>")
+    def run(batches):
+        for b in batches:
+            ids = pair_ids(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *b.columns], names=["id", "left_id", "right_id", "a"])
+
+    return counted.select("lefts", "rights", "a").mapInArrow(run, "id long, left_id long, right_id long, a long")
 
 
 def _entries(coded: DataFrame, *columns: str) -> DataFrame:
@@ -125,33 +164,6 @@ def named_words(coded: DataFrame, level: DataFrame) -> DataFrame:
     return entries.join(names, ["langs", "words"]).select("of", "slot", "id")
 
 
-def _pair_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(BITS)).astype(np.int64)
-
-
-def named_pairs(coded: DataFrame, named: DataFrame) -> DataFrame:
-    """(of, slot, id): the entries of each chunk's pairs that have an id. What a bit map of these rules out is not shuffled."""
-
-    def bits(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_pair_bits(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["bit"])
-
-    shared = coded.sparkSession.sparkContext.broadcast(bit_map(named.select("left_id", "right_id").mapInArrow(bits, "bit long"), BITS))
-
-    def passed(batches):
-        for b in batches:
-            for chunk, lefts, rights in zip(b.column(0), b.column(1), b.column(2)):
-                left, right = lefts.values.to_numpy(), rights.values.to_numpy()
-                slot = np.flatnonzero(bits_set(shared.value, _pair_bits(left, right)))
-                columns = [np.full(len(slot), chunk.as_py()), slot.astype(np.int32), left[slot], right[slot]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["of", "slot", "left_id", "right_id"])
-
-    entries = coded.select("chunk", "lefts", "rights").mapInArrow(passed, "of long, slot int, left_id long, right_id long")
-    return entries.join(named.select("id", "left_id", "right_id"), ["left_id", "right_id"]).select("of", "slot", "id")
-
-
 def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """Words a language, and a table a level of the phrases of 1 to ``most_words`` words with ``least`` occurrences.
 
@@ -167,22 +179,19 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
     none = F.lit(None).cast("long")
     level = table(counted.select(F.monotonically_increasing_id().alias("id"), none.alias("left_id"), none.alias("right_id"), F.col("langs").alias("lang"), F.array("words").alias("words"), "a", one.alias("begins"), one.alias("ends")), "phrases-1")
     levels = [level]
-    back = named_words(coded, level)
     for k in range(2, most_words + 1):
-        pairs = pair_chunks(coded, back)
+        pairs = word_pairs(coded, named_words(coded, level)) if k == 2 else phrase_pairs(coded, named)
         pairs, above = stored(pairs if k < most_words else pairs.drop("seq"), f"phrases-pairs-{k}")
         forget(spark, path)
         coded, path = pairs, above
         counted = _entries(coded, "lefts", "rights", "counts").groupBy("lefts", "rights").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
-        named = table(counted.select(F.monotonically_increasing_id().alias("id"), F.col("lefts").alias("left_id"), F.col("rights").alias("right_id"), "a"), f"phrases-names-{k}")
+        named = table(with_ids(counted), f"phrases-names-{k}")
         left = level.select(F.col("id").alias("left_id"), "lang", F.col("words").alias("first"), "begins")
         right = level.select(F.col("id").alias("right_id"), F.element_at("words", -1).alias("last"), "ends")
         full = named.join(left, "left_id").join(right, "right_id")
         full = full.select("id", "left_id", "right_id", "lang", F.concat("first", F.array("last")).alias("words"), "a", F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"))
         level = table(full, f"phrases-{k}")
         levels.append(level)
-        if k < most_words:
-            back = named_pairs(coded, named)
     forget(spark, path)
     return totals, levels
 
