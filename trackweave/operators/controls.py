@@ -32,13 +32,12 @@ def control_grid(x: Column, y: Column, w: Column, h: Column, width: int | Column
     A place is one number while doubles go: its row times the frame's width, and its column.
     """
     width, height = F.lit(width), F.lit(height)
-    right, down = F.greatest(F.lit(0), width - w), F.greatest(F.lit(0), height - h)
-    half = lambda c: F.greatest(F.lit(1), F.floor(c / 2))
-    inside = lambda c, most: F.greatest(F.lit(0), F.least(most, c))
-    pairs = lambda of: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in of])
-    place = lambda px, py: py.cast("long") * width + px.cast("long")
-    near = F.transform(pairs(STEPS), lambda s: place(inside(x + s["i"] * half(w), right), inside(y + s["j"] * half(h), down)))
-    far = F.transform(pairs(ANCHORS), lambda s: place(F.floor(right * s["i"] / 2), F.floor(down * s["j"] / 2)))
+    right, down = F.greatest(F.lit(0), width - w).cast("long"), F.greatest(F.lit(0), height - h).cast("long")
+    half = lambda c: F.greatest(F.lit(1), F.shiftright(c.cast("int"), 1))
+    along = lambda at, size, most, steps: F.array(*[F.greatest(F.lit(0), F.least(most, (at + k * half(size)).cast("long"))) for k in steps])
+    xs, ys = along(x, w, right, dict.fromkeys(dx for dx, _ in STEPS)), along(y, h, down, dict.fromkeys(dy for _, dy in STEPS))
+    near = F.flatten(F.transform(ys, lambda py: F.transform(xs, lambda px: py * width + px)))
+    far = F.array(*[F.shiftright(down * j, 1) * width + F.shiftright(right * i, 1) for i, j in ANCHORS])
     return F.transform(F.array_distinct(F.concat(near, far)), lambda p: F.struct((p % width).cast("int").alias("x"), F.floor(p / width).cast("int").alias("y")))
 
 
