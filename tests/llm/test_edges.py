@@ -24,7 +24,7 @@ def test_every_row_comes_back(spark, docs):
     assert pii.find_personal_data(docs, pii.fit(docs)).count() == 9
     assert lm.score_documents(docs, held).count() == 9
     assert substrings.remove_repeats(docs).count() == 7
-    assert phrases.collocations(docs).where("phrase = 'long long'").count() == 1
+    assert phrases.collocations(docs).where("phrase = 'long long long long'").count() == 1
     assert minhash.minhash_groups(docs).count() == 9 and alignment.link_statistics(docs).count() == 9
     assert lines.dedup_lines(docs).count() == 9 and lines.dedup_lines(docs).columns == docs.columns
 
