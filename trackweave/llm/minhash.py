@@ -87,14 +87,15 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def keyed(firsts: DataFrame, limit: int) -> DataFrame:
-    """(key, node) of every distinct set."""
+    """(key, node, n) of every distinct set."""
 
     def run(batches):
         for b in batches:
-            keys = chunk_keys(b.column(1).flatten().to_numpy().astype("<i8").view(np.uint8).reshape(len(b), COMPONENTS), limit) if len(b) else np.zeros((0, COMPONENTS), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), COMPONENTS))], names=["key", "node"])
+            keys = chunk_keys(b.column(2).flatten().to_numpy().astype("<i8").view(np.uint8).reshape(len(b), COMPONENTS), limit) if len(b) else np.zeros((0, COMPONENTS), np.int64)
+            node, n = (pa.array(np.repeat(b.column(k).to_numpy(), COMPONENTS)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node, n], names=["key", "node", "n"])
 
-    return firsts.select("node", "sig").mapInArrow(run, "key long, node long")
+    return firsts.select("node", "n", "sig").mapInArrow(run, "key long, node long, n long")
 
 
 def differing(a: str, b: str) -> Column:
@@ -210,18 +211,19 @@ def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int
 
     def passed(batches):
         for b in batches:
-            yield b.select([0, 1]).filter(pa.array(bits_set(shared.value, b.column(2).to_numpy())))
+            yield b.select([0, 1, 2]).filter(pa.array(bits_set(shared.value, b.column(3).to_numpy())))
 
-    through = rows.select("key", "node", _bit("key")).mapInArrow(passed, "key long, node long")
+    through = rows.select("key", "node", "n", _bit("key")).mapInArrow(passed, "key long, node long, n long")
     many = table(through.join(counts, "key"), "minhash-rows")
     a, b = many.where(F.col("m") <= BUCKET).alias("a"), many.where(F.col("m") <= BUCKET).alias("b")
-    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    sized = size_fits(F.col("a.n"), F.col("b.n"), percent)
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & sized).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     crowd = many.where(F.col("m") > BUCKET)
-    own = crowd.groupBy("node").agg(F.sum("m").alias("degree"), F.max(F.struct("m", "key"))["key"].alias("one"), F.max_by("key", F.struct(F.xxhash64("key"), "key")).alias("other"))
+    own = crowd.groupBy("node").agg(F.first("n").alias("n"), F.sum("m").alias("degree"), F.max(F.struct("m", "key"))["key"].alias("one"), F.max_by("key", F.struct(F.xxhash64("key"), "key")).alias("other"))
     own = table(own, "minhash-crowd")
-    centres = crowd.select("key", "node").join(own.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("a"))
-    centres = table(centres, "minhash-centres")
-    stars = own.select("node", F.explode(F.array_distinct(F.array("one", "other"))).alias("key")).join(centres, "key").where("a != node").select("a", F.col("node").alias("b"))
+    centres = crowd.select("key", "node").join(own.select("node", "degree", "n"), "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("c"))
+    centres = table(centres.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("na")), "minhash-centres")
+    stars = own.select("node", "n", F.explode(F.array_distinct(F.array("one", "other"))).alias("key")).join(centres, "key").where((F.col("a") != F.col("node")) & size_fits(F.col("n"), F.col("na"), percent)).select("a", F.col("node").alias("b"))
     first = few.union(stars).distinct()
     links = confirmed(_near(first, firsts, percent, limit), docs, firsts, shingle, percent, "first")
     groups = connected_components(links)
