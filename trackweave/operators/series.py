@@ -48,9 +48,16 @@ def segments(df: DataFrame, mask: str, least: int) -> DataFrame:
     return islands.groupBy("case_id", "island").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
-def expand_segments(found: DataFrame) -> DataFrame:
-    """Every frame of every segment."""
-    return found.select("case_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame"))
+def outside_segments(df: DataFrame, mask: str, least: int) -> DataFrame:
+    """The rows whose frame lies in none of the :func:`segments`: unmarked ones, and those of runs that are too short.
+
+    A frame has one row a case, so a segment covers its own rows alone and none of its frames need be made. A row without case or frame lies in none.
+    """
+    marked = F.coalesce(F.col(mask), F.lit(False)) & F.col("case_id").isNotNull() & F.col("frame").isNotNull()
+    inner = F.row_number().over(Window.partitionBy("case_id", mask).orderBy("frame"))
+    islands = df.withColumn("_island", F.row_number().over(by_frame()) - inner)
+    run = F.count("*").over(Window.partitionBy("case_id", mask, "_island"))
+    return islands.withColumn("_run", run).where(~marked | (F.col("_run") < least)).drop("_island", "_run")
 
 
 def streaks(df: DataFrame, lost: Column) -> DataFrame:

@@ -90,7 +90,7 @@ Q07 = q(WIDE, """SELECT case_id, start_frame, end_frame, n, CASE WHEN wide THEN
 
 def q08_segment_expand_except(spark, sf):
     wide = series.dilate(_bright(spark, sf), "bright", 8, "wide")
-    return wide.select("case_id", "frame").join(series.expand_segments(series.segments(wide, "wide", 2)), ["case_id", "frame"], "left_anti")
+    return series.outside_segments(wide.select("case_id", "frame", "wide"), "wide", 2).select("case_id", "frame")
 
 
 Q08 = q(WIDE, "SELECT case_id, frame FROM wide w WHERE NOT EXISTS (SELECT 1 FROM segs s WHERE s.wide AND s.case_id = w.case_id AND w.frame BETWEEN s.start_frame AND s.end_frame)")
