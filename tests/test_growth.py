@@ -38,3 +38,13 @@ def test_rows_outside_segments_make_no_frames(spark, tmp_path):
     marked = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, True), (1, 3, True), (1, 4, None), (None, 0, True), (None, 1, True)], "case_id long, frame long, m boolean")
     found = {(r.case_id, r.frame) for r in series.outside_segments(marked, "m", 2).collect()}
     assert found == {(1, 0), (1, 1), (1, 4), (None, 0), (None, 1)}
+
+
+def test_probes_are_not_sent_along_whole(spark, conf):
+    conf("spark.sql.maxBroadcastTableSize", "4MB")
+    probes = spark.range(2).select(F.lit(1).cast("long").alias("case_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(300_000).cast("long"))).alias("frame"))  # the size of what a list becomes is not foreseen
+    rows = spark.createDataFrame([(1, 95, 1), (1, 105, 2), (1, 111, 3), (1, 111, 3), (2, 100, 4)], "case_id long, frame long, x int")
+    found = joins.nearest_frame(probes, rows, 10, ["x"])
+    near = {(r.frame, r.near_frame, r.x): r.n for r in found.where("near_frame is not null").groupBy("frame", "near_frame", "x").agg(F.count("*").alias("n")).collect()}
+    best = {f: min((abs(f - g), g, x) for g, x in ((95, 1), (105, 2), (111, 3))) for f in range(85, 122)}
+    assert near == {(f, g, x): 2 for f, (_, g, x) in best.items()} and found.count() == 600_002

@@ -12,15 +12,19 @@ def nearest_frame(probes: DataFrame, rows: DataFrame, tolerance: int, keep: list
     """Each probe (case_id, frame) with the row of its case nearest in frame, within ``tolerance``; earlier frame on ties.
 
     Rows are found through frame buckets of the tolerance's width, so the join has equality keys that
-    spread a long case; a probe without a row near keeps nulls. Columns ``keep`` come from the row.
+    spread a long case; a probe without a row near keeps nulls. Columns ``keep`` come from the row, of rows of one frame any.
+    It is the rows that stand in three buckets each; probes, of which there may be far more, are neither multiplied nor sent
+    along whole: they are the outer side of the join, each meets one list of the rows of a bucket, and are dealt once.
     """
     width = max(1, tolerance)
-    p = probes.select("case_id", "frame").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("frame") / width) + d for d in (-1, 0, 1)])))
-    r = rows.select("case_id", F.col("frame").alias("near_frame"), F.floor(F.col("frame") / width).alias("bucket"), *keep)
-    near = p.join(r, ["case_id", "bucket"]).where(F.abs(F.col("near_frame") - F.col("frame")) <= tolerance)
-    best = near.groupBy("case_id", "frame").agg(F.min_by(F.struct("near_frame", *keep), F.struct(F.abs(F.col("near_frame") - F.col("frame")), "near_frame")).alias("b"))
-    found = probes.join(best, ["case_id", "frame"], "left")
-    return found.select(*[F.col(c) for c in probes.columns], "b.*")
+    buckets = F.explode(F.array(*[F.floor(F.col("near_frame") / width) + d for d in (-1, 0, 1)]))
+    r = rows.groupBy("case_id", F.col("frame").alias("near_frame")).agg(F.any_value(F.struct(*keep)).alias("row"))
+    lists = r.select("case_id", buckets.alias("_bucket"), F.struct("near_frame", "row").alias("r")).groupBy("case_id", "_bucket").agg(F.collect_list("r").alias("_near"))
+    met = probes.withColumn("_bucket", F.floor(F.col("frame") / width)).join(lists, ["case_id", "_bucket"], "left")
+    away = lambda r: F.abs(r["near_frame"] - F.col("frame"))
+    best = F.array_min(F.transform(F.filter("_near", lambda r: away(r) <= tolerance), lambda r: F.struct(away(r).alias("gap"), r["near_frame"].alias("near_frame"), r["row"].alias("row"))))
+    found = met.withColumn("_best", best)
+    return found.select(*[F.col(c) for c in probes.columns], F.col("_best.near_frame").alias("near_frame"), *[F.col(f"_best.row.{c}").alias(c) for c in keep])
 
 
 def hinted(hints: DataFrame, rows: DataFrame, reach: int = 12) -> DataFrame:
