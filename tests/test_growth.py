@@ -48,3 +48,9 @@ def test_probes_are_not_sent_along_whole(spark, conf):
     near = {(r.frame, r.near_frame, r.x): r.n for r in found.where("near_frame is not null").groupBy("frame", "near_frame", "x").agg(F.count("*").alias("n")).collect()}
     best = {f: min((abs(f - g), g, x) for g, x in ((95, 1), (105, 2), (111, 3))) for f in range(85, 122)}
     assert near == {(f, g, x): 2 for f, (_, g, x) in best.items()} and found.count() == 600_002
+
+
+def test_every_third_frame_makes_no_frames(spark, tmp_path):
+    late = 3_000_000_000  # minutes: more frames than an array holds
+    sf = events(spark, tmp_path, [(1, m, 5) for m in (0, 9, 10, 12, 13, 16, late - 2, late)])
+    assert sorted(r.frame for r in tracks.q59_frame_window_join(spark, sf).collect()) == [m for m in (10, 13, 16, late - 2) if (m - 10) % 3 == 0]
