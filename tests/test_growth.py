@@ -1,7 +1,10 @@
 """Steps whose rows, memory or batches must not grow past their input."""
 
 import datetime
+import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,17 @@ def test_every_third_frame_makes_no_frames(spark, tmp_path):
     late = 3_000_000_000  # minutes: more frames than an array holds
     sf = events(spark, tmp_path, [(1, m, 5) for m in (0, 9, 10, 12, 13, 16, late - 2, late)])
     assert sorted(r.frame for r in tracks.q59_frame_window_join(spark, sf).collect()) == [m for m in (10, 13, 16, late - 2) if (m - 10) % 3 == 0]
+
+
+def test_percentiles_part_neighbours_as_the_sql_does(spark):
+    r, rows = random.Random(3), []
+    for case in range(600):  # rows that differ in their last bits, as |cx - cy| do
+        low = round(r.uniform(0, 400), 2)
+        n = r.randrange(2, 40)
+        rows += [(case, i, low if r.random() < 0.6 else math.nextafter(low, 500.0)) for i in range(n)]
+    rows += [(600, 0, 5.0), (600, 1, 5.0), (601, 0, None), (601, 1, 7.0), (602, 0, None), (603, 0, math.inf), (603, 1, 1.0)]
+    got = {(x.case_id, x.frame): x.flag for x in series.flag_at_percentile(spark.createDataFrame(rows, "case_id long, frame long, v double"), "v", 0.95).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (case_id BIGINT, frame BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    assert got == {(c, f): x for c, f, x in con.execute("SELECT case_id, frame, v >= quantile_cont(v, 0.95) OVER (PARTITION BY case_id) FROM t").fetchall()}

@@ -50,3 +50,16 @@ def media_time(frame: Column, fps: Column) -> Column:
 def fourcc(code: Column) -> Column:
     """Four-character code of an integer, least byte first."""
     return F.concat(*[F.chr(F.shiftright(code, 8 * i).bitwiseAND(F.lit(255))) for i in range(4)])
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, as processors' fused multiply-add does: the errors of the product and of the sum are kept (Dekker, Knuth).
+
+    Beyond 1e290, where halves would overflow, and without a finite sum it is rounded twice.
+    """
+    halves = lambda v: ((v * 134217729.0) - ((v * 134217729.0) - v), v - ((v * 134217729.0) - ((v * 134217729.0) - v)))
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    back = s - p
+    return F.when((F.abs(a) < 1e290) & (F.abs(b) < 1e290) & (F.abs(s) < 1e290), s + (((p - (s - back)) + (c - back)) + lost)).otherwise(s)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackweave.functions import numbers as N
 from trackweave.operators.tracking import fold_sorted
 
 def by_frame() -> Window:
@@ -27,11 +28,21 @@ def with_motion(valid: DataFrame) -> DataFrame:
 
 
 def flag_at_percentile(df: DataFrame, value: str, q: float, name: str = "flag", floor: float | None = None) -> DataFrame:
-    """Marks rows at or above their case's own percentile (a constant series marks every row)."""
-    threshold = F.expr(f"percentile({value}, {q})").over(Window.partitionBy("case_id"))
+    """Marks rows at or above their case's own percentile (a constant series marks every row).
+
+    The percentile lies between two rows by value. Rows that differ in their last bit fall on either side of it by its rounding alone, so
+    it is low * (1 - share) + high * share with the sum rounded once, as the SQL's ``quantile_cont`` does; Spark's own rounds otherwise.
+    """
+    by_value = Window.partitionBy("case_id").orderBy(F.col(value).asc_nulls_last())
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = (F.col("_n") - 1) * F.lit(float(q))
+    at = lambda f: F.max(F.when(F.col("_at") == f(place), F.col(value).cast("double"))).over(whole)
+    ends = df.withColumns({"_at": F.row_number().over(by_value) - 1, "_n": F.count(value).over(whole)}).withColumns({"_low": at(F.floor), "_high": at(F.ceil), "_share": place - F.floor(place)})
+    low, share = F.col("_low"), F.col("_share")
+    threshold = F.when(share == 0, low).otherwise(N.fused(low, 1 - share, F.col("_high") * share))
     if floor is not None:
         threshold = F.greatest(F.lit(float(floor)), threshold)
-    return df.withColumn(name, F.col(value) >= threshold)
+    return ends.withColumn(name, F.col(value) >= threshold).drop("_at", "_n", "_low", "_high", "_share")
 
 
 def dilate(df: DataFrame, mask: str, margin: int, name: str | None = None) -> DataFrame:
