@@ -71,3 +71,10 @@ def test_percentiles_part_neighbours_as_the_sql_does(spark):
     con.execute("CREATE TABLE t (case_id BIGINT, frame BIGINT, v DOUBLE)")
     con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
     assert got == {(c, f): x for c, f, x in con.execute("SELECT case_id, frame, v >= quantile_cont(v, 0.95) OVER (PARTITION BY case_id) FROM t").fetchall()}
+
+
+def test_grid_places_are_compiled_whole(spark):
+    from trackweave.plans import regions
+
+    plan = regions.q82_control_grid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and plan.count("array_distinct") == 1

@@ -14,6 +14,7 @@ from trackweave.functions import numbers as N
 from trackweave.operators import pixels as P
 from trackweave.operators import rules
 from trackweave.operators.sampling import hash_order
+from trackweave.sources.shared import short_batches
 
 #: Version of the controls that later modules take, their kinds, and the kinds that are background.
 VERSION = "Controls v0.2 clean masked"
@@ -26,19 +27,26 @@ STEPS = [(dx, dy) for dy in (-2, -1, 0, 1, 2) for dx in (-3, -2, -1, 1, 2, 3)]
 ANCHORS = [(0, 0), (2, 0), (0, 2), (2, 2), (1, 0), (1, 2), (0, 1), (2, 1), (1, 1)]
 
 
-def control_grid(x: Column, y: Column, w: Column, h: Column, width: int | Column, height: int | Column) -> Column:
-    """Boxes of the object's size around it and at the frame's anchors, moved into the frame: array of struct(x, y), each place once, in order.
+def control_places(x: Column, y: Column, w: Column, h: Column, width: int | Column, height: int | Column) -> Column:
+    """Boxes of the object's size around it and at the frame's anchors, moved into the frame: array of places, each once, in order.
 
-    A place is one number while doubles go: its row times the frame's width, and its column.
+    A place is one number: its row times the frame's width, and its column. Nothing here is a function of array elements, so Spark compiles it whole
+    and works out rows and columns once, as long as the array is a column of its own before such functions read it.
     """
     width, height = F.lit(width), F.lit(height)
     right, down = F.greatest(F.lit(0), width - w).cast("long"), F.greatest(F.lit(0), height - h).cast("long")
     half = lambda c: F.greatest(F.lit(1), F.shiftright(c.cast("int"), 1))
-    along = lambda at, size, most, steps: F.array(*[F.greatest(F.lit(0), F.least(most, (at + k * half(size)).cast("long"))) for k in steps])
-    xs, ys = along(x, w, right, dict.fromkeys(dx for dx, _ in STEPS)), along(y, h, down, dict.fromkeys(dy for _, dy in STEPS))
-    near = F.flatten(F.transform(ys, lambda py: F.transform(xs, lambda px: py * width + px)))
-    far = F.array(*[F.shiftright(down * j, 1) * width + F.shiftright(right * i, 1) for i, j in ANCHORS])
-    return F.transform(F.array_distinct(F.concat(near, far)), lambda p: F.struct((p % width).cast("int").alias("x"), F.floor(p / width).cast("int").alias("y")))
+    along = lambda at, size, most, k: F.greatest(F.lit(0), F.least(most, (at + k * half(size)).cast("long")))
+    xs, ys = ({k: along(*own, k) for k in dict.fromkeys(step[i] for step in STEPS)} for i, own in enumerate(((x, w, right), (y, h, down))))
+    near = [ys[dy] * width + xs[dx] for dx, dy in STEPS]
+    far = [F.shiftright(down * j, 1) * width + F.shiftright(right * i, 1) for i, j in ANCHORS]
+    return F.array_distinct(F.array(*near, *far))
+
+
+def control_grid(x: Column, y: Column, w: Column, h: Column, width: int | Column, height: int | Column) -> Column:
+    """:func:`control_places` as array of struct(x, y)."""
+    width = F.lit(width)
+    return F.transform(control_places(x, y, w, h, width, height), lambda p: F.struct((p % width).cast("int").alias("x"), F.floor(p / width).cast("int").alias("y")))
 
 
 def high_share(stack: np.ndarray) -> np.ndarray:
@@ -60,6 +68,7 @@ def control_candidates(frames: DataFrame) -> DataFrame:
     """
     grid = control_grid(*[F.col(c) for c in "xywh"], F.col("width"), F.col("height"))
     planes = ["blue", "green", "red"]
+    short_batches(frames.sparkSession)
     rows = frames.withColumn("g", grid).select("case_id", "frame", "height", "width", *planes, *"xywh", F.col("g.x").alias("gx"), F.col("g.y").alias("gy"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

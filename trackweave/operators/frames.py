@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackweave.sources.shared import short_batches
+
 from . import pixels as P
 from .tracking import fold_sorted
 
@@ -21,6 +23,7 @@ def with_kernel(frames: DataFrame, columns: str, kernel: Callable[[np.ndarray, .
 
     Rows of a batch that have the same size are taken together; frames need not be of one size. Nothing is shuffled.
     """
+    short_batches(frames.sparkSession)
     types = dict(frames.select(*keep).dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keep] + [columns])
     made = [c.split()[0] for c in columns.split(", ")]
@@ -192,6 +195,7 @@ def accumulated_motion(grays: DataFrame, rows: int = 16) -> DataFrame:
                 out.append((case, strip, h, w, len(own), np.stack(some.to_numpy()).astype(np.int64).sum(axis=0) if len(some) else np.zeros(size, np.int64)))
             yield pd.DataFrame(out, columns=["case_id", "strip", "height", "width", "frames", "px"])
 
+    short_batches(changed.sparkSession)
     sums = changed.mapInPandas(add_up, "case_id long, strip int, height int, width int, frames long, px array<long>")
     counted = sums.groupBy("case_id", "strip", "height", "width").agg(F.sum("frames").alias("frames"))
     pixel = sums.select("case_id", "strip", F.posexplode("px").alias("at", "v")).groupBy("case_id", "strip", "at").agg(F.sum("v").alias("v"))
@@ -234,6 +238,7 @@ def motion_regions(frames: DataFrame, height: int, width: int) -> DataFrame:
                 out.append((r.case_id, "proposed" if sure else "manual_review_required", "medium" if sure else "low", rx, ry, rw, rh, share, limit, sums.mean(), sums.max()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REGION.split(", ")])
 
+    short_batches(moved.sparkSession)
     return moved.mapInPandas(region, REGION)
 
 

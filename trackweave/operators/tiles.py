@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from trackweave.functions import geometry as G
 
-from trackweave.sources.shared import Kept
+from trackweave.sources.shared import Kept, short_batches
 
 from . import pixels as P
 from .graph import least_reachable
@@ -75,6 +75,7 @@ def neighbourhood(tiles: DataFrame, size: int, margin: int, kernel: Callable[[np
                 out.append((r.case_id, r.frame, r.height, r.width, r.ty, r.tx, y0, x0, th, tw, made.astype(np.int64).ravel()))
             yield pd.DataFrame(out, columns=[*PLACE, "px"])
 
+    short_batches(met.sparkSession)
     return met.mapInPandas(run, TILE)
 
 
@@ -87,6 +88,7 @@ def percentiles(tiles: DataFrame, shares: dict[str, float]) -> DataFrame:
                 value, n = np.unique(np.concatenate(own["px"].to_list()), return_counts=True)
                 yield pd.DataFrame({"case_id": case, "frame": frame, "value": value, "n": n})
 
+    short_batches(tiles.sparkSession)
     counts = tiles.select("case_id", "frame", "px").mapInPandas(count, "case_id long, frame long, value long, n long").groupBy("case_id", "frame", "value").agg(F.sum("n").alias("n"))
     by_frame = Window.partitionBy("case_id", "frame")
     counts = counts.withColumns({"upto": F.sum("n").over(by_frame.orderBy("value")), "total": F.sum("n").over(by_frame)})
@@ -124,6 +126,7 @@ def components(masks: DataFrame, size: int, source: str | None = None) -> DataFr
                 yield pd.concat(rows).assign(case_id=r.case_id, frame=r.frame, width=r.width, source=r.source)[["case_id", "frame", "source", "width", "node", "place", "x", "y", "right", "bottom", "area"]]
 
     schema = "case_id long, frame long, source string, width int, node long, place long, x long, y long, right long, bottom long, area long"
+    short_batches(masks.sparkSession)
     kept = Kept(masks.select(*PLACE, "px", (F.col(source) if source else F.lit("")).alias("source")).mapInPandas(own, schema), "tile-labels")
     found, frame = kept.df, ["case_id", "frame", "source"]
     border = found.where("place >= 0")

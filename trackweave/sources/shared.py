@@ -8,6 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch of rasters: a worker holds a batch a few times over, as 8-byte numbers.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of operators whose rows are whole rasters, and with them the Python workers' memory, whatever the number of frames.
+
+    The two values are the session's; ones that are shorter already stay.
+    """
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = spark.conf.get(key, "")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset and all runs on one machine, a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
