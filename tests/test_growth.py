@@ -78,3 +78,12 @@ def test_grid_places_are_compiled_whole(spark):
 
     plan = regions.q82_control_grid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and plan.count("array_distinct") == 1
+
+
+def test_documents_are_gathered_by_one_join(spark):
+    cases = spark.range(3).withColumnRenamed("id", "case_id")
+    parts = {f"d{i}": cases.where(F.col("case_id") % 13 == i % 2).select("case_id", F.lit(i).alias("n"), F.lit(None).cast("string").alias("s")) for i in range(13)}
+    found = joins.assembled(cases, parts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {r.case_id: r for r in found.collect()}
+    assert got[0].present == [f"d{i}" for i in range(0, 13, 2)] and got[1].d3.n == 3 and got[1].d3.s is None and got[2].present == [] and got[2].d0 is None

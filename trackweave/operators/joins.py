@@ -100,11 +100,20 @@ CASE_DOCUMENTS = ("case_status", "batch_source", "track", "tracking_quality", "v
 def assembled(cases: DataFrame, documents: dict[str, DataFrame], key: str = "case_id") -> DataFrame:
     """``cases`` with a struct column for each of ``documents`` (key, …), null where a case has none, and ``present``, the names of those it has.
 
-    Every document table has one row a case at most. All are joined on the same key, so rows are dealt by it once; small ones Spark sends along by its own check of their size.
+    Every document table has one row a case at most. They are put below each other and gathered by one aggregation, so a task sorts at most a few
+    tables, not two for each document.
     """
-    for name, part in documents.items():
-        rest = [c for c in part.columns if c != key]
-        cases = cases.join(part.select(key, F.struct(*rest).alias(name)), key, "left")
+    own = {n: [c for c in part.columns if c != key] for n, part in documents.items()}
+    types = {n: dict(part.dtypes) for n, part in documents.items()}
+    blank = lambda n, c: F.lit(None).cast(types[n][c]).alias(f"{n}.{c}")
+    tall = None
+    for i, (name, part) in enumerate(documents.items()):
+        rows = part.select(F.col(key), F.lit(i).alias("_document"), *[F.col(c).alias(f"{n}.{c}") if n == name else blank(n, c) for n in documents for c in own[n]])
+        tall = rows if tall is None else tall.union(rows)
+    if tall is not None:
+        gathered = tall.groupBy(key).agg(F.bit_or(F.lit(1).cast("long") * F.pow(F.lit(2), F.col("_document")).cast("long")).alias("_has"), *[F.any_value(f"`{n}.{c}`", F.lit(True)).alias(f"{n}.{c}") for n in documents for c in own[n]])
+        held = [F.when(F.col("_has").bitwiseAND(F.lit(1 << i)) != 0, F.struct(*[F.col(f"`{n}.{c}`").alias(c) for c in own[n]])).alias(n) for i, n in enumerate(documents)]
+        cases = cases.join(gathered.select(key, *held), key, "left")
     return cases.withColumn("present", F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in documents])))
 
 
