@@ -5,11 +5,14 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.operators import frames as V
 from trackweave.operators import joins, series
 from trackweave.plans import tracks
+from trackweave.sources import shared
 
 
 @pytest.fixture
@@ -87,3 +90,12 @@ def test_documents_are_gathered_by_one_join(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     got = {r.case_id: r for r in found.collect()}
     assert got[0].present == [f"d{i}" for i in range(0, 13, 2)] and got[1].d3.n == 3 and got[1].d3.s is None and got[2].present == [] and got[2].d0 is None
+
+
+def test_kernels_take_short_batches(spark, conf):
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    conf("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    px = F.array_repeat(F.lit(1), 4)
+    frames = spark.range(0, 1000, 1, 1).select(F.lit(0).cast("long").alias("case_id"), F.col("id").alias("frame"), F.lit(2).alias("height"), F.lit(2).alias("width"), px.alias("blue"), px.alias("green"), px.alias("red"))
+    seen = V.with_kernel(frames, "n long", lambda b, g, r: {"n": np.full(len(b), len(b))})
+    assert seen.agg(F.max("n")).first()[0] <= shared.BATCH_ROWS and seen.count() == 1000

@@ -19,7 +19,7 @@ def short_batches(spark: SparkSession) -> None:
     """
     for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.max{name}PerBatch"
-        now = spark.conf.get(key, "")
+        now = spark.conf.get(key)
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
