@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, with_clashes, words
 from trackweave.llm.common import connected_components
-from trackweave.llm.simhash import allocate, fingerprint, group_bits, links, simhash_groups
+from trackweave.llm.simhash import allocate, fingerprint, group_bits, links, plan, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -66,6 +66,18 @@ def test_crowded_buckets_keep_every_link(spark):
     assert {a: found.get(a, a) for a in comp} == comp
 
 
+def test_a_crowd_of_near_copies_does_not_widen_the_probes(spark):
+    r = random.Random(6)
+    centre, fps = r.getrandbits(63), {r.getrandbits(63) for _ in range(3000)}
+    while len(fps) < 4000:
+        x = centre
+        for b in r.sample(range(63), 3):
+            x ^= 1 << b
+        fps.add(x)
+    chosen = plan(spark.createDataFrame([(f,) for f in fps], "fp long"), 2)
+    assert [t for _, t in chosen] == [0, 0, 0]  # a row a partition; a threshold of one over 16 bits makes 17
+
+
 def test_thresholds_are_the_cheapest():
     cost = [[0, 5, 9, 50], [0, 1, 2, 90], [0, 8, 9, 9]]
     spent, ts = allocate(cost, 0)

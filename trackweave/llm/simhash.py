@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, columns_of, connected_components, flips, read, short_batches, signed, table, unused
 
-#: A bucket of more members than this is not paired; it is dealt out again by finer keys.
-BUCKET = 24
+#: A bucket of more members than this is not paired; it is dealt out again by finer keys, which make about ``DEALT`` rows a member at most.
+BUCKET, DEALT = 24, 93
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -113,21 +113,28 @@ def plan(fps: DataFrame, max_bits: int, sample: int = 2048) -> list[tuple[int, i
     """[(mask, threshold)] of the probed partitions.
 
     Bit correlations come from all fingerprints; the candidate estimate of a (partition, threshold)
-    is the share of pairs of a bounded sample (``sample`` fingerprints in hash order) within that
-    threshold there, times the row count, plus one for each value probed.
+    is the mean number of fingerprints within that threshold there, by a bounded sample (``sample``
+    fingerprints in hash order) or by chance if that is more, plus one for each value probed. Crowded
+    buckets are dealt again and not paired, so no fingerprint counts for more than ``DEALT``: a large group
+    of near copies, crowded in every partition, does not make few partitions of many probes look cheap.
     """
     n, together = bit_statistics(fps)
     some = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], dtype=np.int64).astype(np.uint64)
-    choice = None
+    odds, choice = np.diag(together) / max(n, 1), None
     for parts in range(2, max_bits + 3):
         masks, cost = group_bits(n, together, parts), []
         for mask in masks:
             values = some & np.uint64(mask)
-            seen = np.zeros(max_bits + 2)
-            for v in values:
-                seen += np.bincount(np.minimum(np.bitwise_count(values ^ v), max_bits + 1), minlength=max_bits + 2)
-            near = (np.cumsum(seen)[: max_bits + 1] - len(values)) / max(1.0, len(values) * (len(values) - 1.0))
-            cost.append([0.0, *[1 + len(flips(mask, t)) + n * near[t] for t in range(max_bits + 1)]])
+            seen = np.zeros((max(1, len(values)), max_bits + 2))
+            for at, v in enumerate(values):
+                seen[at] = np.bincount(np.minimum(np.bitwise_count(values ^ v), max_bits + 1), minlength=max_bits + 2)
+            met = n * np.maximum(np.cumsum(seen, axis=1)[:, : max_bits + 1] - 1, 0) / max(1, len(values) - 1)
+            chance = np.ones(1)
+            for q in (2 * odds * (1 - odds))[[b for b in range(64) if mask >> b & 1]]:
+                chance = np.convolve(chance, [1 - q, q])
+            chance = np.concatenate((chance, np.zeros(max_bits + 1)))  # a partition may have fewer bits
+            near = np.maximum(np.minimum(met, DEALT).mean(axis=0), np.minimum(n * np.cumsum(chance)[: max_bits + 1], DEALT))
+            cost.append([0.0, *[1 + len(flips(mask, t)) + near[t] for t in range(max_bits + 1)]])
         spent, ts = allocate(cost, max_bits - parts + 1)
         if choice is None or spent < choice[0]:
             choice = (spent, [(m, t) for m, t in zip(masks, ts) if t >= 0])
