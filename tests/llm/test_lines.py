@@ -92,3 +92,12 @@ def test_a_very_long_crowded_line_costs_its_length(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert L.line_decisions(documents(spark, [])).count() == 0
+
+
+def test_letters_are_counted_for_lines_that_share_a_key_alone(spark, monkeypatch):
+    made, keep = {}, L.table
+    monkeypatch.setattr(L, "table", lambda df, name: made.setdefault(name, keep(df, name)))
+    texts = [f"{k * 7919:>05d} a line like no other {'qwertzuiop'[k] * 30} {k * 104729}" for k in range(10)] + ["this line has a near copy of it", "this line has a near copy of is"]
+    assert L.line_decisions(documents(spark, texts)).where("size(removed) > 0").count() == 1
+    assert "letters" not in made["line-firsts"].columns and made["line-firsts"].count() == 12
+    assert {r.line for r in made["line-texts"].where("letters is not null").collect()} == set(texts[10:])

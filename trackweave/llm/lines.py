@@ -224,6 +224,7 @@ def letters_apart(a: Column, b: Column) -> Column:
 
 
 def _candidates(members: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (key, kind, id, letters, n) that share a key of few members and have about the same letters."""
     few = members.where(F.col("n") <= CROWD).select("key", "kind", "id", "letters")
     a, b = few.alias("a"), few.where("kind = 0").alias("b")
     both = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.kind") == 1) | (F.col("a.id") < F.col("b.id")))
@@ -235,16 +236,17 @@ def line_links(firsts: DataFrame, lines: DataFrame, near_chars: int, edits: int)
     """(h1, h2, other): for lines within ``edits`` of each other, the first place (doc_id, pos) of the other line.
 
     ``firsts`` (h1, h2, first, n, keys) has each distinct line once. Candidates are named by h1 alone: lines of one h1 are verified
-    each. Texts are fetched from ``lines`` for lines that share a key alone.
+    each. Texts are fetched from ``lines``, and their letters counted, for lines that share a key alone.
     """
     kinds = [0 if d == s == 0 else 1 for _, d, s in placements(edits)]
     near = firsts.where(F.col("n") >= near_chars)
-    rows = near.select(F.col("h1").alias("id"), "letters", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])).alias("s")).select("id", "letters", "s.key", "s.kind")
+    rows = near.select(F.col("h1").alias("id"), F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)])).alias("s")).select("id", "s.key", "s.kind")
     members = _met(rows, "line-segments")
     wanted = table(near.join(members.select(F.col("id").alias("h1")), "h1", "left_semi").select("h1", "h2", "first.doc_id", "first.pos"), "line-wanted").hint("merge")
     places = [F.col(f"l.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("h1", "h2", "doc_id", "pos")]
     texts = lines.alias("l").join(wanted.alias("w"), places[0] & places[1] & places[2] & places[3], "left_semi")
-    texts = table(texts.select("h1", "h2", F.struct("doc_id", "pos").alias("first"), "line"), "line-texts")
+    texts = table(texts.select("h1", "h2", F.struct("doc_id", "pos").alias("first"), "line", letters_of(F.col("line")).alias("letters")), "line-texts")
+    lettered = members.join(texts.select(F.col("h1").alias("id"), "letters"), "id")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"l{x}"))
@@ -254,11 +256,11 @@ def line_links(firsts: DataFrame, lines: DataFrame, near_chars: int, edits: int)
 
     crowd = members.where(F.col("n") > CROWD)
     if not crowd.limit(1).count():
-        return verified(_candidates(members, edits))
+        return verified(_candidates(lettered, edits))
     hot = texts.join(crowd.select(F.col("id").alias("h1")), "h1", "left_semi")
-    finer = hot.select(F.col("h1").alias("id"), "h2", "first", letters_of(F.col("line")).alias("letters"), F.explode(piece_keys(F.col("line"), F.length("line"), edits)).alias("s")).select("id", "h2", "first", "letters", "s.*")
+    finer = hot.select(F.col("h1").alias("id"), "h2", "first", "letters", F.explode(piece_keys(F.col("line"), F.length("line"), edits)).alias("s")).select("id", "h2", "first", "letters", "s.*")
     finer = _met(finer, "line-finer")
-    out = verified(_candidates(members, edits).union(_candidates(finer, edits)))
+    out = verified(_candidates(lettered, edits).union(_candidates(finer, edits)))
 
     # still crowded: lines that meet under a worn key are near without being paired; each needs only the first place of the others
     left = finer.where(F.col("n") > CROWD).select(F.col("id").alias("h1"), "h2", "first", F.explode(worn_keys(F.col("key"), F.col("open"), edits)).alias("w"))
@@ -276,8 +278,8 @@ def line_verdicts(docs: DataFrame, near_chars: int = NEAR_CHARS, edits: int = ED
     some = lines.where(F.trim("line") != "")
     n = F.length("line")
     keys = [F.when(n >= near_chars, k).alias(f"k{i}") for i, k in enumerate(segment_keys(F.col("line"), n, edits))]
-    rows = some.select("h1", "h2", F.struct("doc_id", "pos").alias("at"), n.alias("n"), F.when(n >= near_chars, letters_of(F.col("line"))).alias("letters"), *keys)
-    firsts = rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), F.max("letters").alias("letters"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    rows = some.select("h1", "h2", F.struct("doc_id", "pos").alias("at"), n.alias("n"), *keys)
+    firsts = rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     firsts = table(firsts, "line-firsts")
     links = line_links(firsts, some.where(n >= near_chars), near_chars, edits).groupBy("h1", "h2").agg(F.min("other").alias("other"))
     near = F.coalesce(F.col("other") < F.col("first"), F.lit(False))
