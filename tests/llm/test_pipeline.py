@@ -59,6 +59,21 @@ def test_every_pair_at_the_threshold_links_and_none_below(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_duplicate_groups(documents(spark, texts)).collect()} == dict(enumerate(comp))
 
 
+def test_candidates_come_by_the_pigeonhole_principle_first(spark, monkeypatch):
+    made, keep = {}, simhash.table
+    monkeypatch.setattr(simhash, "table", lambda df, name: made.setdefault(name, keep(df, name)))
+    base = words(7, 400)
+    texts = [" ".join(base)] + [" ".join(base[:-1] + [f"end{k}"]) for k in range(6)] + [edited(words(8, 200), k, 2 * k) for k in range(2)] + [" ".join(words(k, 90)) for k in range(20, 30)]
+    assert jaccard(texts[7], texts[8]) > 0.8
+    found = {r.doc_id: r.component_id for r in near_duplicate_groups(documents(spark, texts)).collect()}
+    assert found == {i: 0 if i < 7 else min(i, 7) if i < 9 else i for i in range(len(texts))}
+    fps = {r.node: r.fp for r in made["near-firsts"].collect()}
+    holes = [(r.a, r.b) for r in made["pigeonhole-pairs"].collect()]
+    assert len(holes) >= 6 and all(bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= 2 for a, b in holes)
+    linked = {r.node: r.component for r in made["pigeonhole-components"].collect()}  # the prefix filter is left with what that did not link
+    assert len(linked) >= 7 and all(linked.get(r.a, r.a) != linked.get(r.b, r.b) for r in made["near-first"].collect())
+
+
 def test_stages_match_brute_force(spark, tmp_path):
     bench = [" ".join(words(500, 20)), "short item"]
     texts = [" ".join(words(k, 60, 3000)) for k in range(30)]

@@ -272,7 +272,7 @@ def _bit(col: str):
 
 
 def prefix_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, node, size, keys): the shingles of a set in one order for all sets, as far as any set of Jaccard ``similarity`` must share one.
+    """(doc_id, node, size, fp, keys): the 64-bit fingerprint of a set, and its shingles in one order for all sets, as far as any set of Jaccard ``similarity`` must share one.
 
     Sets that similar share ceil(similarity * size) shingles at least, so one of the first size - ceil(similarity * size) + 1
     of either. Any order gives all pairs; shingles that recur in a sample of the sets come last here, so the keys are rare ones.
@@ -284,20 +284,21 @@ def prefix_keys(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            heads, sizes = [], []
+            heads, sizes, fps = [], [], []
             for own in b.column(2):
                 own = own.values.to_numpy()
                 n = len(own)
                 sizes.append(n)
+                fps.append(wide_fingerprint(own.view("<u8"), 1)[0])
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.lexsort((own, np.where(known[at] == own, times[at], 0)))]
                 heads.append(own[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32))
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.zeros(0, "<i8"), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), keys], names=["doc_id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), keys], names=["doc_id", "node", "size", "fp", "keys"])
 
-    return shingle_sets(docs, shingle).mapInArrow(run, "doc_id long, node long, size int, keys array<long>")
+    return shingle_sets(docs, shingle).mapInArrow(run, "doc_id long, node long, size int, fp long, keys array<long>")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
@@ -337,36 +338,45 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     """(doc_id, component_id): documents whose sets of ``shingle``-word shingles have Jaccard ``similarity`` or more link; component_id is the smallest doc_id reachable.
 
     Every such pair is found and no other links (but for clashes of 64-bit hashes, and one pair in 10**9 at the threshold whose fingerprints are
-    six deviations too far apart): candidates share a key of :func:`prefix_keys`, are compared by SimHash fingerprints, and verified on the
-    whole sets. Equal sets are collapsed first. The members of a key of more than ``BUCKET`` meet three of them; after that only members
-    that are not in one component yet are paired, in tiles of bounded size. Texts without words link; an empty table gives an
+    six deviations too far apart). Equal sets are collapsed first. Candidates come by the generalised pigeonhole principle from 64-bit SimHash
+    fingerprints within two bits (:func:`links`) and are verified on the whole sets. Similar sets may differ in more bits than any partition
+    can find, so those not in one component yet go on by an exact way: they share a key of :func:`prefix_keys`, are compared by wide
+    fingerprints, and verified likewise. The members of a key of more than ``BUCKET`` meet three of them; after that only members
+    still in different components are paired, in tiles of bounded size. Texts without words link; an empty table gives an
     empty result; rows that share a doc_id are each returned; a very long text is one row of its whole set.
     """
     short_batches(docs.sparkSession)
     docs = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     heads = table(prefix_keys(docs, shingle, similarity), "near-heads")
-    firsts = table(heads.groupBy("node").agg(F.min(F.struct("doc_id", "size", "keys")).alias("f")).select("node", "f.*"), "near-firsts")
+    firsts = table(heads.groupBy("node").agg(F.min(F.struct("doc_id", "size", "fp", "keys")).alias("f")).select("node", "f.*"), "near-firsts")
+    reps = table(firsts.groupBy("fp").agg(F.min("node").alias("rep")), "near-reps")
+    alike = firsts.select("node", "fp").join(reps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    holes = table(links(reps).union(alike).distinct(), "pigeonhole-pairs")
+    holed = table(connected_components(_similar(holes, docs, firsts, shingle, similarity, "pigeonhole")), "pigeonhole-components")
+
     keyed = firsts.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     shared = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    rows = table(keyed.join(shared, "key"), "near-keys")
-    row = F.struct("node", "size", "pos")
+    rows = table(keyed.join(shared, "key").join(holed, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-keys")
+    row = F.struct("node", "size", "pos", "component")
+    apart = F.col("a.component") != F.col("b.component")
     a, b = rows.where(F.col("n") <= BUCKET).alias("a"), rows.where(F.col("n") <= BUCKET).alias("b")
-    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & apart & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     crowd = rows.where(F.col("n") > BUCKET)
     centres = crowd.groupBy("key").agg(F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.xxhash64("node")))).alias("centres"))
-    stars = crowd.join(table(centres, "near-centres"), "key").select(row.alias("b"), F.explode("centres").alias("a")).where(F.col("a.node") != F.col("b.node")).where(_possible(similarity))
+    stars = crowd.join(table(centres, "near-centres"), "key").select(row.alias("b"), F.explode("centres").alias("a")).where(apart & _possible(similarity))
     first = table(few.union(stars.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct(), "near-first")
-    found = connected_components(_similar(first, docs, firsts, shingle, similarity, "near"))
+    more = _similar(first, docs, firsts, shingle, similarity, "near")
+    found = connected_components(holed.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    rest = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = crowd.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = table(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "near-mixed")
     rest = rest.join(mixed, "key").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "node", "size", "pos", "component")
     rest = table(rest, "near-rest")
     a, b = rest.alias("a"), rest.alias("b")
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
-    pairs = a.join(b, same & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = a.join(b, same & apart & (F.col("a.node") < F.col("b.node")) & _possible(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    met = first.union(holes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = table(pairs.distinct().join(met, ["a", "b"], "left_anti"), "near-pairs")
     if pairs.limit(1).count():
         more = _similar(pairs, docs, firsts, shingle, similarity, "rest")
