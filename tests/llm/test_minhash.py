@@ -75,6 +75,26 @@ def test_crowd_of_copies_and_chains(spark):
     assert rows_of(minhash.minhash_groups(documents(spark, texts))) == plain_groups(texts)
 
 
+def test_crowd_of_unlike_copies_makes_few_pairs(spark):
+    """Copies of a text that is not there, too far from each other, share its shingles and nearly a signature; only some share their edits."""
+    r = random.Random(11)
+    base = words(17, 135, 5000)
+    texts = [" ".join(edited(base, 2, r)) for _ in range(200)]
+    texts += [f"{t} more" for t in texts[:20]]
+    docs = documents(spark, texts)
+    found = minhash.signatures(docs, 5)
+    firsts = found.select("node", "doc_id", "n", "sig").distinct()
+    members = firsts.select("node", firsts["node"].alias("component"))
+    made = minhash.crowded_pairs(members, docs.select("doc_id", "text"), firsts, 5, 85, minhash.most_different(85))
+    pairs = {frozenset(x) for x in made.select("a", "b").collect()}
+    ids = {x.doc_id: x.node for x in firsts.collect()}
+    sets = [plain_set(x.text) for x in docs.orderBy("doc_id").collect()]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(similar) >= 20 and all(frozenset((ids[i], ids[i - 200])) in pairs for i in range(201, 220))
+    assert len(pairs) < 10 * len(texts)
+    assert rows_of(minhash.minhash_groups(docs)) == plain_groups([x.text for x in docs.orderBy("doc_id").collect()])
+
+
 def test_keys_guarantee_the_distance():
     r = np.random.default_rng(1)
     limit = minhash.most_different(85)

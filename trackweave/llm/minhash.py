@@ -153,13 +153,33 @@ def _near(pairs: DataFrame, firsts: DataFrame, percent: int, limit: int) -> Data
     return both.where(differing("sa", "sb") <= limit).select("a", "b")
 
 
+def _sharing(rows: DataFrame, firsts: DataFrame, percent: int, limit: int, enough) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (key, node, component, and what ``enough`` reads of two) that share a key and lie in different components, and whose sizes and signatures allow the similarity.
+
+    Members outside a key's commonest component meet all in tiles of bounded size.
+    """
+    own = [c for c in rows.columns if c != "key"]
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
+    rows = rows.join(sizes.select("key", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("xs"), F.ceil(F.col("all") / TILE).cast("int").alias("ys")), "key")
+    rows = rows.join(firsts.select("node", "n", "sig"), "node").withColumn("out", F.col("component") != F.col("main"))
+    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    row = F.struct(*own, "out", "n", "sig")
+    left = rows.where("out").select("key", tile("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), row.alias("a"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), tile("ys").alias("y"), row.alias("b"))
+    met = (F.col("a.component") != F.col("b.component")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node"))) & size_fits(F.col("a.n"), F.col("b.n"), percent)
+    return left.join(right, ["key", "x", "y"]).where(met & enough & (differing("a.sig", "b.sig") <= limit)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
 def crowded_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, percent: int, limit: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (node, component) in different components whose sizes and signatures allow the similarity.
+    """Pairs (a, b) of ``members`` (node, component) in different components whose sizes and signatures allow the similarity, enough to connect all that are similar.
 
     A similar pair shares one of the first shingles of either in any order common to all sets: all but ceil(percent of the size), and one. In
     an order by how often a sample holds them, what makes a text unlike its fellows comes first, so a member of a crowd meets few others; and of a key far
-    down in a set too little is left to be similar, unless they share an earlier one. Keys within one component go; of the others, members
-    outside the commonest component meet all in tiles of bounded size.
+    down in a set too little is left to be similar, unless they share an earlier one. Keys within one component go, the members of those of up to ``BUCKET`` meet.
+
+    A larger key has a pivot, the member in most and largest keys, and each of its members only the shingles that it and the pivot do not share. Of two
+    members the sets differ in as many shingles as these differences do from each other. So two that are similar share one of the first of them,
+    or are both so near to the pivot that they are similar to it; those are tied to the pivot alone. What all of a crowd have in common makes no pairs.
     """
     wanted = table(firsts.select("node", "doc_id").join(members.select("node"), "node", "left_semi"), "minhash-crowd-wanted")
     sets = table(shingle_sets(docs, wanted, shingle), "minhash-crowd-sets")
@@ -167,34 +187,66 @@ def crowded_pairs(members: DataFrame, docs: DataFrame, firsts: DataFrame, shingl
     common = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(RANKS).collect()
     ranks = docs.sparkSession.sparkContext.broadcast(tuple(np.array(v, np.int64) for v in (zip(*sorted((r["key"], r["count"]) for r in common)) if common else ([], []))))
 
-    def first(batches):
+    def seen(own):
         known, times = ranks.value
+        if not len(known):
+            return np.zeros(len(own), np.int64)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        return np.where(known[at] == own, times[at], 0)
+
+    def first(batches):
         for b in batches:
             nodes, keys, places = [], [], []
             for node, own in zip(b.column(0).to_pylist(), b.column(1)):
                 own = own.values.to_numpy()
                 n = len(own)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    own = own[np.lexsort((own, np.where(known[at] == own, times[at], 0)))]
+                own = own[np.lexsort((own, seen(own)))]
                 keys.append(own[: n + (-percent * n) // 100 + 1])
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
                 places.append(np.arange(len(keys[-1])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (nodes, keys, places)], names=["node", "key", "place"])
 
     keyed_ = sets.select("node", "shingles").mapInArrow(first, "node long, key long, place long").join(members, "node")
-    mixed = keyed_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rows = table(keyed_.join(mixed, "key"), "minhash-crowd-keys")
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    rows = rows.join(sizes.select("key", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("xs"), F.ceil(F.col("all") / TILE).cast("int").alias("ys")), "key")
-    rows = rows.join(firsts.select("node", "n", "sig"), "node").withColumn("out", F.col("component") != F.col("main"))
-    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    row = F.struct("node", "component", "out", "n", (F.col("n") - F.col("place")).alias("left"), "sig")
-    left = rows.where("out").select("key", tile("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), row.alias("a"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), tile("ys").alias("y"), row.alias("b"))
-    met = (F.col("a.component") != F.col("b.component")) & (~F.col("b.out") | (F.col("a.node") < F.col("b.node"))) & size_fits(F.col("a.n"), F.col("b.n"), percent)
+    mixed = keyed_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
+    rows = table(keyed_.join(mixed, "key").join(firsts.select("node", F.col("n").alias("size")), "node"), "minhash-crowd-keys")
+    small = rows.where(F.col("m") <= BUCKET).select("key", "node", "component", (F.col("size") - F.col("place")).alias("left"))
     enough = (100 + percent) * F.least(F.col("a.left"), F.col("b.left")) >= percent * (F.col("a.n") + F.col("b.n"))  # from the first key that they share on
-    return left.join(right, ["key", "x", "y"]).where(met & enough & (differing("a.sig", "b.sig") <= limit)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    few = _sharing(small, firsts, percent, limit, enough)
+
+    large = rows.where(F.col("m") > BUCKET).select("key", "node", "m")
+    degrees = large.groupBy("node").agg(F.sum("m").alias("degree"))
+    pivots = large.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
+    spread = table(large.join(pivots, "key").select("node", "pivot").distinct().where("node != pivot").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "minhash-crowd-pivots")
+    held = spread.select("pivot", "salt").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("other")), "pivot")
+    both = spread.join(sets, "node").join(held, ["pivot", "salt"]).select("node", "pivot", "shingles", "other")
+
+    def unlike(batches):
+        for b in batches:
+            out = []
+            for node, pivot, own, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                own, other = own.values.to_numpy(), other.values.to_numpy()
+                more, less = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
+                n, d = len(own), len(more) + len(less)
+                near = (100 + percent) * d <= (100 - percent) * (n + len(other))
+                most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)  # shingles that any set similar to this one can differ in
+                keys = np.concatenate((more, less))
+                times = np.concatenate((seen(more), seen(other).max(initial=0) - seen(less)))  # about how many others differ so
+                out.append((node, pivot, near, d, most // 2, keys[np.lexsort((keys, times))[: most + 1]]))
+            columns = list(zip(*out)) if out else [()] * 6
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in columns[5]]))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(columns[5]) if out else np.zeros(0, np.int64), pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds)], lists], names=["node", "pivot", "near", "d", "half", "keys"])
+
+    apart = both.mapInArrow(unlike, "node long, pivot long, near boolean, d long, half long, keys array<long>")
+    apart = table(apart.join(members, "node").join(members.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot"), "minhash-crowd-apart")
+    stars = apart.where("near and component != home").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    rows = apart.withColumn("component", F.when(F.col("near"), F.col("home")).otherwise(F.col("component"))).select("node", "component", "pivot", "d", "half", F.posexplode("keys").alias("place", "key"))
+    rows = rows.select(F.xxhash64("pivot", "key").alias("key"), "node", "component", "d", (F.col("d") - F.col("place")).alias("left"), (F.col("place") <= F.col("half")).alias("early"))
+    smaller = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.node") < F.col("a.node")))  # of two differences the smaller shares one of fewer
+    alike = (100 + percent) * (F.col("a.d") + F.col("b.d") - 2 * F.least(F.col("a.left"), F.col("b.left"))) <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    many = _sharing(table(rows, "minhash-crowd-unlike"), firsts, percent, limit, F.when(smaller, F.col("b.early")).otherwise(F.col("a.early")) & alike)
+    return few.union(stars).union(many).distinct()
 
 
 def minhash_links(docs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:
