@@ -99,3 +99,11 @@ def test_kernels_take_short_batches(spark, conf):
     frames = spark.range(0, 1000, 1, 1).select(F.lit(0).cast("long").alias("case_id"), F.col("id").alias("frame"), F.lit(2).alias("height"), F.lit(2).alias("width"), px.alias("blue"), px.alias("green"), px.alias("red"))
     seen = V.with_kernel(frames, "n long", lambda b, g, r: {"n": np.full(len(b), len(b))})
     assert seen.agg(F.max("n")).first()[0] <= shared.BATCH_ROWS and seen.count() == 1000
+
+
+def test_controls_are_picked_by_one_aggregation(spark):
+    from trackweave.plans import regions
+
+    found = regions.q83_controls_summary(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join ") == 1 and plan.count("Aggregate ") == 2

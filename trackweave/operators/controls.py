@@ -102,10 +102,9 @@ def control_frames(candidates: DataFrame) -> DataFrame:
     """One row a frame for :func:`controls_summary`, from measured candidates: their picks, and what the record asks of these."""
     key = ["case_id", "frame"]
     row = F.struct("ord", *MEASURED)
-    whole = candidates.groupBy(*key).agg(F.max("object_luminance").alias("object_luminance"), F.max("object_hf").alias("object_hf"), F.count("*").alias("n"))
-    rows = candidates.withColumn("ord", row)
-    picks = rules.pick_controls(rows.where(F.size("reasons") == 0), rows.where(F.size("reasons") > 0), F.col("near"), key)
-    return record_inputs(whole.join(picks, key, "left"), {k: F.col(k) for k in KINDS})
+    whole = [F.max("object_luminance").alias("object_luminance"), F.max("object_hf").alias("object_hf"), F.count("*").alias("n")]
+    picks = rules.pick_controls_of(candidates.repartition(*key).withColumn("ord", row), F.size("reasons") == 0, F.col("near"), key, whole)
+    return record_inputs(picks, {k: F.col(k) for k in KINDS})
 
 
 def record_inputs(frames: DataFrame, picks: dict[str, Column]) -> DataFrame:
@@ -155,7 +154,12 @@ def controls_summary(frames: DataFrame) -> DataFrame:
     return g.withColumn("validity", F.greatest(F.lit(0.0), F.least(F.lit(0.98), complete * clean * keys))).withColumn("controls_version", F.lit(VERSION))
 
 
+def controls_pass(least: float = 0.45) -> Column:
+    """Whether a case's controls are of the wanted version and valid enough."""
+    return F.coalesce((F.col("controls_version") == VERSION) & (F.col("validity") >= least), F.lit(False))
+
+
 def controls_gate(rows: DataFrame, controls: DataFrame, least: float = 0.45) -> DataFrame:
     """Rows of cases whose controls are of the wanted version and valid enough."""
-    passing = controls.where((F.col("controls_version") == VERSION) & (F.col("validity") >= least))
+    passing = controls.where(controls_pass(least))
     return rows.join(passing.select("case_id").distinct(), "case_id", "left_semi")

@@ -88,16 +88,26 @@ def line_score(w: Column, h: Column, edges: Column) -> Column:
 
 
 def pick_controls(valid: DataFrame, invalid: DataFrame, near: float | Column, by: list[str] | None = None) -> DataFrame:
+    """:func:`pick_controls_of` over the valid candidates and the others as two tables of the same columns."""
+    return pick_controls_of(valid.withColumn("_valid", F.lit(True)).unionByName(invalid.withColumn("_valid", F.lit(False))), F.col("_valid"), near, by)
+
+
+def pick_controls_of(rows: DataFrame, valid: Column, near: float | Column, by: list[str] | None = None, more: list[Column] | None = None) -> DataFrame:
     """Per frame the candidate of each control type, as ``ord``: nearest to a distance, farthest, darkest, brightest, flattest, drawn, worst overlay.
 
     Columns: frame (or ``by``), ord, distance, luminance, texture, edges, artifact_ratio, black, cyan, draw (a seeded order); ties go to the least ``ord``.
+    ``valid`` tells which may be a background, and ``more`` is what else is aggregated over all. One aggregation; rows should be dealt by ``by`` before, as
+    they are far narrower than what is kept of each frame. Rows without a frame are of two groups, the valid and the others.
     """
-    low = lambda c, test=None: F.min_by("ord", F.struct(c, F.col("ord"))) if test is None else F.min_by(F.when(test, F.col("ord")), F.when(test, F.struct(c, F.col("ord"))))
+    low = lambda c, test: F.min(F.when(test, F.struct(c.alias("c"), F.col("ord").alias("ord"))))["ord"]
     by = by or ["frame"]
-    g = valid.groupBy(*by).agg(
-        F.count("*").alias("n_valid"), low(F.abs(F.col("distance") - near)).alias("near_background"), low(-F.col("distance")).alias("far_background"), low(F.col("luminance"), F.col("luminance") < 95).alias("dark_region"),
-        low(-F.col("luminance"), F.col("luminance") > 90).alias("bright_region"), low(F.col("texture") + F.col("edges") * 100, F.col("texture").between(4, 38)).alias("compression_noise"), low(F.col("draw")).alias("random_background"),
-    )
+    bad = ~valid
     overlay = (F.col("artifact_ratio") > 0.005) | (F.col("black") > 0.001) | (F.col("cyan") > 0)
-    h = invalid.groupBy(*by).agg(low(-(F.col("artifact_ratio") + F.col("black") + F.col("cyan") * 50), overlay).alias("hud_artifact"))
-    return g.join(h, by, "full_outer")
+    lost = F.when(F.greatest(*[F.col(c).isNull() for c in by], F.lit(False)), valid)
+    g = rows.groupBy(*by, lost.alias("_lost")).agg(
+        F.nullif(F.count_if(valid), F.lit(0)).alias("n_valid"), low(F.abs(F.col("distance") - near), valid).alias("near_background"), low(-F.col("distance"), valid).alias("far_background"), low(F.col("luminance"), valid & (F.col("luminance") < 95)).alias("dark_region"),
+        low(-F.col("luminance"), valid & (F.col("luminance") > 90)).alias("bright_region"), low(F.col("texture") + F.col("edges") * 100, valid & F.col("texture").between(4, 38)).alias("compression_noise"), low(F.col("draw"), valid).alias("random_background"),
+        low(-(F.col("artifact_ratio") + F.col("black") + F.col("cyan") * 50), bad & overlay).alias("hud_artifact"), *(more or []),
+    )
+    return g.drop("_lost")
+

@@ -57,16 +57,16 @@ p AS (SELECT a.frame, CAST(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.
 SELECT frame, count(*) AS pairs, round(avg(i / (aa + ba - i)), 6) AS mean_iou, round(max(i / (aa + ba - i)), 6) AS max_iou, count(*) FILTER (i / greatest(1, least(aa, ba)) > 0.02) AS overlapping FROM p WHERE i > 0 GROUP BY frame""")
 
 
-def judged(spark, sf):
+def judged(candidates):
     zero = F.lit(0.0)
     reasons = rules.candidate_reasons(F.col("overlap"), F.col("artifact_ratio"), F.when(F.col("luminance") < 12, 1.0).otherwise(0.0), zero, F.col("edge_score"))
     distance = F.abs(F.col("texture") - 20) * 10
     black, draw = F.when(F.col("luminance") < 12, 1.0).otherwise(0.0), hash_order(42, "frame", "ord.l_linenumber", "ord.l_partkey", "ord.l_suppkey")
-    return X.candidates(spark, sf).withColumns({"reasons": reasons, "distance": distance, "black": black, "cyan": zero, "edges": zero, "draw": draw})
+    return candidates.withColumns({"reasons": reasons, "distance": distance, "black": black, "cyan": zero, "edges": zero, "draw": draw})
 
 
 def q16_control_quality(spark, sf):
-    rows = judged(spark, sf).withColumn("rejection_reason", F.array_join("reasons", ";"))
+    rows = judged(X.candidates(spark, sf)).withColumn("rejection_reason", F.array_join("reasons", ";"))
     return rows.groupBy("rejection_reason").agg(F.count("*").alias("n"), F.round(F.avg("texture"), 4).alias("mean_texture"), F.round(F.max("overlap"), 4).alias("max_overlap")).withColumn("valid_for_background", F.col("rejection_reason") == "")
 
 
@@ -77,8 +77,7 @@ KINDS = list(controls.KINDS)
 
 
 def picked(spark, sf):
-    rows = judged(spark, sf)
-    return rules.pick_controls(rows.where(F.size("reasons") == 0), rows.where(F.size("reasons") > 0), 50.0)
+    return rules.pick_controls_of(judged(X.candidates(spark, sf).repartition("frame")), F.size("reasons") == 0, 50.0)
 
 
 def q17_control_pick(spark, sf):
@@ -296,7 +295,7 @@ SELECT CASE WHEN n IS NULL THEN 'needs_track' WHEN decision IS NULL THEN 'needs_
 
 
 def q70_ranked_picks(spark, sf):
-    rows = judged(spark, sf).withColumn("weight", (F.col("luminance") + 3) * F.sqrt(F.greatest(F.col("texture"), F.lit(1.0))))
+    rows = judged(X.candidates(spark, sf)).withColumn("weight", (F.col("luminance") + 3) * F.sqrt(F.greatest(F.col("texture"), F.lit(1.0))))
     best = sampling.top(rows, 3, "frame", F.desc("weight"), F.col("ord"))
     return best.select("frame", F.col("rank"), F.col("ord.l_partkey").alias("partkey"), F.round("weight", 4).alias("weight"))
 
