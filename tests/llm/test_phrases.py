@@ -80,3 +80,15 @@ def test_empty_table_and_sql(spark):
     want = con.execute(phrases.OP11_SQL).fetchall()
     got = [tuple(r[c] for c in COLUMNS) for r in phrases.op11_phrase_collocations(spark, sf).collect()]
     assert sorted(got) == sorted(want) and len(got) >= 50
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """Those of all levels would else lie on the disk until the driver collects garbage."""
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before = held()
+    phrases.frequent_phrases(documents(spark, ["a b c d e"] * 40))
+    assert not held() - before

@@ -33,6 +33,11 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def short_lived_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of a query when it ends, not when the driver happens to collect what refers to them; else those of all rounds pile up."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a frame to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

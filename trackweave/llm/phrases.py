@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTES_LOWER, bit_map, bits_set, columns_of, forget, read, short_batches, stored, table
+from .common import BYTES_LOWER, bit_map, bits_set, columns_of, forget, read, short_batches, short_lived_shuffles, stored, table
 
 #: Lower-cases A-Z and makes a line feed of every character that ends a piece.
 MAP = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else c for b, c in enumerate(BYTES_LOWER))
@@ -170,8 +170,9 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
     Totals: (lang, n). A level: (id, left_id, right_id, lang, words, a, begins, ends); left_id and right_id name the phrase without its last and
     without its first word, begins[k - 1] counts its first k words and ends[k - 1] its last k.
     """
-    short_batches(docs.sparkSession)
     spark = docs.sparkSession
+    short_batches(spark)
+    short_lived_shuffles(spark)
     coded, path = stored(word_chunks(docs, lang_col, text_col), "phrases-words")
     totals = table(_entries(coded, "langs", "counts").groupBy(F.col("langs").alias("lang")).agg(F.sum("counts").alias("n")), "phrases-totals")
     counted = _entries(coded, "langs", "words", "counts").groupBy("langs", "words").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
