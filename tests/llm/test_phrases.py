@@ -3,11 +3,12 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 
-from tests.llm.helpers import SCHEMA, documents, with_clashes
+from tests.llm.helpers import SCHEMA, documents, with_clashes, words
 from trackweave.llm import phrases
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -92,3 +93,33 @@ def test_shuffle_files_go_with_their_query(spark):
     before = held()
     phrases.frequent_phrases(documents(spark, ["a b c d e"] * 40))
     assert not held() - before
+
+
+def test_no_level_is_stored_place_by_place(spark, monkeypatch):
+    """The disk's worst was a table of all pairs of a level, with two ids of 64 bits each."""
+    texts = [" ".join(words(i, 1000, 3000)) for i in range(200)]
+    plain_stored, sizes = phrases.stored, {}
+
+    def stored(df, name):
+        found = plain_stored(df, name)
+        sizes[name] = sum(f.stat().st_size for f in Path(found[1].removeprefix("file:")).glob("*.parquet"))
+        return found
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    phrases.frequent_phrases(documents(spark, texts))
+    assert "phrases-words" in sizes and max(sizes.values()) < 0.75 * sum(map(len, texts)), sizes
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 7])
+def test_longer_phrases_whatever_the_bit_map_lets_through(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "BITS", bits)
+    texts = [t.replace(".", " ").lower() for t in some_texts(150, 8)]
+    f = Counter()
+    for t in texts:
+        for piece in re.split("[,;:!?\n\x0b\x0c\r]", t):
+            w = re.split("[ \t]+", piece.strip(" \t")) if piece.strip(" \t") else []
+            f.update(tuple(w[i : i + m]) for m in range(1, 7) for i in range(len(w) - m + 1))
+    _, levels = phrases.frequent_phrases(documents(spark, texts), most_words=6, least=5)
+    got = {tuple(r["words"]): (r["a"], r["begins"], r["ends"]) for level in levels for r in level.collect()}
+    want = {p: (n, [f[p[:k]] for k in range(1, len(p) + 1)], [f[p[-k:]] for k in range(1, len(p) + 1)]) for p, n in f.items() if n >= 5}
+    assert got == want and max(map(len, want)) == 6

@@ -1,13 +1,12 @@
-"""Phrase collocations by hierarchical pair naming.
+"""Phrase collocations level by level: a phrase of k words can be frequent only where both its parts of k - 1 words are.
 
-Words of enough occurrences get ids, which are joined back to the places where they stand; a phrase of k words is a pair of adjacent
-phrases of k - 1 words, and gets an id of its own if it is frequent, so the next level pairs ids again. A pair's id is a 64-bit function of its parts'
-ids: whoever knows the parts knows the name, so naming the places of pairs needs no join, only a bit map of the pairs that are frequent
-(what it lets through beside these is counted and dropped a level later). A phrase's row keeps the ids of its two parts; joined by them,
-it has the counts of all its beginnings and endings.
+Words of enough occurrences get dense numbers, which are joined back to the places where they stand; after that the corpus is kept once,
+as runs of these numbers. Every level reads the runs anew: a bit map of the frequent phrases of the level below tells the places to count, and a
+phrase is counted under its words' numbers, two to a long, which is exact and small. No level is stored place by place.
+A phrase's row has its words' numbers, so joined by their slices it has the counts of all its beginnings and endings.
 
-Word sequences stay together in chunks, runs of documents that one task met. A chunk lists its distinct pairs once, with their
-counts, so what is counted over the corpus and named in return is a pair once a chunk, not an occurrence.
+Word sequences stay together in chunks, runs of documents that one task met. A chunk counts its own phrases first, so what is
+shuffled is a phrase once a chunk, not an occurrence.
 """
 
 from __future__ import annotations
@@ -39,7 +38,10 @@ def _ints(values: np.ndarray, kind=pa.int32()) -> pa.Array:
 
 
 def word_chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(chunk, seq, langs, words, counts): the places of a chunk's words in its list of distinct (language, word), -1 where a piece ends."""
+    """(chunk, low, high, langs, words, counts): the places of a chunk's words in its list of distinct (language, word), -1 where a piece ends.
+
+    Places go in two halves of 16 bits: the higher are mostly alike, and compress to little where whole numbers do not.
+    """
 
     def run(batches):
         chunk, size = TaskContext.get().partitionId() << 32, 0
@@ -59,7 +61,7 @@ def word_chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             yield _word_chunk(chunk, held)
 
     named = columns_of(docs, lang_col, text_col).select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return named.mapInArrow(run, "chunk long, seq array<int>, langs array<string>, words array<string>, counts array<int>")
+    return named.mapInArrow(run, "chunk long, low array<short>, high array<short>, langs array<string>, words array<string>, counts array<int>")
 
 
 def _dictionary() -> defaultdict:
@@ -78,71 +80,85 @@ def _word_chunk(chunk: int, held: dict) -> pa.RecordBatch:
         counts.append(np.bincount(own, minlength=len(slots))[1:])
         words += list(slots)[1:]
         langs += [lang] * (len(slots) - 1)
-    lists = [_ints(np.concatenate(seq)), pa.array([langs], pa.list_(pa.string())), pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string())), _ints(np.concatenate(counts))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "seq", "langs", "words", "counts"])
+    places = np.concatenate(seq).astype(np.int32)
+    lists = [_ints(places.astype(np.int16), pa.int16()), _ints((places >> 16).astype(np.int16), pa.int16()), pa.array([langs], pa.list_(pa.string())), pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string())), _ints(np.concatenate(counts))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "low", "high", "langs", "words", "counts"])
 
 
-PAIRED = "chunk long, seq array<int>, lefts array<long>, rights array<long>, counts array<int>"
+def word_runs(coded: DataFrame, names: DataFrame) -> DataFrame:
+    """(seq): each chunk's words by number, -1 once between runs of frequent words; ``names`` (of, slot, number) has those of the chunk's list. A group is one chunk."""
 
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        low, high = (rows.column(c).combine_chunks().values.to_numpy() for c in ("low", "high"))
+        seq = high.astype(np.int32) << 16 | low.view(np.uint16)
+        numbers = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is that of -1
+        pairs = found.column("pairs").combine_chunks().values.to_numpy()
+        numbers[pairs >> 32] = (pairs & (1 << 32) - 1).astype(np.int32)
+        own = numbers[seq]
+        return pa.table({"seq": _ints(own[(own >= 0) | np.append(True, own[:-1] >= 0)])})
 
-def pair_up(chunk: pa.Scalar, seq: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """A chunk one level up: each place holds the pair of its own name and its right neighbour's, or -1. ``ids`` names the entries of the chunk's list, -1 none."""
-    n = len(ids)
-    known = np.append(ids, -1)[seq] >= 0
-    at = np.flatnonzero(known[:-1] & known[1:])
-    pairs, own, counts = np.unique(seq[at].astype(np.int64) * n + seq[at + 1], return_inverse=True, return_counts=True)
-    turn = np.argsort(-counts, kind="stable")
-    slot = np.empty(len(turn), np.int32)
-    slot[turn] = np.arange(len(turn), dtype=np.int32)
-    up = np.full(len(seq), -1, np.int32)
-    up[at] = slot[own]
-    lefts, rights = ids[pairs[turn] // max(n, 1)], ids[pairs[turn] % max(n, 1)]
-    lists = [_ints(up), _ints(lefts, pa.int64()), _ints(rights, pa.int64()), _ints(counts[turn])]
-    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), *lists], names=["chunk", "seq", "lefts", "rights", "counts"])
+    pair = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("number").cast("long"))  # lists are gathered before they are shuffled: less than half of the rows' bytes
+    lists = names.groupBy("of").agg(F.collect_list(pair).alias("pairs"))
+    return coded.select("chunk", "low", "high").groupBy("chunk").cogroup(lists.groupBy("of")).applyInArrow(run, "seq array<int>")
 
 
-def word_pairs(coded: DataFrame, names: DataFrame) -> DataFrame:
-    """The pairs of each chunk's words; ``names`` (of, slot, id) has the ids of those that are frequent. A group is one chunk."""
+def packed(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The key of a phrase: its words' numbers, two to a long, an odd one by itself."""
+    wide = [w.astype(np.int64) for w in words]
+    return [wide[i] << 32 | wide[i + 1] if i + 1 < len(wide) else wide[i] for i in range(0, len(wide), 2)]
 
-    def up(rows: pa.Table, found: pa.Table) -> pa.Table:
-        seq = rows.column("seq").combine_chunks().values.to_numpy()
-        ids = np.full(int(seq.max(initial=-1)) + 1, -1, np.int64)
-        ids[found.column("slot").to_numpy()] = found.column("id").to_numpy()
-        return pa.Table.from_batches([pair_up(rows.column("chunk")[0], seq, ids)])
 
-    return coded.select("chunk", "seq").groupBy("chunk").cogroup(names.groupBy("of")).applyInArrow(up, PAIRED)
+def number_at(k: int, j: int) -> Column:
+    """Word ``j`` of ``k`` from the columns of :func:`packed`."""
+    part = F.col(f"p{j // 2}")
+    return (part if j % 2 or j + 1 == k else F.shiftright(part, 32)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
 
-def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The id of a pair of ids: 63 bits, so never -1."""
-    x = (left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29)) ^ right.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+def key_bits(keys: list[np.ndarray], size: int) -> np.ndarray:
+    """The bit of a phrase in the map of its level; ``size`` is a power of two."""
+    x = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        x = (x ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    return (x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def phrase_pairs(coded: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs of each chunk's phrases of a level, from those that the bit map of ``named`` lets through; where the chunk lies, no shuffle."""
-    shared = coded.sparkSession.sparkContext.broadcast(bit_map(named.select((F.col("id") % BITS).alias("bit")), BITS))
+def own_counts(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct keys of a chunk in order, and how often each occurs."""
+    if len(keys) == 1:
+        return list(np.unique(keys[0], return_counts=True))
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    fresh = np.flatnonzero(np.logical_or.reduce([np.append(True, k[1:] != k[:-1])[: len(k)] for k in keys]))
+    return [*(k[fresh] for k in keys), np.diff(np.append(fresh, len(order)))]
 
-    def up(batches):
-        for b in batches:
-            for chunk, seq, lefts, rights in zip(*b.columns):
-                ids = pair_ids(lefts.values.to_numpy(), rights.values.to_numpy())
-                yield pair_up(chunk, seq.values.to_numpy(), np.where(bits_set(shared.value, ids % BITS), ids, -1))
 
-    return coded.select("chunk", "seq", "lefts", "rights").mapInArrow(up, PAIRED)
+def phrase_counts(runs: DataFrame, k: int, below: DataFrame | None) -> DataFrame:
+    """(p0, p1 and so on, a): phrases of ``k`` words and their occurrences in a chunk, from the places where both parts pass the bit map of ``below``, the frequent phrases of a word less (None: all do)."""
+    names = [f"p{i}" for i in range((k + 1) // 2)]
+    shared = None
+    if below is not None:
 
+        def bits(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(key_bits([c.to_numpy() for c in b.columns], BITS))], names=["bit"])
 
-def with_ids(counted: DataFrame) -> DataFrame:
-    """(id, left_id, right_id, a) of counted pairs (lefts, rights, a)."""
+        shared = runs.sparkSession.sparkContext.broadcast(bit_map(below.mapInArrow(bits, "bit long"), BITS))
 
     def run(batches):
         for b in batches:
-            ids = pair_ids(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *b.columns], names=["id", "left_id", "right_id", "a"])
+            for seq in b.column(0):
+                own = seq.values.to_numpy()
+                known = own >= 0
+                m = k if shared is None else k - 1
+                at = np.flatnonzero(np.logical_and.reduce([known[j : max(len(own) - m + 1 + j, j)] for j in range(m)]))
+                if shared is not None:
+                    at = at[bits_set(shared.value, key_bits(packed([own[at + j] for j in range(m)]), BITS))]
+                    at = at[np.append(at[1:] == at[:-1] + 1, False)[: len(at)]]
+                *keys, counts = own_counts(packed([own[at + j] for j in range(k)]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(counts, pa.int64())], names=[*names, "a"])
 
-    return counted.select("lefts", "rights", "a").mapInArrow(run, "id long, left_id long, right_id long, a long")
+    return runs.select("seq").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "a"]))
 
 
 def _entries(coded: DataFrame, *columns: str) -> DataFrame:
@@ -151,9 +167,9 @@ def _entries(coded: DataFrame, *columns: str) -> DataFrame:
 
 
 def named_words(coded: DataFrame, level: DataFrame) -> DataFrame:
-    """(of, slot, id): the entries of each chunk's words that have an id. What a bit map of these rules out is not shuffled."""
+    """(of, slot, number): the entries of each chunk's words that have a number. What a bit map of these rules out is not shuffled."""
     bit = F.pmod(F.xxhash64("langs", "words"), F.lit(BITS)).alias("bit")
-    names = level.select("id", F.col("lang").alias("langs"), F.col("words")[0].alias("words"))
+    names = level.select(F.col("numbers")[0].alias("number"), F.col("lang").alias("langs"), F.col("words")[0].alias("words"))
     shared = coded.sparkSession.sparkContext.broadcast(bit_map(names.select(bit), BITS))
 
     def passed(batches):
@@ -161,14 +177,23 @@ def named_words(coded: DataFrame, level: DataFrame) -> DataFrame:
             yield b.select([0, 1, 2, 3]).filter(pa.array(bits_set(shared.value, b.column(4).to_numpy())))
 
     entries = _entries(coded, "langs", "words").select("of", "slot", "langs", "words", bit).mapInArrow(passed, "of long, slot int, langs string, words string")
-    return entries.join(names, ["langs", "words"]).select("of", "slot", "id")
+    return entries.join(names, ["langs", "words"]).select("of", "slot", "number")
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """Words (langs, words, a) with a dense ``number``, smaller for words of more occurrences: dealt in turn from the partitions, each in that order."""
+    at = table(words.sortWithinPartitions(F.desc("a"), "langs", "words").select("langs", "words", "a", F.monotonically_increasing_id().alias("at")), "phrases-frequent")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = (at.agg(F.max(part)).first()[0] or 0) + 1
+    number = row * parts + part
+    return at.withColumn("number", F.when(number < 1 << 31, number.cast("int")).otherwise(F.raise_error(F.lit("more frequent words than 31 bits can number"))))
 
 
 def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """Words a language, and a table a level of the phrases of 1 to ``most_words`` words with ``least`` occurrences.
 
-    Totals: (lang, n). A level: (id, left_id, right_id, lang, words, a, begins, ends); left_id and right_id name the phrase without its last and
-    without its first word, begins[k - 1] counts its first k words and ends[k - 1] its last k.
+    Totals: (lang, n). A level: (numbers, lang, words, a, begins, ends); numbers has the words' numbers, those of a phrase without its last
+    or its first word name it a level below; begins[k - 1] counts its first k words and ends[k - 1] its last k.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -177,23 +202,25 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
     totals = table(_entries(coded, "langs", "counts").groupBy(F.col("langs").alias("lang")).agg(F.sum("counts").alias("n")), "phrases-totals")
     counted = _entries(coded, "langs", "words", "counts").groupBy("langs", "words").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
     one = F.array("a")
-    none = F.lit(None).cast("long")
-    level = table(counted.select(F.monotonically_increasing_id().alias("id"), none.alias("left_id"), none.alias("right_id"), F.col("langs").alias("lang"), F.array("words").alias("words"), "a", one.alias("begins"), one.alias("ends")), "phrases-1")
-    levels = [level]
+    level = table(numbered(counted).select(F.array("number").alias("numbers"), F.col("langs").alias("lang"), F.array("words").alias("words"), "a", one.alias("begins"), one.alias("ends")), "phrases-1")
+    levels, keys = [level], None
+    found, found_path = stored(named_words(coded, level), "phrases-found")  # its shuffle files go before the runs' come
+    runs, runs_path = stored(word_runs(coded, found), "phrases-runs")
+    forget(spark, path)
+    forget(spark, found_path)
     for k in range(2, most_words + 1):
-        pairs = word_pairs(coded, named_words(coded, level)) if k == 2 else phrase_pairs(coded, named)
-        pairs, above = stored(pairs if k < most_words else pairs.drop("seq"), f"phrases-pairs-{k}")
-        forget(spark, path)
-        coded, path = pairs, above
-        counted = _entries(coded, "lefts", "rights", "counts").groupBy("lefts", "rights").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
-        named = table(with_ids(counted), f"phrases-names-{k}")
-        left = level.select(F.col("id").alias("left_id"), "lang", F.col("words").alias("first"), "begins")
-        right = level.select(F.col("id").alias("right_id"), F.element_at("words", -1).alias("last"), "ends")
-        full = named.join(left, "left_id").join(right, "right_id")
-        full = full.select("id", "left_id", "right_id", "lang", F.concat("first", F.array("last")).alias("words"), "a", F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"))
+        names = [f"p{i}" for i in range((k + 1) // 2)]
+        counted = phrase_counts(runs, k, keys).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+        named = table(counted.select(*names, F.array(*[number_at(k, j) for j in range(k)]).alias("numbers"), "a"), f"phrases-names-{k}")
+        keys = named.select(*names)
+        named = named.select("numbers", F.slice("numbers", 1, k - 1).alias("left"), F.slice("numbers", 2, k - 1).alias("right"), "a")
+        left = level.select(F.col("numbers").alias("left"), "lang", F.col("words").alias("first"), "begins")
+        right = level.select(F.col("numbers").alias("right"), F.element_at("words", -1).alias("last"), "ends")
+        full = named.join(left, "left").join(right, "right")
+        full = full.select("numbers", "lang", F.concat("first", F.array("last")).alias("words"), "a", F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"))
         level = table(full, f"phrases-{k}")
         levels.append(level)
-    forget(spark, path)
+    forget(spark, runs_path)
     return totals, levels
 
 
@@ -212,7 +239,7 @@ def collocations(docs: DataFrame, top: int = 2000, most_words: int = 4, least: i
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by score, then a, both descending, then the phrase's bytes.
 
     Phrases of 2 to ``most_words`` words with ``least`` occurrences are candidates; one that lies inside a longer candidate of ``covered`` per
-    cent of its occurrences goes. (It then lies inside one of a single word more that has as many, so the parts named in the next
+    cent of its occurrences goes. (It then lies inside one of a single word more that has as many, so the parts of the next
     level's rows tell.) A null language is ``und``; null and empty texts have no words; rows that repeat count each time; an empty
     table gives no rows; further columns are ignored; a very long text is one run of words in its chunk.
     """
@@ -222,8 +249,9 @@ def collocations(docs: DataFrame, top: int = 2000, most_words: int = 4, least: i
         kept = level
         if k + 1 < len(levels):
             above = levels[k + 1]
-            over = above.select(F.col("left_id").alias("id"), F.col("a").alias("most")).union(above.select("right_id", "a")).groupBy("id").agg(F.max("most").alias("most"))
-            kept = level.join(over, "id", "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a")))
+            part = lambda start: above.select(F.slice("numbers", start, k + 1).alias("numbers"), F.col("a").alias("most"))  # noqa: B023, E731
+            over = part(1).union(part(2)).groupBy("numbers").agg(F.max("most").alias("most"))
+            kept = level.join(over, "numbers", "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a")))
         kept = kept.select("lang", F.array_join("words", " ").alias("phrase"), "a", lowest_cut().alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
         found = kept if found is None else found.union(kept)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
