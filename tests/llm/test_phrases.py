@@ -1,11 +1,13 @@
 """Phrase collocations against a plain count of all phrases."""
 
+import gc
 import random
 import re
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from tests.llm.helpers import SCHEMA, documents, with_clashes, words
@@ -123,3 +125,37 @@ def test_longer_phrases_whatever_the_bit_map_lets_through(spark, monkeypatch, bi
     got = {tuple(r["words"]): (r["a"], r["begins"], r["ends"]) for level in levels for r in level.collect()}
     want = {p: (n, [f[p[:k]] for k in range(1, len(p) + 1)], [f[p[-k:]] for k in range(1, len(p) + 1)]) for p, n in f.items() if n >= 5}
     assert got == want and max(map(len, want)) == 6
+
+
+def test_no_row_holds_a_chunk(spark, monkeypatch):
+    """Readers take thousands of rows at once: with a chunk a row, all chunks of a file lay in memory together."""
+    plain_stored, sizes = phrases.stored, {}
+
+    def stored(df, name):
+        found = plain_stored(df, name)
+        files = [pq.read_table(f) for f in Path(found[1].removeprefix("file:")).glob("*.parquet")]
+        sizes[name] = max(t.slice(i, 1).nbytes for t in files for i in range(0, t.num_rows, 7))
+        return found
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    phrases.frequent_phrases(documents(spark, [" ".join(words(i, 3000, 3000)) for i in range(60)]))
+    assert {"phrases-words", "phrases-found", "phrases-runs"} <= set(sizes) and max(sizes.values()) < 16_000, sizes
+
+
+def test_a_chunks_dictionary_goes_with_it():
+    """A cycle stays until Python looks for cycles, which words and numbers do not make it do: workers kept every chunk's words."""
+    gc.collect()
+    slots = phrases._dictionary()
+    assert [slots[w] for w in (b"a", b"\n", b"b", b"a")] == [1, 0, 2, 1]
+    del slots
+    assert gc.collect() == 0
+
+
+@pytest.mark.parametrize("row", [1, 2, 5])
+def test_phrases_over_the_ends_of_rows(spark, monkeypatch, row):
+    monkeypatch.setattr(phrases, "ROW", row)
+    monkeypatch.setattr(phrases, "CHUNK", 300)
+    rows = [("en", t) for t in some_texts(120, 3)]
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, (lang, t) in enumerate(rows)], SCHEMA).repartition(2)
+    got = sorted((tuple(r[c] for c in COLUMNS) for r in phrases.collocations(df).collect()), key=lambda r: (r[0], r[1]))
+    assert got == plain(rows) and len(got) > 10

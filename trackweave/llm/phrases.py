@@ -7,12 +7,17 @@ A phrase's row has its words' numbers, so joined by their slices it has the coun
 
 Word sequences stay together in chunks, runs of documents that one task met. A chunk counts its own phrases first, so what is
 shuffled is a phrase once a chunk, not an occurrence.
+
+A chunk is many rows of bounded size, never one: Spark's readers take thousands of rows at once, and hold all of a row group if it has fewer.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,80 +31,107 @@ from .common import BYTES_LOWER, bit_map, bits_set, columns_of, forget, read, sh
 #: Lower-cases A-Z and makes a line feed of every character that ends a piece.
 MAP = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else c for b, c in enumerate(BYTES_LOWER))
 TOKEN = re.compile(rb"[^ \t\n]+|\n")
-#: Words of a chunk, about; bits of the map that lets those entries of a chunk's list through that may be frequent.
-CHUNK, BITS = 1 << 20, 1 << 25
+#: Words of a chunk, about; words, or entries of a list, in a row; rows of an Arrow batch that a worker gets (of such rows, not texts) or returns, at most.
+CHUNK, ROW, LISTS, OUT = 1 << 20, 1 << 10, 1 << 12, 1 << 16
+#: Bits of the map that lets those entries of a chunk's list through that may be frequent.
+BITS = 1 << 25
 NO_LANG = "und"
 SCORE_UNIT = 2_000_000
 
 
-def _ints(values: np.ndarray, kind=pa.int32()) -> pa.Array:
-    """One list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind, safe=False))
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """A binary for every row of a table of numbers."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """The numbers of all binaries, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _rows(values: np.ndarray, size: int, more: int = 0) -> np.ndarray:
+    """``values`` in rows of ``size``, each with the ``more`` values that follow it; -1 where there are none."""
+    n = -(-len(values) // size)
+    filled = np.append(values, np.full(n * size + more - len(values), -1, values.dtype))
+    return np.lib.stride_tricks.sliding_window_view(filled, size + more)[::size][:n] if n else filled[:0].reshape(0, size + more)
+
+
+def _parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, rows.num_rows, OUT):
+        yield rows.slice(i, OUT)
 
 
 def word_chunks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(chunk, low, high, langs, words, counts): the places of a chunk's words in its list of distinct (language, word), -1 where a piece ends.
+    """(chunk, part, slot, low, high, lang, word, a): the entries of a chunk's list of distinct (language, word) with their counts, number
+    part * ROW + slot in it; and, without a word, the places of the chunk's words in that list, -1 where a piece ends, ROW of them for each ``part``.
 
-    Places go in two halves of 16 bits: the higher are mostly alike, and compress to little where whole numbers do not.
+    Places go in two halves of 16 bits, entries' numbers in two columns: the higher are mostly alike, and compress to little where whole numbers do not.
     """
 
     def run(batches):
         chunk, size = TaskContext.get().partitionId() << 32, 0
-        fresh = lambda: defaultdict(lambda: (_dictionary(), []))
+        fresh = lambda: defaultdict(lambda: (_dictionary(), array("i")))
         held = fresh()
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                slots, parts = held[lang]
-                found = TOKEN.findall((text or "").encode("utf-8", "surrogatepass").translate(MAP))
-                parts.append(np.fromiter(map(slots.__getitem__, found), np.int32, len(found)))
-                parts.append(np.zeros(1, np.int32))  # a document ends
-                size += len(found) + 1
+            for lang, text in zip(b.column(0), b.column(1)):
+                slots, places = held[lang.as_py()]
+                before = len(places)
+                if text.is_valid:
+                    places.extend(map(slots.__getitem__, TOKEN.findall(text.as_buffer().to_pybytes().translate(MAP))))
+                places.append(0)  # a document ends
+                size += len(places) - before
                 if size >= CHUNK:
-                    yield _word_chunk(chunk, held)
+                    yield from _word_chunk(chunk, held, ROW)
                     chunk, size, held = chunk + 1, 0, fresh()
         if size:
-            yield _word_chunk(chunk, held)
+            yield from _word_chunk(chunk, held, ROW)
 
     named = columns_of(docs, lang_col, text_col).select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return named.mapInArrow(run, "chunk long, low array<short>, high array<short>, langs array<string>, words array<string>, counts array<int>")
+    return named.mapInArrow(run, "chunk long, part int, slot short, low binary, high binary, lang string, word string, a long")
 
 
 def _dictionary() -> defaultdict:
     """Word -> its number, in order of first sight; the end of a piece is number 0."""
-    slots: defaultdict = defaultdict()
-    slots.default_factory = slots.__len__
+    slots: defaultdict = defaultdict(count().__next__)  # its own __len__ would be a cycle, which outlives its chunk
     slots[b"\n"]  # noqa: B018
     return slots
 
 
-def _word_chunk(chunk: int, held: dict) -> pa.RecordBatch:
-    seq, langs, words, counts = [], [], [], []
-    for lang, (slots, parts) in held.items():
-        own = np.concatenate(parts)
-        seq.append(np.where(own == 0, -1, own + (len(words) - 1)))
-        counts.append(np.bincount(own, minlength=len(slots))[1:])
-        words += list(slots)[1:]
-        langs += [lang] * (len(slots) - 1)
-    places = np.concatenate(seq).astype(np.int32)
-    lists = [_ints(places.astype(np.int16), pa.int16()), _ints((places >> 16).astype(np.int16), pa.int16()), pa.array([langs], pa.list_(pa.string())), pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string())), _ints(np.concatenate(counts))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "low", "high", "langs", "words", "counts"])
+def _word_chunk(chunk: int, held: dict, size: int) -> Iterator[pa.RecordBatch]:
+    kinds = {"part": pa.int32(), "slot": pa.int16(), "low": pa.binary(), "high": pa.binary(), "lang": pa.string(), "word": pa.string(), "a": pa.int64()}
+
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        filled = [columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), *filled], names=["chunk", *kinds])
+
+    seq, n = [], 0
+    for lang, (slots, places) in held.items():
+        own = np.frombuffer(places, np.int32)
+        seq.append(np.where(own == 0, np.int32(-1), own + np.int32(n - 1)))
+        counts, words = np.bincount(own, minlength=len(slots))[1:], pa.array(list(slots)[1:], pa.binary()).view(pa.string())
+        at = np.arange(n, n + len(words))
+        yield from _parts(batch(len(at), part=pa.array(at // size, pa.int32()), slot=pa.array(at % size, pa.int16()), lang=pa.repeat(lang, len(at)), word=words, a=pa.array(counts, pa.int64())))
+        n += len(at)
+    rows = _rows(np.concatenate(seq), size)
+    yield from _parts(batch(len(rows), part=pa.array(np.arange(len(rows)), pa.int32()), low=_bytes(rows.astype(np.int16)), high=_bytes((rows >> 16).astype(np.int16))))
 
 
-def word_runs(coded: DataFrame, names: DataFrame) -> DataFrame:
-    """(seq): each chunk's words by number, -1 once between runs of frequent words; ``names`` (of, slot, number) has those of the chunk's list. A group is one chunk."""
+def word_runs(coded: DataFrame, names: DataFrame, most_words: int) -> DataFrame:
+    """(seq): each chunk's words by number, -1 once between runs of frequent words, in rows of ROW numbers and the ``most_words`` - 1 that follow
+    them, so that a phrase lies whole in the row where it starts; ``names`` is from :func:`named_words`. A group is one chunk."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        low, high = (rows.column(c).combine_chunks().values.to_numpy() for c in ("low", "high"))
-        seq = high.astype(np.int32) << 16 | low.view(np.uint16)
+        rows = rows.sort_by("part")
+        seq = _numbers(rows.column("high"), np.int16).astype(np.int32) << 16 | _numbers(rows.column("low"), np.uint16)
         numbers = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is that of -1
-        pairs = found.column("pairs").combine_chunks().values.to_numpy()
+        pairs = _numbers(found.column("pairs"), np.int64)
         numbers[pairs >> 32] = (pairs & (1 << 32) - 1).astype(np.int32)
         own = numbers[seq]
-        return pa.table({"seq": _ints(own[(own >= 0) | np.append(True, own[:-1] >= 0)])})
+        return pa.table({"seq": _bytes(_rows(own[(own >= 0) | np.append(True, own[:-1] >= 0)], ROW, most_words - 1))})
 
-    pair = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("number").cast("long"))  # lists are gathered before they are shuffled: less than half of the rows' bytes
-    lists = names.groupBy("of").agg(F.collect_list(pair).alias("pairs"))
-    return coded.select("chunk", "low", "high").groupBy("chunk").cogroup(lists.groupBy("of")).applyInArrow(run, "seq array<int>")
+    places = coded.where(F.col("low").isNotNull()).select("chunk", "part", "low", "high")
+    return places.groupBy("chunk").cogroup(names.groupBy("of")).applyInArrow(run, "seq binary")
 
 
 def packed(words: list[np.ndarray]) -> list[np.ndarray]:
@@ -133,8 +165,8 @@ def own_counts(keys: list[np.ndarray]) -> list[np.ndarray]:
     return [*(k[fresh] for k in keys), np.diff(np.append(fresh, len(order)))]
 
 
-def phrase_counts(runs: DataFrame, k: int, below: DataFrame | None) -> DataFrame:
-    """(p0, p1 and so on, a): phrases of ``k`` words and their occurrences in a chunk, from the places where both parts pass the bit map of ``below``, the frequent phrases of a word less (None: all do)."""
+def phrase_counts(runs: DataFrame, k: int, most_words: int, below: DataFrame | None) -> DataFrame:
+    """(p0, p1 and so on, a): phrases of ``k`` words and their occurrences in rows of about a chunk's words, from the places where both parts pass the bit map of ``below``, the frequent phrases of a word less (None: all do)."""
     names = [f"p{i}" for i in range((k + 1) // 2)]
     shared = None
     if below is not None:
@@ -144,45 +176,81 @@ def phrase_counts(runs: DataFrame, k: int, below: DataFrame | None) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(key_bits([c.to_numpy() for c in b.columns], BITS))], names=["bit"])
 
         shared = runs.sparkSession.sparkContext.broadcast(bit_map(below.mapInArrow(bits, "bit long"), BITS))
+    width = ROW + most_words - 1
+
+    def counted(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own = np.concatenate(rows)
+        known = own.reshape(-1, width) >= 0
+        m, starts = (k, ROW) if shared is None else (k - 1, ROW + 1)  # the second part of a row's last phrase starts behind its starts
+        row, at = np.nonzero(np.logical_and.reduce([known[:, j : j + starts] for j in range(m)]))
+        at += row * width
+        if shared is not None:
+            at = at[bits_set(shared.value, key_bits(packed([own[at + j] for j in range(m)]), BITS))]
+            at = at[np.append(at[1:] == at[:-1] + 1, False)[: len(at)]]
+        *keys, counts = own_counts(packed([own[at + j] for j in range(k)]))
+        return _parts(pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(counts, pa.int64())], names=[*names, "a"]))
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
-            for seq in b.column(0):
-                own = seq.values.to_numpy()
-                known = own >= 0
-                m = k if shared is None else k - 1
-                at = np.flatnonzero(np.logical_and.reduce([known[j : max(len(own) - m + 1 + j, j)] for j in range(m)]))
-                if shared is not None:
-                    at = at[bits_set(shared.value, key_bits(packed([own[at + j] for j in range(m)]), BITS))]
-                    at = at[np.append(at[1:] == at[:-1] + 1, False)[: len(at)]]
-                *keys, counts = own_counts(packed([own[at + j] for j in range(k)]))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(counts, pa.int64())], names=[*names, "a"])
+            rows.append(_numbers(b.column(0), np.int32))
+            size += len(rows[-1])
+            if size >= CHUNK:
+                yield from counted(rows)
+                rows, size = [], 0
+        if size:
+            yield from counted(rows)
 
     return runs.select("seq").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "a"]))
 
 
-def _entries(coded: DataFrame, *columns: str) -> DataFrame:
-    """(of, slot, one column for each list): the entries of every chunk's list."""
-    return coded.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip(*columns)).alias("slot", "e")).select("of", "slot", *[F.col(f"e.{c}").alias(c) for c in columns])
+def _entries(coded: DataFrame) -> DataFrame:
+    """The entries of every chunk's list."""
+    return coded.where(F.col("word").isNotNull()).select("chunk", (F.col("part") * ROW + F.col("slot")).alias("slot"), "lang", "word", "a")
 
 
 def named_words(coded: DataFrame, level: DataFrame) -> DataFrame:
-    """(of, slot, number): the entries of each chunk's words that have a number. What a bit map of these rules out is not shuffled."""
-    bit = F.pmod(F.xxhash64("langs", "words"), F.lit(BITS)).alias("bit")
-    names = level.select(F.col("numbers")[0].alias("number"), F.col("lang").alias("langs"), F.col("words")[0].alias("words"))
+    """(of, pairs): for the chunk ``of`` the entries of its list that have a number, slot and number in a long, some hundreds a row.
+
+    What a bit map of the words with a number rules out is not shuffled.
+    """
+    bit = F.pmod(F.xxhash64("lang", "word"), F.lit(BITS)).alias("bit")
+    names = level.select(F.col("numbers")[0].alias("number"), "lang", F.col("words")[0].alias("word"))
     shared = coded.sparkSession.sparkContext.broadcast(bit_map(names.select(bit), BITS))
 
     def passed(batches):
         for b in batches:
             yield b.select([0, 1, 2, 3]).filter(pa.array(bits_set(shared.value, b.column(4).to_numpy())))
 
-    entries = _entries(coded, "langs", "words").select("of", "slot", "langs", "words", bit).mapInArrow(passed, "of long, slot int, langs string, words string")
-    return entries.join(names, ["langs", "words"]).select("of", "slot", "number")
+    def gathered(batches):  # rows of many chunks come mixed: those of a chunk are put together as far as a bounded number of rows goes
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= CHUNK:
+                yield from _pairs(held, ROW)
+                held, size = [], 0
+        if size:
+            yield from _pairs(held, ROW)
+
+    entries = _entries(coded).select(F.col("chunk").alias("of"), "slot", "lang", "word", bit).mapInArrow(passed, "of long, slot int, lang string, word string")
+    return entries.join(names, ["lang", "word"]).select("of", "slot", "number").mapInArrow(gathered, "of long, pairs binary")
+
+
+def _pairs(held: list[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    of, slot, number = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+    order = np.lexsort([slot, of])
+    of, pairs = of[order], (slot.astype(np.int64) << 32 | number)[order]
+    chunks, first, counts = np.unique(of, return_index=True, return_counts=True)
+    cuts = np.concatenate([np.arange(f, f + n, most) for f, n in zip(first, counts)])
+    ends = np.append(cuts, len(pairs)).astype(np.int32) * np.int32(8)
+    found = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+    yield from _parts(pa.RecordBatch.from_arrays([pa.array(of[cuts]), found], names=["of", "pairs"]))
 
 
 def numbered(words: DataFrame) -> DataFrame:
-    """Words (langs, words, a) with a dense ``number``, smaller for words of more occurrences: dealt in turn from the partitions, each in that order."""
-    at = table(words.sortWithinPartitions(F.desc("a"), "langs", "words").select("langs", "words", "a", F.monotonically_increasing_id().alias("at")), "phrases-frequent")
+    """Words (lang, word, a) with a dense ``number``, smaller for words of more occurrences: dealt in turn from the partitions, each in that order."""
+    at = table(words.sortWithinPartitions(F.desc("a"), "lang", "word").select("lang", "word", "a", F.monotonically_increasing_id().alias("at")), "phrases-frequent")
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     parts = (at.agg(F.max(part)).first()[0] or 0) + 1
     number = row * parts + part
@@ -199,18 +267,19 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
     short_batches(spark)
     short_lived_shuffles(spark)
     coded, path = stored(word_chunks(docs, lang_col, text_col), "phrases-words")
-    totals = table(_entries(coded, "langs", "counts").groupBy(F.col("langs").alias("lang")).agg(F.sum("counts").alias("n")), "phrases-totals")
-    counted = _entries(coded, "langs", "words", "counts").groupBy("langs", "words").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
+    totals = table(_entries(coded).groupBy("lang").agg(F.sum("a").alias("n")), "phrases-totals")
+    counted = _entries(coded).groupBy("lang", "word").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     one = F.array("a")
-    level = table(numbered(counted).select(F.array("number").alias("numbers"), F.col("langs").alias("lang"), F.array("words").alias("words"), "a", one.alias("begins"), one.alias("ends")), "phrases-1")
+    level = table(numbered(counted).select(F.array("number").alias("numbers"), "lang", F.array("word").alias("words"), "a", one.alias("begins"), one.alias("ends")), "phrases-1")
     levels, keys = [level], None
+    short_batches(spark, LISTS)
     found, found_path = stored(named_words(coded, level), "phrases-found")  # its shuffle files go before the runs' come
-    runs, runs_path = stored(word_runs(coded, found), "phrases-runs")
+    runs, runs_path = stored(word_runs(coded, found, most_words), "phrases-runs")
     forget(spark, path)
     forget(spark, found_path)
     for k in range(2, most_words + 1):
         names = [f"p{i}" for i in range((k + 1) // 2)]
-        counted = phrase_counts(runs, k, keys).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+        counted = phrase_counts(runs, k, most_words, keys).groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
         named = table(counted.select(*names, F.array(*[number_at(k, j) for j in range(k)]).alias("numbers"), "a"), f"phrases-names-{k}")
         keys = named.select(*names)
         named = named.select("numbers", F.slice("numbers", 1, k - 1).alias("left"), F.slice("numbers", 2, k - 1).alias("right"), "a")
@@ -221,6 +290,7 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, lang
         level = table(full, f"phrases-{k}")
         levels.append(level)
     forget(spark, runs_path)
+    short_batches(spark)
     return totals, levels
 
 
