@@ -32,9 +32,11 @@ from .common import BYTES_LOWER, bit_map, bits_set, columns_of, forget, read, sh
 MAP = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else c for b, c in enumerate(BYTES_LOWER))
 TOKEN = re.compile(rb"[^ \t\n]+|\n")
 #: Words of a chunk, about; words, or entries of a list, in a row; rows of an Arrow batch that a worker gets (of such rows, not texts) or returns, at most.
-CHUNK, ROW, LISTS, OUT = 1 << 20, 1 << 10, 1 << 12, 1 << 16
+CHUNK, ROW, LISTS, OUT = 1 << 20, 1 << 10, 1 << 11, 1 << 16
 #: Bits of the map that lets those entries of a chunk's list through that may be frequent.
 BITS = 1 << 25
+#: Parts that a language's phrases are ranked in first.
+SHARES = 64
 NO_LANG = "und"
 SCORE_UNIT = 2_000_000
 
@@ -166,7 +168,7 @@ def own_counts(keys: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def phrase_counts(runs: DataFrame, k: int, most_words: int, below: DataFrame | None) -> DataFrame:
-    """(p0, p1 and so on, a): phrases of ``k`` words and their occurrences in rows of about a chunk's words, from the places where both parts pass the bit map of ``below``, the frequent phrases of a word less (None: all do)."""
+    """(p0, p1 and so on, a): phrases of ``k`` words and their occurrences in some rows, of about a chunk's words at most, from the places where both parts pass the bit map of ``below``, the frequent phrases of a word less (None: all do)."""
     names = [f"p{i}" for i in range((k + 1) // 2)]
     shared = None
     if below is not None:
@@ -178,8 +180,7 @@ def phrase_counts(runs: DataFrame, k: int, most_words: int, below: DataFrame | N
         shared = runs.sparkSession.sparkContext.broadcast(bit_map(below.mapInArrow(bits, "bit long"), BITS))
     width = ROW + most_words - 1
 
-    def counted(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own = np.concatenate(rows)
+    def counted(own: np.ndarray) -> Iterator[pa.RecordBatch]:
         known = own.reshape(-1, width) >= 0
         m, starts = (k, ROW) if shared is None else (k - 1, ROW + 1)  # the second part of a row's last phrase starts behind its starts
         row, at = np.nonzero(np.logical_and.reduce([known[:, j : j + starts] for j in range(m)]))
@@ -191,15 +192,9 @@ def phrase_counts(runs: DataFrame, k: int, most_words: int, below: DataFrame | N
         return _parts(pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(counts, pa.int64())], names=[*names, "a"]))
 
     def run(batches):
-        rows, size = [], 0
         for b in batches:
-            rows.append(_numbers(b.column(0), np.int32))
-            size += len(rows[-1])
-            if size >= CHUNK:
-                yield from counted(rows)
-                rows, size = [], 0
-        if size:
-            yield from counted(rows)
+            for i in range(0, b.num_rows, -(-CHUNK // ROW)):
+                yield from counted(_numbers(b.column(0).slice(i, -(-CHUNK // ROW)), np.int32))
 
     return runs.select("seq").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "a"]))
 
@@ -324,8 +319,10 @@ def collocations(docs: DataFrame, top: int = 2000, most_words: int = 4, least: i
             kept = level.join(over, "numbers", "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a")))
         kept = kept.select("lang", F.array_join("words", " ").alias("phrase"), "a", lowest_cut().alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
         found = kept if found is None else found.union(kept)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    ranked = found.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))  # the first of a language are among the first of its shares, so no task sorts all its phrases
+    for keys in (["lang", "share"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
